@@ -87,8 +87,9 @@ def drop_zm(rings) -> Column:
 
 def repair_rings(rings, snap: float = 1e-3) -> Column:
     """G1: snap to a grid, drop a repeated closing point and consecutive
-    duplicates, drop rings with fewer than three points or no area, then
-    orient the outer ring counter-clockwise and holes clockwise."""
+    duplicates, drop rings with fewer than three points, then orient the
+    outer ring counter-clockwise and holes clockwise. Self-crossing rings
+    are made valid by ``overlay.make_valid`` (slab pieces)."""
     def snap_pt(p):
         return pt(F.round(p["x"] / snap) * snap, F.round(p["y"] / snap) * snap)
 
@@ -100,8 +101,9 @@ def repair_rings(rings, snap: float = 1e-3) -> Column:
         kept = F.filter(z, lambda e: (e["p"]["x"] != e["q"]["x"]) | (e["p"]["y"] != e["q"]["y"]))
         return F.transform(kept, lambda e: e["p"])
 
-    cleaned = F.filter(F.transform(_c(rings), clean),
-                       lambda r: (F.size(r) >= 3) & (F.abs(ring_signed_area(r)) > 0))
+    # rings of fewer than three points go; a self-crossing ring stays as is
+    # (its lobes carry winding +1 and -1, which the slab overlay resolves)
+    cleaned = F.filter(F.transform(_c(rings), clean), lambda r: F.size(r) >= 3)
 
     def orient(r, i):
         want_ccw = i == 0
