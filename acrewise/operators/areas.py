@@ -63,13 +63,18 @@ def erase_union_area(a: DataFrame, fa: str, masks: DataFrame, fm: str, b: DataFr
     ``b`` is given), each acre counted once however many masks cover it."""
     band = prm.band_width
     if b is None:
-        subj = a.select(F.col(fa).alias("g"), F.col(fa).alias("_fid"), F.lit(0).alias("layer"))
-        pieces = [ov.group_pieces(subj, ov.layer_pieces(a, fa, band).withColumnRenamed(fa, "_fid"), "_fid")]
+        # only features that meet a mask go through the slab overlay; the
+        # rest keep their own area (one shoelace per row, no shuffle)
         mp = ov.bbox_pairs(a, fa, masks, fm, prm.cell_size).select(F.col(fa).alias("g"), F.col(fm).alias("_fid"))
+        hit = mp.select(F.col("g").alias(fa)).distinct()
+        subj = a.join(hit, fa, "left_semi").select(F.col(fa).alias("g"), F.col(fa).alias("_fid"),
+                                                   F.lit(0).alias("layer"))
+        pieces = [ov.group_pieces(subj, ov.layer_pieces(a, fa, band).withColumnRenamed(fa, "_fid"), "_fid")]
         pieces.append(ov.group_pieces(mp.withColumn("layer", F.lit(1)),
                                       ov.layer_pieces(masks, fm, band).withColumnRenamed(fm, "_fid"), "_fid"))
         keep = lambda n: (n[0] != 0) & (n[1] == 0)
         n_layers = 2
+        untouched = a.join(hit, fa, "left_anti").select(fa, geo.area("rings").alias("area"))
     else:
         ab = ov.bbox_pairs(a, fa, b, fb, prm.cell_size)
         g = F.struct(F.col(fa).alias(fa), F.col(fb).alias(fb))
@@ -88,8 +93,12 @@ def erase_union_area(a: DataFrame, fa: str, masks: DataFrame, fm: str, b: DataFr
         allp = allp.unionByName(p)
     res = ov.slab_overlay(allp, n_layers, keep)
     if b is None:
-        return res.select(F.col("g").alias(fa), "area")
-    return res.select(F.col("g")[fa].alias(fa), F.col("g")[fb].alias(fb), "area")
+        # a feature wholly covered has no kept trapezoid: area 0
+        cut = subj.select(F.col("g").alias(fa)).join(res.select(F.col("g").alias(fa), "area"), fa, "left")
+        return cut.select(fa, F.coalesce("area", F.lit(0.0)).alias("area")).unionByName(untouched)
+    res = ab.select(fa, fb).join(res.select(F.col("g")[fa].alias(fa), F.col("g")[fb].alias(fb), "area"),
+                                 [fa, fb], "left")
+    return res.select(fa, fb, F.coalesce("area", F.lit(0.0)).alias("area"))
 
 
 def snap_sqft(c: Column) -> Column:
