@@ -6,16 +6,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
+def bounded_broadcast(df: DataFrame, max_rows: int, bound_by: list[DataFrame] | None = None) -> DataFrame:
     """Broadcast ``df`` only when it provably holds at most ``max_rows`` rows.
 
-    The check reads at most ``max_rows + 1`` rows (``limit`` stops the scan
-    early), so it costs little; past the bound the frame is returned as is
-    and the planner falls back to a shuffle join (AQE may still switch to a
+    The check counts at most ``max_rows + 1`` rows (``limit`` stops early).
+    ``bound_by`` names cheaper frames whose row counts add up to an upper
+    bound on ``df``'s (e.g. a left join of A and B has at most |A| + |B|
+    rows), so a costly ``df`` is not run twice. Past the bound the frame is
+    returned as is and the planner uses a shuffle join (AQE may still pick a
     broadcast from runtime statistics).
     """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    srcs = bound_by or [df]
+    total = 0
+    for s in srcs:
+        total += s.limit(max_rows + 1).count()
+        if total > max_rows:
+            return df
+    return F.broadcast(df)
 
 
 def first_match(pairs: DataFrame, key: str, label: str, out: str | None = None) -> DataFrame:

@@ -18,6 +18,7 @@ from acrewise.operators.joins import bounded_broadcast
 from acrewise.operators.spatial import point_in_polygon_pairs
 from acrewise.sources import fixtures as fx
 from acrewise.sources import layers
+from acrewise.sources.sinks import materialized
 from acrewise.sources.tables import Tables
 
 LOC = "workplace_location_id"
@@ -26,7 +27,14 @@ LOC = "workplace_location_id"
 def correspondence(t: Tables, prm: P.Params = P.DEFAULT) -> DataFrame:
     """(workplace_location_id, ind_type) for every workplace point that
     lies in (or on the border of) an inventory polygon; one row per
-    distinct pair, as GROUP BY id, ind_type."""
+    distinct pair, as GROUP BY id, ind_type. Materialized once per session
+    (the original built it as a table so later reports need no spatial
+    query)."""
+    return materialized(t.spark, ("correspondence", t.sf_dir, prm),
+                        lambda: build_correspondence(t, prm))
+
+
+def build_correspondence(t: Tables, prm: P.Params = P.DEFAULT) -> DataFrame:
     loc = fx.workplace_location_dims(t).select(LOC, "x", "y")
     z = layers.zones_layer(t)
     pairs = point_in_polygon_pairs(loc, LOC, "x", "y", z, "zone_id", "rings",
@@ -46,8 +54,10 @@ def employment_base(t: Tables, years, corr_join: str = "left",
     facts = fx.workplace_facts(t).filter(F.col("data_year").isin(*years))
     ind = bounded_broadcast(fx.industry_dims(t), prm.broadcast_max_rows)
     loc = fx.workplace_location_dims(t).select(LOC, "county_id", "mic")
-    loc = loc.join(correspondence(t, prm), LOC, corr_join)
-    loc = bounded_broadcast(loc, prm.broadcast_max_rows)
+    corr = correspondence(t, prm)
+    tagged = loc.join(corr, LOC, corr_join)
+    # |loc ⟕ corr| <= |loc| + |corr|: bound by the two inputs
+    loc = bounded_broadcast(tagged, prm.broadcast_max_rows, bound_by=[loc, corr])
     return facts.join(ind, "industry_id").join(loc, LOC)
 
 

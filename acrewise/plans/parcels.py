@@ -19,6 +19,7 @@ from acrewise.operators.areas import erase_union_area, snap_sqft
 from acrewise.operators.spatial import point_in_polygon_pairs
 from acrewise.sources import fixtures as fx
 from acrewise.sources import layers
+from acrewise.sources.sinks import materialized
 from acrewise.sources.tables import Tables
 
 PID = "fiprcl_id"
@@ -79,7 +80,12 @@ def tag_layers(t: Tables) -> DataFrame:
 
 
 def industrial_parcels(t: Tables, prm=P.DEFAULT) -> DataFrame:
-    """NS4: the tagged parcel table (ilx_indprcl23)."""
+    """NS4: the tagged parcel table (ilx_indprcl23), materialized once per
+    session since NS5-NS8 all read it."""
+    return materialized(t.spark, ("ilx", t.sf_dir, prm), lambda: build_industrial_parcels(t, prm))
+
+
+def build_industrial_parcels(t: Tables, prm=P.DEFAULT) -> DataFrame:
     v = parcel_values(t, prm)
     pts = v.select(PID, F.col("x_coord_sp").cast("double").alias("x"), F.col("y_coord_sp").cast("double").alias("y"))
     tl = tag_layers(t)
@@ -108,7 +114,11 @@ def orphans(t: Tables, prm=P.DEFAULT) -> DataFrame:
 
 def net_parcel_areas(t: Tables, prm=P.DEFAULT) -> DataFrame:
     """Parcel polygons with every exclusion mask erased
-    (prcl23_netx): (fiprcl_id, net_area)."""
+    (prcl23_netx): (fiprcl_id, net_area); materialized once per session."""
+    return materialized(t.spark, ("netx", t.sf_dir, prm), lambda: build_net_parcel_areas(t, prm))
+
+
+def build_net_parcel_areas(t: Tables, prm=P.DEFAULT) -> DataFrame:
     p = layers.parcels_layer(t)
     a = erase_union_area(p, "parcel_row", layers.masks_layer(t), "mask_id", prm=prm)
     return a.join(p.select("parcel_row", F.col("parcel_id").alias(PID)), "parcel_row") \

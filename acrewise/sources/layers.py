@@ -12,8 +12,11 @@ from acrewise.sources.tables import Tables
 
 
 def boxes_to_layer(df: DataFrame, keep: list[str]) -> DataFrame:
-    """Rectangle columns x0,y0,x1,y1 -> repaired ring geometry."""
-    return df.select(*keep, geo.repair_rings(geo.rect_rings("x0", "y0", "x1", "y1")).alias("rings"))
+    """Rectangle columns x0,y0,x1,y1 -> ring geometry. A box with x0 < x1
+    and y0 < y1 is already a valid counter-clockwise ring, so the repair
+    pass (G1) is not needed; degenerate boxes are dropped."""
+    ok = (F.col("x0") < F.col("x1")) & (F.col("y0") < F.col("y1"))
+    return df.filter(ok).select(*keep, geo.rect_rings("x0", "y0", "x1", "y1").alias("rings"))
 
 
 def wkt_polygon_rings(wkt: str | Column) -> Column:

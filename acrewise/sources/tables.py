@@ -29,8 +29,11 @@ class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir
+        self._dfs: dict[str, DataFrame] = {}
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in TABLES:
-            return read_table(self.spark, self.sf_dir, name)
+            if name not in self._dfs:
+                self._dfs[name] = read_table(self.spark, self.sf_dir, name)
+            return self._dfs[name]
         raise AttributeError(name)
