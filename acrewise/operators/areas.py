@@ -123,3 +123,41 @@ def pivot_filled(values: DataFrame, row_col: str, label_col: str, value_col: str
         has = flags.select(F.coalesce(F.col(f"_p{i}"), F.lit(False))).scalar()
         cols.append(F.coalesce(F.col(f"`{v}`"), F.when(has, F.lit(0.0))).alias(v))
     return out.select(*cols)
+
+
+def waterfall(layer: DataFrame, fid: str, masks: DataFrame, fm: str, order_col: str, n_orders: int,
+              prm: P.Params = P.DEFAULT, geometry: bool = False) -> DataFrame:
+    """Erase mask layers in turn (order 0, 1, ...). One labelled slab
+    pass gives, per feature, the area each step cuts (the first covering
+    mask wins) and what remains (label NULL). With ``geometry=True`` the
+    remaining parts come back as rings (one trapezoid per row).
+
+    Features no mask touches skip the overlay and keep their own area
+    (or rings)."""
+    band = prm.band_width
+    mp = ov.bbox_pairs(layer, fid, masks, fm, prm.cell_size).select(F.col(fid).alias("g"), F.col(fm).alias("_fid"))
+    mp = mp.join(masks.select(F.col(fm).alias("_fid"), (F.col(order_col) + 1).alias("layer")), "_fid")
+    hit = mp.select(F.col("g").alias(fid)).distinct()
+    subj = layer.join(hit, fid, "left_semi").select(F.col(fid).alias("g"), F.col(fid).alias("_fid"),
+                                                     F.lit(0).alias("layer"))
+    pieces = ov.group_pieces(subj, ov.layer_pieces(layer, fid, band).withColumnRenamed(fid, "_fid"), "_fid")
+    pieces = pieces.unionByName(
+        ov.group_pieces(mp, ov.layer_pieces(masks, fm, band).withColumnRenamed(fm, "_fid"), "_fid"))
+    n_layers = n_orders + 1
+
+    def first_cover(n):
+        out = None
+        for k in range(1, n_layers):
+            out = F.when(n[k] != 0, F.lit(k - 1)) if out is None else out.when(n[k] != 0, F.lit(k - 1))
+        return out
+
+    untouched = layer.join(hit, fid, "left_anti")
+    if geometry:
+        keep = lambda n: (n[0] != 0) & (first_cover(n).isNull())
+        res = ov.slab_overlay(pieces, n_layers, keep, geometry=True)
+        cut = res.select(F.col("g").alias(fid), "rings")
+        return cut.unionByName(untouched.select(fid, "rings"))
+    res = ov.slab_overlay(pieces, n_layers, lambda n: n[0] != 0, label=first_cover)
+    cut = res.select(F.col("g").alias(fid), F.col("label").alias("step"), "area")
+    whole = untouched.select(fid, F.lit(None).cast("int").alias("step"), geo.area("rings").alias("area"))
+    return cut.unionByName(whole)

@@ -181,3 +181,58 @@ def persons(t: Tables, n_replicates: int = 80) -> DataFrame:
         (1 + k % 9).alias("pwgtp"),
         *reps,
     )
+
+
+# ------------------------------------------------- R comparison inputs
+def zoning(t: Tables) -> DataFrame:
+    """Zoned industrial lands layer (County_FLU, County, Ind_Category,
+    Ind_Code): county names are missing or given as FIPS text on some rows,
+    so the clean-up falls back and maps codes; codes 1 and 2 are the two
+    kept (non-limited) classes."""
+    z = zones(t)
+    k = F.col("zone_id")
+    k4 = k % 4
+    code = F.when(k4 == 0, "033").when(k4 == 1, "035").when(k4 == 2, "053").otherwise("061")
+    name = F.when(k4 == 0, "King").when(k4 == 1, "Kitsap").when(k4 == 2, "Pierce").otherwise("Snohomish")
+    county = F.when(k % 5 == 0, F.lit(None).cast("string")).when(k % 5 == 1, code).otherwise(name)
+    return z.select("zone_id", code.alias("county_code"), county.alias("county"),
+                    F.coalesce("ind_type", F.lit("Other Industrial")).alias("category"),
+                    (k % 6 + 1).cast("int").alias("ind_code"), "x0", "y0", "x1", "y1")
+
+
+def cities(t: Tables) -> DataFrame:
+    """City layer: the zone boxes, one of them Bremerton."""
+    z = zones(t)
+    k = F.col("zone_id")
+    return z.select(k.alias("city_id"),
+                    F.when(k == 2, "Bremerton").otherwise(F.concat(F.lit("City "), k.cast("string"))).alias("city"),
+                    "x0", "y0", "x1", "y1")
+
+
+def county_parcels(t: Tables) -> DataFrame:
+    """County parcel files as one table: the county a parcel id belongs to,
+    and its id as text (zero padded; every 53rd id is not numeric)."""
+    p = parcels(t)
+    pid = F.col("parcel_id")
+    k4 = pid % 4
+    cid = F.when(k4 == 0, 33).when(k4 == 1, 35).when(k4 == 2, 53).otherwise(61)
+    raw = F.when(F.col("parcel_row") % 53 == 0, F.concat(F.lit("X"), pid.cast("string"))) \
+        .otherwise(F.lpad(pid.cast("string"), 8, "0"))
+    return p.select("parcel_row", raw.alias("parcel_id_raw"), cid.alias("county_id"),
+                    "x0", "y0", "x1", "y1", "gross_sqft", "land_use_type_id")
+
+
+def parcel_data(t: Tables) -> DataFrame:
+    """parcels_all: id text, county, land use, size."""
+    cp = county_parcels(t)
+    return cp.select(F.col("parcel_id_raw").alias("parcel_id_fips"), "county_id", "land_use_type_id", "gross_sqft")
+
+
+def building_data(t: Tables) -> DataFrame:
+    """buildings_all: id text, county, improvement value as text."""
+    b = buildings(t)
+    pid = F.col("parcel_id")
+    k4 = pid % 4
+    cid = F.when(k4 == 0, 33).when(k4 == 1, 35).when(k4 == 2, 53).otherwise(61)
+    return b.select(F.lpad(pid.cast("string"), 8, "0").alias("parcel_id_fips"), cid.alias("county_id"),
+                    F.col("improvement_value").cast("string").alias("improvement_value"))

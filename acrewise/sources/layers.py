@@ -55,3 +55,15 @@ def rgeo_layer(t: Tables) -> DataFrame:
 
 def parcels_layer(t: Tables) -> DataFrame:
     return boxes_to_layer(fx.parcels(t), ["parcel_id", "parcel_row", "gross_sqft", "land_use_type_id"])
+
+
+def zoning_layer(t: Tables) -> DataFrame:
+    return boxes_to_layer(fx.zoning(t), ["zone_id", "county_code", "county", "category", "ind_code"])
+
+
+def city_layer(t: Tables) -> DataFrame:
+    return boxes_to_layer(fx.cities(t), ["city_id", "city"])
+
+
+def county_parcels_layer(t: Tables) -> DataFrame:
+    return boxes_to_layer(fx.county_parcels(t), ["parcel_row", "parcel_id_raw", "county_id"])
