@@ -25,8 +25,25 @@ def pt(x, y) -> Column:
     return F.struct(_c(x).cast("double").alias("x"), _c(y).cast("double").alias("y"))
 
 
+# SQL text of the per-row geometry math: one expression per call keeps
+# plan construction cheap (one round trip instead of hundreds) and gives
+# Catalyst a single higher-order expression to optimise.
+def _sql_next(r: str) -> str:
+    return f"concat(slice({r}, 2, greatest(size({r}) - 1, 0)), slice({r}, 1, 1))"
+
+
+def _sql_ring_area2(r: str) -> str:
+    """Twice the signed area of ring ``r`` (SQL text)."""
+    return (f"aggregate(zip_with({r}, {_sql_next(r)}, (a, b) -> a.x * b.y - b.x * a.y), "
+            f"CAST(0 AS DOUBLE), (s, v) -> s + v)")
+
+
 def rect_rings(x0, y0, x1, y1) -> Column:
     """Axis-aligned rectangle as one counter-clockwise ring."""
+    if all(isinstance(c, str) for c in (x0, y0, x1, y1)):
+        def p(a, b):
+            return f"named_struct('x', CAST({a} AS DOUBLE), 'y', CAST({b} AS DOUBLE))"
+        return F.expr(f"array(array({p(x0, y0)}, {p(x1, y0)}, {p(x1, y1)}, {p(x0, y1)}))")
     return F.array(F.array(pt(x0, y0), pt(x1, y0), pt(x1, y1), pt(x0, y1)))
 
 
@@ -49,6 +66,8 @@ def ring_signed_area(ring: Column) -> Column:
 
 def area(rings) -> Column:
     """Polygon area (ft² for EPSG:2285), holes subtracted."""
+    if isinstance(rings, str):
+        return F.expr(f"aggregate(`{rings}`, CAST(0 AS DOUBLE), (acc, r) -> acc + {_sql_ring_area2('r')}) / 2")
     return F.aggregate(_c(rings), F.lit(0.0), lambda acc, r: acc + ring_signed_area(r))
 
 
@@ -59,6 +78,12 @@ def acres(rings) -> Column:
 
 def bbox(rings) -> Column:
     """struct<xmin,ymin,xmax,ymax> over all rings."""
+    if isinstance(rings, str):
+        f = f"flatten(`{rings}`)"
+        return F.expr(f"named_struct('xmin', array_min(transform({f}, p -> p.x)), "
+                      f"'ymin', array_min(transform({f}, p -> p.y)), "
+                      f"'xmax', array_max(transform({f}, p -> p.x)), "
+                      f"'ymax', array_max(transform({f}, p -> p.y)))")
     flat = F.flatten(_c(rings))
     xs = F.transform(flat, lambda p: p["x"])
     ys = F.transform(flat, lambda p: p["y"])
@@ -68,16 +93,13 @@ def bbox(rings) -> Column:
 
 def centroid(rings) -> Column:
     """Area-weighted centroid (struct<x,y>) from ring moments."""
-    def moment(r, which):
-        return F.aggregate(
-            ring_edges(r), F.lit(0.0),
-            lambda acc, e: acc + (e["a"][which] + e["b"][which])
-            * (e["a"]["x"] * e["b"]["y"] - e["b"]["x"] * e["a"]["y"]))
-    rs = _c(rings)
-    a6 = F.aggregate(rs, F.lit(0.0), lambda acc, r: acc + ring_signed_area(r)) * 6.0
-    mx = F.aggregate(rs, F.lit(0.0), lambda acc, r: acc + moment(r, "x"))
-    my = F.aggregate(rs, F.lit(0.0), lambda acc, r: acc + moment(r, "y"))
-    return F.struct(F.try_divide(mx, a6).alias("x"), F.try_divide(my, a6).alias("y"))
+    if not isinstance(rings, str):
+        raise TypeError("centroid takes a column name")
+    def moment(which):
+        return (f"aggregate(`{rings}`, CAST(0 AS DOUBLE), (acc, r) -> acc + aggregate(zip_with(r, {_sql_next('r')}, "
+                f"(a, b) -> (a.{which} + b.{which}) * (a.x * b.y - b.x * a.y)), CAST(0 AS DOUBLE), (s, v) -> s + v))")
+    a6 = f"(aggregate(`{rings}`, CAST(0 AS DOUBLE), (acc, r) -> acc + {_sql_ring_area2('r')}) * 3)"
+    return F.expr(f"named_struct('x', try_divide({moment('x')}, {a6}), 'y', try_divide({moment('y')}, {a6}))")
 
 
 def drop_zm(rings) -> Column:

@@ -113,16 +113,22 @@ def pivot_filled(values: DataFrame, row_col: str, label_col: str, value_col: str
     (row, label, value) cells; every row of ``rows`` appears, and a label
     that exists in ``present`` (one column ``label_col``) but has no overlap
     with a row gets 0.0, as ``STIntersection(...).STArea()`` of a disjoint
-    pair did. Labels absent from the layer stay NULL."""
-    piv = values.groupBy(row_col).pivot(label_col, list(labels)).agg(F.max(value_col))
-    flags = present.select(*[F.max(F.when(F.col(label_col) == v, F.lit(True))).alias(f"_p{i}")
-                             for i, v in enumerate(labels)])
-    out = rows.join(piv, row_col, "left")
-    cols = [row_col]
-    for i, v in enumerate(labels):
-        has = flags.select(F.coalesce(F.col(f"_p{i}"), F.lit(False))).scalar()
-        cols.append(F.coalesce(F.col(f"`{v}`"), F.when(has, F.lit(0.0))).alias(v))
-    return out.select(*cols)
+    pair did. Labels absent from the layer stay NULL.
+
+    The zero cells are the listed labels exploded per row and semi-joined
+    to the labels present (an equi-join on the label, no cross join)."""
+    row_keys = rows.select(row_col).distinct()
+    zeros = (row_keys.select(row_col, F.explode(F.array(*[F.lit(v) for v in labels])).alias(label_col))
+             .join(present.select(label_col).distinct(), label_col, "left_semi")
+             .select(row_col, label_col, F.lit(0.0).alias(value_col), F.lit(1).alias("_z")))
+    vals = values.select(row_col, label_col, F.col(value_col).cast("double").alias(value_col), F.lit(0).alias("_z"))
+    u = vals.unionByName(zeros)
+    real = F.col("_z") == 0
+    cell = u.groupBy(row_col, label_col).agg(
+        F.when(F.count(F.when(real, 1)) > 0, F.max(F.when(real, F.col(value_col))))
+         .otherwise(F.max(F.when(~real, F.col(value_col)))).alias(value_col))
+    piv = cell.groupBy(row_col).pivot(label_col, list(labels)).agg(F.first(value_col))
+    return row_keys.join(piv, row_col, "left").select(row_col, *[F.col(f"`{v}`") for v in labels])
 
 
 def waterfall(layer: DataFrame, fid: str, masks: DataFrame, fm: str, order_col: str, n_orders: int,

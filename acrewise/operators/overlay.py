@@ -34,26 +34,28 @@ def _interp(l, r, yl, yr, x) -> Column:
     return yl + (yr - yl) * F.try_divide(x - l, r - l)
 
 
+def sql_interp(l: str, r: str, yl: str, yr: str, x: str) -> str:
+    """SQL text: height at ``x`` of the segment (l, yl)-(r, yr)."""
+    return f"({yl} + ({yr} - {yl}) * try_divide({x} - {l}, {r} - {l}))"
+
+
 def banded_pieces(edges: DataFrame, band: float, keys: Sequence[str]) -> DataFrame:
     """Non-vertical edges clipped to x-bands.
 
     Output: keys..., band, l, r, yl, yr, c (c = +1 right-to-left, -1 else).
     """
-    e = edges.filter(F.col("ax") != F.col("bx"))
-    rtl = F.col("bx") < F.col("ax")
-    e = e.select(*keys,
-                 F.least("ax", "bx").alias("_l"), F.greatest("ax", "bx").alias("_r"),
-                 F.when(rtl, F.col("by")).otherwise(F.col("ay")).alias("_yl"),
-                 F.when(rtl, F.col("ay")).otherwise(F.col("by")).alias("_yr"),
-                 F.when(rtl, F.lit(1)).otherwise(F.lit(-1)).alias("c"))
-    e = e.withColumn("band", F.explode(F.sequence(F.floor(F.col("_l") / band), F.floor(F.col("_r") / band))))
-    lo = F.greatest(F.col("_l"), F.col("band") * band)
-    hi = F.least(F.col("_r"), (F.col("band") + 1) * band)
-    e = e.withColumn("l", lo).withColumn("r", hi).filter(F.col("r") > F.col("l"))
-    return e.select(*keys, "band", "l", "r",
-                    _interp(F.col("_l"), F.col("_r"), F.col("_yl"), F.col("_yr"), F.col("l")).alias("yl"),
-                    _interp(F.col("_l"), F.col("_r"), F.col("_yl"), F.col("_yr"), F.col("r")).alias("yr"),
-                    "c")
+    e = edges.filter("ax <> bx").selectExpr(
+        *[f"`{k}`" for k in keys],
+        "least(ax, bx) AS _l", "greatest(ax, bx) AS _r",
+        "CASE WHEN bx < ax THEN by ELSE ay END AS _yl", "CASE WHEN bx < ax THEN ay ELSE by END AS _yr",
+        "CASE WHEN bx < ax THEN 1 ELSE -1 END AS c",
+        f"explode(sequence(CAST(floor(least(ax, bx) / {band!r}) AS BIGINT), "
+        f"CAST(floor(greatest(ax, bx) / {band!r}) AS BIGINT))) AS band")
+    e = e.selectExpr("*", f"greatest(_l, band * {band!r}) AS l", f"least(_r, (band + 1) * {band!r}) AS r") \
+        .filter("r > l")
+    return e.selectExpr(*[f"`{k}`" for k in keys], "band", "l", "r",
+                        f"{sql_interp('_l', '_r', '_yl', '_yr', 'l')} AS yl",
+                        f"{sql_interp('_l', '_r', '_yl', '_yr', 'r')} AS yr", "c")
 
 
 def layer_pieces(layer: DataFrame, fid: str, band: float, rings: str = "rings") -> DataFrame:
@@ -87,8 +89,18 @@ def bbox_pairs(a: DataFrame, fa: str, b: DataFrame, fb: str, cell: float,
 
 
 # ------------------------------------------------------------- closed form
+def sql_int_min2(l: str, r: str, f0: str, f1: str, g0: str, g1: str) -> str:
+    """SQL text: ∫_l^r min(f, g) dx for f, g linear with the given end values,
+    as (∫f + ∫g − ∫|f − g|) / 2 with |f − g| split at its zero."""
+    w = f"({r} - {l})"
+    d0, d1 = f"({f0} - {g0})", f"({f1} - {g1})"
+    abs_int = (f"CASE WHEN {d0} * {d1} >= 0 THEN {w} * abs({d0} + {d1}) / 2 "
+               f"ELSE {w} * try_divide({d0} * {d0} + {d1} * {d1}, 2 * (abs({d0}) + abs({d1}))) END")
+    return f"(({w} * ({f0} + {f1}) / 2 + {w} * ({g0} + {g1}) / 2 - ({abs_int})) / 2)"
+
+
 def int_min2(l, r, f0, f1, g0, g1) -> Column:
-    """∫_l^r min(f, g) dx for f, g linear with the given end values."""
+    """Column form of ``sql_int_min2`` (for callers holding Columns)."""
     w = r - l
     d0, d1 = f0 - g0, f1 - g1
     abs_int = F.when(d0 * d1 >= 0, w * F.abs(d0 + d1) / 2) \
@@ -96,63 +108,57 @@ def int_min2(l, r, f0, f1, g0, g1) -> Column:
     return (w * (f0 + f1) / 2 + w * (g0 + g1) / 2 - abs_int) / 2
 
 
-def int_min3(l, r, f0, f1, g0, g1, h0, h1) -> Column:
-    """∫_l^r min(f, g, h) dx: split at the crossing of f and g, then the
-    two-function form on each side."""
-    d0, d1 = f0 - g0, f1 - g1
-    cross = d0 * d1 < 0
-    t = F.when(cross, F.try_divide(d0, d0 - d1)).otherwise(F.lit(1.0))
-    xc = l + (r - l) * t
-    fc = f0 + (f1 - f0) * t
-    hc = h0 + (h1 - h0) * t
-    m0, m1 = F.least(f0, g0), F.least(f1, g1)
-    mc = F.when(cross, fc).otherwise(m1)
-    return int_min2(l, xc, m0, mc, h0, hc) + int_min2(xc, r, mc, m1, hc, h1)
-
-
 def _side(p: DataFrame, fid: str, tag: str) -> DataFrame:
-    return p.select(F.col(fid).alias(tag), "band",
+    return p.select(F.col(fid).alias(tag), F.col("band").alias(f"{tag}_band"),
                     *[F.col(c).alias(f"{tag}_{c}") for c in ("l", "r", "yl", "yr", "c")])
 
 
-def _at(tag: str, x: Column) -> Column:
-    return _interp(F.col(f"{tag}_l"), F.col(f"{tag}_r"), F.col(f"{tag}_yl"), F.col(f"{tag}_yr"), x)
+def _at_sql(tag: str, x: str) -> str:
+    return sql_interp(f"{tag}_l", f"{tag}_r", f"{tag}_yl", f"{tag}_yr", x)
 
 
 def pair_area(pairs: DataFrame, fa: str, fb: str, pieces_a: DataFrame, pieces_b: DataFrame) -> DataFrame:
     """Exact overlap area for each candidate pair -> (fa, fb, area)."""
     pa = _side(pieces_a, pieces_a.columns[0], "_pa")
     pb = _side(pieces_b, pieces_b.columns[0], "_pb")
-    pb = pb.withColumnRenamed("band", "_bb")
-    j = (pairs.join(pa, pairs[fa] == pa["_pa"])
-         .join(pb, (F.col(fb) == F.col("_pb")) & (F.col("band") == F.col("_bb"))))
-    L = F.greatest("_pa_l", "_pb_l")
-    R = F.least("_pa_r", "_pb_r")
-    j = j.filter(R > L)
-    base = F.col("base")
-    term = (F.col("_pa_c") * F.col("_pb_c")
-            * int_min2(L, R, _at("_pa", L) - base, _at("_pa", R) - base,
-                       _at("_pb", L) - base, _at("_pb", R) - base))
+    j = (pairs.join(pa, F.col(fa) == F.col("_pa"))
+         .join(pb, (F.col(fb) == F.col("_pb")) & (F.col("_pa_band") == F.col("_pb_band"))))
+    j = j.selectExpr(f"`{fa}`", f"`{fb}`", "base", "_pa_c * _pb_c AS _s",
+                     "greatest(_pa_l, _pb_l) AS _L", "least(_pa_r, _pb_r) AS _R",
+                     "_pa_l", "_pa_r", "_pa_yl", "_pa_yr", "_pb_l", "_pb_r", "_pb_yl", "_pb_yr").filter("_R > _L")
+    j = j.selectExpr(f"`{fa}`", f"`{fb}`", "_s", "_L", "_R",
+                     f"{_at_sql('_pa', '_L')} - base AS f0", f"{_at_sql('_pa', '_R')} - base AS f1",
+                     f"{_at_sql('_pb', '_L')} - base AS g0", f"{_at_sql('_pb', '_R')} - base AS g1")
+    term = F.expr(f"_s * {sql_int_min2('_L', '_R', 'f0', 'f1', 'g0', 'g1')}")
     return j.groupBy(fa, fb).agg(F.sum(term).alias("area"))
 
 
 def triple_area(triples: DataFrame, fa: str, fb: str, fc: str,
                 pieces_a: DataFrame, pieces_b: DataFrame, pieces_c: DataFrame) -> DataFrame:
-    """G9 for three layers: area(A∩B∩C) per candidate triple."""
+    """G9 for three layers: area(A∩B∩C) per candidate triple; min of three
+    lines = min(min(f, g), h), split where f and g cross."""
     pa = _side(pieces_a, pieces_a.columns[0], "_pa")
-    pb = _side(pieces_b, pieces_b.columns[0], "_pb").withColumnRenamed("band", "_bb")
-    pc = _side(pieces_c, pieces_c.columns[0], "_pc").withColumnRenamed("band", "_bc")
-    j = (triples.join(pa, triples[fa] == pa["_pa"])
-         .join(pb, (F.col(fb) == F.col("_pb")) & (F.col("band") == F.col("_bb")))
-         .join(pc, (F.col(fc) == F.col("_pc")) & (F.col("band") == F.col("_bc"))))
-    L = F.greatest("_pa_l", "_pb_l", "_pc_l")
-    R = F.least("_pa_r", "_pb_r", "_pc_r")
-    j = j.filter(R > L)
-    base = F.col("base")
-    term = (F.col("_pa_c") * F.col("_pb_c") * F.col("_pc_c")
-            * int_min3(L, R, _at("_pa", L) - base, _at("_pa", R) - base,
-                       _at("_pb", L) - base, _at("_pb", R) - base,
-                       _at("_pc", L) - base, _at("_pc", R) - base))
+    pb = _side(pieces_b, pieces_b.columns[0], "_pb")
+    pc = _side(pieces_c, pieces_c.columns[0], "_pc")
+    j = (triples.join(pa, F.col(fa) == F.col("_pa"))
+         .join(pb, (F.col(fb) == F.col("_pb")) & (F.col("_pa_band") == F.col("_pb_band")))
+         .join(pc, (F.col(fc) == F.col("_pc")) & (F.col("_pa_band") == F.col("_pc_band"))))
+    j = j.selectExpr(f"`{fa}`", f"`{fb}`", f"`{fc}`", "base", "_pa_c * _pb_c * _pc_c AS _s",
+                     "greatest(_pa_l, _pb_l, _pc_l) AS _L", "least(_pa_r, _pb_r, _pc_r) AS _R",
+                     *[f"{t}_{c}" for t in ("_pa", "_pb", "_pc") for c in ("l", "r", "yl", "yr")]).filter("_R > _L")
+    j = j.selectExpr(f"`{fa}`", f"`{fb}`", f"`{fc}`", "_s", "_L", "_R",
+                     f"{_at_sql('_pa', '_L')} - base AS f0", f"{_at_sql('_pa', '_R')} - base AS f1",
+                     f"{_at_sql('_pb', '_L')} - base AS g0", f"{_at_sql('_pb', '_R')} - base AS g1",
+                     f"{_at_sql('_pc', '_L')} - base AS h0", f"{_at_sql('_pc', '_R')} - base AS h1")
+    # split at the crossing of f and g (t = 1 when they do not cross)
+    j = j.selectExpr("*", "CASE WHEN (f0 - g0) * (f1 - g1) < 0 THEN try_divide(f0 - g0, (f0 - g0) - (f1 - g1)) "
+                          "ELSE CAST(1 AS DOUBLE) END AS _t")
+    j = j.selectExpr(f"`{fa}`", f"`{fb}`", f"`{fc}`", "_s", "_L", "_R", "h0", "h1",
+                     "_L + (_R - _L) * _t AS _xc", "least(f0, g0) AS m0", "least(f1, g1) AS m1",
+                     "CASE WHEN (f0 - g0) * (f1 - g1) < 0 THEN f0 + (f1 - f0) * _t ELSE least(f1, g1) END AS mc",
+                     "h0 + (h1 - h0) * _t AS hc")
+    term = F.expr(f"_s * ({sql_int_min2('_L', '_xc', 'm0', 'mc', 'h0', 'hc')} + "
+                  f"{sql_int_min2('_xc', '_R', 'mc', 'm1', 'hc', 'h1')})")
     return j.groupBy(fa, fb, fc).agg(F.sum(term).alias("area"))
 
 
@@ -168,47 +174,53 @@ def slab_overlay(pieces: DataFrame, n_layers: int,
     trapezoids from the per-layer winding counts; ``label(counts)`` tags
     them (e.g. the first covering mask). Returns (g, [label], area) or, with
     ``geometry=True``, one 4-point ring per kept trapezoid.
+
+    All work is keyed by (g, band): the pieces are hash-partitioned on it
+    once, and the crossing self-join, the slab boundaries, the slab join and
+    both windows reuse that partitioning (no further exchange until the
+    final per-group sum).
     """
     k = ["g", "band"]
+    pieces = pieces.repartition(*k)
     # 1. slab boundaries: piece ends and crossings of pieces in the group
-    ends = pieces.select(*k, F.col("l").alias("x")).union(pieces.select(*k, F.col("r").alias("x")))
+    ends = pieces.selectExpr("g", "band", "l AS x").union(pieces.selectExpr("g", "band", "r AS x"))
+    a = pieces.selectExpr("g", "band", "l AS a_l", "r AS a_r", "yl AS a_yl", "yr AS a_yr")
+    b = pieces.selectExpr("g", "band", "l AS b_l", "r AS b_r", "yl AS b_yl", "yr AS b_yr")
     # both orders of every pair are joined (a crossing is found twice and the
     # distinct below folds it); no row ids, so a recomputed task sees the same rows
-    a = pieces.select(*k, *[F.col(c).alias(f"a_{c}") for c in ("l", "r", "yl", "yr")])
-    b = pieces.select(*k, *[F.col(c).alias(f"b_{c}") for c in ("l", "r", "yl", "yr")])
-    L = F.greatest("a_l", "b_l")
-    R = F.least("a_r", "b_r")
-    da = lambda x: _interp(F.col("a_l"), F.col("a_r"), F.col("a_yl"), F.col("a_yr"), x) \
-        - _interp(F.col("b_l"), F.col("b_r"), F.col("b_yl"), F.col("b_yr"), x)
-    xs = (a.join(b, k).filter(R > L)
-          .withColumn("_d0", da(L)).withColumn("_d1", da(R))
-          .filter(F.col("_d0") * F.col("_d1") < 0)
-          .select(*k, (L + (R - L) * F.try_divide(F.col("_d0"), F.col("_d0") - F.col("_d1"))).alias("x")))
+    xs = (a.join(b, k).selectExpr("g", "band", "greatest(a_l, b_l) AS _L", "least(a_r, b_r) AS _R",
+                                  "a_l", "a_r", "a_yl", "a_yr", "b_l", "b_r", "b_yl", "b_yr")
+          .filter("_R > _L")
+          .selectExpr("g", "band", "_L", "_R",
+                      f"{sql_interp('a_l', 'a_r', 'a_yl', 'a_yr', '_L')} - {sql_interp('b_l', 'b_r', 'b_yl', 'b_yr', '_L')} AS _d0",
+                      f"{sql_interp('a_l', 'a_r', 'a_yl', 'a_yr', '_R')} - {sql_interp('b_l', 'b_r', 'b_yl', 'b_yr', '_R')} AS _d1")
+          .filter("_d0 * _d1 < 0")
+          .selectExpr("g", "band", "_L + (_R - _L) * try_divide(_d0, _d0 - _d1) AS x"))
     bounds = ends.union(xs).distinct()
     w = Window.partitionBy(*k).orderBy("x")
     slabs = (bounds.withColumn("x1", F.lead("x").over(w)).filter(F.col("x1").isNotNull())
              .withColumnRenamed("x", "x0"))
     # 2. pieces spanning each slab, with heights at both slab sides
-    s = slabs.join(pieces, k).filter((F.col("l") <= F.col("x0")) & (F.col("r") >= F.col("x1")))
-    y0 = _interp(F.col("l"), F.col("r"), F.col("yl"), F.col("yr"), F.col("x0"))
-    y1 = _interp(F.col("l"), F.col("r"), F.col("yl"), F.col("yr"), F.col("x1"))
-    s = s.select(*k, "x0", "x1", "layer", (-F.col("c")).alias("w"), y0.alias("y0"), y1.alias("y1"))
+    s = slabs.join(pieces, k).filter("l <= x0 AND r >= x1")
+    s = s.selectExpr("g", "band", "x0", "x1", "layer", "-c AS w",
+                     f"{sql_interp('l', 'r', 'yl', 'yr', 'x0')} AS y0",
+                     f"{sql_interp('l', 'r', 'yl', 'yr', 'x1')} AS y1")
     # 3. running winding counts per layer, bottom to top
-    ws = Window.partitionBy(*k, "x0").orderBy(F.col("y0") + F.col("y1"), "layer", "w") \
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    wn = Window.partitionBy(*k, "x0").orderBy(F.col("y0") + F.col("y1"), "layer", "w")
+    order = [F.col("y0") + F.col("y1"), F.col("layer"), F.col("w")]
+    ws = Window.partitionBy(*k, "x0").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    wn = Window.partitionBy(*k, "x0").orderBy(*order)
     cnt_cols = [F.sum(F.when(F.col("layer") == i, F.col("w")).otherwise(0)).over(ws).alias(f"n{i}")
                 for i in range(n_layers)]
     s = s.select("*", *cnt_cols,
                  F.lead("y0").over(wn).alias("ny0"), F.lead("y1").over(wn).alias("ny1"))
     counts = [F.col(f"n{i}") for i in range(n_layers)]
     s = s.filter(F.col("ny0").isNotNull() & keep(counts))
-    area = (F.col("x1") - F.col("x0")) * ((F.col("ny0") - F.col("y0")) + (F.col("ny1") - F.col("y1"))) / 2
-    s = s.withColumn("area", area)
+    s = s.withColumn("area", F.expr("(x1 - x0) * ((ny0 - y0) + (ny1 - y1)) / 2"))
     if label is not None:
         s = s.withColumn("label", label(counts))
     if geometry:
-        ring = F.array(F.array(geo.pt("x0", "y0"), geo.pt("x1", "y1"), geo.pt("x1", "ny1"), geo.pt("x0", "ny0")))
+        ring = F.expr("array(array(named_struct('x', x0, 'y', y0), named_struct('x', x1, 'y', y1), "
+                      "named_struct('x', x1, 'y', ny1), named_struct('x', x0, 'y', ny0)))")
         cols = ["g", *(["label"] if label is not None else []), "area"]
         return s.select(*cols, ring.alias("rings"))
     gcols = ["g", *(["label"] if label is not None else [])]
@@ -222,10 +234,8 @@ def group_pieces(members: DataFrame, layer_pieces_by_fid: DataFrame, fid_col: st
     """
     j = members.join(layer_pieces_by_fid, fid_col)
     if "xmin" in members.columns:
-        nl, nr = F.greatest("l", "xmin"), F.least("r", "xmax")
-        j = j.select("*", nl.alias("_nl"), nr.alias("_nr")).filter(F.col("_nr") > F.col("_nl"))
-        j = j.select("g", "layer", "band", F.col("_nl").alias("l"), F.col("_nr").alias("r"),
-                     _interp(F.col("l"), F.col("r"), F.col("yl"), F.col("yr"), F.col("_nl")).alias("yl"),
-                     _interp(F.col("l"), F.col("r"), F.col("yl"), F.col("yr"), F.col("_nr")).alias("yr"),
-                     "c")
+        j = j.selectExpr("*", "greatest(l, xmin) AS _nl", "least(r, xmax) AS _nr").filter("_nr > _nl")
+        j = j.selectExpr("g", "layer", "band", "_nl AS l", "_nr AS r",
+                         f"{sql_interp('l', 'r', 'yl', 'yr', '_nl')} AS yl",
+                         f"{sql_interp('l', 'r', 'yl', 'yr', '_nr')} AS yr", "c")
     return j.select("g", "layer", "band", "l", "r", "yl", "yr", "c")

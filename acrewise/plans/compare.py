@@ -37,10 +37,15 @@ def _r9(c):
 
 
 # ------------------------------------------------------------ RS1 - RS3
-def zoned_layer(t: Tables, keep: str = "all") -> DataFrame:
+def zoned_layer(t: Tables, keep: str = "all", prm=P.DEFAULT) -> DataFrame:
     """RS1 / RS2: county names cleaned, acreage, positive only, indexed.
     ``keep``: 'all', 'kept' (Ind_Code in 1,2) or 'excluded' (the rest, NULL
-    codes included as with R's ``!(x %in% ...)``)."""
+    codes included as with R's ``!(x %in% ...)``). Saved once per session
+    (the original saved each layer too)."""
+    return materialized(t.spark, ("zoned", t.sf_dir, keep), lambda: _build_zoned(t, keep))
+
+
+def _build_zoned(t: Tables, keep: str) -> DataFrame:
     z = layers.zoning_layer(t)
     in_codes = F.coalesce(F.col("ind_code").isin(*KEPT_CODES), F.lit(False))
     if keep == "kept":
