@@ -28,6 +28,26 @@ def _only(c: Column, when: Column | None) -> Column:
     return c if when is None else F.when(when, c)
 
 
+def suppressed_count_sql(when: str | None = None, covered: str = "jobcount_covered",
+                         raw: str = "jobcount_raw", private: str = "private_sector",
+                         confid: str = "confid_firm_id") -> Column:
+    """The same rule as one SQL aggregate expression; ``when`` is SQL text
+    restricting the rows of one pivot cell. Built as text so a report with
+    many cells costs one round trip per cell when the plan is built."""
+    def only(e):
+        return e if when is None else f"CASE WHEN {when} THEN {e} END"
+    cov, priv = only(covered), only(private)
+    rp = only(f"{raw} * {private}")
+    rpc = only(f"{raw} * {private} * CASE WHEN {confid} = 0 THEN 0 ELSE 1 END")
+    rounded = f"CAST(CAST(round(sum({cov}), 0) AS INT) AS STRING)"
+    return F.expr(
+        f"CASE WHEN sum({cov}) < {ZERO_BELOW} THEN '0' "
+        f"WHEN sum({priv}) = 0 THEN {rounded} "
+        f"WHEN sum({priv}) IN {FEW_PRIVATE} OR try_divide(max({rp}), sum({rp})) > {DOMINANCE_SHARE} "
+        f"OR try_divide(sum({rpc}), sum({rp})) > {DOMINANCE_SHARE} THEN 'S' "
+        f"ELSE {rounded} END")
+
+
 def suppressed_count(covered: str = "jobcount_covered", raw: str = "jobcount_raw",
                      private: str = "private_sector", confid: str = "confid_firm_id",
                      when: Column | None = None) -> Column:

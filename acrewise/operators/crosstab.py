@@ -16,13 +16,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from acrewise.functions.suppress import suppressed_count
+from acrewise.functions.suppress import suppressed_count, suppressed_count_sql
 
 
 def suppressed_crosstab(base: DataFrame, rows: Sequence[str | Column],
-                        cells: Sequence[tuple[str, Column]], grouping: str = "plain") -> DataFrame:
-    """``cells`` = [(output column name, condition on a row)]."""
-    aggs = [suppressed_count(when=cond).alias(name) for name, cond in cells]
+                        cells: Sequence[tuple[str, Column | str]], grouping: str = "plain") -> DataFrame:
+    """``cells`` = [(output column name, condition on a row as SQL text or Column)]."""
+    aggs = [(suppressed_count_sql(when=cond) if isinstance(cond, str) else suppressed_count(when=cond)).alias(name)
+            for name, cond in cells]
     if grouping == "cube":
         g = base.cube(*rows)
     elif grouping == "plain":
@@ -32,12 +33,12 @@ def suppressed_crosstab(base: DataFrame, rows: Sequence[str | Column],
     return g.agg(*aggs)
 
 
-def year_cells(years: Sequence[int], year_col: str = "data_year") -> list[tuple[str, Column]]:
-    return [(str(y), F.col(year_col) == y) for y in years]
+def year_cells(years: Sequence[int], year_col: str = "data_year") -> list[tuple[str, str]]:
+    return [(str(y), f"{year_col} = {int(y)}") for y in years]
 
 
 def header_cells(counties: Sequence[int], years: Sequence[int], county_col: str = "county_id",
-                 year_col: str = "data_year", sep: str = ",") -> list[tuple[str, Column]]:
+                 year_col: str = "data_year", sep: str = ",") -> list[tuple[str, str]]:
     """R2: the 'county,year' header pivot (county-major order)."""
-    return [(f"{c}{sep}{y}", (F.col(county_col) == c) & (F.col(year_col) == y))
+    return [(f"{c}{sep}{y}", f"{county_col} = {int(c)} AND {year_col} = {int(y)}")
             for c in counties for y in years]

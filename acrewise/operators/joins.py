@@ -19,12 +19,25 @@ def bounded_broadcast(df: DataFrame, max_rows: int, bound_by: list[DataFrame] |
     srcs = bound_by or [df]
     total = 0
     for s in srcs:
-        total += s.limit(max_rows + 1).count()
+        total += _bounded_count(s, max_rows)
         if total > max_rows:
             return df
     return F.broadcast(df)
 
 
+_COUNTS: dict[tuple, int] = {}
+
+
+def _bounded_count(df: DataFrame, max_rows: int) -> int:
+    """min(|df|, max_rows + 1), remembered per session and plan (the input
+    tables of a session do not change under it)."""
+    spark = df.sparkSession
+    key = (spark.sparkContext.applicationId, df.semanticHash(), max_rows)
+    if key not in _COUNTS:
+        _COUNTS[key] = df.limit(max_rows + 1).count()
+    return _COUNTS[key]
+
+
 def first_match(pairs: DataFrame, key: str, label: str, out: str | None = None) -> DataFrame:
     """One label per key when several polygons match; the lowest
     label wins (deterministic where the source database picked any row)."""

@@ -31,12 +31,10 @@ def _rep_cols(weight: str, n: int) -> list[str]:
     return [weight] + [f"{weight}{r}" for r in range(1, n + 1)]
 
 
-def _moe(est: Column, reps: list[Column], n: int) -> Column:
-    sq = None
-    for r in reps:
-        d = (r - est) * (r - est)
-        sq = d if sq is None else sq + d
-    return F.lit(P.MOE_Z) * F.sqrt(F.lit(4.0 / n) * sq)
+def _moe(est: str, reps: list[str], n: int) -> str:
+    """SQL text: 1.645 * sqrt(4/n * Σ (rep - est)²)."""
+    sq = " + ".join(f"(({r}) - ({est})) * (({r}) - ({est}))" for r in reps)
+    return f"{P.MOE_Z!r} * sqrt({4.0 / n!r} * ({sq}))"
 
 
 def weighted_counts(df: DataFrame, group_sets: Sequence[Sequence[str]], all_vars: Sequence[str],
@@ -54,7 +52,7 @@ def weighted_counts(df: DataFrame, group_sets: Sequence[Sequence[str]], all_vars
         sub = df
         for v in gs:
             sub = sub.filter(F.col(v).isNotNull())
-        agg = sub.groupBy(*gs).agg(*[F.sum(w).cast("double").alias(f"_s{j}") for j, w in enumerate(ws)])
+        agg = sub.groupBy(*gs).agg(*[F.expr(f"CAST(sum({w}) AS DOUBLE)").alias(f"_s{j}") for j, w in enumerate(ws)])
         for v in all_vars:
             if v not in gs:
                 agg = agg.withColumn(v, F.lit(None).cast("string"))
@@ -67,17 +65,18 @@ def weighted_counts(df: DataFrame, group_sets: Sequence[Sequence[str]], all_vars
     for i, gs in enumerate(group_sets):
         part = out.filter(F.col(level_col) == i)
         w = Window.partitionBy(level_col, *gs[:-1])
-        part = part.select("*", *[F.sum(f"_s{j}").over(w).alias(f"_p{j}") for j in range(len(ws))])
+        part = part.select("*", *[F.sum(f"_s{j}").over(w).alias(f"_p{j}") for j in range(len(ws))])  # small: one row per group
         res.append(part)
     out = res[0]
     for p in res[1:]:
         out = out.unionByName(p)
-    s = [F.col(f"_s{j}") for j in range(len(ws))]
-    sh = [F.try_divide(F.col(f"_s{j}"), F.col(f"_p{j}")) for j in range(len(ws))]
-    r = lambda c: F.round(c, DIGITS)
-    return out.select(*all_vars, level_col,
-                      r(s[0]).alias("count"), r(_moe(s[0], s[1:], n_rep)).alias("count_moe"),
-                      r(sh[0]).alias("share"), r(_moe(sh[0], sh[1:], n_rep)).alias("share_moe"))
+    s = [f"_s{j}" for j in range(len(ws))]
+    sh = [f"try_divide(_s{j}, _p{j})" for j in range(len(ws))]
+    return out.selectExpr(*[f"`{v}`" for v in all_vars], level_col,
+                          f"round({s[0]}, {DIGITS}) AS count",
+                          f"round({_moe(s[0], s[1:], n_rep)}, {DIGITS}) AS count_moe",
+                          f"round({sh[0]}, {DIGITS}) AS share",
+                          f"round({_moe(sh[0], sh[1:], n_rep)}, {DIGITS}) AS share_moe")
 
 
 def weighted_medians(df: DataFrame, target: str, group_sets: Sequence[Sequence[str]],
@@ -91,7 +90,7 @@ def weighted_medians(df: DataFrame, target: str, group_sets: Sequence[Sequence[s
         sub = df.filter(F.col(target).isNotNull())
         for v in gs:
             sub = sub.filter(F.col(v).isNotNull())
-        agg = sub.groupBy(*gs).agg(*[F.percentile(F.col(target), F.lit(0.5), F.col(w).cast("long")).alias(f"_m{j}")
+        agg = sub.groupBy(*gs).agg(*[F.expr(f"percentile({target}, 0.5, CAST({w} AS BIGINT))").alias(f"_m{j}")
                                      for j, w in enumerate(ws)])
         for v in all_vars:
             if v not in gs:
@@ -100,6 +99,6 @@ def weighted_medians(df: DataFrame, target: str, group_sets: Sequence[Sequence[s
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    m = [F.col(f"_m{j}") for j in range(len(ws))]
-    return out.select(*all_vars, level_col, F.round(m[0], DIGITS).alias(f"{target}_median"),
-                      F.round(_moe(m[0], m[1:], n_rep), DIGITS).alias(f"{target}_median_moe"))
+    m = [f"_m{j}" for j in range(len(ws))]
+    return out.selectExpr(*[f"`{v}`" for v in all_vars], level_col, f"round({m[0]}, {DIGITS}) AS {target}_median",
+                          f"round({_moe(m[0], m[1:], n_rep)}, {DIGITS}) AS {target}_median_moe")

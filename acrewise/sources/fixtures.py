@@ -165,7 +165,7 @@ def persons(t: Tables, n_replicates: int = 80) -> DataFrame:
     c = t.customer
     k = F.col("c_custkey")
     n4 = F.col("c_nationkey") % 4
-    reps = [(1 + (k * (2 * r + 1) + r) % 9).alias(f"pwgtp{r}") for r in range(1, n_replicates + 1)]
+    reps = [F.expr(f"1 + (c_custkey * {2 * r + 1} + {r}) % 9").alias(f"pwgtp{r}") for r in range(1, n_replicates + 1)]
     return c.select(
         k.alias("person_id"),
         F.when(n4 == 0, "King").when(n4 == 1, "Kitsap").when(n4 == 2, "Pierce")
