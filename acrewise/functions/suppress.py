@@ -72,3 +72,22 @@ def suppressed_count(covered: str = "jobcount_covered", raw: str = "jobcount_raw
             .when(s_priv == 0, rounded)
             .when(dominated, F.lit("S"))
             .otherwise(rounded))
+
+
+# two-step form: the five inputs of the rule as plain aggregates (cheap,
+# partial aggregation, whole-stage codegen), the rule as a scalar on them
+def suppression_inputs(covered: str = "jobcount_covered", raw: str = "jobcount_raw",
+                       private: str = "private_sector", confid: str = "confid_firm_id") -> list[Column]:
+    rp = F.col(raw) * F.col(private)
+    conf_flag = F.when(F.col(confid) == 0, F.lit(0)).otherwise(F.lit(1))
+    return [F.sum(covered).alias("_s_cov"), F.sum(private).alias("_s_priv"), F.sum(rp).alias("_s_rp"),
+            F.max(rp).alias("_m_rp"), F.sum(rp * conf_flag).alias("_s_rpc")]
+
+
+def suppression_rule() -> Column:
+    """The rule over the columns made by ``suppression_inputs``."""
+    rounded = "CAST(CAST(round(_s_cov, 0) AS INT) AS STRING)"
+    return F.expr(
+        f"CASE WHEN _s_cov < {ZERO_BELOW} THEN '0' WHEN _s_priv = 0 THEN {rounded} "
+        f"WHEN _s_priv IN {FEW_PRIVATE} OR try_divide(_m_rp, _s_rp) > {DOMINANCE_SHARE} "
+        f"OR try_divide(_s_rpc, _s_rp) > {DOMINANCE_SHARE} THEN 'S' ELSE {rounded} END")

@@ -16,21 +16,69 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from acrewise.functions.suppress import suppressed_count, suppressed_count_sql
+from acrewise.functions.suppress import (suppressed_count, suppressed_count_sql, suppression_inputs,
+                                         suppression_rule)
 
 
 def suppressed_crosstab(base: DataFrame, rows: Sequence[str | Column],
-                        cells: Sequence[tuple[str, Column | str]], grouping: str = "plain") -> DataFrame:
-    """``cells`` = [(output column name, condition on a row as SQL text or Column)]."""
-    aggs = [(suppressed_count_sql(when=cond) if isinstance(cond, str) else suppressed_count(when=cond)).alias(name)
-            for name, cond in cells]
+                        cells: Sequence[tuple[str, Column | str]], grouping: str = "plain",
+                        key: Column | None = None) -> DataFrame:
+    """Suppressed cross-tab.
+
+    With ``key`` (a Column naming the pivot cell of a row, e.g. the year or
+    'county,year') the work is split like the original's CTE + PIVOT: the
+    five inputs of the rule are plain aggregates per (row labels, cell) —
+    cheap, partial aggregation, codegen — the rule is a scalar on that
+    small result, and the pivot runs on it. ``cells`` then only names the
+    listed cells; rows in unlisted cells still make their group appear
+    (with NULL cells), as PIVOT does.
+
+    Without ``key`` every cell is one conditional aggregate in a single pass.
+    """
+    if key is None:
+        aggs = [(suppressed_count_sql(when=cond) if isinstance(cond, str) else suppressed_count(when=cond)).alias(name)
+                for name, cond in cells]
+        if grouping == "cube":
+            g = base.cube(*rows)
+        elif grouping == "plain":
+            g = base.groupBy(*rows)
+        else:
+            raise ValueError(grouping)
+        return g.agg(*aggs)
+    row_cols = [F.col(r) if isinstance(r, str) else r for r in rows]
+    b = base.select(*row_cols, key.cast("string").alias("_cell"), "jobcount_covered", "jobcount_raw",
+                    "private_sector", "confid_firm_id")
+    names = b.columns[:len(rows)]
     if grouping == "cube":
-        g = base.cube(*rows)
+        sets = [[n for n, keep in zip(names, mask) if keep]
+                for mask in _subsets(len(names))]
+        g = b.groupingSets([["_cell", *s_] for s_ in sets], "_cell", *names)
+        agg = g.agg(*suppression_inputs(), F.grouping_id().alias("_gid"))
+        by = [*names, "_gid"]
     elif grouping == "plain":
-        g = base.groupBy(*rows)
+        agg = b.groupBy("_cell", *names).agg(*suppression_inputs())
+        by = names
     else:
         raise ValueError(grouping)
-    return g.agg(*aggs)
+    cellv = agg.select(*by, "_cell", suppression_rule().alias("_v"))
+    piv = cellv.groupBy(*by).pivot("_cell", [n for n, _ in cells]).agg(F.first("_v"))
+    return piv.select(*names, *[F.col(f"`{n}`") for n, _ in cells])
+
+
+def _subsets(n: int):
+    """All keep-masks of n columns, full set first (CUBE order)."""
+    out = []
+    for m in range(2 ** n - 1, -1, -1):
+        out.append([bool(m >> (n - 1 - i) & 1) for i in range(n)])
+    return out
+
+
+def year_key(year_col: str = "data_year") -> Column:
+    return F.col(year_col)
+
+
+def header_key(county_col: str = "county_id", year_col: str = "data_year", sep: str = ",") -> Column:
+    return F.concat_ws(sep, F.col(county_col).cast("string"), F.col(year_col).cast("string"))
 
 
 def year_cells(years: Sequence[int], year_col: str = "data_year") -> list[tuple[str, str]]:

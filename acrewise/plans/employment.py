@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from acrewise import params as P
 from acrewise.functions import labels as L
-from acrewise.operators.crosstab import header_cells, suppressed_crosstab, year_cells
+from acrewise.operators.crosstab import header_cells, header_key, suppressed_crosstab, year_cells, year_key
 from acrewise.operators.joins import bounded_broadcast
 from acrewise.operators.spatial import point_in_polygon_pairs
 from acrewise.sources import fixtures as fx
@@ -76,39 +76,39 @@ def _job(name="IndustrialJob"):
 
 def e1(t, prm=P.DEFAULT):
     b = employment_base(t, P.YEARS_6, prm=prm)
-    r = suppressed_crosstab(b, [_status3(), "manuf_industrial_group", _job()], year_cells(P.YEARS_6))
+    r = suppressed_crosstab(b, [_status3(), "manuf_industrial_group", _job()], year_cells(P.YEARS_6), key=year_key())
     return r.orderBy("Industrial_Land_Status", "manuf_industrial_group")
 
 
 def e2(t, prm=P.DEFAULT):
     b = employment_base(t, P.YEARS_6, prm=prm)
-    r = suppressed_crosstab(b, [_status3(), _job()], year_cells(P.YEARS_6), grouping="cube")
+    r = suppressed_crosstab(b, [_status3(), _job()], year_cells(P.YEARS_6), grouping="cube", key=year_key())
     r = r.filter((F.col("IndustrialJob") != "Non-Industrial") | F.col("IndustrialJob").isNull())
     return r.orderBy("Industrial_Land_Status")
 
 
 def e3(t, prm=P.DEFAULT):
     b = employment_base(t, P.YEARS_6, prm=prm)
-    r = suppressed_crosstab(b, ["manuf_industrial_group", _job()], year_cells(P.YEARS_6))
+    r = suppressed_crosstab(b, ["manuf_industrial_group", _job()], year_cells(P.YEARS_6), key=year_key())
     return r.orderBy("manuf_industrial_group")
 
 
 def e4(t, prm=P.DEFAULT):
     b = employment_base(t, P.YEARS_6, prm=prm)
     r = suppressed_crosstab(b, [_status2(), "manuf_industrial_group", "manuf_industrial_detail"],
-                            year_cells(P.YEARS_6))
+                            year_cells(P.YEARS_6), key=year_key())
     return r.orderBy("Industrial_Land_Status", "manuf_industrial_group", "manuf_industrial_detail")
 
 
 def e5(t, prm=P.DEFAULT):
     b = employment_base(t, P.YEARS_6, prm=prm)
-    r = suppressed_crosstab(b, ["manuf_industrial_group", "manuf_industrial_detail"], year_cells(P.YEARS_6))
+    r = suppressed_crosstab(b, ["manuf_industrial_group", "manuf_industrial_detail"], year_cells(P.YEARS_6), key=year_key())
     return r.orderBy("manuf_industrial_group", "manuf_industrial_detail")
 
 
 def e6(t, prm=P.DEFAULT):
     b = employment_base(t, P.YEARS_6, prm=prm).filter(L.not_non_industrial())
-    r = suppressed_crosstab(b, [_status2()], year_cells(P.YEARS_6))
+    r = suppressed_crosstab(b, [_status2()], year_cells(P.YEARS_6), key=year_key())
     return r.orderBy("Industrial_Land_Status")
 
 
@@ -118,28 +118,28 @@ def _hdr():
 
 def e7(t, prm=P.DEFAULT):
     b = employment_base(t, P.YEARS_5, prm=prm)
-    r = suppressed_crosstab(b, [_status3(), "manuf_industrial_group"], _hdr())
+    r = suppressed_crosstab(b, [_status3(), "manuf_industrial_group"], _hdr(), key=header_key())
     return r.orderBy("Industrial_Land_Status", "manuf_industrial_group")
 
 
 def e8(t, prm=P.DEFAULT):
     b = employment_base(t, P.YEARS_5, prm=prm)
-    return suppressed_crosstab(b, ["manuf_industrial_group"], _hdr()).orderBy("manuf_industrial_group")
+    return suppressed_crosstab(b, ["manuf_industrial_group"], _hdr(), key=header_key()).orderBy("manuf_industrial_group")
 
 
 def e9(t, prm=P.DEFAULT):
     b = employment_base(t, P.YEARS_5, prm=prm).filter(L.not_non_industrial())
-    return suppressed_crosstab(b, [_status3()], _hdr()).orderBy("Industrial_Land_Status")
+    return suppressed_crosstab(b, [_status3()], _hdr(), key=header_key()).orderBy("Industrial_Land_Status")
 
 
 def e10(t, prm=P.DEFAULT):
     b = employment_base(t, P.YEARS_5, prm=prm)
-    return suppressed_crosstab(b, [_status3()], _hdr()).orderBy("Industrial_Land_Status")
+    return suppressed_crosstab(b, [_status3()], _hdr(), key=header_key()).orderBy("Industrial_Land_Status")
 
 
 def e11(t, prm=P.DEFAULT):
     b = employment_base(t, P.YEARS_5, prm=prm)
-    return suppressed_crosstab(b, [], _hdr())
+    return suppressed_crosstab(b, [], _hdr(), key=header_key())
 
 
 def e12(t, prm=P.DEFAULT):
@@ -164,21 +164,21 @@ def _cat(other="Other"):
 
 
 def e13(t, prm=P.DEFAULT):
-    r = suppressed_crosstab(_core_base(t, prm), [_cat(), _job("IndjobYN")], _hdr())
+    r = suppressed_crosstab(_core_base(t, prm), [_cat(), _job("IndjobYN")], _hdr(), key=header_key())
     return r.orderBy("ind_type", "IndjobYN")
 
 
 def e14(t, prm=P.DEFAULT):
-    r = suppressed_crosstab(_core_base(t, prm), [_cat(), _job("IndjobYN")], year_cells(P.YEARS_5))
+    r = suppressed_crosstab(_core_base(t, prm), [_cat(), _job("IndjobYN")], year_cells(P.YEARS_5), key=year_key())
     return r.orderBy("ind_type", "IndjobYN")
 
 
 def e15(t, prm=P.DEFAULT):
-    return suppressed_crosstab(_core_base(t, prm), [_cat()], year_cells(P.YEARS_5)).orderBy("ind_type")
+    return suppressed_crosstab(_core_base(t, prm), [_cat()], year_cells(P.YEARS_5), key=year_key()).orderBy("ind_type")
 
 
 def e16(t, prm=P.DEFAULT):
-    return suppressed_crosstab(_core_base(t, prm), [_cat()], _hdr()).orderBy("ind_type")
+    return suppressed_crosstab(_core_base(t, prm), [_cat()], _hdr(), key=header_key()).orderBy("ind_type")
 
 
 def _mic_base(t, prm):
@@ -187,29 +187,29 @@ def _mic_base(t, prm):
 
 def e17(t, prm=P.DEFAULT):
     r = suppressed_crosstab(_mic_base(t, prm), ["mic", "manuf_industrial_group"], year_cells(P.YEARS_5),
-                            grouping="cube")
+                            grouping="cube", key=year_key())
     return r.orderBy("mic", "manuf_industrial_group")
 
 
 def e18(t, prm=P.DEFAULT):
     b = _mic_base(t, prm).filter(L.not_non_industrial())
-    return suppressed_crosstab(b, ["mic"], year_cells(P.YEARS_5)).orderBy("mic")
+    return suppressed_crosstab(b, ["mic"], year_cells(P.YEARS_5), key=year_key()).orderBy("mic")
 
 
 def e19(t, prm=P.DEFAULT):
     r = suppressed_crosstab(_mic_base(t, prm), ["manuf_industrial_group"], year_cells(P.YEARS_5),
-                            grouping="cube")
+                            grouping="cube", key=year_key())
     return r.orderBy("manuf_industrial_group")
 
 
 def e20(t, prm=P.DEFAULT):
     b = _mic_base(t, prm).filter(L.not_non_industrial())
-    return suppressed_crosstab(b, [], year_cells(P.YEARS_5))
+    return suppressed_crosstab(b, [], year_cells(P.YEARS_5), key=year_key())
 
 
 def e21(t, prm=P.DEFAULT):
     b = employment_base(t, P.YEARS_5, prm=prm)
-    r = suppressed_crosstab(b, [_cat(None), "manuf_industrial_group"], year_cells(P.YEARS_5))
+    r = suppressed_crosstab(b, [_cat(None), "manuf_industrial_group"], year_cells(P.YEARS_5), key=year_key())
     return r.orderBy("ind_type", "manuf_industrial_group")
 
 
