@@ -25,7 +25,7 @@ def _wrap(fn) -> QueryFn:
 
 def _families():
     fams = [employment.REPORTS]
-    for mod in ("supply", "parcels", "compare", "demographics", "operators_q"):
+    for mod in ("supply", "parcels", "compare", "demographics", "operator_checks"):
         try:
             m = __import__(f"acrewise.plans.{mod}", fromlist=["REPORTS"])
         except ImportError:
