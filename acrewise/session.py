@@ -18,6 +18,10 @@ def get_session(master: str | None = None, app: str = "acrewise",
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
+        if master.startswith("local"):
+            # local mode runs everything in the driver JVM: give it the heap
+            # (on a cluster, executor and driver memory come from spark-submit)
+            builder = builder.config("spark.driver.memory", os.environ.get("ACREWISE_DRIVER_MEMORY", "16g"))
     cpus = os.cpu_count() or 8
     parts = shuffle_partitions or cpus
     spark = (
