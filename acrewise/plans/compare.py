@@ -321,12 +321,19 @@ def rs15(t, prm=P.DEFAULT, threshold: float = P.PARCEL_SIZE_THRESHOLD):
         F.col("g").alias("parcel_row"), (F.col("area") / ACRE).alias("total_acreage"))
     x = cp.join(inter, "parcel_row").withColumn("parcel_share", F.col("total_acreage") / F.col("parcel_acreage"))
     x = x.filter(F.col("total_acreage") >= threshold)
+    # tags of every candidate parcel's centroid, as one row per parcel with
+    # the matches of each layer; exploding the three lists is the fan-out of
+    # the original's three left joins (a point lies in few polygons)
     c = geo.centroid("rings")
-    pts = x.select("parcel_row", c["x"].alias("x"), c["y"].alias("y"))
-    tags = _tags(t, pts, "parcel_row", prm)
-    for kind, default in (("mic", P.NOT_IN_MIC), ("rgeo", P.RURAL), ("city", P.UNINCORPORATED)):
-        k = tags.filter(F.col("kind") == kind).select("parcel_row", F.col("label").alias(kind))
-        x = x.join(k, "parcel_row", "left").withColumn(kind, F.coalesce(kind, F.lit(default)))
+    pts = cp.join(cand.select("parcel_row").distinct(), "parcel_row", "left_semi") \
+        .select("parcel_row", c["x"].alias("x"), c["y"].alias("y"))
+    kinds = (("mic", P.NOT_IN_MIC), ("rgeo", P.RURAL), ("city", P.UNINCORPORATED))
+    tags = _tags(t, pts, "parcel_row", prm).groupBy("parcel_row").agg(
+        *[F.collect_list(F.when(F.col("kind") == k, F.col("label"))).alias(k) for k, _ in kinds])
+    x = x.join(tags, "parcel_row", "left")
+    for kind, default in kinds:
+        lst = F.coalesce(F.col(kind), F.array().cast("array<string>"))
+        x = x.withColumn(kind, F.explode(F.when(F.size(lst) > 0, lst).otherwise(F.array(F.lit(default)))))
     pint = F.col("parcel_id_raw").try_cast("decimal(20,0)")
     x = x.withColumn("_pint", pint).filter(F.col("_pint").isNotNull())
     return x.select(_parcel_fips(F.col("county_id"), F.col("_pint")).alias("parcel_fips"),

@@ -26,7 +26,9 @@ def materialized(spark: SparkSession, key: tuple, build: Callable[[], DataFrame]
     k = (id(spark), spark.sparkContext.applicationId, *key)
     if recalculate or k not in _CACHE:
         ensure_checkpoint_dir(spark)
-        _CACHE[k] = build().checkpoint(eager=True)
+        df = build().persist()      # so writing the checkpoint does not recompute it
+        _CACHE[k] = df.checkpoint(eager=True)
+        df.unpersist()
     return _CACHE[k]
 
 
