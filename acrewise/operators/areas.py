@@ -91,7 +91,7 @@ def erase_union_area(a: DataFrame, fa: str, masks: DataFrame, fm: str, b: DataFr
     allp = pieces[0]
     for p in pieces[1:]:
         allp = allp.unionByName(p)
-    res = ov.slab_overlay(allp, n_layers, keep)
+    res = ov.slab_overlay(allp, n_layers, keep, band=prm.band_width, max_pieces=prm.max_band_pieces)
     if b is None:
         # a feature wholly covered has no kept trapezoid: area 0
         cut = subj.select(F.col("g").alias(fa)).join(res.select(F.col("g").alias(fa), "area"), fa, "left")
@@ -160,10 +160,12 @@ def waterfall(layer: DataFrame, fid: str, masks: DataFrame, fm: str, order_col:
     untouched = layer.join(hit, fid, "left_anti")
     if geometry:
         keep = lambda n: (n[0] != 0) & (first_cover(n).isNull())
-        res = ov.slab_overlay(pieces, n_layers, keep, geometry=True)
+        res = ov.slab_overlay(pieces, n_layers, keep, geometry=True, band=prm.band_width,
+                              max_pieces=prm.max_band_pieces)
         cut = res.select(F.col("g").alias(fid), "rings")
         return cut.unionByName(untouched.select(fid, "rings"))
-    res = ov.slab_overlay(pieces, n_layers, lambda n: n[0] != 0, label=first_cover)
+    res = ov.slab_overlay(pieces, n_layers, lambda n: n[0] != 0, label=first_cover, band=prm.band_width,
+                          max_pieces=prm.max_band_pieces)
     cut = res.select(F.col("g").alias(fid), F.col("label").alias("step"), "area")
     whole = untouched.select(fid, F.lit(None).cast("int").alias("step"), geo.area("rings").alias("area"))
     return cut.unionByName(whole)

@@ -163,10 +163,44 @@ def triple_area(triples: DataFrame, fa: str, fb: str, fc: str,
 
 
 # ------------------------------------------------------------ slab overlay
+SUB_BANDS = 1024   # band ids become band * SUB_BANDS + sub-band
+
+
+def split_hot_bands(pieces: DataFrame, keys: Sequence[str], band: float | None = None,
+                    max_pieces: int = 4096) -> DataFrame:
+    """Split a hot (group, band) — one holding more than ``max_pieces``
+    pieces, e.g. a huge, detailed water body — into up to 1024 narrower
+    sub-bands, each piece clipped to the sub-bands it crosses. Every
+    quantity of the overlay is a sum over x, so this is exact; it bounds the
+    rows (and the quadratic crossing search) of one task. Bands under the
+    limit keep one sub-band. ``band`` is the band width the pieces were cut
+    with (the width of their x-range when omitted)."""
+    cnt = pieces.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    j = pieces.join(cnt, list(keys))
+    k = F.least(F.ceil(F.col("_n") / max_pieces), F.lit(SUB_BANDS)).cast("int")
+    if band is None:
+        raise ValueError("band width is required")
+    lo = F.col("band") * band
+    w = F.lit(band) / k
+    j = j.withColumn("_k", k)
+    j = j.withColumn("_sub", F.explode(F.sequence(
+        F.floor((F.col("l") - lo) / w).cast("int"),
+        F.least(F.floor((F.col("r") - lo) / w).cast("int"), F.col("_k") - 1))))
+    nl = F.greatest(F.col("l"), lo + F.col("_sub") * w)
+    nr = F.least(F.col("r"), lo + (F.col("_sub") + 1) * w)
+    j = j.select("*", nl.alias("_nl"), nr.alias("_nr")).filter(F.col("_nr") > F.col("_nl"))
+    rest = [c for c in pieces.columns if c not in ("band", "l", "r", "yl", "yr")]
+    return j.select(*rest, (F.col("band") * SUB_BANDS + F.col("_sub")).alias("band"),
+                    F.col("_nl").alias("l"), F.col("_nr").alias("r"),
+                    F.expr(sql_interp("l", "r", "yl", "yr", "_nl")).alias("yl"),
+                    F.expr(sql_interp("l", "r", "yl", "yr", "_nr")).alias("yr"))
+
+
 def slab_overlay(pieces: DataFrame, n_layers: int,
                  keep: Callable[[list[Column]], Column],
                  label: Callable[[list[Column]], Column] | None = None,
-                 geometry: bool = False) -> DataFrame:
+                 geometry: bool = False, band: float | None = None,
+                 max_pieces: int | None = None) -> DataFrame:
     """Boolean overlay of ``n_layers`` layers within each group ``g``.
 
     ``pieces``: g, layer (0..n_layers-1), band, l, r, yl, yr, c — banded
@@ -181,6 +215,8 @@ def slab_overlay(pieces: DataFrame, n_layers: int,
     final per-group sum).
     """
     k = ["g", "band"]
+    if max_pieces is not None:
+        pieces = split_hot_bands(pieces, k, band, max_pieces)
     pieces = pieces.repartition(*k)
     # 1. slab boundaries: piece ends and crossings of pieces in the group
     ends = pieces.selectExpr("g", "band", "l AS x").union(pieces.selectExpr("g", "band", "r AS x"))

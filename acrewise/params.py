@@ -69,6 +69,7 @@ class Params:
     cell_size: float = 1000.0           # spatial grid cell for candidate joins (ft)
     band_width: float = 1000.0          # x-band width that bounds per-group overlay work (ft)
     broadcast_max_rows: int = 200_000   # proven bound below which a side is broadcast
+    max_band_pieces: int = 4096         # a (group, band) with more edges is split into sub-bands
     urban_deduction: float = 1.0
     suburban_deduction: float = 1.0
     flag_preset: FlagPreset = field(default=PRESET_R)

@@ -317,7 +317,8 @@ def rs15(t, prm=P.DEFAULT, threshold: float = P.PARCEL_SIZE_THRESHOLD):
     zp = cand.select(F.col("parcel_row").alias("g"), F.col("part_id").alias("_fid"), F.lit(1).alias("layer"))
     pieces = pieces.unionByName(
         ov.group_pieces(zp, ov.layer_pieces(parts, "part_id", band).withColumnRenamed("part_id", "_fid"), "_fid"))
-    inter = ov.slab_overlay(pieces, 2, lambda n: (n[0] != 0) & (n[1] != 0)).select(
+    inter = ov.slab_overlay(pieces, 2, lambda n: (n[0] != 0) & (n[1] != 0), band=prm.band_width,
+                            max_pieces=prm.max_band_pieces).select(
         F.col("g").alias("parcel_row"), (F.col("area") / ACRE).alias("total_acreage"))
     x = cp.join(inter, "parcel_row").withColumn("parcel_share", F.col("total_acreage") / F.col("parcel_acreage"))
     x = x.filter(F.col("total_acreage") >= threshold)

@@ -82,7 +82,7 @@ def g14_dissolve(t: Tables, prm=P.DEFAULT) -> DataFrame:
                                       F.lit(0).alias("layer")),
                              ov.layer_pieces(z, "zone_id", prm.band_width).withColumnRenamed("zone_id", "_fid"),
                              "_fid")
-    u = ov.slab_overlay(pieces, 1, lambda n: n[0] != 0)
+    u = ov.slab_overlay(pieces, 1, lambda n: n[0] != 0, band=prm.band_width, max_pieces=prm.max_band_pieces)
     return u.select(F.col("g").alias("ind_type"),
                     F.round(snap_sqft(F.col("area")) / P.SQFT_PER_ACRE, 9).alias("acres"))
 

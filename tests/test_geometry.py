@@ -112,3 +112,19 @@ def test_point_in_polygon_border_inclusive(spark):
                                                           cell=2.0, band=1.5).collect()}
     want = {(1, 1), (1, 4), (3, 1), (3, 4), (4, 1), (4, 4), (5, 4)}
     assert got == want
+
+
+def test_hot_band_split_is_exact(spark):
+    """Splitting every (group, band) into sub-bands leaves areas unchanged."""
+    lay = layer(spark, [1, 2, 3, 4])
+    pieces = ov.layer_pieces(lay, "fid", band=7.0)
+    mem = spark.createDataFrame([(1, 0, 4), (1, 1, 3), (1, 1, 2), (2, 0, 1), (2, 1, 3)], "g long, layer int, fid long")
+    gp = ov.group_pieces(mem, pieces, "fid")
+    keep = lambda n: (n[0] != 0) & (n[1] == 0)
+    whole = {r.g: r.area for r in ov.slab_overlay(gp, 2, keep).collect()}
+    split = {r.g: r.area for r in ov.slab_overlay(gp, 2, keep, band=7.0, max_pieces=2).collect()}
+    assert whole.keys() == split.keys()
+    for g in whole:
+        assert split[g] == pytest.approx(whole[g])
+    assert whole[1] == pytest.approx(20.0)
+    assert whole[2] == pytest.approx(1.0)
