@@ -107,31 +107,39 @@ def drop_zm(rings) -> Column:
     return F.transform(_c(rings), lambda r: F.transform(r, lambda p: pt(p["x"], p["y"])))
 
 
-def repair_rings(rings, snap: float = 1e-3) -> Column:
-    """G1: snap to a grid, drop a repeated closing point and consecutive
-    duplicates, drop rings with fewer than three points, then orient the
-    outer ring counter-clockwise and holes clockwise. Self-crossing rings
-    are made valid by ``overlay.make_valid`` (slab pieces)."""
+def repair_parts(parts, snap: float = 1e-3) -> Column:
+    """G1 on ``array<array<array<point>>>`` (polygon parts, each an outer
+    ring and its holes): snap to a grid, drop a repeated closing point and
+    consecutive duplicates, drop rings with fewer than three points, orient
+    each part's outer ring counter-clockwise and its holes clockwise, and
+    return the flat ring array. Self-crossing rings are kept as they are
+    (their lobes carry winding +1 and -1, which the slab overlay resolves)."""
     def snap_pt(p):
         return pt(F.round(p["x"] / snap) * snap, F.round(p["y"] / snap) * snap)
 
     def clean(r):
-        s = F.transform(r, snap_pt)
+        s_ = F.transform(r, snap_pt)
         # keep point i when it differs from point i-1 (cyclic, so a closing copy goes)
-        prev = F.concat(F.slice(s, -1, 1), F.slice(s, 1, F.greatest(F.size(s) - 1, F.lit(0))))
-        z = F.arrays_zip(s.alias("p"), prev.alias("q"))
+        prev = F.concat(F.slice(s_, -1, 1), F.slice(s_, 1, F.greatest(F.size(s_) - 1, F.lit(0))))
+        z = F.arrays_zip(s_.alias("p"), prev.alias("q"))
         kept = F.filter(z, lambda e: (e["p"]["x"] != e["q"]["x"]) | (e["p"]["y"] != e["q"]["y"]))
         return F.transform(kept, lambda e: e["p"])
 
-    # rings of fewer than three points go; a self-crossing ring stays as is
-    # (its lobes carry winding +1 and -1, which the slab overlay resolves)
-    cleaned = F.filter(F.transform(_c(rings), clean), lambda r: F.size(r) >= 3)
-
     def orient(r, i):
         want_ccw = i == 0
         is_ccw = ring_signed_area(r) > 0
         return F.when(want_ccw == is_ccw, r).otherwise(F.reverse(r))
-    return F.transform(cleaned, orient)
+
+    def fix_part(part):
+        rings = F.filter(F.transform(part, clean), lambda r: F.size(r) >= 3)
+        return F.transform(rings, orient)
+    return F.flatten(F.transform(_c(parts), fix_part))
+
+
+def repair_rings(rings, snap: float = 1e-3) -> Column:
+    """G1 for one polygon: the first ring is the outer boundary, the rest
+    are holes (see ``repair_parts``)."""
+    return repair_parts(F.array(_c(rings)), snap)
 
 
 # ----------------------------------------------------- G6: EPSG:4326 <-> 2285

@@ -20,17 +20,20 @@ def boxes_to_layer(df: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def wkt_polygon_rings(wkt: str | Column) -> Column:
-    """POLYGON / MULTIPOLYGON well-known text -> rings (outer + holes of
-    every part, in order). Parsing is regexp + split on one row, JVM-side."""
+    """POLYGON / MULTIPOLYGON well-known text -> rings. Each part is a
+    parenthesised list of rings (outer first); parsing is regexp + split on
+    one row, JVM-side; ``repair_parts`` orients every part."""
     c = F.col(wkt) if isinstance(wkt, str) else wkt
-    # every '(' ... ')' group without nested parentheses is one ring
-    ring_txt = F.regexp_extract_all(c, F.lit(r"\(([^()]+)\)"), 1)
+    parts = F.regexp_extract_all(c, F.lit(r"\(\s*(\([^()]*\)(?:\s*,\s*\([^()]*\))*)\s*\)"), 1)
 
     def parse_ring(r):
         pts = F.split(F.trim(r), r"\s*,\s*")
         return F.transform(pts, lambda p: geo.pt(F.split(F.trim(p), r"\s+")[0].cast("double"),
                                                  F.split(F.trim(p), r"\s+")[1].cast("double")))
-    return geo.repair_rings(F.transform(ring_txt, parse_ring))
+
+    def parse_part(part):
+        return F.transform(F.regexp_extract_all(part, F.lit(r"\(([^()]+)\)"), 1), parse_ring)
+    return geo.repair_parts(F.transform(parts, parse_part))
 
 
 def zones_layer(t: Tables) -> DataFrame:
