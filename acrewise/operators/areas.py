@@ -18,7 +18,7 @@ def pair_areas(a: DataFrame, fa: str, b: DataFrame, fb: str, prm: P.Params = P.D
     """(fa, fb, area) for every pair of features of two layers that overlap."""
     pairs = ov.bbox_pairs(a, fa, b, fb, prm.cell_size)
     return ov.pair_area(pairs, fa, fb, ov.layer_pieces(a, fa, prm.band_width),
-                        ov.layer_pieces(b, fb, prm.band_width))
+                        ov.layer_pieces(b, fb, prm.band_width), prm.band_width, prm.max_band_pieces)
 
 
 def triple_areas(a: DataFrame, fa: str, b: DataFrame, fb: str, c: DataFrame, fc: str,

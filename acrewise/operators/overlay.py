@@ -117,12 +117,31 @@ def _at_sql(tag: str, x: str) -> str:
     return sql_interp(f"{tag}_l", f"{tag}_r", f"{tag}_yl", f"{tag}_yr", x)
 
 
-def pair_area(pairs: DataFrame, fa: str, fb: str, pieces_a: DataFrame, pieces_b: DataFrame) -> DataFrame:
-    """Exact overlap area for each candidate pair -> (fa, fb, area)."""
-    pa = _side(pieces_a, pieces_a.columns[0], "_pa")
-    pb = _side(pieces_b, pieces_b.columns[0], "_pb")
-    j = (pairs.join(pa, F.col(fa) == F.col("_pa"))
-         .join(pb, (F.col(fb) == F.col("_pb")) & (F.col("_pa_band") == F.col("_pb_band"))))
+def pair_area(pairs: DataFrame, fa: str, fb: str, pieces_a: DataFrame, pieces_b: DataFrame,
+              band: float | None = None, max_pieces: int | None = None) -> DataFrame:
+    """Exact overlap area for each candidate pair -> (fa, fb, area).
+
+    With ``band`` and ``max_pieces``, a (b-feature, band) with more edges is
+    cut into sub-bands and the a-side edges are mapped onto that feature's
+    grid (clipped), so a small feature meeting a huge, detailed one joins
+    only the edges of its own sub-band."""
+    ka, kb = pieces_a.columns[0], pieces_b.columns[0]
+    if band is not None and max_pieces is not None:
+        grid = band_grid(pieces_b, kb, max_pieces)
+        a_rows = pairs.join(pieces_a.withColumnRenamed(ka, fa), fa)
+        a_rows = onto_grid(a_rows.withColumnRenamed(fb, "_fbk"), grid.withColumnRenamed(kb, "_fbk"),
+                           "_fbk", band, clip=True).withColumnRenamed("_fbk", fb)
+        b_rows = onto_grid(pieces_b, grid, kb, band, clip=True)
+        pa = a_rows.select(fa, fb, "base", F.col("sband").alias("_pa_band"),
+                           *[F.col(c).alias(f"_pa_{c}") for c in ("l", "r", "yl", "yr", "c")])
+        pb = b_rows.select(F.col(kb).alias("_pb"), F.col("sband").alias("_pb_band"),
+                           *[F.col(c).alias(f"_pb_{c}") for c in ("l", "r", "yl", "yr", "c")])
+        j = pa.join(pb, (F.col(fb) == F.col("_pb")) & (F.col("_pa_band") == F.col("_pb_band")))
+    else:
+        pa = _side(pieces_a, ka, "_pa")
+        pb = _side(pieces_b, kb, "_pb")
+        j = (pairs.join(pa, F.col(fa) == F.col("_pa"))
+             .join(pb, (F.col(fb) == F.col("_pb")) & (F.col("_pa_band") == F.col("_pb_band"))))
     j = j.selectExpr(f"`{fa}`", f"`{fb}`", "base", "_pa_c * _pb_c AS _s",
                      "greatest(_pa_l, _pb_l) AS _L", "least(_pa_r, _pb_r) AS _R",
                      "_pa_l", "_pa_r", "_pa_yl", "_pa_yr", "_pb_l", "_pb_r", "_pb_yl", "_pb_yr").filter("_R > _L")
@@ -196,6 +215,45 @@ def split_hot_bands(pieces: DataFrame, keys: Sequence[str], band: float | None =
                     F.expr(sql_interp("l", "r", "yl", "yr", "_nr")).alias("yr"))
 
 
+def band_grid(pieces: DataFrame, fid: str, max_pieces: int) -> DataFrame:
+    """(fid, band, _k): how many sub-bands each hot (feature, band) is cut
+    into — more than ``max_pieces`` edges -> ceil(n / max_pieces), at most
+    1024. Only hot keys are listed (small: one row per hot band)."""
+    cnt = pieces.groupBy(fid, "band").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > max_pieces)
+    return cnt.select(fid, "band", F.least(F.ceil(F.col("_n") / max_pieces), F.lit(SUB_BANDS)).cast("int").alias("_k"))
+
+
+def onto_grid(df: DataFrame, grid: DataFrame, fid: str, band: float, clip: bool) -> DataFrame:
+    """Give rows with an x-range [l, r] (a point has l = r) the sub-band key
+    ``sband`` of the grid of feature ``fid``: one row per sub-band the range
+    meets. ``clip=True`` also cuts l, r, yl, yr to the sub-band, so every x
+    is in exactly one sub-band (needed where x-ranges are integrated)."""
+    # join by column names only: the grid is usually derived from the same
+    # frame, and bound column references would be ambiguous in a self-join
+    g = grid.select(F.col(fid).alias("_gf"), F.col("band").alias("_gb"), "_k")
+    j = df.withColumnRenamed(fid, "_lf").join(
+        g, (F.col("_lf") == F.col("_gf")) & (F.col("band") == F.col("_gb")), "left")
+    j = j.drop("_gf", "_gb").withColumnRenamed("_lf", fid)
+    k = F.coalesce(F.col("_k"), F.lit(1))
+    lo = F.col("band") * band
+    w = F.lit(band) / k
+    last = k - 1
+    # an unclipped edge may start in an earlier band: clamp to the band's sub-bands
+    first_sub = F.greatest(F.least(F.floor((F.col("l") - lo) / w).cast("int"), last), F.lit(0))
+    last_sub = F.greatest(F.least(F.floor((F.col("r") - lo) / w).cast("int"), last), F.lit(0))
+    j = j.withColumn("_sub", F.explode(F.sequence(first_sub, last_sub)))
+    if clip:
+        nl = F.greatest(F.col("l"), lo + F.col("_sub") * w)
+        nr = F.least(F.col("r"), lo + (F.col("_sub") + 1) * w)
+        j = j.select("*", nl.alias("_nl"), nr.alias("_nr")).filter(F.col("_nr") > F.col("_nl"))
+        # both new heights from the original end points, in one projection
+        rest = [c for c in j.columns if c not in ("l", "r", "yl", "yr", "_nl", "_nr")]
+        j = j.select(*rest, F.col("_nl").alias("l"), F.col("_nr").alias("r"),
+                     F.expr(sql_interp("l", "r", "yl", "yr", "_nl")).alias("yl"),
+                     F.expr(sql_interp("l", "r", "yl", "yr", "_nr")).alias("yr"))
+    return j.withColumn("sband", F.col("band") * SUB_BANDS + F.col("_sub")).drop("_k", "_sub")
+
+
 def slab_overlay(pieces: DataFrame, n_layers: int,
                  keep: Callable[[list[Column]], Column],
                  label: Callable[[list[Column]], Column] | None = None,

@@ -61,10 +61,13 @@ def polygon_cells(layer: DataFrame, fid: str, rings: str, cell: float) -> DataFr
 
 def point_in_polygon_pairs(points: DataFrame, pid: str, x: str, y: str,
                            polys: DataFrame, fid: str, rings: str = "rings",
-                           cell: float = 1000.0, band: float = 1000.0) -> DataFrame:
+                           cell: float = 1000.0, band: float = 1000.0,
+                           max_pieces: int | None = 4096) -> DataFrame:
     """All (pid, fid) with the point inside or on the border of the polygon.
 
     A point in several polygons yields several rows (D9/D22: ``multi='all'``).
+    A (polygon, band) with more than ``max_pieces`` edges is cut into
+    sub-bands and each point joins only the edges of its own sub-band.
     """
     pts = points.select(F.col(pid), F.col(x).alias("_px"), F.col(y).alias("_py")) \
         .filter(F.col("_px").isNotNull() & F.col("_py").isNotNull())
@@ -76,6 +79,14 @@ def point_in_polygon_pairs(points: DataFrame, pid: str, x: str, y: str,
                     & (F.col("_py") >= F.col("_bb.ymin")) & (F.col("_py") <= F.col("_bb.ymax")))
             .select(pid, fid, "_px", "_py", F.floor(F.col("_px") / band).alias("band")))
     pieces = band_pieces(polygon_edges(polys, fid, rings), band)
+    if max_pieces is not None:
+        from acrewise.operators.overlay import band_grid, onto_grid
+        pieces = pieces.withColumn("l", F.least("ax", "bx")).withColumn("r", F.greatest("ax", "bx"))
+        grid = band_grid(pieces, fid, max_pieces)
+        cand = onto_grid(cand.withColumn("l", F.col("_px")).withColumn("r", F.col("_px")), grid, fid, band,
+                         clip=False).drop("band", "l", "r").withColumnRenamed("sband", "band")
+        pieces = onto_grid(pieces, grid, fid, band, clip=False).drop("band", "l", "r") \
+            .withColumnRenamed("sband", "band")
     j = cand.join(pieces, [fid, "band"]).filter(
         (F.col("_px") >= F.least("ax", "bx")) & (F.col("_px") <= F.greatest("ax", "bx")))
     lx, rx = F.least("ax", "bx"), F.greatest("ax", "bx")

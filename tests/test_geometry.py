@@ -128,3 +128,42 @@ def test_hot_band_split_is_exact(spark):
         assert split[g] == pytest.approx(whole[g])
     assert whole[1] == pytest.approx(20.0)
     assert whole[2] == pytest.approx(1.0)
+
+
+@pytest.mark.parametrize("a,b,want", [(1, 2, 3.0), (1, 3, 11.0), (4, 3, 12.0), (2, 3, 3.5)])
+def test_pair_area_on_sub_band_grid(spark, a, b, want):
+    """A forced fine grid on the b side (max one edge per band) is exact."""
+    la = layer(spark, [a]).withColumnRenamed("fid", "fa")
+    lb = layer(spark, [b]).withColumnRenamed("fid", "fb")
+    pairs = ov.bbox_pairs(la, "fa", lb, "fb", cell=1.5)
+    got = ov.pair_area(pairs, "fa", "fb", ov.layer_pieces(la, "fa", 3.0), ov.layer_pieces(lb, "fb", 3.0),
+                       band=3.0, max_pieces=1).first().area
+    assert got == pytest.approx(want)
+
+
+def test_point_in_polygon_on_sub_band_grid(spark):
+    poly = layer(spark, [1, 4, 3])
+    pts = spark.createDataFrame(
+        [(i, float(x), float(y)) for i, (x, y) in enumerate(
+            [(1, 1), (3, 3), (4, 1), (2, 3), (3, 5), (7, 1), (2.5, 2.5), (0, 5), (2, 2), (4, 4), (0.5, 4.5)])],
+        "pid long, x double, y double")
+    coarse = {(r.pid, r.fid) for r in point_in_polygon_pairs(pts, "pid", "x", "y", poly, "fid", cell=2.0,
+                                                            band=6.0, max_pieces=None).collect()}
+    fine = {(r.pid, r.fid) for r in point_in_polygon_pairs(pts, "pid", "x", "y", poly, "fid", cell=2.0,
+                                                          band=6.0, max_pieces=1).collect()}
+    assert coarse == fine and len(coarse) > 5
+
+
+def test_pair_area_many_sub_bands_sloped(spark):
+    """Sloped edges cut into many sub-bands (triangle x skewed quad)."""
+    tri = spark.createDataFrame([(1, [[{"x": 0.0, "y": 0.0}, {"x": 40.0, "y": 0.0}, {"x": 0.0, "y": 40.0}]])],
+                                "fa long, rings array<array<struct<x:double,y:double>>>")
+    quad = spark.createDataFrame([(2, [[{"x": 5.0, "y": 1.0}, {"x": 35.0, "y": 3.0}, {"x": 30.0, "y": 20.0},
+                                       {"x": 2.0, "y": 30.0}]])],
+                                 "fb long, rings array<array<struct<x:double,y:double>>>")
+    pairs = ov.bbox_pairs(tri, "fa", quad, "fb", cell=10.0)
+    pa, pb = ov.layer_pieces(tri, "fa", 64.0), ov.layer_pieces(quad, "fb", 64.0)
+    coarse = ov.pair_area(pairs, "fa", "fb", pa, pb).first().area
+    fine = ov.pair_area(pairs, "fa", "fb", pa, pb, band=64.0, max_pieces=1).first().area
+    assert fine == pytest.approx(coarse)
+    assert coarse > 0
