@@ -76,16 +76,28 @@ def erase_union_area(a: DataFrame, fa: str, masks: DataFrame, fm: str, b: DataFr
         n_layers = 2
         untouched = a.join(hit, fa, "left_anti").select(fa, geo.area("rings").alias("area"))
     else:
-        ab = ov.bbox_pairs(a, fa, b, fb, prm.cell_size)
-        g = F.struct(F.col(fa).alias(fa), F.col(fb).alias(fb))
-        pa = ov.layer_pieces(a, fa, band).withColumnRenamed(fa, "_fid")
-        pb = ov.layer_pieces(b, fb, band).withColumnRenamed(fb, "_fid")
-        pm = ov.layer_pieces(masks, fm, band).withColumnRenamed(fm, "_fid")
-        pieces = [ov.group_pieces(ab.select(g.alias("g"), F.col(fa).alias("_fid"), F.lit(0).alias("layer")), pa, "_fid"),
-                  ov.group_pieces(ab.select(g.alias("g"), F.col(fb).alias("_fid"), F.lit(1).alias("layer")), pb, "_fid")]
-        bm = ov.bbox_pairs(b, fb, masks, fm, prm.cell_size).select(fb, F.col(fm).alias("_fid"))
-        mem = ab.select(fa, fb).join(bm, fb).select(g.alias("g"), "_fid", F.lit(2).alias("layer"))
-        pieces.append(ov.group_pieces(mem, pm, "_fid"))
+        # members of each (a, b) group in one pass over the candidate pairs:
+        # the a feature (layer 0), the b feature (layer 1) and every mask
+        # meeting the b feature (layer 2); all pieces come from one tagged
+        # union of the three layers, joined once on (kind, fid)
+        ab = ov.bbox_pairs(a, fa, b, fb, prm.cell_size).select(
+            F.struct(F.col(fa).alias(fa), F.col(fb).alias(fb)).alias("g"), fa, fb)
+        bm = ov.bbox_pairs(b, fb, masks, fm, prm.cell_size).select(fb, F.col(fm).cast("string").alias("_mf"))
+        own = ab.select("g", F.explode(F.array(
+            F.struct(F.lit(0).alias("layer"), F.lit("a").alias("_kind"), F.col(fa).cast("string").alias("_fid")),
+            F.struct(F.lit(1).alias("layer"), F.lit("b").alias("_kind"), F.col(fb).cast("string").alias("_fid"))
+        )).alias("_m")).select("g", "_m.*")
+        mk = ab.join(bm, fb).select("g", F.lit(2).alias("layer"), F.lit("m").alias("_kind"), F.col("_mf").alias("_fid"))
+        members = own.unionByName(mk)
+        lp = (ov.layer_pieces(a, fa, band).select(F.lit("a").alias("_kind"), F.col(fa).cast("string").alias("_fid"),
+                                                  "band", "l", "r", "yl", "yr", "c")
+              .unionByName(ov.layer_pieces(b, fb, band).select(F.lit("b").alias("_kind"),
+                                                               F.col(fb).cast("string").alias("_fid"),
+                                                               "band", "l", "r", "yl", "yr", "c"))
+              .unionByName(ov.layer_pieces(masks, fm, band).select(F.lit("m").alias("_kind"),
+                                                                   F.col(fm).cast("string").alias("_fid"),
+                                                                   "band", "l", "r", "yl", "yr", "c")))
+        pieces = [members.join(lp, ["_kind", "_fid"]).select("g", "layer", "band", "l", "r", "yl", "yr", "c")]
         keep = lambda n: (n[0] != 0) & (n[1] != 0) & (n[2] == 0)
         n_layers = 3
     allp = pieces[0]
@@ -98,7 +110,7 @@ def erase_union_area(a: DataFrame, fa: str, masks: DataFrame, fm: str, b: DataFr
         return cut.select(fa, F.coalesce("area", F.lit(0.0)).alias("area")).unionByName(untouched)
     res = ab.select(fa, fb).join(res.select(F.col("g")[fa].alias(fa), F.col("g")[fb].alias(fb), "area"),
                                  [fa, fb], "left")
-    return res.select(fa, fb, F.coalesce("area", F.lit(0.0)).alias("area"))
+    return res.select(fa, fb, F.coalesce("area", F.lit(0.0)).alias("area"))  # pairs wholly erased: 0
 
 
 def snap_sqft(c: Column) -> Column:

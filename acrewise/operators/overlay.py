@@ -194,8 +194,9 @@ def split_hot_bands(pieces: DataFrame, keys: Sequence[str], band: float | None =
     rows (and the quadratic crossing search) of one task. Bands under the
     limit keep one sub-band. ``band`` is the band width the pieces were cut
     with (the width of their x-range when omitted)."""
-    cnt = pieces.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    j = pieces.join(cnt, list(keys))
+    # count over the (group, band) partitioning the caller shuffles to anyway:
+    # no second reference to ``pieces``, so its plan is not run twice
+    j = pieces.repartition(*keys).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
     k = F.least(F.ceil(F.col("_n") / max_pieces), F.lit(SUB_BANDS)).cast("int")
     if band is None:
         raise ValueError("band width is required")
