@@ -150,17 +150,20 @@ def waterfall(layer: DataFrame, fid: str, masks: DataFrame, fm: str, order_col:
     mask wins) and what remains (label NULL). With ``geometry=True`` the
     remaining parts come back as rings (one trapezoid per row).
 
-    Features no mask touches skip the overlay and keep their own area
-    (or rings)."""
+    Every feature of the (inventory-sized) layer goes through the pass, so
+    the candidate (feature, mask) pairs are formed and read once."""
     band = prm.band_width
-    mp = ov.bbox_pairs(layer, fid, masks, fm, prm.cell_size).select(F.col(fid).alias("g"), F.col(fm).alias("_fid"))
-    mp = mp.join(masks.select(F.col(fm).alias("_fid"), (F.col(order_col) + 1).alias("layer")), "_fid")
-    hit = mp.select(F.col("g").alias(fid)).distinct()
-    subj = layer.join(hit, fid, "left_semi").select(F.col(fid).alias("g"), F.col(fid).alias("_fid"),
-                                                     F.lit(0).alias("layer"))
-    pieces = ov.group_pieces(subj, ov.layer_pieces(layer, fid, band).withColumnRenamed(fid, "_fid"), "_fid")
-    pieces = pieces.unionByName(
-        ov.group_pieces(mp, ov.layer_pieces(masks, fm, band).withColumnRenamed(fm, "_fid"), "_fid"))
+    subj = layer.select(F.col(fid).alias("g"), F.lit("f").alias("_kind"),
+                        F.col(fid).cast("string").alias("_fid"), F.lit(0).alias("layer"))
+    mp = (ov.bbox_pairs(layer, fid, masks, fm, prm.cell_size)
+          .join(masks.select(fm, (F.col(order_col) + 1).alias("layer")), fm)
+          .select(F.col(fid).alias("g"), F.lit("m").alias("_kind"), F.col(fm).cast("string").alias("_fid"), "layer"))
+    lp = (ov.layer_pieces(layer, fid, band).select(F.lit("f").alias("_kind"), F.col(fid).cast("string").alias("_fid"),
+                                                   "band", "l", "r", "yl", "yr", "c")
+          .unionByName(ov.layer_pieces(masks, fm, band).select(F.lit("m").alias("_kind"),
+                                                               F.col(fm).cast("string").alias("_fid"),
+                                                               "band", "l", "r", "yl", "yr", "c")))
+    pieces = subj.unionByName(mp).join(lp, ["_kind", "_fid"]).select("g", "layer", "band", "l", "r", "yl", "yr", "c")
     n_layers = n_orders + 1
 
     def first_cover(n):
@@ -169,15 +172,10 @@ def waterfall(layer: DataFrame, fid: str, masks: DataFrame, fm: str, order_col:
             out = F.when(n[k] != 0, F.lit(k - 1)) if out is None else out.when(n[k] != 0, F.lit(k - 1))
         return out
 
-    untouched = layer.join(hit, fid, "left_anti")
     if geometry:
         keep = lambda n: (n[0] != 0) & (first_cover(n).isNull())
-        res = ov.slab_overlay(pieces, n_layers, keep, geometry=True, band=prm.band_width,
-                              max_pieces=prm.max_band_pieces)
-        cut = res.select(F.col("g").alias(fid), "rings")
-        return cut.unionByName(untouched.select(fid, "rings"))
-    res = ov.slab_overlay(pieces, n_layers, lambda n: n[0] != 0, label=first_cover, band=prm.band_width,
+        res = ov.slab_overlay(pieces, n_layers, keep, geometry=True, band=band, max_pieces=prm.max_band_pieces)
+        return res.select(F.col("g").alias(fid), "rings")
+    res = ov.slab_overlay(pieces, n_layers, lambda n: n[0] != 0, label=first_cover, band=band,
                           max_pieces=prm.max_band_pieces)
-    cut = res.select(F.col("g").alias(fid), F.col("label").alias("step"), "area")
-    whole = untouched.select(fid, F.lit(None).cast("int").alias("step"), geo.area("rings").alias("area"))
-    return cut.unionByName(whole)
+    return res.select(F.col("g").alias(fid), F.col("label").alias("step"), "area")
