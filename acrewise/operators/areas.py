@@ -30,14 +30,12 @@ def triple_areas(a: DataFrame, fa: str, b: DataFrame, fb: str, c: DataFrame, fc:
     features as ``b`` (zones, parcels), so a big feature of ``a`` (a
     county) never pairs all of its members with each other."""
     bc = ov.bbox_pairs(b, fb, c, fc, prm.cell_size)
-    ab = ov.bbox_pairs(a, fa, b, fb, prm.cell_size).drop("base")
-    trip = bc.join(ab, fb)
-    bb = geo.bbox("rings")
-    ab_box = a.select(F.col(fa), bb.alias("_abb"))
-    cb_box = c.select(F.col(fc), bb.alias("_cbb"))
-    trip = (trip.join(ab_box, fa).join(cb_box, fc)
-            .filter((F.greatest("_abb.xmin", "_cbb.xmin") < F.least("_abb.xmax", "_cbb.xmax"))
-                    & (F.greatest("_abb.ymin", "_cbb.ymin") < F.least("_abb.ymax", "_cbb.ymax")))
+    ab = ov.bbox_pairs(a, fa, b, fb, prm.cell_size).select(
+        fa, fb, *[F.col(f"_o{k}").alias(f"_ab{k}") for k in ("x0", "y0", "x1", "y1")])
+    # the three boxes overlap iff the two overlap boxes (both inside b's box) do
+    trip = (bc.join(ab, fb)
+            .filter((F.greatest("_ox0", "_abx0") < F.least("_ox1", "_abx1"))
+                    & (F.greatest("_oy0", "_aby0") < F.least("_oy1", "_aby1")))
             .select(fa, fb, fc, "base"))
     return ov.triple_area(trip, fa, fb, fc, ov.layer_pieces(a, fa, prm.band_width),
                           ov.layer_pieces(b, fb, prm.band_width), ov.layer_pieces(c, fc, prm.band_width))

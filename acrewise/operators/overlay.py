@@ -74,8 +74,9 @@ def _cells(layer: DataFrame, fid: str, rings: str, cell: float, tag: str) -> Dat
 
 def bbox_pairs(a: DataFrame, fa: str, b: DataFrame, fb: str, cell: float,
                rings_a: str = "rings", rings_b: str = "rings") -> DataFrame:
-    """(fa, fb, base) for every pair of features whose boxes overlap with
-    positive area. Each pair is kept in one grid cell only (the cell of the
+    """(fa, fb, base, _ox0, _oy0, _ox1, _oy1) for every pair of features
+    whose boxes overlap with positive area (the _o* columns are the overlap
+    box). Each pair is kept in one grid cell only (the cell of the
     lower-left corner of the box overlap), so no distinct is needed.
     ``base`` is a per-pair height the integrals are measured from."""
     ca = _cells(a, fa, rings_a, cell, "_a")
@@ -85,7 +86,9 @@ def bbox_pairs(a: DataFrame, fa: str, b: DataFrame, fb: str, cell: float,
     j = ca.join(cb, ["cx", "cy"]).filter(
         (ox0 < F.least("_a_bb.xmax", "_b_bb.xmax")) & (oy0 < F.least("_a_bb.ymax", "_b_bb.ymax"))
         & (F.col("cx") == F.floor(ox0 / cell)) & (F.col("cy") == F.floor(oy0 / cell)))
-    return j.select(F.col("_a").alias(fa), F.col("_b").alias(fb), oy0.alias("base"))
+    return j.select(F.col("_a").alias(fa), F.col("_b").alias(fb), oy0.alias("base"),
+                    ox0.alias("_ox0"), oy0.alias("_oy0"),
+                    F.least("_a_bb.xmax", "_b_bb.xmax").alias("_ox1"), F.least("_a_bb.ymax", "_b_bb.ymax").alias("_oy1"))
 
 
 # ------------------------------------------------------------- closed form
