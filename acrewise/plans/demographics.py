@@ -144,3 +144,11 @@ def _sheet(n):
 
 REPORTS = {f"WD{i + 1}": f for i, f in enumerate(_EST)}
 REPORTS.update({f"WD{9 + n}": _sheet(n) for n in range(len(SHEETS))})
+
+
+def write_workbook(t: Tables, out_dir: str, prm=P.DEFAULT) -> list[str]:
+    """The fourteen cross-tabs as sheets Sheet1..Sheet14, one CSV
+    directory each (the workbook of the original)."""
+    from acrewise.sources.sinks import save_sheets
+    sheets = {f"Sheet{n + 1}": _sheet(n)(t, prm) for n in range(len(SHEETS))}
+    return save_sheets(sheets, out_dir)

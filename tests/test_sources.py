@@ -73,3 +73,11 @@ def test_rows_helpers(spark):
     assert first == {1: "a", 2: "b", 3: "c"}
     bad = {(r.k, r.problem) for r in key_violations(df, ["k"]).collect()}
     assert bad == {(None, "null"), (2, "repeated")}
+
+
+def test_workbook_sheets(spark):
+    from acrewise.plans.demographics import write_workbook
+    out = tempfile.mkdtemp(prefix="acrewise-wb-")
+    paths = write_workbook(Tables(spark, SF), out)
+    assert [os.path.basename(p) for p in paths] == [f"Sheet{i}" for i in range(1, 15)]
+    assert spark.read.option("header", True).csv(paths[0]).count() > 0
