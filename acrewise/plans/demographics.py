@@ -136,7 +136,11 @@ def _sheet(n):
     est, stat = SHEETS[n]
 
     def run(t, prm=P.DEFAULT):
-        return xtab(_EST[est](t, prm), stat)
+        # the eight estimates are built once per session and shared by the
+        # sheets (the original kept them in one list)
+        from acrewise.sources.sinks import materialized
+        data = materialized(t.spark, ("wd_estimate", est, t.sf_dir), lambda: _EST[est](t, prm))
+        return xtab(data, stat)
     run.__name__ = f"sheet{n + 1}"
     run.__doc__ = f"Sheet{n + 1}: {stat} cross-tab of WD{est + 1}."
     return run
