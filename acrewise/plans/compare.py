@@ -18,7 +18,7 @@ from acrewise import params as P
 from acrewise.functions import geometry as geo
 from acrewise.functions import labels as L
 from acrewise.operators import overlay as ov
-from acrewise.operators.areas import pair_areas, waterfall
+from acrewise.operators.areas import pair_areas, snap_sqft, waterfall
 from acrewise.operators.rows import keep_first, row_index
 from acrewise.operators.spatial import point_in_polygon_pairs
 from acrewise.sources import fixtures as fx
@@ -89,7 +89,7 @@ def rs3(t, prm=P.DEFAULT):
         step = F.when(F.col("step") == i, name) if step is None else step.when(F.col("step") == i, name)
     out = wf.join(z.select("index", "county_name", "category"), "index").select(
         "index", "county_name", "category", F.coalesce(step, F.lit("remaining")).alias("step"),
-        _r9(F.col("area") / ACRE).alias("acres"))
+        _r9(snap_sqft(F.col("area")) / ACRE).alias("acres"))
     return out.filter(F.col("acres") > 0)
 
 
@@ -219,7 +219,7 @@ def method_polygons(t, prm=P.DEFAULT) -> DataFrame:
     p = parcel_attributes(t, prm)
     a = _parcel_zone_areas(t, p, prm)
     return p.join(a, "parcel_row").select(*SEL_COLS, "index", "category",
-                                          _r9(F.col("area") / ACRE).alias("parcel_acreage"))
+                                          _r9(snap_sqft(F.col("area")) / ACRE).alias("parcel_acreage"))
 
 
 def centroid_selected(t, prm=P.DEFAULT) -> DataFrame:
@@ -244,7 +244,7 @@ def method_trimmed(t, prm=P.DEFAULT) -> DataFrame:
     p = centroid_selected(t, prm)
     a = _parcel_zone_areas(t, p, prm)
     return p.join(a, "parcel_row").select(*SEL_COLS, "index", "category",
-                                          _r9(F.col("area") / ACRE).alias("parcel_acreage"))
+                                          _r9(snap_sqft(F.col("area")) / ACRE).alias("parcel_acreage"))
 
 
 # -------------------------------------------------------- summaries
@@ -319,7 +319,7 @@ def rs15(t, prm=P.DEFAULT, threshold: float = P.PARCEL_SIZE_THRESHOLD):
         ov.group_pieces(zp, ov.layer_pieces(parts, "part_id", band).withColumnRenamed("part_id", "_fid"), "_fid"))
     inter = ov.slab_overlay(pieces, 2, lambda n: (n[0] != 0) & (n[1] != 0), band=prm.band_width,
                             max_pieces=prm.max_band_pieces).select(
-        F.col("g").alias("parcel_row"), (F.col("area") / ACRE).alias("total_acreage"))
+        F.col("g").alias("parcel_row"), (snap_sqft(F.col("area")) / ACRE).alias("total_acreage"))
     x = cp.join(inter, "parcel_row").withColumn("parcel_share", F.col("total_acreage") / F.col("parcel_acreage"))
     x = x.filter(F.col("total_acreage") >= threshold)
     # tags of every candidate parcel's centroid, as one row per parcel with
