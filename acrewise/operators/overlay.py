@@ -30,10 +30,6 @@ from acrewise.operators.spatial import polygon_edges
 
 
 # ------------------------------------------------------------------ pieces
-def _interp(l, r, yl, yr, x) -> Column:
-    return yl + (yr - yl) * F.try_divide(x - l, r - l)
-
-
 def sql_interp(l: str, r: str, yl: str, yr: str, x: str) -> str:
     """SQL text: height at ``x`` of the segment (l, yl)-(r, yr)."""
     return f"({yl} + ({yr} - {yl}) * try_divide({x} - {l}, {r} - {l}))"
@@ -102,15 +98,6 @@ def sql_int_min2(l: str, r: str, f0: str, f1: str, g0: str, g1: str) -> str:
     return f"(({w} * ({f0} + {f1}) / 2 + {w} * ({g0} + {g1}) / 2 - ({abs_int})) / 2)"
 
 
-def int_min2(l, r, f0, f1, g0, g1) -> Column:
-    """Column form of ``sql_int_min2`` (for callers holding Columns)."""
-    w = r - l
-    d0, d1 = f0 - g0, f1 - g1
-    abs_int = F.when(d0 * d1 >= 0, w * F.abs(d0 + d1) / 2) \
-        .otherwise(w * F.try_divide(d0 * d0 + d1 * d1, 2 * (F.abs(d0) + F.abs(d1))))
-    return (w * (f0 + f1) / 2 + w * (g0 + g1) / 2 - abs_int) / 2
-
-
 def _side(p: DataFrame, fid: str, tag: str) -> DataFrame:
     return p.select(F.col(fid).alias(tag), F.col("band").alias(f"{tag}_band"),
                     *[F.col(c).alias(f"{tag}_{c}") for c in ("l", "r", "yl", "yr", "c")])

@@ -56,7 +56,3 @@ def columns_matching(df: DataFrame, pattern: str) -> list[str]:
     """Column names matching a regular expression (schema only)."""
     rx = re.compile(pattern)
     return [c for c in df.columns if rx.search(c)]
-
-
-def zero_for_null(c: str | Column) -> Column:
-    return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(0.0))

@@ -23,11 +23,6 @@ from acrewise.functions import geometry as geo
 
 
 
-def with_bbox(layer: DataFrame, rings: str = "rings") -> DataFrame:
-    b = geo.bbox(rings)
-    return layer.withColumn("_bb", b)
-
-
 def polygon_edges(layer: DataFrame, fid: str, rings: str = "rings") -> DataFrame:
     """Edge table: one row per directed polygon edge.
 
