@@ -22,12 +22,14 @@ def get_session(master: str | None = None, app: str = "acrewise",
             # local mode runs everything in the driver JVM: give it the heap
             # (on a cluster, executor and driver memory come from spark-submit)
             builder = builder.config("spark.driver.memory", os.environ.get("ACREWISE_DRIVER_MEMORY", "16g"))
-    cpus = os.cpu_count() or 8
-    parts = shuffle_partitions or cpus
+    local = bool(master) and master.startswith("local")
+    if shuffle_partitions or local:
+        # locally one partition per core; on a cluster the submitted config
+        # (sized to the data) stands, and AQE coalesces small partitions
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions or os.cpu_count() or 8))
     spark = (
         builder
         .config("spark.ui.enabled", "false")
-        .config("spark.sql.shuffle.partitions", str(parts))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
