@@ -37,39 +37,55 @@ def _moe(est: str, reps: list[str], n: int) -> str:
     return f"{P.MOE_Z!r} * sqrt({4.0 / n!r} * ({sq}))"
 
 
+def _grouping_sets_agg(df: DataFrame, group_sets: Sequence[Sequence[str]], all_vars: Sequence[str],
+                       aggs: list[Column], level_col: str) -> DataFrame:
+    """One aggregation for every grouping set (one scan, partial aggregation
+    before the shuffle). Rows with a NULL in a variable of a set are left
+    out of that set (incl_na = FALSE): variables used by every set are
+    filtered before, the others after, telling a data NULL from a
+    subtotal by ``grouping_id``."""
+    used = [v for v in all_vars if any(v in gs for gs in group_sets)]
+    common = [v for v in used if all(v in gs for gs in group_sets)]
+    sub = df
+    for v in common:
+        sub = sub.filter(F.col(v).isNotNull())
+    agg = sub.groupingSets([list(gs) for gs in group_sets], *used).agg(*aggs, F.grouping_id().alias("_gid"))
+    n = len(used)
+    level = None
+    for i, gs in enumerate(group_sets):
+        gid = sum(1 << (n - 1 - j) for j, v in enumerate(used) if v not in gs)
+        cond = F.col("_gid") == gid
+        for v in gs:
+            cond = cond & F.col(v).isNotNull()
+        level = F.when(cond, F.lit(i)) if level is None else level.when(cond, F.lit(i))
+    out = agg.withColumn(level_col, level).filter(F.col(level_col).isNotNull()).drop("_gid")
+    for v in all_vars:
+        if v not in used:
+            out = out.withColumn(v, F.lit(None).cast("string"))
+    return out
+
+
 def weighted_counts(df: DataFrame, group_sets: Sequence[Sequence[str]], all_vars: Sequence[str],
                     weight: str = "pwgtp", n_rep: int = P.N_REPLICATES,
                     level_col: str = "_level") -> DataFrame:
     """count, count_moe, share, share_moe per group of each grouping set.
 
     ``group_sets`` are lists of the ``all_vars`` columns (e.g. with and
-    without the county); rows with a NULL in any used group variable are
-    left out (incl_na = FALSE). ``level_col`` tells the sets apart.
+    without the county), computed in one pass; rows with a NULL in any used
+    group variable are left out (incl_na = FALSE). ``level_col`` tells the
+    sets apart. Parent totals (all group variables but the last) are window
+    sums over the small aggregated result.
     """
     ws = _rep_cols(weight, n_rep)
-    parts = []
-    for i, gs in enumerate(group_sets):
-        sub = df
-        for v in gs:
-            sub = sub.filter(F.col(v).isNotNull())
-        agg = sub.groupBy(*gs).agg(*[F.expr(f"CAST(sum({w}) AS DOUBLE)").alias(f"_s{j}") for j, w in enumerate(ws)])
-        for v in all_vars:
-            if v not in gs:
-                agg = agg.withColumn(v, F.lit(None).cast("string"))
-        parts.append(agg.withColumn(level_col, F.lit(i)).withColumn("_parent", F.lit(",".join(gs[:-1]))))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    # parent totals (all group variables but the last) as window sums
-    res = []
+    sums = [F.expr(f"CAST(sum({w}) AS DOUBLE)").alias(f"_s{j}") for j, w in enumerate(ws)]
+    out = _grouping_sets_agg(df, group_sets, all_vars, sums, level_col)
+    res = None
     for i, gs in enumerate(group_sets):
         part = out.filter(F.col(level_col) == i)
         w = Window.partitionBy(level_col, *gs[:-1])
         part = part.select("*", *[F.sum(f"_s{j}").over(w).alias(f"_p{j}") for j in range(len(ws))])  # small: one row per group
-        res.append(part)
-    out = res[0]
-    for p in res[1:]:
-        out = out.unionByName(p)
+        res = part if res is None else res.unionByName(part)
+    out = res
     s = [f"_s{j}" for j in range(len(ws))]
     sh = [f"try_divide(_s{j}, _p{j})" for j in range(len(ws))]
     return out.selectExpr(*[f"`{v}`" for v in all_vars], level_col,
@@ -85,20 +101,8 @@ def weighted_medians(df: DataFrame, target: str, group_sets: Sequence[Sequence[s
     """<target>_median and its MOE per group; exact weighted percentile
     (the aggregate keeps one count per distinct value, merged map-side)."""
     ws = _rep_cols(weight, n_rep)
-    parts = []
-    for i, gs in enumerate(group_sets):
-        sub = df.filter(F.col(target).isNotNull())
-        for v in gs:
-            sub = sub.filter(F.col(v).isNotNull())
-        agg = sub.groupBy(*gs).agg(*[F.expr(f"percentile({target}, 0.5, CAST({w} AS BIGINT))").alias(f"_m{j}")
-                                     for j, w in enumerate(ws)])
-        for v in all_vars:
-            if v not in gs:
-                agg = agg.withColumn(v, F.lit(None).cast("string"))
-        parts.append(agg.withColumn(level_col, F.lit(i)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    meds = [F.expr(f"percentile({target}, 0.5, CAST({w} AS BIGINT))").alias(f"_m{j}") for j, w in enumerate(ws)]
+    out = _grouping_sets_agg(df.filter(F.col(target).isNotNull()), group_sets, all_vars, meds, level_col)
     m = [f"_m{j}" for j in range(len(ws))]
     return out.selectExpr(*[f"`{v}`" for v in all_vars], level_col, f"round({m[0]}, {DIGITS}) AS {target}_median",
                           f"round({_moe(m[0], m[1:], n_rep)}, {DIGITS}) AS {target}_median_moe")
