@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from acrewise.sources.tables import Tables
+from acrewise.sources.tables import Tables, view
 
 
 def _dbl(c: Column) -> Column:
@@ -22,6 +22,7 @@ def _dbl(c: Column) -> Column:
 
 
 # ---------------------------------------------------------------- employment
+@view
 def workplace_facts(t: Tables) -> DataFrame:
     li = t.lineitem
     y = F.year("l_shipdate")
@@ -40,6 +41,7 @@ def workplace_facts(t: Tables) -> DataFrame:
     )
 
 
+@view
 def industry_dims(t: Tables) -> DataFrame:
     p = t.part
     return p.select(
@@ -51,6 +53,7 @@ def industry_dims(t: Tables) -> DataFrame:
     )
 
 
+@view
 def workplace_location_dims(t: Tables) -> DataFrame:
     s = t.supplier
     k4 = F.col("s_nationkey") % 4
@@ -66,6 +69,7 @@ def workplace_location_dims(t: Tables) -> DataFrame:
 
 
 # ------------------------------------------------------------ polygon layers
+@view
 def zones(t: Tables) -> DataFrame:
     """Industrial lands inventory: one rectangle per nation row."""
     n = t.nation
@@ -84,6 +88,7 @@ def zones(t: Tables) -> DataFrame:
     )
 
 
+@view
 def counties(t: Tables) -> DataFrame:
     """County background: five vertical strips, one per region row."""
     r = t.region
@@ -99,6 +104,7 @@ def counties(t: Tables) -> DataFrame:
     )
 
 
+@view
 def masks(t: Tables) -> DataFrame:
     """Exclusion masks (water, wetlands, tiers A-C, public use = order 0..5)."""
     s = t.supplier
@@ -112,6 +118,7 @@ def masks(t: Tables) -> DataFrame:
     )
 
 
+@view
 def mic_areas(t: Tables) -> DataFrame:
     """Manufacturing/industrial centres: the zone rectangles, named by key."""
     z = zones(t)
@@ -119,6 +126,7 @@ def mic_areas(t: Tables) -> DataFrame:
                     "x0", "y0", "x1", "y1")
 
 
+@view
 def regional_geographies(t: Tables) -> DataFrame:
     """Regional geography classes on the county strips; Bremerton is one
     Metro strip so both outcomes of the urban flag occur."""
@@ -133,6 +141,7 @@ def regional_geographies(t: Tables) -> DataFrame:
 
 
 # ---------------------------------------------------------- parcels, buildings
+@view
 def parcels(t: Tables) -> DataFrame:
     c = t.customer
     k = F.col("c_custkey")
@@ -150,6 +159,7 @@ def parcels(t: Tables) -> DataFrame:
     )
 
 
+@view
 def buildings(t: Tables) -> DataFrame:
     o = t.orders
     return o.filter(F.col("o_custkey") % 3 != 0).select(
@@ -160,6 +170,7 @@ def buildings(t: Tables) -> DataFrame:
 
 
 # ------------------------------------------------------------------ persons
+@view
 def persons(t: Tables, n_replicates: int = 80) -> DataFrame:
     """Person microdata with a weight and ``n_replicates`` replicate weights."""
     c = t.customer
@@ -184,6 +195,7 @@ def persons(t: Tables, n_replicates: int = 80) -> DataFrame:
 
 
 # ------------------------------------------------- R comparison inputs
+@view
 def zoning(t: Tables) -> DataFrame:
     """Zoned industrial lands layer (County_FLU, County, Ind_Category,
     Ind_Code): county names are missing or given as FIPS text on some rows,
@@ -200,6 +212,7 @@ def zoning(t: Tables) -> DataFrame:
                     (k % 6 + 1).cast("int").alias("ind_code"), "x0", "y0", "x1", "y1")
 
 
+@view
 def cities(t: Tables) -> DataFrame:
     """City layer: the zone boxes, one of them Bremerton."""
     z = zones(t)
@@ -209,6 +222,7 @@ def cities(t: Tables) -> DataFrame:
                     "x0", "y0", "x1", "y1")
 
 
+@view
 def county_parcels(t: Tables) -> DataFrame:
     """County parcel files as one table: the county a parcel id belongs to,
     and its id as text (zero padded; every 53rd id is not numeric)."""
@@ -222,12 +236,14 @@ def county_parcels(t: Tables) -> DataFrame:
                     "x0", "y0", "x1", "y1", "gross_sqft", "land_use_type_id")
 
 
+@view
 def parcel_data(t: Tables) -> DataFrame:
     """parcels_all: id text, county, land use, size."""
     cp = county_parcels(t)
     return cp.select(F.col("parcel_id_raw").alias("parcel_id_fips"), "county_id", "land_use_type_id", "gross_sqft")
 
 
+@view
 def building_data(t: Tables) -> DataFrame:
     """buildings_all: id text, county, improvement value as text."""
     b = buildings(t)

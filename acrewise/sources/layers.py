@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from acrewise.functions import geometry as geo
 from acrewise.sources import fixtures as fx
-from acrewise.sources.tables import Tables
+from acrewise.sources.tables import Tables, view
 
 
 def boxes_to_layer(df: DataFrame, keep: list[str]) -> DataFrame:
@@ -36,37 +36,46 @@ def wkt_polygon_rings(wkt: str | Column) -> Column:
     return geo.repair_parts(F.transform(parts, parse_part))
 
 
+@view
 def zones_layer(t: Tables) -> DataFrame:
     return boxes_to_layer(fx.zones(t), ["zone_id", "ind_type"])
 
 
+@view
 def counties_layer(t: Tables) -> DataFrame:
     return boxes_to_layer(fx.counties(t), ["county_key", "county_fip", "county_nm"])
 
 
+@view
 def masks_layer(t: Tables) -> DataFrame:
     return boxes_to_layer(fx.masks(t), ["mask_id", "mask_order"])
 
 
+@view
 def mic_layer(t: Tables) -> DataFrame:
     return boxes_to_layer(fx.mic_areas(t), ["zone_id", "mic"])
 
 
+@view
 def rgeo_layer(t: Tables) -> DataFrame:
     return boxes_to_layer(fx.regional_geographies(t), ["rgeo_id", "class_desc", "juris"])
 
 
+@view
 def parcels_layer(t: Tables) -> DataFrame:
     return boxes_to_layer(fx.parcels(t), ["parcel_id", "parcel_row", "gross_sqft", "land_use_type_id"])
 
 
+@view
 def zoning_layer(t: Tables) -> DataFrame:
     return boxes_to_layer(fx.zoning(t), ["zone_id", "county_code", "county", "category", "ind_code"])
 
 
+@view
 def city_layer(t: Tables) -> DataFrame:
     return boxes_to_layer(fx.cities(t), ["city_id", "city"])
 
 
+@view
 def county_parcels_layer(t: Tables) -> DataFrame:
     return boxes_to_layer(fx.county_parcels(t), ["parcel_row", "parcel_id_raw", "county_id"])

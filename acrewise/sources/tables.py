@@ -3,6 +3,7 @@ into the parquet scan, so a reader only names the table."""
 
 from __future__ import annotations
 
+import functools
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,3 +38,17 @@ class Tables:
                 self._dfs[name] = read_table(self.spark, self.sf_dir, name)
             return self._dfs[name]
         raise AttributeError(name)
+
+
+def view(fn):
+    """Build a derived view once per ``Tables`` object: DataFrames are
+    immutable, so every reference within a query can share one plan object
+    (less driver-side plan construction)."""
+    @functools.wraps(fn)
+    def wrapper(t: Tables, *args, **kwargs):
+        cache = t.__dict__.setdefault("_views", {})
+        key = (fn.__module__, fn.__name__, args, tuple(sorted(kwargs.items())))
+        if key not in cache:
+            cache[key] = fn(t, *args, **kwargs)
+        return cache[key]
+    return wrapper
