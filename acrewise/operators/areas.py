@@ -38,7 +38,8 @@ def triple_areas(a: DataFrame, fa: str, b: DataFrame, fb: str, c: DataFrame, fc:
                     & (F.greatest("_oy0", "_aby0") < F.least("_oy1", "_aby1")))
             .select(fa, fb, fc, "base"))
     return ov.triple_area(trip, fa, fb, fc, ov.layer_pieces(a, fa, prm.band_width),
-                          ov.layer_pieces(b, fb, prm.band_width), ov.layer_pieces(c, fc, prm.band_width))
+                          ov.layer_pieces(b, fb, prm.band_width), ov.layer_pieces(c, fc, prm.band_width),
+                          prm.band_width, prm.max_band_pieces)
 
 
 def erase_each(a: DataFrame, fa: str, b: DataFrame, fb: str, masks: DataFrame, fm: str,

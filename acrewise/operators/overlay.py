@@ -143,12 +143,29 @@ def pair_area(pairs: DataFrame, fa: str, fb: str, pieces_a: DataFrame, pieces_b:
 
 
 def triple_area(triples: DataFrame, fa: str, fb: str, fc: str,
-                pieces_a: DataFrame, pieces_b: DataFrame, pieces_c: DataFrame) -> DataFrame:
+                pieces_a: DataFrame, pieces_b: DataFrame, pieces_c: DataFrame,
+                band: float | None = None, max_pieces: int | None = None) -> DataFrame:
     """G9 for three layers: area(A∩B∩C) per candidate triple; min of three
-    lines = min(min(f, g), h), split where f and g cross."""
-    pa = _side(pieces_a, pieces_a.columns[0], "_pa")
-    pb = _side(pieces_b, pieces_b.columns[0], "_pb")
-    pc = _side(pieces_c, pieces_c.columns[0], "_pc")
+    lines = min(min(f, g), h), split where f and g cross.
+
+    With ``band`` and ``max_pieces``, every band in which some feature of
+    any of the three layers holds more edges is cut into the finest
+    sub-band grid any of them needs there, and all three layers are clipped
+    onto that one grid (exact: the integral is a sum over x)."""
+    ka, kb, kc = pieces_a.columns[0], pieces_b.columns[0], pieces_c.columns[0]
+    if band is not None and max_pieces is not None:
+        hot = (band_grid(pieces_a, ka, max_pieces).select("band", "_k")
+               .unionByName(band_grid(pieces_b, kb, max_pieces).select("band", "_k"))
+               .unionByName(band_grid(pieces_c, kc, max_pieces).select("band", "_k"))
+               .groupBy("band").agg(F.max("_k").alias("_k")).withColumn("_all", F.lit(0)))
+
+        def regrid(p):
+            g = onto_grid(p.withColumn("_all", F.lit(0)), hot, "_all", band, clip=True)
+            return g.drop("_all", "band").withColumnRenamed("sband", "band")
+        pieces_a, pieces_b, pieces_c = regrid(pieces_a), regrid(pieces_b), regrid(pieces_c)
+    pa = _side(pieces_a, ka, "_pa")
+    pb = _side(pieces_b, kb, "_pb")
+    pc = _side(pieces_c, kc, "_pc")
     j = (triples.join(pa, F.col(fa) == F.col("_pa"))
          .join(pb, (F.col(fb) == F.col("_pb")) & (F.col("_pa_band") == F.col("_pb_band")))
          .join(pc, (F.col(fc) == F.col("_pc")) & (F.col("_pa_band") == F.col("_pc_band"))))
@@ -171,7 +188,6 @@ def triple_area(triples: DataFrame, fa: str, fb: str, fc: str,
     return j.groupBy(fa, fb, fc).agg(F.sum(term).alias("area"))
 
 
-# ------------------------------------------------------------ slab overlay
 SUB_BANDS = 1024   # band ids become band * SUB_BANDS + sub-band
 
 

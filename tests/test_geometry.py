@@ -167,3 +167,14 @@ def test_pair_area_many_sub_bands_sloped(spark):
     fine = ov.pair_area(pairs, "fa", "fb", pa, pb, band=64.0, max_pieces=1).first().area
     assert fine == pytest.approx(coarse)
     assert coarse > 0
+
+
+def test_triple_area_on_sub_band_grid(spark):
+    la = layer(spark, [1]).withColumnRenamed("fid", "fa")
+    lb = layer(spark, [2]).withColumnRenamed("fid", "fb")
+    lc = layer(spark, [3]).withColumnRenamed("fid", "fc")
+    trip = spark.createDataFrame([(1, 2, 3, 0.0)], "fa long, fb long, fc long, base double")
+    pa, pb, pc = ov.layer_pieces(la, "fa", 3.0), ov.layer_pieces(lb, "fb", 3.0), ov.layer_pieces(lc, "fc", 3.0)
+    coarse = ov.triple_area(trip, "fa", "fb", "fc", pa, pb, pc).first().area
+    fine = ov.triple_area(trip, "fa", "fb", "fc", pa, pb, pc, band=3.0, max_pieces=1).first().area
+    assert coarse == pytest.approx(3.0) and fine == pytest.approx(3.0)
