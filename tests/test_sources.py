@@ -81,3 +81,15 @@ def test_workbook_sheets(spark):
     paths = write_workbook(Tables(spark, SF), out)
     assert [os.path.basename(p) for p in paths] == [f"Sheet{i}" for i in range(1, 15)]
     assert spark.read.option("header", True).csv(paths[0]).count() > 0
+
+
+def test_read_microdata_prunes_columns(spark):
+    from acrewise.sources.readers import read_microdata
+    t = Tables(spark, SF)
+    out = os.path.join(tempfile.mkdtemp(prefix="acrewise-pums-"), "persons")
+    fx.persons(t).write.mode("overwrite").parquet(out)
+    df = read_microdata(spark, out, ["county", "prace"], weight="pwgtp", n_replicates=80)
+    assert df.columns[:3] == ["county", "prace", "pwgtp"] and len(df.columns) == 83
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "mi_jobsector" not in plan.split("ReadSchema")[1]
+    assert df.count() == fx.persons(t).count()
