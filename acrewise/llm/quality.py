@@ -27,9 +27,9 @@ from acrewise.llm.common import BLANK, WORD, fixed, row_key, scratch, stored, ta
 MIN_WORDS = 50          # base rule
 REPEAT_PCT = 50         # base rule
 MIN_CHARS = 200         # guard of the character histogram
-MIN_COMMON_WORDS = 50   # guard of the word histogram
-MAX_CHAR_DISTANCE = 0.26
-MAX_WORD_DISTANCE = 0.45
+MIN_COMMON_WORDS = 100  # guard of the word histogram
+MAX_CHAR_DISTANCE = 0.22
+MAX_WORD_DISTANCE = 0.25
 
 # Frequent words of each language.
 COMMON = {
