@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -62,6 +65,20 @@ def dropped(spark: SparkSession, folder: str, name: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_SHIPPED: set[str] = set()
+
+
+def on_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
+    """``mapInArrow`` with this package at hand in the Python workers: once
+    an application the driver's file server hands them its source."""
+    sc = df.sparkSession.sparkContext
+    if sc.applicationId not in _SHIPPED:
+        root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+        sc.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp()}/acrewise", "zip", root, "acrewise"))
+        _SHIPPED.add(sc.applicationId)
+    return df.mapInArrow(fn, schema)
+
+
 def fixed(df: DataFrame, **cols: Column) -> DataFrame:
     """df with further columns that are computed once per row. A plain select
     may be merged into the next one, and an array expression inside a lambda
