@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from acrewise.llm import line_dedup, quality, shards, token_counts, warc
+from acrewise.llm import debruijn_dedup, line_dedup, quality, shards, suffix_dedup, token_counts, warc
 
 QUERIES = {
     "op2_proportional_interleave": shards.op2,
     "op3_segment_reassembly": warc.op3,
     "op5_distribution_divergence": quality.op5,
     "op6_transducer_counts": token_counts.op6,
+    "op7_cover_sample_dedup": suffix_dedup.op7,
+    "op9_debruijn_dedup": debruijn_dedup.op9,
     "op10_line_bitmaps": line_dedup.op10,
 }
 SQL = {
     "op2_proportional_interleave": shards.SQL,
     "op3_segment_reassembly": warc.SQL,
     "op5_distribution_divergence": quality.SQL,
+    "op7_cover_sample_dedup": suffix_dedup.SQL,
+    "op9_debruijn_dedup": debruijn_dedup.SQL,
     "op10_line_bitmaps": line_dedup.SQL,
 }
