@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from acrewise.llm import debruijn_dedup, line_dedup, quality, shards, suffix_dedup, token_counts, warc
+from acrewise.llm import debruijn_dedup, jaccard_join, line_dedup, quality, shards, suffix_dedup, token_counts, warc
 
 QUERIES = {
     "op2_proportional_interleave": shards.op2,
     "op3_segment_reassembly": warc.op3,
+    "op4_voronoi_jaccard": jaccard_join.op4,
     "op5_distribution_divergence": quality.op5,
     "op6_transducer_counts": token_counts.op6,
     "op7_cover_sample_dedup": suffix_dedup.op7,
@@ -16,6 +17,7 @@ QUERIES = {
 SQL = {
     "op2_proportional_interleave": shards.SQL,
     "op3_segment_reassembly": warc.SQL,
+    "op4_voronoi_jaccard": jaccard_join.SQL,
     "op5_distribution_divergence": quality.SQL,
     "op7_cover_sample_dedup": suffix_dedup.SQL,
     "op9_debruijn_dedup": debruijn_dedup.SQL,
