@@ -95,5 +95,12 @@ def row_key(df: DataFrame, key: str, text: str) -> Column:
     return F.struct(F.col(f"`{key}`").alias("id"), F.xxhash64(F.col(f"`{text}`")).alias("fp"))
 
 
+def matching(df: DataFrame, own: Column, keys: DataFrame, how: str = "left_semi") -> DataFrame:
+    """The rows of df whose key ``own`` is in ``keys.k`` (or, as an anti
+    join, is not), columns unchanged."""
+    mine, theirs = names(df, "own", "theirs")
+    return df.withColumn(mine, own).join(keys.select(F.col("k").alias(theirs)), F.col(mine).eqNullSafe(F.col(theirs)), how).drop(mine)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from acrewise.llm.common import fixed, row_key, table
+from acrewise.llm.common import fixed, matching, row_key, table
 
 WINDOW = 15
 SUBSTITUTIONS = 2
@@ -87,8 +87,7 @@ def op1(spark, sf_dir):
 
 def clean(df: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Pipeline form: the rows that leak nothing, columns unchanged."""
-    bad = leaks(df, benchmark).select("k").distinct()
-    return df.withColumn("__k", row_key(df, "doc_id", "text")).join(bad, F.col("__k").eqNullSafe(F.col("k")), "left_anti").drop("__k")
+    return matching(df, row_key(df, "doc_id", "text"), leaks(df, benchmark).select("k").distinct(), "left_anti")
 
 
 def sql_leaks(src: str = "documents", p: str = "l") -> str:

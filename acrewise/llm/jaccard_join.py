@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from acrewise.llm import symbols
-from acrewise.llm.common import on_arrow, partitions, scratch, stored, table
+from acrewise.llm.common import matching, on_arrow, partitions, scratch, stored, table
 from acrewise.llm.components import components
 from acrewise.llm.repeats import LAST, documents
 
@@ -314,8 +314,8 @@ def keep_first(df: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     class has one."""
     body = F.coalesce(F.col("text"), F.lit(""))
     good = Join(words, percent).classes(df).where("component_id <=> k.id").select("k").distinct()
-    rows = df.dropDuplicates(["doc_id", "text"]).withColumn("__k", F.struct(F.col("doc_id").alias("id"), F.xxhash64(body).alias("fp")))
-    return rows.join(good, F.col("__k").eqNullSafe(F.col("k")), "left_semi").drop("__k")
+    own = F.struct(F.col("doc_id").alias("id"), F.xxhash64(body).alias("fp"))
+    return matching(df.dropDuplicates(["doc_id", "text"]), own, good)
 
 
 def sql_classes(src: str = "documents", words: int = WORDS, percent: int = PERCENT, p: str = "j") -> str:

@@ -120,9 +120,10 @@ def op8(spark, sf_dir):
 
 def sample(df: DataFrame) -> DataFrame:
     """Pipeline form: the selected rows, columns unchanged."""
-    (flag,) = names(df, "selected")
-    out = mix(df.select(*[F.col(f"`{c}`") for c in df.columns])).withColumnRenamed("selected", flag).where(F.col(flag))
-    return out.select(*[F.col(f"`{c}`") for c in df.columns])
+    outputs = ("topic", "tokens", "probability", "selected")
+    hidden = {c: names(df, f"old_{c}")[0] for c in df.columns if c.lower() in outputs}
+    kept = mix(df.withColumnsRenamed(hidden)).where("selected")
+    return kept.select(*[F.col(f"`{hidden.get(c, c)}`").alias(c) for c in df.columns])
 
 
 def sql_mix(src: str = "documents", p: str = "m", rounds: int = ROUNDS) -> str:

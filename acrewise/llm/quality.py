@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from acrewise.llm.common import BLANK, WORD, fixed, row_key, scratch, stored, table, words
+from acrewise.llm.common import BLANK, WORD, fixed, matching, row_key, scratch, stored, table, words
 
 MIN_WORDS = 50          # base rule
 REPEAT_PCT = 50         # base rule
@@ -142,9 +142,7 @@ def op5(spark, sf_dir):
 
 def keep(df: DataFrame) -> DataFrame:
     """Pipeline form: the rows that are kept, columns unchanged."""
-    good = judge(df).where("kept").select("k").distinct()
-    return df.withColumn("__k", row_key(df, "doc_id", "text")).join(
-        good, F.col("__k").eqNullSafe(F.col("k")), "left_semi").drop("__k")
+    return matching(df, row_key(df, "doc_id", "text"), judge(df).where("kept").select("k").distinct())
 
 
 def _sql_js(p: str, q: str) -> str:
