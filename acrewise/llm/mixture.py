@@ -85,7 +85,8 @@ def rake(cells: DataFrame, languages: dict[str, float] = LANGUAGES, flatten: flo
     for i in range(rounds):
         for by, goal in goals.items():
             factor = x.groupBy(by).agg(F.sum("w").alias("sum")).join(goal, by)
-            x = x.join(factor, by).select("s", "l", "t", "n", (F.col("w") * F.col("target") / F.col("sum")).alias("w"))
+            x = x.join(factor, by).select("s", "l", "t", "n", F.when(
+                F.col("sum") > 0, F.col("w") * F.col("target") / F.col("sum")).otherwise(0.0).alias("w"))
         x = stored(x, folder, f"round{i}")
     return x
 
@@ -107,7 +108,7 @@ def mix(df: DataFrame, source: str = "source", lang: str = "lang", key: str = "d
     largest = fitted.agg(F.max(ratio)).first()[0]
     (p,) = names(x, "p")
     odds = fitted.select(F.col("s").alias(s), F.col("l").alias(l), F.col("t").alias(t),
-                         F.round(ratio / F.lit(largest), 9).alias(p))
+                         F.round(F.try_divide(ratio, F.lit(largest)), 9).alias(p))
     u = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("null")))), 1, 8), 16, 10).cast("double") / 4294967296.0
     y = x.join(odds, [s, l, t], "left").withColumn(p, F.coalesce(F.col(p), F.lit(0.0)))
     return y.select(*with_outputs(df, {"topic": F.col("topic"), "tokens": F.col("tokens"), "probability": F.col(p), "selected": u < F.col(p)}))
@@ -147,7 +148,7 @@ def sql_mix(src: str = "documents", p: str = "m", rounds: int = ROUNDS) -> str:
     for _ in range(rounds):
         for by in "slt":
             k += 1
-            out += f",\n{p}_w{k} AS MATERIALIZED (SELECT * REPLACE (w * t{by} / sum(w) OVER (PARTITION BY {by}) AS w) FROM {p}_w{k - 1})"
+            out += f",\n{p}_w{k} AS MATERIALIZED (SELECT * REPLACE (CASE WHEN sum(w) OVER (PARTITION BY {by}) > 0 THEN w * t{by} / sum(w) OVER (PARTITION BY {by}) ELSE 0 END AS w) FROM {p}_w{k - 1})"
     return out + f""",
 {p}_o AS (SELECT s, l, t AS topic, round(w / n / max(w / n) OVER (), 9) AS pr FROM {p}_w{k}),
 {p}_mixed AS (SELECT {p}_c.* EXCLUDE (body, s, l), coalesce(pr, 0) AS probability,

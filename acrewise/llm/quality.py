@@ -100,7 +100,7 @@ def _total(a: Column) -> Column:
 def shares(counts: Column) -> Column:
     """A histogram with its total, as shares of one."""
     return F.get(F.transform(F.array(F.struct(counts.alias("c"), _total(counts).alias("n"))),
-                             lambda s: F.transform(s["c"], lambda x: x / s["n"])), F.lit(0))
+                             lambda s: F.transform(s["c"], lambda x: F.try_divide(x, s["n"]))), F.lit(0))
 
 
 def js_distance(p: Column, q: Column) -> Column:
