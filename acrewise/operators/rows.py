@@ -3,26 +3,30 @@ repeated keys (A2), uniqueness / not-null checks (S13)."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from acrewise.session import ensure_checkpoint_dir
+
 
 def row_index(df: DataFrame, order: Sequence[str], name: str = "index", start: int = 1) -> DataFrame:
     """1..n in the order of ``order`` (unique keys) without a single-task
-    window: rows are range-partitioned and numbered inside each partition;
-    per-partition counts (one row per partition, a proven small bound)
-    give each partition its offset."""
-    parts = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    parts = parts.withColumn("_pid", F.spark_partition_id())
+    window. The range-partitioned frame is written once, each row with the
+    number of its partition; counts and rows are read from that file, so both
+    see the same partitions whatever columns a caller uses. The counts (one
+    row per partition) give each partition its offset."""
+    spark = df.sparkSession
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/row-index-{uuid.uuid4().hex}"
+    (df.repartitionByRange(*order).withColumn("_pid", F.spark_partition_id()).write.parquet(folder))
+    parts = spark.read.parquet(folder)
+    offs = parts.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n")).select("_pid", F.coalesce(F.sum("_n").over(
+        Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
     local = parts.withColumn("_loc", F.row_number().over(Window.partitionBy("_pid").orderBy(*order)))
-    counts = local.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    offs = counts.select("_pid", (F.sum("_n").over(Window.orderBy("_pid").rowsBetween(
-        Window.unboundedPreceding, -1))).alias("_off"))
-    out = local.join(F.broadcast(offs), "_pid")
-    idx = F.coalesce(F.col("_off"), F.lit(0)) + F.col("_loc") + (start - 1)
-    return out.select(idx.cast("long").alias(name), *df.columns)
+    idx = F.col("_off") + F.col("_loc") + (start - 1)
+    return local.join(F.broadcast(offs), "_pid").select(idx.cast("long").alias(name), *df.columns)
 
 
 def keep_first(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:

@@ -94,7 +94,7 @@ def rs3(t, prm=P.DEFAULT):
 
 
 def remaining_parts(t: Tables, prm=P.DEFAULT) -> DataFrame:
-    """The industrial lands after all six erases, as trapezoid parts:
+    """What is left of the zoning layer after all six erases, as trapezoid parts:
     (part_id, index, county_name, category, rings); materialized."""
     def build():
         z = zoned_layer(t, "kept")
@@ -285,7 +285,7 @@ def rs13(t, prm=P.DEFAULT):
 
 
 def rs14(t, prm=P.DEFAULT):
-    """create_summary_df on the remaining industrial lands: acres by county
+    """Summary of the remaining zoned land: acres by county
     (rounded half to even) and a Region row, in county order."""
     z = zoned_layer(t, "kept")
     wf = waterfall(z.select("index", "rings"), "index", _masks(t), "mask_id", "mask_order", len(STEPS), prm)
@@ -299,7 +299,7 @@ def rs14(t, prm=P.DEFAULT):
 
 def rs15(t, prm=P.DEFAULT, threshold: float = P.PARCEL_SIZE_THRESHOLD):
     """X2 for every county file: parcel area inside the county's dissolved
-    industrial lands, share of the parcel, at least ``threshold`` acres;
+    zoned land, share of the parcel, at least ``threshold`` acres;
     text key county id + numeric parcel id. Tag matches fan out (no
     de-duplication in this function of the original)."""
     cp = layers.county_parcels_layer(t).withColumn("parcel_acreage", geo.area("rings") / ACRE)

@@ -1,4 +1,4 @@
-"""Employment cross-tabs on industrial lands.
+"""Employment cross-tabs by land status.
 
 Plan shape of every report: facts ⋈ industry ⋈ (locations ⟕ correspondence)
 -> one suppressed conditional aggregate -> order. The two dimension sides

@@ -92,11 +92,11 @@ def build_industrial_parcels(t: Tables, prm=P.DEFAULT) -> DataFrame:
     pairs = point_in_polygon_pairs(pts, PID, "x", "y", tl, "tag_fid", "rings", prm.cell_size, prm.band_width)
     lab = pairs.join(tl.select("tag_fid", "kind", "label"), "tag_fid")
     tags = lab.groupBy(PID).agg(
-        F.min(F.when(F.col("kind") == "ind", F.col("label"))).alias("ind_type"),
+        F.min(F.when((F.col("kind") == "ind") & (F.col("label") != ""), F.col("label"))).alias("ind_type"),
         F.min(F.when(F.col("kind") == "county", F.col("label"))).cast("smallint").alias("county_id"),
         F.min(F.when(F.col("kind") == "mic", F.col("label"))).alias("mic"),
         F.min(F.when(F.col("kind") == "urban", F.col("label"))).alias("urban"))
-    x = v.join(tags.filter(F.col("ind_type") != ""), PID)
+    x = v.join(tags.filter(F.col("ind_type").isNotNull()), PID)
     ratio = F.try_divide(F.col("impval").cast("decimal(20,0)"), F.col("gross_sqft"))
     return x.select(
         PID, "ind_type", "county_id", "mic", "impval", "gross_sqft",

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from acrewise import params as P
-from acrewise.plans import employment
+from acrewise.plans import compare, demographics, employment, operator_checks, parcels, supply
 from acrewise.session import ensure_checkpoint_dir
 from acrewise.sources.tables import Tables
 
@@ -24,14 +24,7 @@ def _wrap(fn) -> QueryFn:
 
 
 def _families():
-    fams = [employment.REPORTS]
-    for mod in ("supply", "parcels", "compare", "demographics", "operator_checks"):
-        try:
-            m = __import__(f"acrewise.plans.{mod}", fromlist=["REPORTS"])
-        except ImportError:
-            continue
-        fams.append(m.REPORTS)
-    return fams
+    return [m.REPORTS for m in (employment, supply, parcels, compare, demographics, operator_checks)]
 
 
 def queries() -> dict[str, QueryFn]:

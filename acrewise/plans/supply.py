@@ -113,15 +113,15 @@ def gs2(t: Tables, prm=P.DEFAULT) -> DataFrame:
 
 def gs3(t: Tables, prm=P.DEFAULT) -> DataFrame:
     """MIC acres without water, per overlapping water body (objectid <> 1).
-    Disjoint (MIC, water) pairs would repeat the MIC's whole area; they are
-    not emitted (that would be the full cross product)."""
+    A centre that meets no water body keeps one row (objectid NULL) with its
+    whole area; its disjoint pairs would only repeat that row."""
     m = layers.mic_layer(t).filter(F.col("mic").isNotNull()).withColumnRenamed("zone_id", "mic_id")
     w = water(t).filter(F.col("mask_id") != 1)
     pa = pair_areas(m, "mic_id", w, "mask_id", prm).filter(F.col("area") > 0)
     marea = m.select("mic_id", "mic", geo.area("rings").alias("_ma"))
-    out = pa.join(marea, "mic_id").select(
+    out = marea.join(pa, "mic_id", "left").select(
         "mic", F.col("mask_id").alias("objectid"),
-        F.round(snap_sqft(F.col("_ma") - F.col("area")) / ACRE, 6).alias("acres"))
+        F.round(snap_sqft(F.col("_ma") - F.coalesce("area", F.lit(0.0))) / ACRE, 6).alias("acres"))
     return out.orderBy("mic", "objectid")
 
 

@@ -71,7 +71,7 @@ def workplace_location_dims(t: Tables) -> DataFrame:
 # ------------------------------------------------------------ polygon layers
 @view
 def zones(t: Tables) -> DataFrame:
-    """Industrial lands inventory: one rectangle per nation row."""
+    """Inventory of industrial zones: one rectangle per nation row."""
     n = t.nation
     k = F.col("n_nationkey")
     k6 = k % 6
@@ -161,9 +161,12 @@ def parcels(t: Tables) -> DataFrame:
 
 @view
 def buildings(t: Tables) -> DataFrame:
+    """One building per order. Every third parcel stays without buildings:
+    its orders are given to the parcel before it."""
     o = t.orders
-    return o.filter(F.col("o_custkey") % 3 != 0).select(
-        F.col("o_custkey").alias("parcel_id"),
+    k = F.col("o_custkey")
+    return o.select(
+        F.when(k % 3 == 0, k - 1).otherwise(k).alias("parcel_id"),
         F.when(F.col("o_orderkey") % 11 == 0, F.lit(0).cast("bigint"))
          .otherwise((F.col("o_orderkey") % 9000).cast("bigint")).alias("improvement_value"),
     )
@@ -197,7 +200,7 @@ def persons(t: Tables, n_replicates: int = 80) -> DataFrame:
 # ------------------------------------------------- R comparison inputs
 @view
 def zoning(t: Tables) -> DataFrame:
-    """Zoned industrial lands layer (County_FLU, County, Ind_Category,
+    """Zoning layer of industrial uses (County_FLU, County, Ind_Category,
     Ind_Code): county names are missing or given as FIPS text on some rows,
     so the clean-up falls back and maps codes; codes 1 and 2 are the two
     kept (non-limited) classes."""

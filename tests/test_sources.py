@@ -93,3 +93,25 @@ def test_read_microdata_prunes_columns(spark):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "mi_jobsector" not in plan.split("ReadSchema")[1]
     assert df.count() == fx.persons(t).count()
+
+
+def test_row_index_over_many_partitions(spark):
+    """No row is lost or misnumbered when the input fills many partitions and
+    the reader uses columns beyond the key."""
+    n = 1_200_000
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes")}
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "2m")
+    try:
+        df = spark.range(n).selectExpr("(id * 7919) % 1200007 AS k", "concat('row ', id) AS payload", "id")
+        out = row_index(df, ["k"])
+        got = out.selectExpr("count(*) AS n", "count(DISTINCT index) AS d", "min(index) AS lo", "max(index) AS hi", "count(DISTINCT payload) AS p").first()
+        assert tuple(got) == (n, n, 1, n, n)
+        from pyspark.sql import Window
+        from pyspark.sql import functions as F
+        late = out.withColumn("b", F.floor(F.col("index") / 1000)).withColumn(
+            "before", F.lag("k").over(Window.partitionBy("b").orderBy("index"))).where("before >= k").count()
+        assert late == 0
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
