@@ -36,7 +36,7 @@ def triple_areas(a: DataFrame, fa: str, b: DataFrame, fb: str, c: DataFrame, fc:
     trip = (bc.join(ab, fb)
             .filter((F.greatest("_ox0", "_abx0") < F.least("_ox1", "_abx1"))
                     & (F.greatest("_oy0", "_aby0") < F.least("_oy1", "_aby1")))
-            .select(fa, fb, fc, "base"))
+            .select(fa, fb, fc, "base", F.greatest("_ox0", "_abx0").alias("_ox0"), F.least("_ox1", "_abx1").alias("_ox1")))
     return ov.triple_area(trip, fa, fb, fc, ov.layer_pieces(a, fa, prm.band_width),
                           ov.layer_pieces(b, fb, prm.band_width), ov.layer_pieces(c, fc, prm.band_width),
                           prm.band_width, prm.max_band_pieces)
@@ -64,13 +64,14 @@ def erase_union_area(a: DataFrame, fa: str, masks: DataFrame, fm: str, b: DataFr
     if b is None:
         # only features that meet a mask go through the slab overlay; the
         # rest keep their own area (one shoelace per row, no shuffle)
-        mp = ov.bbox_pairs(a, fa, masks, fm, prm.cell_size).select(F.col(fa).alias("g"), F.col(fm).alias("_fid"))
+        mp = ov.bbox_pairs(a, fa, masks, fm, prm.cell_size).select(
+            F.col(fa).alias("g"), F.col(fm).alias("_fid"), F.col("_ox0").alias("xmin"), F.col("_ox1").alias("xmax"))
         hit = mp.select(F.col("g").alias(fa)).distinct()
         subj = a.join(hit, fa, "left_semi").select(F.col(fa).alias("g"), F.col(fa).alias("_fid"),
                                                    F.lit(0).alias("layer"))
         pieces = [ov.group_pieces(subj, ov.layer_pieces(a, fa, band).withColumnRenamed(fa, "_fid"), "_fid")]
         pieces.append(ov.group_pieces(mp.withColumn("layer", F.lit(1)),
-                                      ov.layer_pieces(masks, fm, band).withColumnRenamed(fm, "_fid"), "_fid"))
+                                      ov.layer_pieces(masks, fm, band).withColumnRenamed(fm, "_fid"), "_fid", band))
         keep = lambda n: (n[0] != 0) & (n[1] == 0)
         n_layers = 2
         untouched = a.join(hit, fa, "left_anti").select(fa, geo.area("rings").alias("area"))
@@ -80,13 +81,16 @@ def erase_union_area(a: DataFrame, fa: str, masks: DataFrame, fm: str, b: DataFr
         # meeting the b feature (layer 2); all pieces come from one tagged
         # union of the three layers, joined once on (kind, fid)
         ab = ov.bbox_pairs(a, fa, b, fb, prm.cell_size).select(
-            F.struct(F.col(fa).alias(fa), F.col(fb).alias(fb)).alias("g"), fa, fb)
-        bm = ov.bbox_pairs(b, fb, masks, fm, prm.cell_size).select(fb, F.col(fm).cast("string").alias("_mf"))
+            F.struct(F.col(fa).alias(fa), F.col(fb).alias(fb)).alias("g"), fa, fb,
+            F.col("_ox0").alias("xmin"), F.col("_ox1").alias("xmax"))
+        bm = ov.bbox_pairs(b, fb, masks, fm, prm.cell_size).select(fb, F.col(fm).cast("string").alias("_mf"), "_ox0", "_ox1")
         own = ab.select("g", F.explode(F.array(
             F.struct(F.lit(0).alias("layer"), F.lit("a").alias("_kind"), F.col(fa).cast("string").alias("_fid")),
             F.struct(F.lit(1).alias("layer"), F.lit("b").alias("_kind"), F.col(fb).cast("string").alias("_fid"))
-        )).alias("_m")).select("g", "_m.*")
-        mk = ab.join(bm, fb).select("g", F.lit(2).alias("layer"), F.lit("m").alias("_kind"), F.col("_mf").alias("_fid"))
+        )).alias("_m"), "xmin", "xmax").select("g", "_m.*", "xmin", "xmax")
+        mk = (ab.join(bm, fb).select("g", F.lit(2).alias("layer"), F.lit("m").alias("_kind"), F.col("_mf").alias("_fid"),
+                                     F.greatest("xmin", "_ox0").alias("xmin"), F.least("xmax", "_ox1").alias("xmax"))
+              .filter("xmax > xmin"))
         members = own.unionByName(mk)
         lp = (ov.layer_pieces(a, fa, band).select(F.lit("a").alias("_kind"), F.col(fa).cast("string").alias("_fid"),
                                                   "band", "l", "r", "yl", "yr", "c")
@@ -96,7 +100,7 @@ def erase_union_area(a: DataFrame, fa: str, masks: DataFrame, fm: str, b: DataFr
               .unionByName(ov.layer_pieces(masks, fm, band).select(F.lit("m").alias("_kind"),
                                                                    F.col(fm).cast("string").alias("_fid"),
                                                                    "band", "l", "r", "yl", "yr", "c")))
-        pieces = [members.join(lp, ["_kind", "_fid"]).select("g", "layer", "band", "l", "r", "yl", "yr", "c")]
+        pieces = [ov.group_pieces(members, lp, ["_kind", "_fid"], band)]
         keep = lambda n: (n[0] != 0) & (n[1] != 0) & (n[2] == 0)
         n_layers = 3
     allp = pieces[0]
@@ -152,17 +156,19 @@ def waterfall(layer: DataFrame, fid: str, masks: DataFrame, fm: str, order_col:
     Every feature of the (inventory-sized) layer goes through the pass, so
     the candidate (feature, mask) pairs are formed and read once."""
     band = prm.band_width
-    subj = layer.select(F.col(fid).alias("g"), F.lit("f").alias("_kind"),
-                        F.col(fid).cast("string").alias("_fid"), F.lit(0).alias("layer"))
+    box = geo.bbox("rings")
+    subj = layer.select(F.col(fid).alias("g"), F.lit("f").alias("_kind"), F.col(fid).cast("string").alias("_fid"), F.lit(0).alias("layer"),
+                        box["xmin"].alias("xmin"), box["xmax"].alias("xmax"))
     mp = (ov.bbox_pairs(layer, fid, masks, fm, prm.cell_size)
           .join(masks.select(fm, (F.col(order_col) + 1).alias("layer")), fm)
-          .select(F.col(fid).alias("g"), F.lit("m").alias("_kind"), F.col(fm).cast("string").alias("_fid"), "layer"))
+          .select(F.col(fid).alias("g"), F.lit("m").alias("_kind"), F.col(fm).cast("string").alias("_fid"), "layer",
+                  F.col("_ox0").alias("xmin"), F.col("_ox1").alias("xmax")))
     lp = (ov.layer_pieces(layer, fid, band).select(F.lit("f").alias("_kind"), F.col(fid).cast("string").alias("_fid"),
                                                    "band", "l", "r", "yl", "yr", "c")
           .unionByName(ov.layer_pieces(masks, fm, band).select(F.lit("m").alias("_kind"),
                                                                F.col(fm).cast("string").alias("_fid"),
                                                                "band", "l", "r", "yl", "yr", "c")))
-    pieces = subj.unionByName(mp).join(lp, ["_kind", "_fid"]).select("g", "layer", "band", "l", "r", "yl", "yr", "c")
+    pieces = ov.group_pieces(subj.unionByName(mp), lp, ["_kind", "_fid"], band)
     n_layers = n_orders + 1
 
     def first_cover(n):

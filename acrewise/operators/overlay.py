@@ -107,6 +107,19 @@ def _at_sql(tag: str, x: str) -> str:
     return sql_interp(f"{tag}_l", f"{tag}_r", f"{tag}_yl", f"{tag}_yr", x)
 
 
+def near_overlap(pairs: DataFrame, pieces: DataFrame, fid: str, band: float) -> DataFrame:
+    """The pairs with those pieces of feature ``fid`` that reach into the
+    pair's overlap box (``_ox0``, ``_ox1``): the bands of the box are spelled
+    out first, so a feature with many edges is joined on (feature, band) and
+    gives a small partner the edges near it, not all of them. Exact, as the
+    other feature has no edges beyond the box's x-range."""
+    if "_ox0" not in pairs.columns:
+        return pairs.join(pieces, fid)
+    spelled = pairs.withColumn("band", F.explode(F.sequence(
+        F.floor(F.col("_ox0") / band), F.floor(F.col("_ox1") / band))))
+    return spelled.join(pieces, [fid, "band"]).filter("r > _ox0 AND l < _ox1")
+
+
 def pair_area(pairs: DataFrame, fa: str, fb: str, pieces_a: DataFrame, pieces_b: DataFrame,
               band: float | None = None, max_pieces: int | None = None) -> DataFrame:
     """Exact overlap area for each candidate pair -> (fa, fb, area).
@@ -118,7 +131,7 @@ def pair_area(pairs: DataFrame, fa: str, fb: str, pieces_a: DataFrame, pieces_b:
     ka, kb = pieces_a.columns[0], pieces_b.columns[0]
     if band is not None and max_pieces is not None:
         grid = band_grid(pieces_b, kb, max_pieces)
-        a_rows = pairs.join(pieces_a.withColumnRenamed(ka, fa), fa)
+        a_rows = near_overlap(pairs, pieces_a.withColumnRenamed(ka, fa), fa, band)
         a_rows = onto_grid(a_rows.withColumnRenamed(fb, "_fbk"), grid.withColumnRenamed(kb, "_fbk"),
                            "_fbk", band, clip=True).withColumnRenamed("_fbk", fb)
         b_rows = onto_grid(pieces_b, grid, kb, band, clip=True)
@@ -161,12 +174,19 @@ def triple_area(triples: DataFrame, fa: str, fb: str, fc: str,
 
         def regrid(p):
             g = onto_grid(p.withColumn("_all", F.lit(0)), hot, "_all", band, clip=True)
-            return g.drop("_all", "band").withColumnRenamed("sband", "band")
+            return g.drop("_all").withColumnRenamed("band", "_wide").withColumnRenamed("sband", "band")
         pieces_a, pieces_b, pieces_c = regrid(pieces_a), regrid(pieces_b), regrid(pieces_c)
     pa = _side(pieces_a, ka, "_pa")
     pb = _side(pieces_b, kb, "_pb")
     pc = _side(pieces_c, kc, "_pc")
-    j = (triples.join(pa, F.col(fa) == F.col("_pa"))
+    on_a = F.col(fa) == F.col("_pa")
+    if band is not None and "_ox0" in triples.columns:
+        # the bands of the triple's overlap box first, as in near_overlap
+        triples = triples.withColumn("_tb", F.explode(F.sequence(F.floor(F.col("_ox0") / band), F.floor(F.col("_ox1") / band))))
+        wide = pieces_a.select(F.col(ka).alias("_pa"), F.col("_wide" if "_wide" in pieces_a.columns else "band").alias("_pa_wide"),
+                               F.col("band").alias("_pa_band"), *[F.col(c).alias(f"_pa_{c}") for c in ("l", "r", "yl", "yr", "c")])
+        pa, on_a = wide, on_a & (F.col("_tb") == F.col("_pa_wide")) & (F.col("_pa_r") > F.col("_ox0")) & (F.col("_pa_l") < F.col("_ox1"))
+    j = (triples.join(pa, on_a)
          .join(pb, (F.col(fb) == F.col("_pb")) & (F.col("_pa_band") == F.col("_pb_band")))
          .join(pc, (F.col(fc) == F.col("_pc")) & (F.col("_pa_band") == F.col("_pc_band"))))
     j = j.selectExpr(f"`{fa}`", f"`{fb}`", f"`{fc}`", "base", "_pa_c * _pb_c * _pc_c AS _s",
@@ -328,15 +348,22 @@ def slab_overlay(pieces: DataFrame, n_layers: int,
     return s.groupBy(*gcols).agg(F.sum("area").alias("area"))
 
 
-def group_pieces(members: DataFrame, layer_pieces_by_fid: DataFrame, fid_col: str) -> DataFrame:
+def group_pieces(members: DataFrame, layer_pieces_by_fid: DataFrame, fid_col: str | Sequence[str], band: float | None = None) -> DataFrame:
     """Attach the banded pieces of each member feature to its group.
 
-    ``members``: g, layer, <fid_col>, and optional clip window xmin/xmax.
-    """
-    j = members.join(layer_pieces_by_fid, fid_col)
-    if "xmin" in members.columns:
-        j = j.selectExpr("*", "greatest(l, xmin) AS _nl", "least(r, xmax) AS _nr").filter("_nr > _nl")
-        j = j.selectExpr("g", "layer", "band", "_nl AS l", "_nr AS r",
-                         f"{sql_interp('l', 'r', 'yl', 'yr', '_nl')} AS yl",
-                         f"{sql_interp('l', 'r', 'yl', 'yr', '_nr')} AS yr", "c")
-    return j.select("g", "layer", "band", "l", "r", "yl", "yr", "c")
+    ``members``: g, layer, the feature's column(s), and optionally a clip
+    window xmin/xmax: then only the bands of the window are joined (``band``
+    is their width) and the pieces are cut to it, so a huge feature gives
+    each group the edges above its window alone."""
+    on = [fid_col] if isinstance(fid_col, str) else list(fid_col)
+    if "xmin" not in members.columns:
+        j = members.join(layer_pieces_by_fid, on)
+        return j.select("g", "layer", "band", "l", "r", "yl", "yr", "c")
+    if band is not None:
+        members = members.withColumn("band", F.explode(F.sequence(F.floor(F.col("xmin") / band), F.floor(F.col("xmax") / band))))
+        on = [*on, "band"]
+    j = members.join(layer_pieces_by_fid, on)
+    j = j.selectExpr("*", "greatest(l, xmin) AS _nl", "least(r, xmax) AS _nr").filter("_nr > _nl")
+    return j.selectExpr("g", "layer", "band", "_nl AS l", "_nr AS r",
+                        f"{sql_interp('l', 'r', 'yl', 'yr', '_nl')} AS yl",
+                        f"{sql_interp('l', 'r', 'yl', 'yr', '_nr')} AS yr", "c")

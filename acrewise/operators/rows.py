@@ -30,18 +30,15 @@ def row_index(df: DataFrame, order: Sequence[str], name: str = "index", start: i
 
 
 def keep_first(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """``distinct(key, .keep_all = TRUE)``; among rows of a key the
-    first in ``order`` is kept (deterministic tie-break on the remaining
-    columns). Written as ``min(struct(order..., rest...))`` per key: a
-    fixed-size buffer merged map-side, so a key holding a third of the rows
-    is never sorted or gathered in one task."""
-    rest = [c for c in df.columns if c not in key and c not in order]
-    packed = F.struct(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)],
-                      *[F.col(c).alias(f"_r{i}") for i, c in enumerate(rest)])
-    agg = df.groupBy(*key).agg(F.min(packed).alias("_first"))
-    cols = {**{c: F.col(f"_first._o{i}") for i, c in enumerate(order)},
-            **{c: F.col(f"_first._r{i}") for i, c in enumerate(rest)}}
-    return agg.select(*[(F.col(c) if c in key else cols[c].alias(c)) for c in df.columns])
+    """``distinct(key, .keep_all = TRUE)``; among rows of a key the first
+    in ``order`` is kept, which must tell the rows of a key apart. The least
+    order value of each key is a narrow aggregate, combined map-side, so a
+    key holding a third of the rows is never gathered in one task; the rows
+    come back by a semi-join and wide columns (geometry) are never sorted."""
+    first = df.groupBy(*key).agg(F.min(F.struct(*order)).alias("_first")).select(
+        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)], *[F.col(f"_first.{c}").alias(f"_o{i}") for i, c in enumerate(order)])
+    on = [df[k].eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(key)] + [df[c].eqNullSafe(F.col(f"_o{i}")) for i, c in enumerate(order)]
+    return df.join(first, on, "left_semi")
 
 
 def repeated_keys(df: DataFrame, key: Sequence[str]) -> DataFrame:

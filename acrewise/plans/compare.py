@@ -101,7 +101,9 @@ def remaining_parts(t: Tables, prm=P.DEFAULT) -> DataFrame:
         parts = waterfall(z.select("index", "rings"), "index", _masks(t), "mask_id", "mask_order",
                           len(STEPS), prm, geometry=True)
         parts = parts.join(z.select("index", "county_name", "category"), "index")
-        return parts.withColumn("part_id", F.xxhash64("index", F.to_json("rings")))
+        # a trapezoid is told apart by its feature, its x-range and its lower left and upper right heights
+        r = F.col("rings")[0]
+        return parts.withColumn("part_id", F.concat_ws(":", "index", r[0]["x"], r[0]["y"], r[1]["x"], r[2]["y"]))
     return materialized(t.spark, ("remaining_parts", t.sf_dir, prm), build)
 
 
@@ -314,9 +316,10 @@ def rs15(t, prm=P.DEFAULT, threshold: float = P.PARCEL_SIZE_THRESHOLD):
         .withColumn("layer", F.lit(0))
     pieces = ov.group_pieces(subj, ov.layer_pieces(cp, "parcel_row", band).withColumnRenamed("parcel_row", "_fid"),
                              "_fid")
-    zp = cand.select(F.col("parcel_row").alias("g"), F.col("part_id").alias("_fid"), F.lit(1).alias("layer"))
+    zp = cand.select(F.col("parcel_row").alias("g"), F.col("part_id").alias("_fid"), F.lit(1).alias("layer"),
+                     F.col("_ox0").alias("xmin"), F.col("_ox1").alias("xmax"))
     pieces = pieces.unionByName(
-        ov.group_pieces(zp, ov.layer_pieces(parts, "part_id", band).withColumnRenamed("part_id", "_fid"), "_fid"))
+        ov.group_pieces(zp, ov.layer_pieces(parts, "part_id", band).withColumnRenamed("part_id", "_fid"), "_fid", band))
     inter = ov.slab_overlay(pieces, 2, lambda n: (n[0] != 0) & (n[1] != 0), band=prm.band_width,
                             max_pieces=prm.max_band_pieces).select(
         F.col("g").alias("parcel_row"), (snap_sqft(F.col("area")) / ACRE).alias("total_acreage"))

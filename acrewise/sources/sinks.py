@@ -1,15 +1,16 @@
 """Sinks (S9, S11, S12, S14, S15) and reuse of saved intermediates.
 
-``materialized`` is the recompute-or-reload switch of the original
-scripts: the first call in a session writes the frame through a reliable
-``checkpoint()`` into the shared folder named by ``spark.checkpoint.dir``
-(so a lost executor does not lose it, and its lineage is cut); later calls
-in the session reuse it. Tables such as the workplace correspondence were
-materialized in the original for the same reason.
+``materialized`` is the recompute-or-reload switch of the original scripts:
+the frame is written as Parquet into the shared folder (so a lost executor
+does not lose it, its lineage is cut and readers prune columns), and read
+from there afterwards. With ``spark.acrewise.intermediates`` set to a shared
+folder the files outlive the session and a later one reloads them; without
+it they belong to the application and lie in ``spark.checkpoint.dir``.
 """
 
 from __future__ import annotations
 
+import hashlib
 import os
 from collections.abc import Callable
 
@@ -17,19 +18,30 @@ from pyspark.sql import DataFrame, SparkSession
 
 from acrewise.session import ensure_checkpoint_dir
 
-_CACHE: dict[tuple, DataFrame] = {}
+_DONE: set[str] = set()
+
+
+def intermediates(spark: SparkSession) -> str:
+    """The folder that saved intermediates lie in."""
+    kept = spark.conf.get("spark.acrewise.intermediates", None)
+    return (kept or f"{ensure_checkpoint_dir(spark).rstrip('/')}/acrewise-{spark.sparkContext.applicationId}").rstrip("/")
+
+
+def _written(spark: SparkSession, path: str) -> bool:
+    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
 
 
 def materialized(spark: SparkSession, key: tuple, build: Callable[[], DataFrame],
                  recalculate: bool = False) -> DataFrame:
-    """Build once per session and key, checkpointed; reuse after."""
-    k = (id(spark), spark.sparkContext.applicationId, *key)
-    if recalculate or k not in _CACHE:
-        ensure_checkpoint_dir(spark)
-        df = build().persist()      # so writing the checkpoint does not recompute it
-        _CACHE[k] = df.checkpoint(eager=True)
-        df.unpersist()
-    return _CACHE[k]
+    """Write once per folder and key, read after. ``key`` names the
+    frame, its inputs and its parameters; ``recalculate`` writes it anew
+    (needed when the input tables have changed)."""
+    path = f"{intermediates(spark)}/{key[0]}-{hashlib.sha1(repr(key).encode()).hexdigest()[:16]}"
+    if recalculate or (path not in _DONE and not _written(spark, path)):
+        build().write.mode("overwrite").parquet(path)
+    _DONE.add(path)
+    return spark.read.parquet(path)
 
 
 def save(df: DataFrame, path: str, fmt: str = "parquet", partition_by: list[str] | None = None) -> None:
