@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from acrewise.llm.common import on_arrow, partitions, row_key, table
+from acrewise.llm.common import on_arrow, partitions, row_key, scratch, stored, table
 
 MIN_CHARS = 10
 HOT_LINES = 256      # lines of a hash from which it can count as hot
@@ -82,7 +82,8 @@ def bitmaps(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     zlib-compressed bits of its lines (1: stays, first line first)."""
     k = row_key(df, key, text)
     docs = df.select(F.coalesce(k["id"], F.lit(LAST)).alias("id"), k["fp"].alias("fp"), F.col(f"`{text}`").alias("text")).dropna(subset=["text"])
-    lines = on_arrow(docs, line_hashes, "h1 long, h2 long, id long, fp long, at int")
+    # written once: the hashes are read three times, the texts once
+    lines = stored(on_arrow(docs, line_hashes, "h1 long, h2 long, id long, fp long, at int"), scratch(df.sparkSession), "lines")
     hot = (lines.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("owner"))
            .where(F.col("n") >= HOT_LINES).orderBy(F.desc("n"), "h1", "h2").limit(HOT_KEYS).drop("n"))
     tagged = lines.join(F.broadcast(hot), ["h1", "h2"], "left")
