@@ -7,10 +7,8 @@ Per group, in order:
    of private raw jobs, or confidential firms hold over 80% -> 'S'
 4. otherwise the rounded count as text.
 
-The rule is a single aggregate Column, so it runs inside the partial /
-final hash aggregation and needs no extra pass. ``when`` restricts every
-input to one pivot cell, which is how a pivot is expressed as a
-conditional aggregate in one shuffle.
+The rule is a scalar on five aggregates (four sums and a maximum), which merge:
+cells aggregated once can be aggregated further before the rule is applied.
 """
 
 from __future__ import annotations
@@ -24,66 +22,20 @@ DOMINANCE_SHARE = 0.8
 FEW_PRIVATE = (1, 2)
 
 
-def _only(c: Column, when: Column | None) -> Column:
-    return c if when is None else F.when(when, c)
-
-
-def suppressed_count_sql(when: str | None = None, covered: str = "jobcount_covered",
-                         raw: str = "jobcount_raw", private: str = "private_sector",
-                         confid: str = "confid_firm_id") -> Column:
-    """The same rule as one SQL aggregate expression; ``when`` is SQL text
-    restricting the rows of one pivot cell. Built as text so a report with
-    many cells costs one round trip per cell when the plan is built."""
-    def only(e):
-        return e if when is None else f"CASE WHEN {when} THEN {e} END"
-    cov, priv = only(covered), only(private)
-    rp = only(f"{raw} * {private}")
-    rpc = only(f"{raw} * {private} * CASE WHEN {confid} = 0 THEN 0 ELSE 1 END")
-    rounded = f"CAST(CAST(round(sum({cov}), 0) AS INT) AS STRING)"
-    return F.expr(
-        f"CASE WHEN sum({cov}) < {ZERO_BELOW} THEN '0' "
-        f"WHEN sum({priv}) = 0 THEN {rounded} "
-        f"WHEN sum({priv}) IN {FEW_PRIVATE} OR try_divide(max({rp}), sum({rp})) > {DOMINANCE_SHARE} "
-        f"OR try_divide(sum({rpc}), sum({rp})) > {DOMINANCE_SHARE} THEN 'S' "
-        f"ELSE {rounded} END")
-
-
-def suppressed_count(covered: str = "jobcount_covered", raw: str = "jobcount_raw",
-                     private: str = "private_sector", confid: str = "confid_firm_id",
-                     when: Column | None = None) -> Column:
-    """Aggregate Column: suppressed covered-employment text for a group."""
-    cov = _only(F.col(covered), when)
-    priv = _only(F.col(private), when)
-    rp = _only(F.col(raw) * F.col(private), when)
-    # NULL firm id counts as confidential (ELSE branch of the original CASE)
-    conf_flag = F.when(F.col(confid) == 0, F.lit(0)).otherwise(F.lit(1))
-    rpc = _only(F.col(raw) * F.col(private) * conf_flag, when)
-
-    s_cov = F.sum(cov)
-    s_priv = F.sum(priv)
-    s_rp = F.sum(rp)
-    rounded = F.round(s_cov, 0).cast("int").cast("string")
-    dominated = (
-        s_priv.isin(*FEW_PRIVATE)
-        | (F.try_divide(F.max(rp), s_rp) > DOMINANCE_SHARE)
-        | (F.try_divide(F.sum(rpc), s_rp) > DOMINANCE_SHARE)
-    )
-    return (F.when(s_cov < ZERO_BELOW, F.lit("0"))
-            .when(s_priv == 0, rounded)
-            .when(dominated, F.lit("S"))
-            .otherwise(rounded))
-
-
-# two-step form: the five inputs of the rule as plain aggregates (cheap,
-# partial aggregation, whole-stage codegen), the rule as a scalar on them
 def suppression_inputs(covered: str = "jobcount_covered", raw: str = "jobcount_raw",
                        private: str = "private_sector", confid: str = "confid_firm_id") -> list[Column]:
     rp = F.col(raw) * F.col(private)
+    # NULL firm id counts as confidential (ELSE branch of the original CASE)
     conf_flag = F.when(F.col(confid) == 0, F.lit(0)).otherwise(F.lit(1))
     return [F.sum(covered).alias("_s_cov"), F.sum(private).alias("_s_priv"), F.sum(rp).alias("_s_rp"),
             F.max(rp).alias("_m_rp"), F.sum(rp * conf_flag).alias("_s_rpc")]
 
 
+def suppression_merge() -> list[Column]:
+    """Aggregates over columns made by ``suppression_inputs``."""
+    return [*[F.sum(c).alias(c) for c in ("_s_cov", "_s_priv", "_s_rp", "_s_rpc")], F.max("_m_rp").alias("_m_rp")]
+
+
 def suppression_rule() -> Column:
     """The rule over the columns made by ``suppression_inputs``."""
     rounded = "CAST(CAST(round(_s_cov, 0) AS INT) AS STRING)"

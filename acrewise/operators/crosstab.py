@@ -1,12 +1,9 @@
-"""Suppressed employment cross-tabs: group, suppress, pivot in one aggregate.
-
-``PIVOT (max(v) FOR k IN (...))`` over a grouped, suppressed CTE is the
-same as one aggregation over the remaining label columns whose outputs are
-the suppression rule restricted to ``k = value`` (a conditional aggregate).
-Spark runs it as a single partial + final hash aggregation: one shuffle of
-partial aggregates, however many pivot columns there are. ``CUBE(year, a,
-b) HAVING year IS NOT NULL`` followed by the year pivot is ``CUBE(a, b)``
-with per-year aggregates, so the grouping sets never hold a year-less set.
+"""Suppressed employment cross-tabs: aggregate, suppress, pivot.
+
+``PIVOT (max(v) FOR k IN (...))`` over a grouped, suppressed CTE: the inputs
+of the rule are summed by (row labels, cell) from the finest cells, the rule
+is a scalar on that small result, and the pivot runs on it. ``CUBE(year, a,
+b) HAVING year IS NOT NULL`` keeps the year in every grouping set.
 """
 
 from __future__ import annotations
@@ -16,47 +13,29 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from acrewise.functions.suppress import (suppressed_count, suppressed_count_sql, suppression_inputs,
-                                         suppression_rule)
+from acrewise.functions.suppress import suppression_merge, suppression_rule
 
 
 def suppressed_crosstab(base: DataFrame, rows: Sequence[str | Column],
-                        cells: Sequence[tuple[str, Column | str]], grouping: str = "plain",
+                        cells: Sequence[tuple[str, str]], grouping: str = "plain",
                         key: Column | None = None) -> DataFrame:
-    """Suppressed cross-tab.
-
-    With ``key`` (a Column naming the pivot cell of a row, e.g. the year or
-    'county,year') the work is split like the original's CTE + PIVOT: the
-    five inputs of the rule are plain aggregates per (row labels, cell) —
-    cheap, partial aggregation, codegen — the rule is a scalar on that
-    small result, and the pivot runs on it. ``cells`` then only names the
-    listed cells; rows in unlisted cells still make their group appear
-    (with NULL cells), as PIVOT does.
+    """Suppressed cross-tab of cells that hold the rule's inputs.
 
-    Without ``key`` every cell is one conditional aggregate in a single pass.
+    ``key`` names the pivot cell of a row, e.g. the year or 'county,year';
+    ``cells`` lists the cells shown: rows in unlisted cells still make their
+    group appear (with NULL cells), as PIVOT does.
     """
-    if key is None:
-        aggs = [(suppressed_count_sql(when=cond) if isinstance(cond, str) else suppressed_count(when=cond)).alias(name)
-                for name, cond in cells]
-        if grouping == "cube":
-            g = base.cube(*rows)
-        elif grouping == "plain":
-            g = base.groupBy(*rows)
-        else:
-            raise ValueError(grouping)
-        return g.agg(*aggs)
     row_cols = [F.col(r) if isinstance(r, str) else r for r in rows]
-    b = base.select(*row_cols, key.cast("string").alias("_cell"), "jobcount_covered", "jobcount_raw",
-                    "private_sector", "confid_firm_id")
+    b = base.select(*row_cols, key.cast("string").alias("_cell"), "_s_cov", "_s_priv", "_s_rp", "_m_rp", "_s_rpc")
     names = b.columns[:len(rows)]
     if grouping == "cube":
         sets = [[n for n, keep in zip(names, mask) if keep]
                 for mask in _subsets(len(names))]
         g = b.groupingSets([["_cell", *s_] for s_ in sets], "_cell", *names)
-        agg = g.agg(*suppression_inputs(), F.grouping_id().alias("_gid"))
+        agg = g.agg(*suppression_merge(), F.grouping_id().alias("_gid"))
         by = [*names, "_gid"]
     elif grouping == "plain":
-        agg = b.groupBy("_cell", *names).agg(*suppression_inputs())
+        agg = b.groupBy("_cell", *names).agg(*suppression_merge())
         by = names
     else:
         raise ValueError(grouping)

@@ -1,7 +1,8 @@
 """Employment cross-tabs by land status.
 
-Plan shape of every report: facts ⋈ industry ⋈ (locations ⟕ correspondence)
--> one suppressed conditional aggregate -> order. The two dimension sides
+Plan shape: facts ⋈ industry ⋈ (locations ⟕ correspondence) -> the inputs of
+the suppression rule at the finest grain, saved once -> per report an
+aggregate of those cells, the rule, a pivot, order. The two dimension sides
 are broadcast behind a row-count bound, so the fact table is scanned once,
 never shuffled for the joins, and only partial aggregates cross the network.
 """
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from acrewise import params as P
 from acrewise.functions import labels as L
+from acrewise.functions.suppress import suppression_inputs
 from acrewise.operators.crosstab import header_cells, header_key, suppressed_crosstab, year_cells, year_key
 from acrewise.operators.joins import bounded_broadcast
 from acrewise.operators.spatial import point_in_polygon_pairs
@@ -48,17 +50,31 @@ def correspondence_qc(t: Tables, prm: P.Params = P.DEFAULT) -> DataFrame:
     return correspondence(t, prm).filter(F.col("ind_type").isNull())
 
 
+FINEST = ["data_year", "county_id", "mic", "ind_type", "placed", "manuf_industrial_group", "manuf_industrial_detail"]
+
+
+def employment_cells(t: Tables, prm: P.Params = P.DEFAULT) -> DataFrame:
+    """The inputs of the suppression rule at the finest grain any report
+    needs. They are sums and a maximum, so every report (and every cube)
+    aggregates these cells; the facts are read and joined once. ``placed``
+    tells a workplace with a correspondence row from one without."""
+    def build():
+        ind = bounded_broadcast(fx.industry_dims(t), prm.broadcast_max_rows)
+        loc = fx.workplace_location_dims(t).select(LOC, "county_id", "mic")
+        corr = correspondence(t, prm)
+        tagged = loc.join(corr.withColumn("placed", F.lit(True)), LOC, "left")
+        # |loc left join corr| <= |loc| + |corr|: bound by the two inputs
+        tagged = bounded_broadcast(tagged, prm.broadcast_max_rows, bound_by=[loc, corr])
+        rows = fx.workplace_facts(t).join(ind, "industry_id").join(tagged, LOC)
+        return rows.groupBy(*FINEST).agg(*suppression_inputs())
+    return materialized(t.spark, ("employment_cells", t.sf_dir, prm), build)
+
+
 def employment_base(t: Tables, years, corr_join: str = "left",
                     prm: P.Params = P.DEFAULT) -> DataFrame:
-    """Row-level base shared by all reports (one row per fact and match)."""
-    facts = fx.workplace_facts(t).filter(F.col("data_year").isin(*years))
-    ind = bounded_broadcast(fx.industry_dims(t), prm.broadcast_max_rows)
-    loc = fx.workplace_location_dims(t).select(LOC, "county_id", "mic")
-    corr = correspondence(t, prm)
-    tagged = loc.join(corr, LOC, corr_join)
-    # |loc ⟕ corr| <= |loc| + |corr|: bound by the two inputs
-    loc = bounded_broadcast(tagged, prm.broadcast_max_rows, bound_by=[loc, corr])
-    return facts.join(ind, "industry_id").join(loc, LOC)
+    """The cells of some years; ``inner`` keeps placed workplaces only."""
+    cells = employment_cells(t, prm).filter(F.col("data_year").isin(*years))
+    return cells.filter("placed") if corr_join == "inner" else cells
 
 
 # ------------------------------------------------------------------ reports

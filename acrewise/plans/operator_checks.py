@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from acrewise import params as P
 from acrewise.functions import geometry as geo
-from acrewise.functions.suppress import suppression_inputs, suppression_rule
+from acrewise.functions.suppress import suppression_merge, suppression_rule
 from acrewise.operators import overlay as ov
 from acrewise.operators.areas import erase_union_area, pair_areas, snap_sqft
 from acrewise.operators.rows import row_index
@@ -90,7 +90,7 @@ def g14_dissolve(t: Tables, prm=P.DEFAULT) -> DataFrame:
 def a9_suppress(t: Tables, prm=P.DEFAULT) -> DataFrame:
     """The suppression rule alone, by year and industry group."""
     b = employment_base(t, P.YEARS_6, prm=prm)
-    agg = b.groupBy("data_year", "manuf_industrial_group").agg(*suppression_inputs())
+    agg = b.groupBy("data_year", "manuf_industrial_group").agg(*suppression_merge())
     return agg.select("data_year", "manuf_industrial_group", suppression_rule().alias("emp_covered"))
 
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from acrewise.functions import labels as L
-from acrewise.functions.suppress import suppressed_count, suppression_inputs, suppression_rule
+from acrewise.functions.suppress import suppression_inputs, suppression_merge, suppression_rule
 from acrewise.operators.reshape import with_total_row
 
 SCHEMA = "g string, jobcount_covered double, jobcount_raw double, private_sector int, confid_firm_id long"
@@ -15,9 +15,9 @@ SCHEMA = "g string, jobcount_covered double, jobcount_raw double, private_sector
 
 def _supp(spark, rows):
     df = spark.createDataFrame(rows, SCHEMA)
-    one = {r.g: r.v for r in df.groupBy("g").agg(suppressed_count().alias("v")).collect()}
-    two = {r.g: r.v for r in df.groupBy("g").agg(*suppression_inputs()).select("g", suppression_rule().alias("v"))
-           .collect()}
+    one = {r.g: r.v for r in df.groupBy("g").agg(*suppression_inputs()).select("g", suppression_rule().alias("v")).collect()}
+    cells = df.groupBy("g", "confid_firm_id").agg(*suppression_inputs())
+    two = {r.g: r.v for r in cells.groupBy("g").agg(*suppression_merge()).select("g", suppression_rule().alias("v")).collect()}
     assert one == two
     return one
 
