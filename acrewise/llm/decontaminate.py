@@ -49,14 +49,20 @@ def seeds(df: DataFrame, h: str, at: str) -> DataFrame:
         for n, m in enumerate(MASKS)]))).where("seed IS NOT NULL")
 
 
+def around(words: str, at: str):
+    """What a window that holds the seed at ``at`` can reach."""
+    before = F.least(F.col(at), F.lit(WINDOW - 1))
+    return F.slice(words, F.col(at) - before + 1, before + WINDOW), before
+
+
 def best_window() -> Column:
-    """Most equal words in a window that holds the seed at ``p`` of the text
-    (words ``h``) and ``q`` of the item (words ``g``); null if none fits."""
-    size = F.least(F.lit(WINDOW), F.size("g"))
-    shifts = F.filter(F.sequence(F.lit(0), size - 1), lambda t: (t <= F.col("p")) & (t <= F.col("q")) & (
-        F.col("p") - t + size <= F.size("h")) & (F.col("q") - t + size <= F.size("g")))
+    """Most equal words in a window of ``size`` that holds the seed, which is
+    at ``p`` of the text's words ``h`` and at ``q`` of the item's ``g``; null
+    if none fits."""
+    shifts = F.filter(F.sequence(F.lit(0), F.col("size") - 1), lambda t: (t <= F.col("p")) & (t <= F.col("q")) & (
+        F.col("p") - t + F.col("size") <= F.size("h")) & (F.col("q") - t + F.col("size") <= F.size("g")))
     return F.array_max(F.transform(shifts, lambda t: F.size(F.filter(
-        F.sequence(F.lit(0), size - 1), lambda i: F.get("h", F.col("p") - t + i) == F.get("g", F.col("q") - t + i)))))
+        F.sequence(F.lit(0), F.col("size") - 1), lambda i: F.get("h", F.col("p") - t + i) == F.get("g", F.col("q") - t + i)))))
 
 
 def leaks(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text",
@@ -74,9 +80,12 @@ def leaks(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
         found = ours.select("k", "p", "seed").join(theirs.select("item_id", "q", "seed"), "seed").distinct()
         both = found.join(docs.dropDuplicates(["k"]).withColumnRenamed("k", "k2"), F.col("k").eqNullSafe(F.col("k2")))
         hits = both.join(items.withColumnRenamed("item_id", "i2"), F.col("item_id").eqNullSafe(F.col("i2")))
-    need = F.when(F.size("g") >= WINDOW, WINDOW - SUBSTITUTIONS).otherwise(F.size("g"))
-    scored = hits.select("k", "item_id", need.alias("need"), best_window().alias("best"))
-    return scored.where("best >= need").groupBy("k", "item_id").agg(F.max("best").cast("long").alias("best_match"))
+    # from here on a hit carries only the words near it, however long the text
+    (h, p), (g, q) = around("h", "p"), around("g", "q")
+    near = hits.select("k", "item_id", F.least(F.lit(WINDOW), F.size("g")).alias("size"), h.alias("h"), p.alias("p"), g.alias("g"), q.alias("q"))
+    need = F.when(F.col("size") == WINDOW, WINDOW - SUBSTITUTIONS).otherwise(F.col("size"))
+    scored = fixed(near, best=best_window()).where(F.col("best") >= need)
+    return scored.groupBy("k", "item_id").agg(F.max("best").cast("long").alias("best_match"))
 
 
 def op1(spark, sf_dir):
