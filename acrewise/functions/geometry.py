@@ -10,6 +10,7 @@ function on one row: no shuffle, no Python.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -76,6 +77,18 @@ def acres(rings) -> Column:
     return area(rings) / P.SQFT_PER_ACRE
 
 
+def is_convex(rings: str) -> Column:
+    """One ring that turns one way only and goes round once (its x-direction
+    changes twice at most); such a ring cannot cross itself."""
+    r = f"`{rings}`[0]"
+    nxt, nxt2 = _sql_next(r), _sql_next(_sql_next(r))
+    turn = (f"zip_with(zip_with({r}, {nxt}, (p, q) -> named_struct('p', p, 'q', q)), {nxt2}, (e, c) -> "
+            "(e.p.x - e.q.x) * (c.y - e.q.y) - (e.p.y - e.q.y) * (c.x - e.q.x))")
+    way = f"filter(zip_with({r}, {nxt}, (a, b) -> sign(b.x - a.x)), d -> d <> 0)"
+    changes = f"size(filter(zip_with({way}, concat(slice({way}, 2, greatest(size({way}) - 1, 0)), slice({way}, 1, 1)), (a, b) -> a <> b), c -> c))"
+    return F.expr(f"size(`{rings}`) = 1 AND (forall({turn}, t -> t >= 0) OR forall({turn}, t -> t <= 0)) AND {changes} <= 2")
+
+
 def bbox(rings) -> Column:
     """struct<xmin,ymin,xmax,ymax> over all rings."""
     if isinstance(rings, str):
@@ -143,60 +156,74 @@ def repair_rings(rings, snap: float = 1e-3) -> Column:
 
 
 # ----------------------------------------------------- G6: EPSG:4326 <-> 2285
-# Lambert conformal conic, two standard parallels (NAD83 / Washington North,
-# US survey feet). Fixed values of the projection definition:
-_A = 6378137.0
-_F = 1 / 298.257222101
-_LAT1, _LAT2 = 47.5, 48.7333333333333
-_LAT0, _LON0 = 47.0, -120.833333333333
-_FE_M, _FN_M = 500000.0, 0.0
-_FT = 1200.0 / 3937.0   # metres per US survey foot
-
-
-def _lcc_constants():
-    e = math.sqrt(2 * _F - _F * _F)
-
-    def m(phi):
-        return math.cos(phi) / math.sqrt(1 - (e * math.sin(phi)) ** 2)
-
-    def t(phi):
-        s = math.sin(phi)
-        return math.tan(math.pi / 4 - phi / 2) / ((1 - e * s) / (1 + e * s)) ** (e / 2)
-    p1, p2, p0 = (math.radians(v) for v in (_LAT1, _LAT2, _LAT0))
-    n = (math.log(m(p1)) - math.log(m(p2))) / (math.log(t(p1)) - math.log(t(p2)))
-    f = m(p1) / (n * t(p1) ** n)
-    r0 = _A * f * t(p0) ** n
-    return e, n, f, r0
-
-
-def to_state_plane(lon, lat) -> Column:
-    """Project WGS84 degrees to EPSG:2285 feet (struct<x,y>)."""
-    e, n, f, r0 = _lcc_constants()
-    phi = F.radians(_c(lat))
-    lam = F.radians(_c(lon))
-    s = F.sin(phi)
-    t = F.tan(F.lit(math.pi / 4) - phi / 2) / F.pow((1 - e * s) / (1 + e * s), e / 2)
-    r = F.lit(_A * f) * F.pow(t, n)
-    theta = (lam - math.radians(_LON0)) * n
-    x = (r * F.sin(theta) + _FE_M) / _FT
-    y = (F.lit(r0) - r * F.cos(theta) + _FN_M) / _FT
+# Lambert conformal conic, two standard parallels. Fixed values of the
+# projection definition (NAD83 / Washington North, US survey feet):
+@dataclass(frozen=True)
+class Conic:
+    a: float = 6378137.0                # ellipsoid
+    f: float = 1 / 298.257222101
+    lat1: float = 47.5
+    lat2: float = 48.7333333333333
+    lat0: float = 47.0
+    lon0: float = -120.833333333333
+    easting: float = 500000.0           # metres
+    northing: float = 0.0
+    foot: float = 1200.0 / 3937.0       # metres per US survey foot
+
+    @property
+    def e(self):
+        return math.sqrt(2 * self.f - self.f * self.f)
+
+    def _m(self, phi):
+        return math.cos(phi) / math.sqrt(1 - (self.e * math.sin(phi)) ** 2)
+
+    def _t(self, phi):
+        s = self.e * math.sin(phi)
+        return math.tan(math.pi / 4 - phi / 2) / ((1 - s) / (1 + s)) ** (self.e / 2)
+
+    @property
+    def n(self):
+        p1, p2 = math.radians(self.lat1), math.radians(self.lat2)
+        return (math.log(self._m(p1)) - math.log(self._m(p2))) / (math.log(self._t(p1)) - math.log(self._t(p2)))
+
+    @property
+    def scale(self):
+        p1 = math.radians(self.lat1)
+        return self.a * self._m(p1) / (self.n * self._t(p1) ** self.n)
+
+    @property
+    def r0(self):
+        return self.scale * self._t(math.radians(self.lat0)) ** self.n
+
+
+STATE_PLANE = Conic()
+
+
+def to_state_plane(lon, lat, to: Conic = STATE_PLANE) -> Column:
+    """Project degrees to feet (struct<x,y>), EPSG:2285 unless said otherwise."""
+    phi, lam = F.radians(_c(lat)), F.radians(_c(lon))
+    s = F.sin(phi) * to.e
+    t = F.tan(F.lit(math.pi / 4) - phi / 2) / F.pow((1 - s) / (1 + s), to.e / 2)
+    r = F.lit(to.scale) * F.pow(t, to.n)
+    theta = (lam - math.radians(to.lon0)) * to.n
+    x = (r * F.sin(theta) + to.easting) / to.foot
+    y = (F.lit(to.r0) - r * F.cos(theta) + to.northing) / to.foot
     return F.struct(x.alias("x"), y.alias("y"))
 
 
-def to_wgs84(x, y) -> Column:
+def to_wgs84(x, y, of: Conic = STATE_PLANE) -> Column:
     """Inverse of ``to_state_plane`` (struct<x:lon, y:lat>), fixed-point
     latitude iteration unrolled to a constant depth."""
-    e, n, f, r0 = _lcc_constants()
-    xm = _c(x) * _FT - _FE_M
-    ym = F.lit(r0) - (_c(y) * _FT - _FN_M)
-    r = F.sqrt(xm * xm + ym * ym) * (1 if n > 0 else -1)
-    t = F.pow(r / (_A * f), 1 / n)
+    xm = _c(x) * of.foot - of.easting
+    ym = F.lit(of.r0) - (_c(y) * of.foot - of.northing)
+    r = F.sqrt(xm * xm + ym * ym) * (1 if of.n > 0 else -1)
+    t = F.pow(r / of.scale, 1 / of.n)
     theta = F.atan2(xm, ym)
     phi = F.lit(math.pi / 2) - 2 * F.atan(t)
     for _ in range(6):
-        s = F.sin(phi)
-        phi = F.lit(math.pi / 2) - 2 * F.atan(t * F.pow((1 - e * s) / (1 + e * s), e / 2))
-    lon = F.degrees(theta / n) + _LON0
+        s = F.sin(phi) * of.e
+        phi = F.lit(math.pi / 2) - 2 * F.atan(t * F.pow((1 - s) / (1 + s), of.e / 2))
+    lon = F.degrees(theta / of.n) + of.lon0
     return F.struct(lon.alias("x"), F.degrees(phi).alias("y"))
 
 

@@ -116,6 +116,41 @@ def erase_union_area(a: DataFrame, fa: str, masks: DataFrame, fm: str, b: DataFr
     return res.select(fa, fb, F.coalesce("area", F.lit(0.0)).alias("area"))  # pairs wholly erased: 0
 
 
+def erase_union_parts(a: DataFrame, fa: str, masks: DataFrame, fm: str, prm: P.Params = P.DEFAULT) -> DataFrame:
+    """The polygons that ``erase_union_area`` measures: (fa, rings), one row
+    per part. A feature that meets no mask keeps its own rings, one that is
+    wholly covered has no row."""
+    band = prm.band_width
+    mp = ov.bbox_pairs(a, fa, masks, fm, prm.cell_size).select(
+        F.col(fa).alias("g"), F.col(fm).alias("_fid"), F.lit(1).alias("layer"), F.col("_ox0").alias("xmin"), F.col("_ox1").alias("xmax"))
+    hit = mp.select(F.col("g").alias(fa)).distinct()
+    own = a.join(hit, fa, "left_semi").select(F.col(fa).alias("g"), F.col(fa).alias("_fid"), F.lit(0).alias("layer"))
+    pieces = ov.group_pieces(own, ov.layer_pieces(a, fa, band).withColumnRenamed(fa, "_fid"), "_fid").unionByName(
+        ov.group_pieces(mp, ov.layer_pieces(masks, fm, band).withColumnRenamed(fm, "_fid"), "_fid", band))
+    parts = ov.slab_overlay(pieces, 2, lambda n: (n[0] != 0) & (n[1] == 0), geometry=True, band=band, max_pieces=prm.max_band_pieces)
+    return parts.select(F.col("g").alias(fa), "rings").unionByName(a.join(hit, fa, "left_anti").select(fa, "rings"))
+
+
+def repair_crossings(layer: DataFrame, fid: str, prm: P.Params = P.DEFAULT) -> DataFrame:
+    """G1 for rings that cross or run over themselves: every feature that is
+    not plainly convex goes through a one-layer slab pass; where the area of
+    its nonzero-winding region differs from its shoelace area, the region's
+    trapezoids replace its rings (so area, centroid and overlay agree)."""
+    band = prm.band_width
+    odd = layer.filter(~geo.is_convex("rings"))
+    pieces = ov.group_pieces(odd.select(F.col(fid).alias("g"), F.col(fid).alias("_fid"), F.lit(0).alias("layer")),
+                             ov.layer_pieces(odd, fid, band).withColumnRenamed(fid, "_fid"), "_fid")
+    parts = ov.slab_overlay(pieces, 1, lambda n: n[0] != 0, geometry=True, band=band, max_pieces=prm.max_band_pieces)
+    solved = parts.groupBy("g").agg(F.sum("area").alias("_a"), F.flatten(F.collect_list("rings")).alias("_new"))
+    j = layer.join(solved, layer[fid] == solved["g"], "left")
+    differs = F.abs(F.col("_a") - geo.area("rings")) > 1e-6 * F.greatest(F.lit(1.0), F.col("_a"))
+    fixed = F.when(F.coalesce(differs, F.lit(False)), F.col("_new")).otherwise(F.col("rings"))
+    # a one-row generator: the choice is made once per feature, also where a
+    # caller maps over the rings
+    once = j.select(*[F.col(c) for c in layer.columns if c != "rings"], F.explode(F.array(F.struct(fixed.alias("r")))).alias("_o"))
+    return once.select(*[F.col("_o.r").alias("rings") if c == "rings" else F.col(c) for c in layer.columns])
+
+
 def snap_sqft(c: Column) -> Column:
     """Sums of exact integer areas come back within 1e-9 of the integer;
     snapping to 1e-6 ft² keeps later rounding identical to exact arithmetic."""
@@ -147,11 +182,14 @@ def pivot_filled(values: DataFrame, row_col: str, label_col: str, value_col: str
 
 
 def waterfall(layer: DataFrame, fid: str, masks: DataFrame, fm: str, order_col: str, n_orders: int,
-              prm: P.Params = P.DEFAULT, geometry: bool = False) -> DataFrame:
+              prm: P.Params = P.DEFAULT, geometry: bool | str = False) -> DataFrame:
     """Erase mask layers in turn (order 0, 1, ...). One labelled slab
     pass gives, per feature, the area each step cuts (the first covering
     mask wins) and what remains (label NULL). With ``geometry=True`` the
-    remaining parts come back as rings (one trapezoid per row).
+    remaining parts come back as rings (one trapezoid per row); with
+    ``geometry="steps"`` all parts do, with the step that cuts them (NULL for
+    what remains), so the cut layer of a step and the layer that is left
+    after it are filters of one result.
 
     Every feature of the (inventory-sized) layer goes through the pass, so
     the candidate (feature, mask) pairs are formed and read once."""
@@ -177,6 +215,10 @@ def waterfall(layer: DataFrame, fid: str, masks: DataFrame, fm: str, order_col:
             out = F.when(n[k] != 0, F.lit(k - 1)) if out is None else out.when(n[k] != 0, F.lit(k - 1))
         return out
 
+    if geometry == "steps":
+        res = ov.slab_overlay(pieces, n_layers, lambda n: n[0] != 0, label=first_cover, geometry=True, band=band,
+                              max_pieces=prm.max_band_pieces)
+        return res.select(F.col("g").alias(fid), F.col("label").alias("step"), "rings")
     if geometry:
         keep = lambda n: (n[0] != 0) & (first_cover(n).isNull())
         res = ov.slab_overlay(pieces, n_layers, keep, geometry=True, band=band, max_pieces=prm.max_band_pieces)

@@ -343,7 +343,7 @@ def slab_overlay(pieces: DataFrame, n_layers: int,
         ring = F.expr("array(array(named_struct('x', x0, 'y', y0), named_struct('x', x1, 'y', y1), "
                       "named_struct('x', x1, 'y', ny1), named_struct('x', x0, 'y', ny0)))")
         cols = ["g", *(["label"] if label is not None else []), "area"]
-        return s.select(*cols, ring.alias("rings"))
+        return s.filter(F.col("area") > 0).select(*cols, ring.alias("rings"))
     gcols = ["g", *(["label"] if label is not None else [])]
     return s.groupBy(*gcols).agg(F.sum("area").alias("area"))
 

@@ -93,6 +93,29 @@ def rs3(t, prm=P.DEFAULT):
     return out.filter(F.col("acres") > 0)
 
 
+def step_parts(t: Tables, prm=P.DEFAULT) -> DataFrame:
+    """The polygons of the waterfall: (index, step, rings), one row per part;
+    ``step`` is the erase that takes the part (0..5), NULL if none does. The
+    cut layer of step i is ``step = i``; the layer that is left after it is
+    ``step IS NULL OR step > i``."""
+    z = zoned_layer(t, "kept")
+    return waterfall(z.select("index", "rings"), "index", _masks(t), "mask_id", "mask_order", len(STEPS), prm, geometry="steps")
+
+
+def rs3_steps(t, prm=P.DEFAULT):
+    """RS3 with both layers of each step: acres cut by it and acres left
+    after it, measured on the polygons."""
+    z = zoned_layer(t, "kept").select("index", "county_name", "category")
+    acres = step_parts(t, prm).select("index", "step", geo.area("rings").alias("a"))
+    step = F.col("step")
+    per = acres.groupBy("index").agg(*[F.coalesce(F.sum(F.when(step == i, F.col("a"))), F.lit(0.0)).alias(f"c{i}") for i in range(len(STEPS))],
+                                     *[F.coalesce(F.sum(F.when(step.isNull() | (step > i), F.col("a"))), F.lit(0.0)).alias(f"l{i}") for i in range(len(STEPS))])
+    rows = per.select("index", F.explode(F.array(*[F.struct(F.lit(n).alias("step"), F.col(f"c{i}").alias("c"), F.col(f"l{i}").alias("l"))
+                                                   for i, n in enumerate(STEPS)])).alias("r"))
+    return z.join(rows, "index").select("index", "county_name", "category", "r.step", _r9(snap_sqft(F.col("r.c")) / ACRE).alias("cut_acres"),
+                                        _r9(snap_sqft(F.col("r.l")) / ACRE).alias("remaining_acres"))
+
+
 def remaining_parts(t: Tables, prm=P.DEFAULT) -> DataFrame:
     """What is left of the zoning layer after all six erases, as trapezoid parts:
     (part_id, index, county_name, category, rings); materialized."""
@@ -353,6 +376,6 @@ def rs8(t, prm=P.DEFAULT):
     return method_trimmed(t, prm)
 
 
-REPORTS = {"RS1": rs1, "RS2": rs2, "RS2_excluded": rs2_excluded, "RS3": rs3, "RS4": rs4, "RS5": rs5,
+REPORTS = {"RS1": rs1, "RS2": rs2, "RS2_excluded": rs2_excluded, "RS3": rs3, "RS3_steps": rs3_steps, "RS4": rs4, "RS5": rs5,
            "RS6": rs6, "RS7": rs7, "RS8": rs8, "RS9": rs9, "RS10": rs10, "RS11": rs11, "RS12": rs12,
            "RS13": rs13, "RS14": rs14, "RS15": rs15}

@@ -12,7 +12,7 @@ from acrewise import params as P
 from acrewise.functions import geometry as geo
 from acrewise.functions.suppress import suppression_merge, suppression_rule
 from acrewise.operators import overlay as ov
-from acrewise.operators.areas import erase_union_area, pair_areas, snap_sqft
+from acrewise.operators.areas import erase_union_area, pair_areas, repair_crossings, snap_sqft
 from acrewise.operators.rows import row_index
 from acrewise.operators.spatial import point_in_polygon_pairs
 from acrewise.plans.employment import employment_base
@@ -39,14 +39,33 @@ def g5_centroid(t: Tables, prm=P.DEFAULT) -> DataFrame:
     return p.select("parcel_row", F.round(c["x"], 6).alias("cx"), F.round(c["y"], 6).alias("cy"))
 
 
+def g1_crossings(t: Tables, prm=P.DEFAULT) -> DataFrame:
+    """G1 on rings that cross, touch or run over themselves, one shape per
+    parcel in turn: bow-tie, holed box, box with a spike, two boxes that touch
+    in a point, doubly wound box; area and centroid after the repair."""
+    p = fx.parcels(t)
+    mx, my = "(x0 + x1) / 2", "(y0 + y1) / 2"
+
+    def ring(*pts):
+        return "array(" + ", ".join(f"named_struct('x', CAST({x} AS DOUBLE), 'y', CAST({y} AS DOUBLE))" for x, y in pts) + ")"
+    box = [("x0", "y0"), ("x1", "y0"), ("x1", "y1"), ("x0", "y1")]
+    hole = [("x0 + 5", "y0 + 5"), ("x0 + 5", "y0 + 8"), ("x0 + 9", "y0 + 8"), ("x0 + 9", "y0 + 5")]
+    shapes = [f"array({ring(('x0', 'y0'), ('x1', 'y1'), ('x1', 'y0'), ('x0', 'y1'))})", f"array({ring(*box)}, {ring(*hole)})",
+              f"array({ring(*box, ('x0 - 10', 'y1'), ('x0', 'y1'))})", f"array({ring(('x0', 'y0'), (mx, 'y0'), (mx, my), ('x1', my), ('x1', 'y1'), (mx, 'y1'), (mx, my), ('x0', my))})",
+              f"array({ring(*box, *box)})"]
+    case = " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(shapes))
+    lay = p.select("parcel_row", F.explode(F.array(F.struct(F.expr(f"CASE parcel_row % 5 {case} END").alias("r")))).alias("o"))
+    lay = repair_crossings(lay.select("parcel_row", F.col("o.r").alias("rings")), "parcel_row", prm)
+    c = geo.centroid("rings")
+    return lay.select("parcel_row", snap_sqft(geo.area("rings")).alias("area"), F.round(c["x"], 4).alias("cx"), F.round(c["y"], 4).alias("cy"))
+
+
 def g6_reproject(t: Tables, prm=P.DEFAULT) -> DataFrame:
-    """Parcel corners to WGS84 and back to state plane feet (round trip)."""
-    p = layers.parcels_layer(t).withColumn("rings", F.transform("rings", lambda r: F.transform(
-        r, lambda q: geo.pt(q["x"] + 1_150_000.0, q["y"] + 100_000.0))))
-    back = geo.transform_rings(geo.transform_rings("rings", P.SRID_WGS84), P.SRID_STATE_PLANE)
-    b = back[0][0]
-    return p.select("parcel_row", F.round(b["x"] - 1_150_000.0, 3).alias("x0"),
-                    F.round(b["y"] - 100_000.0, 3).alias("y0"))
+    """Degrees to state plane feet, and those back to degrees."""
+    p = fx.parcels(t).select("parcel_row", (F.col("x0") / 4000 - 123.5).alias("lon"), (F.col("y0") / 10000 + 47.1).alias("lat"))
+    f = p.withColumn("f", geo.to_state_plane("lon", "lat"))
+    back = geo.to_wgs84(F.col("f.x"), F.col("f.y"))
+    return f.select("parcel_row", F.round("f.x", 3).alias("x"), F.round("f.y", 3).alias("y"), F.round(back["x"], 7).alias("lon"), F.round(back["y"], 7).alias("lat"))
 
 
 def g7_pip(t: Tables, prm=P.DEFAULT) -> DataFrame:
@@ -99,6 +118,6 @@ def w1_row_index(t: Tables, prm=P.DEFAULT) -> DataFrame:
     return row_index(fx.parcels(t).select("parcel_row", "parcel_id"), ["parcel_row"])
 
 
-REPORTS = {"G1_wkt_repair": g1_wkt_repair, "G5_centroid": g5_centroid, "G6_reproject": g6_reproject,
+REPORTS = {"G1_wkt_repair": g1_wkt_repair, "G1_crossings": g1_crossings, "G5_centroid": g5_centroid, "G6_reproject": g6_reproject,
            "G7_pip": g7_pip, "G11_overlay_join": g11_overlay_join, "G12_erase": g12_erase,
            "G14_dissolve": g14_dissolve, "A9_suppress": a9_suppress, "W1_row_index": w1_row_index}

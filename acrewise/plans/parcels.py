@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from acrewise import params as P
 from acrewise.functions import geometry as geo
 from acrewise.functions import labels as L
-from acrewise.operators.areas import erase_union_area, snap_sqft
+from acrewise.operators.areas import erase_union_parts, erase_union_area, snap_sqft
 from acrewise.operators.spatial import point_in_polygon_pairs
 from acrewise.sources import fixtures as fx
 from acrewise.sources import layers
@@ -125,6 +125,21 @@ def build_net_parcel_areas(t: Tables, prm=P.DEFAULT) -> DataFrame:
         .select(PID, snap_sqft(F.col("area")).alias("net_area"))
 
 
+def net_parcel_polygons(t: Tables, prm=P.DEFAULT) -> DataFrame:
+    """The net parcel polygons themselves, (parcel_row, rings), one row
+    per part; saved once."""
+    return materialized(t.spark, ("netx_polygons", t.sf_dir, prm), lambda: erase_union_parts(
+        layers.parcels_layer(t).select("parcel_row", "rings"), "parcel_row", layers.masks_layer(t), "mask_id", prm))
+
+
+def net_polygons_measured(t: Tables, prm=P.DEFAULT) -> DataFrame:
+    """S17 polygons by parcel: area and extent."""
+    box = geo.bbox("rings")
+    parts = net_parcel_polygons(t, prm).select("parcel_row", geo.area("rings").alias("a"), box.alias("b"))
+    return parts.groupBy("parcel_row").agg(snap_sqft(F.sum("a")).alias("net_area"), F.min("b.xmin").alias("xmin"), F.min("b.ymin").alias("ymin"),
+                                           F.max("b.xmax").alias("xmax"), F.max("b.ymax").alias("ymax"))
+
+
 def _net(t, prm, where, key):
     x = industrial_parcels(t, prm).filter(where)
     p = net_parcel_areas(t, prm)
@@ -155,5 +170,5 @@ def ns8(t, prm=P.DEFAULT):
 
 
 REPORTS = {"NS1": repeated_ids, "NS2": improved, "NS3": unimproved, "NS2_3": parcel_values,
-           "NS4": industrial_parcels, "NS5": orphans, "S17_net_areas": net_parcel_areas,
+           "NS4": industrial_parcels, "NS5": orphans, "S17_net_areas": net_parcel_areas, "S17_net_polygons": net_polygons_measured,
            "NS6": ns6, "NS7": ns7, "NS8": ns8}

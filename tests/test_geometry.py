@@ -199,3 +199,35 @@ def test_big_polygon_gives_small_ones_their_edges_only(spark):
     pieces = ov.layer_pieces(a, "fa", 1000.0)
     near = ov.near_overlap(pairs, pieces, "fa", 1000.0).count()
     assert near < 0.02 * 50 * n
+
+
+def test_projection_control_points(spark):
+    """The worked example that EPSG publishes for this projection method
+    (Texas South Central, NAD27), and the inverse; the origin of EPSG:2285."""
+    foot = 1200 / 3937
+    texas = geo.Conic(a=6378206.4, f=1 / 294.9786982, lat1=28 + 23 / 60, lat2=30 + 17 / 60, lat0=27 + 50 / 60, lon0=-99.0, easting=2_000_000 * foot)
+    df = spark.createDataFrame([(-96.0, 28.5)], "lon double, lat double").withColumn("f", geo.to_state_plane("lon", "lat", texas))
+    r = df.select("f.*", geo.to_wgs84(F.col("f.x"), F.col("f.y"), texas).alias("b")).first()
+    assert abs(r.x - 2963503.91) < 0.02 and abs(r.y - 254759.80) < 0.02
+    assert abs(r.b.x + 96) < 1e-9 and abs(r.b.y - 28.5) < 1e-9
+    o = spark.createDataFrame([(-120.833333333333, 47.0)], "lon double, lat double").select(geo.to_state_plane("lon", "lat").alias("f")).first().f
+    assert abs(o.x - 500000 / foot) < 1e-3 and abs(o.y) < 1e-3
+
+
+def test_self_crossing_rings_are_resolved(spark):
+    from acrewise.operators.areas import repair_crossings
+
+    def ring(*pts):
+        return [{"x": float(x), "y": float(y)} for x, y in pts]
+    shapes = [(1, [ring((0, 0), (2, 2), (2, 0), (0, 2))]),                                            # bow-tie
+              (2, [ring((0, 0), (6, 0), (6, 6), (0, 6)), ring((2, 2), (2, 4), (4, 4), (4, 2))]),      # hole
+              (3, [ring((0, 0), (4, 0), (4, 2), (2, 2), (2, 4), (0, 4))]),                            # L
+              (4, [ring((0, 0), (1, 0), (1, 1), (0, 1), (0, 0), (1, 0), (1, 1), (0, 1))]),            # twice round
+              (5, [ring((0, 0), (3, 0), (3, 3), (0, 3))])]
+    df = spark.createDataFrame(shapes, "id long, rings array<array<struct<x: double, y: double>>>")
+    out = repair_crossings(df, "id")
+    got = {r.id: (r.a, r.c.x, r.c.y) for r in out.select("id", geo.area("rings").alias("a"), geo.centroid("rings").alias("c")).collect()}
+    want = {1: (2, 1, 1), 2: (32, 3, 3), 3: (12, 5 / 3, 5 / 3), 4: (1, .5, .5), 5: (9, 1.5, 1.5)}
+    assert all(abs(a - b) < 1e-9 for k in want for a, b in zip(got[k], want[k]))
+    kept = {r.id for r in out.join(df.withColumnRenamed("rings", "old"), "id").where("rings = old").collect()}
+    assert kept == {2, 3, 5}
