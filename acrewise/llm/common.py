@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import shutil
 import tempfile
@@ -59,6 +60,13 @@ def stored(df: DataFrame, folder: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def freed(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps now. It does so
+    when their objects are collected, which an idle driver may put off."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def dropped(spark: SparkSession, folder: str, name: str) -> None:
     """Delete one scratch table that nothing reads any more."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")

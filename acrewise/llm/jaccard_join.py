@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from acrewise.llm import symbols
-from acrewise.llm.common import matching, on_arrow, partitions, scratch, stored, table
+from acrewise.llm.common import dropped, freed, matching, on_arrow, partitions, scratch, stored, table
 from acrewise.llm.components import components
 from acrewise.llm.repeats import LAST, documents
 
@@ -244,12 +244,12 @@ class Join:
             yield out
 
     def spell(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(d, sid, text) -> (d, sid, grams)."""
+        """(sid, text, tasks) -> (sid, grams, tasks)."""
         for b in batches:
             for k in range(0, b.num_rows, 256):
                 some = b.slice(k, 256)
-                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array([g.tobytes() for g in self.sets(some.column(2))], pa.binary())],
-                                                 ["d", "sid", "grams"])
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array([g.tobytes() for g in self.sets(some.column(1))], pa.binary()), some.column(2)],
+                                                 ["sid", "grams", "tasks"])
 
     # ---- the job -------------------------------------------------------
 
@@ -279,22 +279,33 @@ class Join:
         entries = on_arrow(placed, self.entries(bits), "s long, d long, region long, place long")
         visits = on_arrow(entries.repartition(n, "s").sortWithinPartitions("s", "region", "d"), self.meet, "d long, region long")
         visits = stored(visits.distinct(), folder, "visits")
+        # only the narrow columns are read from here on
+        base = stored(base.select("id", "fp", "n", "sid", "d"), folder, "points")
+        points = base.where("n > 0")
+        dropped(spark, folder, "sketch")
+        freed(spark)
 
         active = homes.select("region").union(visits.select("region")).distinct()
         members = homes.union(visits).union(active.select(F.col("region").alias("d"), "region")).distinct()
         members = stored(members, folder, "members")
-        # one text for each set that takes part, and its n-grams
-        part = points.join(members.select("d").distinct(), "d", "left_semi").groupBy("sid").agg(F.min(F.struct("id", "fp", "d", "n")).alias("r"))
-        part = part.select("sid", "r.*").join(docs, ["id", "fp"])
-        sets = stored(on_arrow(part.select("d", "sid", "text"), self.spell, "d long, sid binary, grams binary"), folder, "sets")
-        rows = members.join(sets, "d")
-        rows_in = members.join(sets.select("d", F.octet_length("grams").alias("b")), "d").groupBy("region").agg(
-            F.ceil(F.sum("b") / REGION_BYTES).cast("int").alias("blocks"))
-        rows = rows.join(rows_in, "region").withColumn("own", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
-        rows = rows.select("region", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"), "sid", "grams").select(
-            "region", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "sid", "grams")
+        # regions beyond REGION_BYTES in blocks: each point goes to every pair
+        # of blocks that holds its own
+        sized = members.join(points.select("d", "n").distinct(), "d")
+        blocks = sized.groupBy("region").agg(F.ceil(F.sum(8 * F.col("n")) / REGION_BYTES).cast("int").alias("blocks"))
+        tasks = (members.join(blocks, "region").withColumn("own", F.pmod(F.xxhash64("d"), F.col("blocks")).cast("int"))
+                 .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+                 .groupBy("d").agg(F.collect_list(F.struct("region", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))).alias("tasks")))
+        # one text for each set that takes part; its n-grams go straight to the tasks
+        part = points.join(tasks, "d").groupBy("sid").agg(F.min(F.struct("id", "fp")).alias("r"), F.first("tasks").alias("tasks"))
+        part = stored(part.select("sid", "r.*", "tasks"), folder, "part")
+        freed(spark)
+        sets = on_arrow(part.join(docs, ["id", "fp"]).select("sid", "text", "tasks"), self.spell,
+                        "sid binary, grams binary, tasks array<struct<region: long, i: int, j: int>>")
+        rows = sets.select("sid", "grams", F.explode("tasks").alias("t")).select("t.region", "t.i", "t.j", "sid", "grams")
         trees = on_arrow(rows.repartition(n, "region", "i", "j").sortWithinPartitions("region", "i", "j", "sid"), self.join_regions, "u binary, v binary")
-        roots = components(stored(trees, folder, "trees"))
+        trees = stored(trees, folder, "trees")
+        freed(spark)
+        roots = components(trees)
 
         labels = base.select("id", "fp", "n", "sid").join(roots, base["sid"] == roots["u"], "left").select(
             "id", "fp", "n", F.coalesce("root", "sid").alias("class"))
@@ -313,9 +324,15 @@ def keep_first(df: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     row of those that are equal); rows without an id stay if no row of their
     class has one."""
     body = F.coalesce(F.col("text"), F.lit(""))
-    good = Join(words, percent).classes(df).where("component_id <=> k.id").select("k").distinct()
+    spark = df.sparkSession
+    good = Join(words, percent).classes(df).where("component_id <=> k.id").groupBy("k").agg(F.count(F.lit(1)).alias("copies"))
+    good = stored(good, scratch(spark), "kept")
+    freed(spark)
     own = F.struct(F.col("doc_id").alias("id"), F.xxhash64(body).alias("fp"))
-    return matching(df.dropDuplicates(["doc_id", "text"]), own, good)
+    rows = matching(df, own, good.where("copies = 1"))
+    if not good.where("copies > 1").head(1):
+        return rows
+    return rows.unionByName(matching(df, own, good.where("copies > 1")).dropDuplicates(["doc_id", "text"]))
 
 
 def sql_classes(src: str = "documents", words: int = WORDS, percent: int = PERCENT, p: str = "j") -> str:
