@@ -11,6 +11,8 @@ later intersection is the same pair-area join.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +25,8 @@ from acrewise.operators.rows import keep_first, row_index
 from acrewise.operators.spatial import point_in_polygon_pairs
 from acrewise.sources import fixtures as fx
 from acrewise.sources import layers
-from acrewise.sources.sinks import materialized
+from acrewise.sources.readers import read_tsv
+from acrewise.sources.sinks import export_tsv, intermediates, materialized
 from acrewise.sources.tables import Tables
 
 ACRE = P.SQFT_PER_ACRE
@@ -189,12 +192,25 @@ def _fips_from_text(df: DataFrame) -> DataFrame:
         .drop("_pint")
 
 
-def parcel_attributes(t: Tables, prm=P.DEFAULT) -> DataFrame:
+def parcel_files(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """The parcel and building tables handed over as tab-separated files and
+    read back from there (S5, S11), as the original got them."""
+    def handed(name, df, types):
+        path = f"{intermediates(t.spark)}/files-{hashlib.sha1(t.sf_dir.encode()).hexdigest()[:16]}/{name}"
+        export_tsv(df, path)
+        return read_tsv(t.spark, path, df.columns, types)
+    return (handed("parcels", fx.parcel_data(t), {"county_id": "int", "land_use_type_id": "int", "gross_sqft": "double"}),
+            handed("buildings", fx.building_data(t), {"county_id": "int"}))
+
+
+def parcel_attributes(t: Tables, prm=P.DEFAULT, files: bool = False) -> DataFrame:
     """Land use, size and Σ improvement value per parcel, joined to the
-    region parcels; flags, urban, adjustment factor, use code; use code Y."""
+    region parcels; flags, urban, adjustment factor, use code; use code Y.
+    ``files``: take both tables from tab-separated files."""
     def build():
-        d = _fips_from_text(fx.parcel_data(t)).select("parcel_id_fips", "land_use_type_id", "gross_sqft")
-        b = _fips_from_text(fx.building_data(t))
+        parcels, buildings = parcel_files(t) if files else (fx.parcel_data(t), fx.building_data(t))
+        d = _fips_from_text(parcels).select("parcel_id_fips", "land_use_type_id", "gross_sqft")
+        b = _fips_from_text(buildings)
         iv = F.coalesce(F.col("improvement_value").try_cast("double").try_cast("int"), F.lit(0))
         b = b.select("parcel_id_fips", iv.alias("improvement_value")).groupBy("parcel_id_fips").agg(
             F.sum("improvement_value").alias("improvement_value"))
@@ -213,18 +229,27 @@ def parcel_attributes(t: Tables, prm=P.DEFAULT) -> DataFrame:
         use = (F.when(in_mic & (lu == P.PARK_USE_TYPE), "Y").when(~in_mic & (lu == P.PARK_USE_TYPE), "N")
                .when(~lu.isin(*P.EXCLUDED_USE_TYPES_R), "Y").otherwise("N"))
         return p.withColumn("use_code", use).filter(F.col("use_code") == "Y")
-    return materialized(t.spark, ("parcel_attributes", t.sf_dir, prm), build)
+    return materialized(t.spark, ("parcel_attributes", t.sf_dir, prm, files), build)
 
 
 RS5_COLS = RS4_COLS + ["land_use_type_id", "gross_sqft", "improvement_value", "impval", "development_flag",
                        "urban", "adjustement_factor", "use_code"]
 
 
-def rs5(t, prm=P.DEFAULT):
-    p = parcel_attributes(t, prm)
+def _rs5_out(p: DataFrame) -> DataFrame:
+    p = p
     return p.select(*[(_r9(F.col(c)).alias(c) if c == "parcel_acreage" else c) for c in RS5_COLS])
 
 
+def rs5(t, prm=P.DEFAULT):
+    return _rs5_out(parcel_attributes(t, prm))
+
+
+def rs5_files(t, prm=P.DEFAULT):
+    """RS5 from tab-separated files."""
+    return _rs5_out(parcel_attributes(t, prm, files=True))
+
+
 # ------------------------------------------------------ RS6 - RS8 methods
 def _parcel_zone_areas(t, parcels: DataFrame, prm) -> DataFrame:
     """(parcel_row, index, category, area) for parcels meeting the remaining zones."""
@@ -376,6 +401,6 @@ def rs8(t, prm=P.DEFAULT):
     return method_trimmed(t, prm)
 
 
-REPORTS = {"RS1": rs1, "RS2": rs2, "RS2_excluded": rs2_excluded, "RS3": rs3, "RS3_steps": rs3_steps, "RS4": rs4, "RS5": rs5,
+REPORTS = {"RS1": rs1, "RS2": rs2, "RS2_excluded": rs2_excluded, "RS3": rs3, "RS3_steps": rs3_steps, "RS4": rs4, "RS5": rs5, "RS5_files": rs5_files,
            "RS6": rs6, "RS7": rs7, "RS8": rs8, "RS9": rs9, "RS10": rs10, "RS11": rs11, "RS12": rs12,
            "RS13": rs13, "RS14": rs14, "RS15": rs15}

@@ -8,7 +8,9 @@ pass each, and reshaped into the fourteen sheets.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import hashlib
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from acrewise import params as P
@@ -16,26 +18,41 @@ from acrewise.functions import labels as L
 from acrewise.operators.reshape import order_by_labels, pivot_wider, unpivot_long
 from acrewise.operators.survey import weighted_counts, weighted_medians
 from acrewise.sources import fixtures as fx
+from acrewise.sources.readers import read_microdata
+from acrewise.sources.sinks import intermediates, materialized, save_sheets
 from acrewise.sources.tables import Tables
 
-# Survey year of the run and the income inflation factor to
-# reference-year dollars. The factor is the ratio of the published annual
-# CPI-U averages (2021 / 2011) and is a parameter, not a lookup.
+# Survey year of the run, and the published annual averages of
+# the consumer price index (CPI-U, all items) that dollars are inflated by.
 DATA_YEAR = 2011
 DOLLAR_REFYEAR = 2021
-CPI_U_2011 = 224.939
-CPI_U_2021 = 270.970
-INCOME_FACTOR = CPI_U_2021 / CPI_U_2011
+CPI_U = {2011: 224.939, 2012: 229.594, 2013: 232.957, 2014: 236.736, 2015: 237.017, 2016: 240.007,
+         2017: 245.120, 2018: 251.107, 2019: 255.657, 2020: 258.811, 2021: 270.970}
+INCOME_FACTOR = CPI_U[DOLLAR_REFYEAR] / CPI_U[DATA_YEAR]
+
+
+def real_dollars(value: Column, year: Column, refyear: int = DOLLAR_REFYEAR) -> Column:
+    """a value in dollars of ``refyear``, by the index of the row's data
+    year; NULL for a year the index table does not hold."""
+    factor = F.lit(None).cast("double")
+    for y, index in CPI_U.items():
+        factor = F.when(year == y, CPI_U[refyear] / index).otherwise(factor)
+    return value * factor
+
 
 COUNTY_LEVELS = P.COUNTY_ORDER
 KEYS = {"prace": "PRACE", "ed_attain": "ED_ATTAIN", "pincp2021_bin": "PINCP2021_BIN"}
 
 
-def workers(t: Tables, factor: float = INCOME_FACTOR) -> DataFrame:
-    """F26 + P16 + X5: workers only, PINCP2021, income bin, industrial flag."""
-    p = fx.persons(t)
+PERSON_VARIABLES = ["person_id", "county", "prace", "ed_attain", "cow", "pincp", "mi_jobsector"]
+
+
+def workers(t: Tables, persons: DataFrame | None = None) -> DataFrame:
+    """F26 + P16 + X5: workers only, PINCP2021, income bin, industrial flag.
+    ``persons``: the microdata, if not the fixture view."""
+    p = fx.persons(t) if persons is None else persons
     p = p.filter(F.col("cow").isNotNull() & ~F.col("cow").rlike("^Unemployed"))
-    p = p.withColumn("pincp2021", F.col("pincp") * F.lit(factor))
+    p = p.withColumn("pincp2021", real_dollars(F.col("pincp"), F.lit(DATA_YEAR)))
     return p.select(
         F.lit(DATA_YEAR).alias("DATA_YEAR"),
         F.col("county").alias("COUNTY"), F.col("prace").alias("PRACE"), F.col("ed_attain").alias("ED_ATTAIN"),
@@ -71,7 +88,19 @@ def sector_median(w: DataFrame, target: str = "PINCP2021") -> DataFrame:
     return est.select(F.lit(DATA_YEAR).alias("DATA_YEAR"), F.lit("Region").alias("COUNTY"), "*")
 
 
-def xtab(data: DataFrame, stat: str) -> DataFrame:
+def wd1_files(t, prm=P.DEFAULT):
+    """WD1 from a microdata file, read by its variable list."""
+    path = f"{intermediates(t.spark)}/microdata-{hashlib.sha1(t.sf_dir.encode()).hexdigest()[:16]}"
+    fx.persons(t).write.mode("overwrite").parquet(path)
+    return combined_counts(workers(t, read_microdata(t.spark, path, PERSON_VARIABLES)), "PRACE")
+
+
+def wd1_region(t, prm=P.DEFAULT):
+    """The cross-tab of estimates that hold the region alone: it stays long."""
+    return xtab(combined_counts(_w(t), "PRACE").filter(F.col("COUNTY") == "Region"), "count", region_only=True)
+
+
+def xtab(data: DataFrame, stat: str, region_only: bool = False) -> DataFrame:
     """Keep ``stat`` and ``stat_moe`` (NA -> 0), then sectors or
     counties become columns '<name>_<stat>' with value and MOE side by side."""
     cols = data.columns
@@ -81,6 +110,8 @@ def xtab(data: DataFrame, stat: str) -> DataFrame:
     ids = [c for c in cols if c not in measures and c != "DATA_YEAR"]
     long = unpivot_long(data.drop("DATA_YEAR"), ids, measures)
     long = long.filter(F.col("var_name").isin(stat, f"{stat}_moe")).withColumn("value", F.coalesce("value", F.lit(0.0)))
+    if region_only:  # no county to spread over columns: one row per value
+        return long
     if "MI_JOBSECTOR" in cols:
         id_cols = [key] if key else [c for c in ids if c != "MI_JOBSECTOR"]
         return pivot_wider(long, id_cols, ["MI_JOBSECTOR", "var_name"], "value")
@@ -138,7 +169,6 @@ def _sheet(n):
     def run(t, prm=P.DEFAULT):
         # the eight estimates are built once per session and shared by the
         # sheets (the original kept them in one list)
-        from acrewise.sources.sinks import materialized
         data = materialized(t.spark, ("wd_estimate", est, t.sf_dir), lambda: _EST[est](t, prm))
         return xtab(data, stat)
     run.__name__ = f"sheet{n + 1}"
@@ -147,12 +177,12 @@ def _sheet(n):
 
 
 REPORTS = {f"WD{i + 1}": f for i, f in enumerate(_EST)}
+REPORTS.update({"WD1_files": wd1_files, "WD1_region": wd1_region})
 REPORTS.update({f"WD{9 + n}": _sheet(n) for n in range(len(SHEETS))})
 
 
 def write_workbook(t: Tables, out_dir: str, prm=P.DEFAULT) -> list[str]:
     """The fourteen cross-tabs as sheets Sheet1..Sheet14, one CSV
     directory each (the workbook of the original)."""
-    from acrewise.sources.sinks import save_sheets
     sheets = {f"Sheet{n + 1}": _sheet(n)(t, prm) for n in range(len(SHEETS))}
     return save_sheets(sheets, out_dir)
