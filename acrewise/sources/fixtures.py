@@ -151,7 +151,7 @@ def parcels(t: Tables) -> DataFrame:
         F.when(k % 40 == 1, k - 1).otherwise(k).alias("parcel_id"),
         k.alias("parcel_row"),
         _dbl(x0).alias("x0"), _dbl(y0).alias("y0"),
-        _dbl(x0 + 20 + k % 37).alias("x1"), _dbl(y0 + 15 + k % 29).alias("y1"),
+        _dbl(x0 + 5 * (20 + k % 37)).alias("x1"), _dbl(y0 + 5 * (15 + k % 29)).alias("y1"),
         F.when(k % 50 == 3, F.lit(0.0))
          .otherwise(_dbl((20 + k % 37) * (15 + k % 29))).alias("gross_sqft"),
         F.when(k % 31 == 0, F.lit(None).cast("int")).otherwise((k % 30).cast("int"))
