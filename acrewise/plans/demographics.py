@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from acrewise import params as P
 from acrewise.functions import labels as L
-from acrewise.operators.reshape import order_by_labels, pivot_wider, unpivot_long
+from acrewise.operators.reshape import columns_matching, order_by_labels, pivot_wider, unpivot_long
 from acrewise.operators.survey import weighted_counts, weighted_medians
 from acrewise.sources import fixtures as fx
 from acrewise.sources.readers import read_microdata
@@ -105,8 +105,7 @@ def xtab(data: DataFrame, stat: str, region_only: bool = False) -> DataFrame:
     counties become columns '<name>_<stat>' with value and MOE side by side."""
     cols = data.columns
     key = None if "_median" in stat else next((c for c in ("PRACE", "ED_ATTAIN", "PINCP2021_BIN") if c in cols), None)
-    measures = [c for c in cols if c in {"count", "count_moe", "share", "share_moe",
-                                          "PINCP2021_median", "PINCP2021_median_moe"}]
+    measures = columns_matching(data, r"^(count|share|PINCP2021_median)(_moe)?$")
     ids = [c for c in cols if c not in measures and c != "DATA_YEAR"]
     long = unpivot_long(data.drop("DATA_YEAR"), ids, measures)
     long = long.filter(F.col("var_name").isin(stat, f"{stat}_moe")).withColumn("value", F.coalesce("value", F.lit(0.0)))

@@ -10,15 +10,18 @@ from pyspark.sql import functions as F
 
 from acrewise import params as P
 from acrewise.functions import geometry as geo
+from acrewise.functions import labels as L
 from acrewise.functions.suppress import suppression_merge, suppression_rule
 from acrewise.operators import overlay as ov
 from acrewise.operators.areas import erase_union_area, pair_areas, repair_crossings, snap_sqft
-from acrewise.operators.rows import row_index
-from acrewise.operators.spatial import point_in_polygon_pairs
+from acrewise.operators.joins import first_match
+from acrewise.operators.rows import key_violations, row_index
+from acrewise.operators.spatial import point_in_polygon_pairs, tag_points
 from acrewise.plans.employment import employment_base
 from acrewise.sources import fixtures as fx
 from acrewise.sources import layers
 from acrewise.sources.layers import wkt_polygon_rings
+from acrewise.sources.readers import named_layer
 from acrewise.sources.tables import Tables
 
 
@@ -118,6 +121,43 @@ def w1_row_index(t: Tables, prm=P.DEFAULT) -> DataFrame:
     return row_index(fx.parcels(t).select("parcel_row", "parcel_id"), ["parcel_row"])
 
 
-REPORTS = {"G1_wkt_repair": g1_wkt_repair, "G1_crossings": g1_crossings, "G5_centroid": g5_centroid, "G6_reproject": g6_reproject,
+def s3_named_layers(t: Tables, prm=P.DEFAULT) -> DataFrame:
+    """Every layer by its name, with its features and area."""
+    out = None
+    for name in ("micen", "cities", "regional_geographies", "county_background", "industrial_lands", "zoning", "exclusions", "largest_waterbodies"):
+        one = named_layer(t, name).agg(F.count(F.lit(1)).alias("n"), snap_sqft(F.sum(geo.area("rings"))).alias("area")).select(F.lit(name).alias("layer"), "n", "area")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def s13_key_check(t: Tables, prm=P.DEFAULT) -> DataFrame:
+    """What breaks the key of the county parcel files (their id read as
+    a number: some are not numeric, some occur twice)."""
+    p = fx.county_parcels(t).select(F.col("parcel_id_raw").try_cast("bigint").alias("parcel_id"))
+    return key_violations(p, ["parcel_id"])
+
+
+def f18_presets(t: Tables, prm=P.DEFAULT) -> DataFrame:
+    """The three updates on parcels of which a third have no flag
+    yet and some no value: each update fires."""
+    p = fx.parcels(t)
+    k = F.col("parcel_row")
+    p = p.select("parcel_row", "gross_sqft", F.when(k % 3 == 1, "v").when(k % 3 == 2, "").alias("flag"),
+                 F.when(k % 7 == 0, F.lit(None)).when(k % 7 < 3, F.lit(0)).otherwise((k * 7919) % 20000).cast("double").alias("impval"))
+    return p.select("parcel_row", L.flag_preset_tsql("flag", "impval", "gross_sqft").alias("flag"),
+                    L.value_ratio("impval", "gross_sqft").cast("double").alias("value_ratio"))
+
+
+def tagged_parcels(t: Tables, prm=P.DEFAULT) -> DataFrame:
+    """Parcel centroids with the name of the centre that holds
+    them (lowest name where several do), or the default."""
+    p = fx.parcels(t).select("parcel_row", ((F.col("x0") + F.col("x1")) / 2).alias("x"), ((F.col("y0") + F.col("y1")) / 2).alias("y"))
+    tags = tag_points(p, "parcel_row", "x", "y", layers.mic_layer(t), "zone_id", "mic", "mic",
+                      default=P.NOT_IN_MIC, cell=prm.cell_size, band=prm.band_width)
+    return first_match(tags, "parcel_row", "mic")
+
+
+REPORTS = {"S3_named_layers": s3_named_layers, "S13_key_check": s13_key_check, "F18_presets": f18_presets, "G8_tagged_parcels": tagged_parcels,
+           "G1_wkt_repair": g1_wkt_repair, "G1_crossings": g1_crossings, "G5_centroid": g5_centroid, "G6_reproject": g6_reproject,
            "G7_pip": g7_pip, "G11_overlay_join": g11_overlay_join, "G12_erase": g12_erase,
            "G14_dissolve": g14_dissolve, "A9_suppress": a9_suppress, "W1_row_index": w1_row_index}
