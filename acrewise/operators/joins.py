@@ -6,36 +6,42 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int, bound_by: list[DataFrame] | None = None) -> DataFrame:
-    """Broadcast ``df`` only when it provably holds at most ``max_rows`` rows.
+MAX_BYTES = 64 << 20
 
-    The check counts at most ``max_rows + 1`` rows (``limit`` stops early).
+
+def bounded_broadcast(df: DataFrame, max_rows: int, bound_by: list[DataFrame] | None = None, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """Broadcast ``df`` only when it provably holds at most ``max_rows`` rows
+    and ``max_bytes`` bytes.
+
+    The check reads at most ``max_rows + 1`` rows (``limit`` stops early).
     ``bound_by`` names cheaper frames whose row counts add up to an upper
-    bound on ``df``'s (e.g. a left join of A and B has at most |A| + |B|
-    rows), so a costly ``df`` is not run twice. Past the bound the frame is
-    returned as is and the planner uses a shuffle join (AQE may still pick a
-    broadcast from runtime statistics).
+    bound on ``df``'s and whose columns hold df's (e.g. a left join of A and
+    B has at most |A| + |B| rows), so a costly ``df`` is not run twice. Past
+    a bound the frame is returned as is and the planner uses a shuffle join
+    (AQE may still pick a broadcast from runtime statistics).
     """
-    srcs = bound_by or [df]
-    total = 0
-    for s in srcs:
-        total += _bounded_count(s, max_rows)
-        if total > max_rows:
+    rows, width = 0, 0
+    for s in bound_by or [df]:
+        n, w = _measured(s, max_rows)
+        rows, width = rows + n, width + w
+        if rows > max_rows or rows * width > max_bytes:
             return df
     return F.broadcast(df)
 
 
-_COUNTS: dict[tuple, int] = {}
+_MEASURED: dict[tuple, tuple[int, int]] = {}
 
 
-def _bounded_count(df: DataFrame, max_rows: int) -> int:
-    """min(|df|, max_rows + 1), remembered per session and plan (the input
-    tables of a session do not change under it)."""
-    spark = df.sparkSession
-    key = (spark.sparkContext.applicationId, df.semanticHash(), max_rows)
-    if key not in _COUNTS:
-        _COUNTS[key] = df.limit(max_rows + 1).count()
-    return _COUNTS[key]
+def _measured(df: DataFrame, max_rows: int) -> tuple[int, int]:
+    """(min(|df|, max_rows + 1), bytes of the widest row), remembered by the
+    session, the plan and the files it reads (the input tables of a session
+    do not change under it)."""
+    key = (df.sparkSession.sparkContext.applicationId, df.semanticHash(), tuple(sorted(df.inputFiles())), df.schema.simpleString(), max_rows)
+    if key not in _MEASURED:
+        cells = [F.coalesce(F.octet_length(f"`{c}`"), F.lit(0)) + 16 if t in ("string", "binary") else F.lit(16) for c, t in df.dtypes]
+        got = df.limit(max_rows + 1).agg(F.count(F.lit(1)), F.max(sum(cells[1:], cells[0]))).first()
+        _MEASURED[key] = (got[0], got[1] or 0)
+    return _MEASURED[key]
 
 
 def first_match(pairs: DataFrame, key: str, label: str, out: str | None = None) -> DataFrame:

@@ -208,13 +208,29 @@ def triple_area(triples: DataFrame, fa: str, fb: str, fc: str,
     return j.groupBy(fa, fb, fc).agg(F.sum(term).alias("area"))
 
 
-SUB_BANDS = 1024   # band ids become band * SUB_BANDS + sub-band
+SUB_BANDS = 1 << 20   # band ids become band * SUB_BANDS + sub-band
+
+
+def height_tiles(pieces: DataFrame, keys: Sequence[str], max_pieces: int) -> DataFrame:
+    """Pieces with the height tiles of their (group, band) that they pass
+    (``tile``): as many equal tiles as the band holds times ``max_pieces``.
+    Pieces cross only where they share a tile, so the crossing search of a
+    band full of edges that span it is linear in them, not quadratic. Reuses
+    the partitioning by ``keys``."""
+    w = Window.partitionBy(*keys)
+    lo, hi = F.least("yl", "yr"), F.greatest("yl", "yr")
+    t = pieces.withColumns({"_tiles": F.ceil(F.count(F.lit(1)).over(w) / max_pieces), "_y0": F.min(lo).over(w), "_y1": F.max(hi).over(w)})
+    height = (F.col("_y1") - F.col("_y0")) / F.col("_tiles")
+
+    def at(y):
+        return F.least(F.when(height > 0, F.floor((y - F.col("_y0")) / F.when(height > 0, height))).otherwise(0), F.col("_tiles") - 1).cast("int")
+    return t.withColumn("tile", F.explode(F.sequence(at(lo), at(hi)))).drop("_tiles", "_y0", "_y1")
 
 
 def split_hot_bands(pieces: DataFrame, keys: Sequence[str], band: float | None = None,
                     max_pieces: int = 4096) -> DataFrame:
     """Split a hot (group, band) — one holding more than ``max_pieces``
-    pieces, e.g. a huge, detailed water body — into up to 1024 narrower
+    pieces, e.g. a huge, detailed water body — into narrower
     sub-bands, each piece clipped to the sub-bands it crosses. Every
     quantity of the overlay is a sum over x, so this is exact; it bounds the
     rows (and the quadratic crossing search) of one task. Bands under the
@@ -244,8 +260,7 @@ def split_hot_bands(pieces: DataFrame, keys: Sequence[str], band: float | None =
 
 def band_grid(pieces: DataFrame, fid: str, max_pieces: int) -> DataFrame:
     """(fid, band, _k): how many sub-bands each hot (feature, band) is cut
-    into — more than ``max_pieces`` edges -> ceil(n / max_pieces), at most
-    1024. Only hot keys are listed (small: one row per hot band)."""
+    into — more than ``max_pieces`` edges -> ceil(n / max_pieces). Only hot keys are listed (small: one row per hot band)."""
     cnt = pieces.groupBy(fid, "band").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > max_pieces)
     return cnt.select(fid, "band", F.least(F.ceil(F.col("_n") / max_pieces), F.lit(SUB_BANDS)).cast("int").alias("_k"))
 
@@ -305,11 +320,12 @@ def slab_overlay(pieces: DataFrame, n_layers: int,
     pieces = pieces.repartition(*k)
     # 1. slab boundaries: piece ends and crossings of pieces in the group
     ends = pieces.selectExpr("g", "band", "l AS x").union(pieces.selectExpr("g", "band", "r AS x"))
-    a = pieces.selectExpr("g", "band", "l AS a_l", "r AS a_r", "yl AS a_yl", "yr AS a_yr")
-    b = pieces.selectExpr("g", "band", "l AS b_l", "r AS b_r", "yl AS b_yl", "yr AS b_yr")
+    tiled, kt = (pieces, k) if max_pieces is None else (height_tiles(pieces, k, max_pieces), [*k, "tile"])
+    a = tiled.selectExpr(*kt, "l AS a_l", "r AS a_r", "yl AS a_yl", "yr AS a_yr")
+    b = tiled.selectExpr(*kt, "l AS b_l", "r AS b_r", "yl AS b_yl", "yr AS b_yr")
     # both orders of every pair are joined (a crossing is found twice and the
     # distinct below folds it); no row ids, so a recomputed task sees the same rows
-    xs = (a.join(b, k).selectExpr("g", "band", "greatest(a_l, b_l) AS _L", "least(a_r, b_r) AS _R",
+    xs = (a.join(b, kt).selectExpr("g", "band", "greatest(a_l, b_l) AS _L", "least(a_r, b_r) AS _R",
                                   "a_l", "a_r", "a_yl", "a_yr", "b_l", "b_r", "b_yl", "b_yr")
           .filter("_R > _L")
           .selectExpr("g", "band", "_L", "_R",

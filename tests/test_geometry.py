@@ -231,3 +231,16 @@ def test_self_crossing_rings_are_resolved(spark):
     assert all(abs(a - b) < 1e-9 for k in want for a, b in zip(got[k], want[k]))
     kept = {r.id for r in out.join(df.withColumnRenamed("rings", "old"), "id").where("rings = old").collect()}
     assert kept == {2, 3, 5}
+
+
+def test_crossing_search_of_spanning_edges_is_tiled(spark):
+    """8,192 edges that span a band: pairs compared stay near the edges times
+    the tile size, and all crossings are found."""
+    n = 8192
+    rows = spark.range(n).selectExpr("1L AS g", "0 AS layer", "0L AS band", "0D AS l", "10D AS r", "CAST(id AS DOUBLE) AS yl", "id + 1.5D AS yr", "1 AS c")
+    tiled = ov.height_tiles(rows, ["g", "band"], 64)
+    assert tiled.groupBy("tile").count().agg(F.max("count")).first()[0] <= 3 * 64
+    assert tiled.count() <= 1.2 * n
+    pairs = tiled.alias("a").join(tiled.alias("b"), ["g", "band", "tile"])
+    cross = pairs.where("(a.yl - b.yl) * (a.yr - b.yr) < 0").count()
+    assert cross == 0 and pairs.count() < 4 * 64 * n
