@@ -58,16 +58,18 @@ def employment_cells(t: Tables, prm: P.Params = P.DEFAULT) -> DataFrame:
     needs. They are sums and a maximum, so every report (and every cube)
     aggregates these cells; the facts are read and joined once. ``placed``
     tells a workplace with a correspondence row from one without."""
-    def build():
-        ind = bounded_broadcast(fx.industry_dims(t), prm.broadcast_max_rows)
-        loc = fx.workplace_location_dims(t).select(LOC, "county_id", "mic")
-        corr = correspondence(t, prm)
-        tagged = loc.join(corr.withColumn("placed", F.lit(True)), LOC, "left")
-        # |loc left join corr| <= |loc| + |corr|: bound by the two inputs
-        tagged = bounded_broadcast(tagged, prm.broadcast_max_rows, bound_by=[loc, corr])
-        rows = fx.workplace_facts(t).join(ind, "industry_id").join(tagged, LOC)
-        return rows.groupBy(*FINEST).agg(*suppression_inputs())
-    return materialized(t.spark, ("employment_cells", t.sf_dir, prm), build)
+    return materialized(t.spark, ("employment_cells", t.sf_dir, prm), lambda: build_employment_cells(t, prm))
+
+
+def build_employment_cells(t: Tables, prm: P.Params = P.DEFAULT) -> DataFrame:
+    ind = bounded_broadcast(fx.industry_dims(t), prm.broadcast_max_rows)
+    loc = fx.workplace_location_dims(t).select(LOC, "county_id", "mic")
+    corr = correspondence(t, prm)
+    tagged = loc.join(corr.withColumn("placed", F.lit(True)), LOC, "left")
+    # |loc left join corr| <= |loc| + |corr|: bound by the two inputs
+    tagged = bounded_broadcast(tagged, prm.broadcast_max_rows, bound_by=[loc, corr])
+    rows = fx.workplace_facts(t).join(ind, "industry_id").join(tagged, LOC)
+    return rows.groupBy(*FINEST).agg(*suppression_inputs())
 
 
 def employment_base(t: Tables, years, corr_join: str = "left",
