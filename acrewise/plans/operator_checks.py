@@ -124,7 +124,7 @@ def w1_row_index(t: Tables, prm=P.DEFAULT) -> DataFrame:
 def s3_named_layers(t: Tables, prm=P.DEFAULT) -> DataFrame:
     """Every layer by its name, with its features and area."""
     out = None
-    for name in ("micen", "cities", "regional_geographies", "county_background", "industrial_lands", "zoning", "exclusions", "largest_waterbodies"):
+    for name in ("micen", "cities", "regional_geographies", "county_background", "inventory", "zoning", "exclusions", "largest_waterbodies"):
         one = named_layer(t, name).agg(F.count(F.lit(1)).alias("n"), snap_sqft(F.sum(geo.area("rings"))).alias("area")).select(F.lit(name).alias("layer"), "n", "area")
         out = one if out is None else out.unionByName(one)
     return out

@@ -60,7 +60,7 @@ def named_layer(t: Tables, name: str) -> DataFrame:
     table = {
         "micen": layers.mic_layer, "cities": layers.city_layer,
         "regional_geographies": layers.rgeo_layer, "county_background": layers.counties_layer,
-        "industrial_lands": layers.zones_layer, "zoning": layers.zoning_layer,
+        "inventory": layers.zones_layer, "zoning": layers.zoning_layer,
         "exclusions": layers.masks_layer,
     }
     if name == "largest_waterbodies":
