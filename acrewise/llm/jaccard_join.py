@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from acrewise.llm import symbols
-from acrewise.llm.common import dropped, freed, matching, on_arrow, partitions, scratch, stored, table
+from acrewise.llm.common import dropped, fingerprint, freed, matching, on_arrow, partitions, scratch, stored, table
 from acrewise.llm.components import components
 from acrewise.llm.repeats import LAST, documents
 
@@ -66,9 +66,7 @@ class Join:
     def sets(self, column: pa.Array) -> Iterator[np.ndarray]:
         """The sorted hashes of the n-grams of each text."""
         data, offsets = symbols.text_bytes(column)
-        rows = 0
-        while rows < len(offsets) - 1:  # bounded stretches of texts
-            to = max(rows + 1, int(np.searchsorted(offsets, offsets[rows] + 2 * symbols.SEGMENT, "right")) - 1)
+        for rows, to in symbols.stretches(offsets):
             part = data[offsets[rows]:offsets[to]]
             values, at = symbols.word_values(part, offsets[rows:to + 1] - offsets[rows], fold=True)
             s = symbols.prefix_sums(values)
@@ -82,7 +80,6 @@ class Join:
                     yield symbols.span_hash(s, np.array([a]), np.array([b])) ^ np.uint64(b - a)
                 else:
                     yield np.zeros(0, np.uint64)
-            rows = to
 
     def prefix(self, n: int) -> int:
         """n-grams of a set of n that hold one of any close partner."""
@@ -309,7 +306,9 @@ class Join:
 
         labels = base.select("id", "fp", "n", "sid").join(roots, base["sid"] == roots["u"], "left").select(
             "id", "fp", "n", F.coalesce("root", "sid").alias("class"))
-        leaders = labels.where("class IS NOT NULL").groupBy("class").agg(F.min("id").alias("leader"))
+        # written, so that the join below has a shuffle on both sides and Spark
+        # can split a class that holds many of the rows
+        leaders = stored(labels.where("class IS NOT NULL").groupBy("class").agg(F.min("id").alias("leader")), folder, "leaders")
         return labels.join(leaders, "class", "left").select(
             F.struct(F.nullif("id", F.lit(LAST)).alias("id"), "fp").alias("k"), F.col("n").alias("n_shingles"),
             F.nullif(F.coalesce("leader", "id"), F.lit(LAST)).alias("component_id"))
@@ -328,7 +327,7 @@ def keep_first(df: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     good = Join(words, percent).classes(df).where("component_id <=> k.id").groupBy("k").agg(F.count(F.lit(1)).alias("copies"))
     good = stored(good, scratch(spark), "kept")
     freed(spark)
-    own = F.struct(F.col("doc_id").alias("id"), F.xxhash64(body).alias("fp"))
+    own = F.struct(F.col("doc_id").alias("id"), fingerprint(body).alias("fp"))
     rows = matching(df, own, good.where("copies = 1"))
     if not good.where("copies > 1").head(1):
         return rows
