@@ -6,6 +6,7 @@ import gc
 import os
 import shutil
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -62,9 +63,12 @@ def stored(df: DataFrame, folder: str, name: str) -> DataFrame:
 
 def freed(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of finished steps now. It does so
-    when their objects are collected, which an idle driver may put off."""
-    gc.collect()
-    spark._jvm.System.gc()
+    when their objects are collected, which an idle driver may put off; the
+    last step's are held until its events have been heard."""
+    for _ in range(3):
+        time.sleep(1)
+        gc.collect()
+        spark._jvm.System.gc()
 
 
 def dropped(spark: SparkSession, folder: str, name: str) -> None:
@@ -97,6 +101,11 @@ def fixed(df: DataFrame, **cols: Column) -> DataFrame:
     return out.select(*[F.col(f"`{c}`") for c in df.columns], *[F.col(f"{s}.{k}") for k in cols])
 
 
+def fingerprint(text: Column) -> Column:
+    """32 bits that tell texts of one id apart."""
+    return F.xxhash64(text).bitwiseAND(0xFFFFFFFF)
+
+
 def row_key(df: DataFrame, key: str, text: str) -> Column:
     """What tells rows apart where a step must find its row again: id and
     text. Rows equal in both are interchangeable."""

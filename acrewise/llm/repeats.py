@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from acrewise.llm import symbols
-from acrewise.llm.common import on_arrow, partitions, scratch, stored
+from acrewise.llm.common import fingerprint, freed, on_arrow, partitions, scratch, stored
 
 LAST = 2**63 - 1  # stands for a null id
 INDEX_BITS = 23
@@ -53,11 +53,19 @@ class Repeats:
     def scan(self, column: pa.Array) -> Iterator[tuple]:
         """For each bounded group of pieces: prefix sums, rows' numbers and
         bounds, and for every owned window its start and its anchor."""
-        values, offsets = self.values(*symbols.text_bytes(column))
+        data, ends = symbols.text_bytes(column)
+        for first, last in symbols.stretches(ends):
+            codes, offsets = self.values(data[ends[first]:ends[last]], ends[first:last + 1] - ends[first])
+            for s, kmers, row, *rest in self.scan_some(codes, offsets):
+                yield s, kmers, row + first, *rest
+
+    def scan_some(self, codes: np.ndarray, offsets: np.ndarray) -> Iterator[tuple]:
+        """The same for a bounded stretch of rows."""
         reach = self.length - self.k
         for group in symbols.pieces(offsets, 2 * self.length):
             row, lo, hi, own_lo, own_hi = (np.array(x, np.int64) for x in zip(*group))
-            v = np.concatenate([values[a:b] for a, b in zip(lo, hi)])
+            v = np.concatenate([codes[a:b] for a, b in zip(lo, hi)])
+            v = symbols.BYTE[v] if v.dtype == np.uint8 else v
             base = np.concatenate([[0], np.cumsum(hi - lo)])
             if len(v) < self.length:
                 continue
@@ -82,29 +90,37 @@ class Repeats:
             yield s, kmers, row, lo - offsets[row], base, start, anchor
 
     def anchors(self, column: pa.Array) -> tuple[np.ndarray, ...]:
-        """(row, position in the row, k-mer hash, context hash) of all anchors."""
+        """(row, position in the row, k-mer hash, context hash, hashes of the
+        nearer half of the context on both sides) of all anchors."""
         out, reach = [], self.length - self.k
+        half, low = (reach + 1) // 2, np.uint64(0xFFFF)
         for s, kmers, row, shift, base, _, anchor in self.scan(column):
             a = np.unique(anchor)
             piece = np.searchsorted(base, a, "right") - 1
             lo, hi = np.maximum(a - reach, base[piece]), np.minimum(a + self.length, base[piece + 1])
             context = symbols.span_hash(s, lo, hi) ^ symbols.mixed(((a - lo) << 32 | (hi - a)).astype(np.uint64))
-            out.append((row[piece], a - base[piece] + shift[piece], kmers[a], context))
-        cols = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64)] * 2 + [np.zeros(0, np.uint64)] * 2
+            near, far = np.maximum(a - half, lo), np.minimum(a + self.k + half, hi)
+            left = symbols.span_hash(s, near, a) + (a - near).astype(np.uint64)
+            right = symbols.span_hash(s, a + self.k, far) + (far - a).astype(np.uint64)
+            out.append((row[piece], a - base[piece] + shift[piece], kmers[a], context, (left & low) << np.uint64(16) | (right & low)))
+        cols = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64)] * 2 + [np.zeros(0, np.uint64)] * 3
         keep = np.unique(cols[0] << 40 | cols[1], return_index=True)[1]  # two parts of a long text may share an anchor
         return tuple(c[keep] for c in cols)
 
     def windows(self, column: pa.Array, wanted: list[np.ndarray]) -> tuple[np.ndarray, ...]:
-        """(row, start, hash) of the windows whose anchor is wanted."""
-        out = []
+        """(row, start, hash) of the windows whose anchor is wanted for the
+        side that they reach to."""
+        out, reach = [], self.length - self.k
+        half = (reach + 1) // 2
         for s, _, row, shift, base, start, anchor in self.scan(column):
             piece = np.searchsorted(base, start, "right") - 1
-            mark = np.zeros(len(s), bool)
+            mark = np.zeros(len(s), np.uint8)
             for p in range(len(row)):
-                at = wanted[row[p]] - shift[p]
-                at = at[(at >= 0) & (at < base[p + 1] - base[p])]
-                mark[base[p] + at] = True
-            keep = mark[anchor]
+                at, side = (wanted[row[p]] >> 2) - shift[p], (wanted[row[p]] & 3).astype(np.uint8)
+                own = (at >= 0) & (at < base[p + 1] - base[p])
+                np.bitwise_or.at(mark, base[p] + at[own], side[own])
+            sides, before = mark[anchor], anchor - start
+            keep = ((sides & 1) > 0) & (before >= half) | ((sides & 2) > 0) & (reach - before >= half)
             start, piece = start[keep], piece[keep]
             out.append((row[piece], start - base[piece] + shift[piece], symbols.span_hash(s, start, start + self.length)))
         return tuple(np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))
@@ -117,10 +133,10 @@ class Repeats:
         parts = []
         for b in batches:
             ids, fps = (b.column(k).to_numpy() for k in (0, 1))
-            row, pos, kmer, context = self.anchors(b.column(2))
-            parts.append((kmer.view(np.int64), context.view(np.int64), ids[row], fps[row], pos))
+            row, pos, kmer, context, halves = self.anchors(b.column(2))
+            parts.append((kmer.view(np.int64), context.view(np.int64), halves.view(np.int64), ids[row], fps[row], pos))
         if parts:
-            yield from settle([np.concatenate(c) for c in zip(*parts)], 2, self.every, ["a", "c", "id", "fp", "pos"])
+            yield from settle([np.concatenate(c) for c in zip(*parts)], 2, self.every, ["a", "c", "h", "id", "fp", "pos"])
 
     def find_windows(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(id, fp, text, at) -> the same for single windows."""
@@ -140,11 +156,17 @@ class Repeats:
         document with marked symbols the ranges [lo, hi) as a flat list;
         ranges may overlap and reach beyond the text."""
         folder, n = scratch(docs.sparkSession), partitions(docs.sparkSession)
-        reach = self.length - self.k
-        rows = on_arrow(docs, self.find_anchors, "a long, c long, id long, fp long, pos long, settled boolean")
-        rows = stored_by(rows, folder, "anchors", n, ["a", "c", "id", "fp", "pos"], classes(self.every), "id long, fp long, pos long, split boolean")
-        whole = rows.where("NOT split").select("id", "fp", (F.col("pos") - reach).alias("lo"), (F.col("pos") + self.length).alias("hi"))
-        wanted = rows.where("split").groupBy("id", "fp").agg(F.collect_set("pos").alias("at"))
+        rows = on_arrow(docs, self.find_anchors, "a long, c long, h long, id long, fp long, pos long, settled boolean")
+        rows = stored_by(rows, folder, "anchors", n, ["a", "c", "id", "fp", "pos"], classes(self.every),
+                         "a long, h long, id long, fp long, pos long, split boolean")
+        whole = self.ranges(rows.where("NOT split").select(F.col("a").alias("node"), "id", "fp", "pos"), folder)
+        # two classes share a window only if the nearer half of their contexts
+        # is equal on one side at least; then only windows that reach that far
+        # to that side are spelled out (at: 4 * position + 1 for left, 2 for right)
+        split = rows.where("split").withColumns({"left": F.shiftright("h", 16), "right": F.col("h").bitwiseAND(0xFFFF)})
+        alike = [split.join(split.groupBy("a", side).agg(F.count(F.lit(1)).alias("c")).where("c > 1"), ["a", side], "left_semi")
+                 .select("id", "fp", (4 * F.col("pos") + bit).alias("at")) for bit, side in ((1, "left"), (2, "right"))]
+        wanted = alike[0].union(alike[1]).groupBy("id", "fp").agg(F.collect_set("at").alias("at"))
         spelled = docs.join(wanted, ["id", "fp"]).dropDuplicates(["id", "fp"]).select("id", "fp", "text", "at")
         single = on_arrow(spelled, self.find_windows, "a long, id long, fp long, pos long, settled boolean")
         single = stored_by(single, folder, "windows", n, ["a", "id", "fp", "pos"], equal_windows(self.every), "id long, fp long, pos long")
@@ -152,6 +174,17 @@ class Repeats:
         return ranges.groupBy("id", "fp").agg(F.flatten(F.collect_list(F.array("lo", "hi"))).alias("spans"))
 
 
+    def ranges(self, whole: DataFrame, folder: str) -> DataFrame:
+        """Settled anchors (node, id, fp, pos) -> what their contexts cover
+        (id, fp, lo, hi)."""
+        return whole.select("id", "fp", (F.col("pos") - (self.length - self.k)).alias("lo"), (F.col("pos") + self.length).alias("hi"))
+
+
+def node(a: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """One number for a class."""
+    return symbols.mixed(a.view(np.uint64) * symbols.BASE ^ c.view(np.uint64)).view(np.int64)
+
+
 def settle(cols: list[np.ndarray], keys: int, every: bool, names: list[str]) -> Iterator[pa.RecordBatch]:
     """Sort a task's rows; the first of each key goes on, the others (and, if
     every occurrence counts, the first of several) are settled here."""
@@ -172,12 +205,14 @@ def stored_by(rows: DataFrame, folder: str, name: str, n: int, order: list[str],
     along, dealt out evenly, and pass through. Written, as the result is read
     more than once."""
     deal = F.when(F.col("settled"), F.xxhash64("id", "fp", "pos")).otherwise(F.col("a"))
-    return stored(on_arrow(rows.repartition(n, deal).sortWithinPartitions("settled", *order), fn, schema), folder, name)
+    out = stored(on_arrow(rows.repartition(n, deal).sortWithinPartitions("settled", *order), fn, schema), folder, name)
+    freed(rows.sparkSession)
+    return out
 
 
 def columns(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[list[np.ndarray], list[np.ndarray]]]:
-    """Per batch the columns of the open rows, and (id, fp, pos) of the
-    settled ones."""
+    """Per batch the columns of the open rows, and all but the first ``keys``
+    columns of the settled ones (none: all)."""
     for b in batches:
         cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
         n = int((~cols[-1]).sum())
@@ -185,30 +220,35 @@ def columns(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[list
 
 
 def classes(every: bool):
-    """Sorted (a, c, id, fp, pos) -> members settled by their class (split
-    false), and one member of each class where a has several (split true)."""
+    """Sorted (a, c, h, id, fp, pos) -> members settled by their class (split
+    false; a is then the class's node, if every occurrence counts), and one
+    member of each class where a has several (split true, with a and h)."""
+    out = ["a", "h", "id", "fp", "pos", "split"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = held = None  # the row before; the first row of a's only class so far
-        for (a, c, ids, fps, pos), done in columns(batches, 2):
-            one = (ids, fps, pos)
+        for (a, c, h, ids, fps, pos), done in columns(batches, 0):
+            one = (a, h, ids, fps, pos)
             if len(done[0]):
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in done] + [pa.array(np.zeros(len(done[0]), bool))], ["id", "fp", "pos", "split"])
+                none = np.zeros(len(done[0]), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (node(*done[:2]) if every else none, none, *done[3:], none > 0)], out)
             if not len(a):
                 continue
+            nodes = node(a, c) if every else np.zeros(len(a), np.int64)
             new_a, new_c = np.ones(len(a), bool), np.ones(len(a), bool)
             new_a[1:] = a[1:] != a[:-1]
             if last is not None:
-                new_a[0] = a[0] != last[0]
+                new_a[0] = a[0] != last[1]
             new_c[1:] = c[1:] != c[:-1]
             if last is not None:
-                new_c[0] = c[0] != last[1]
+                new_c[0] = c[0] != last[0]
             new_c |= new_a
             whole, split = ~new_c, new_c & ~new_a
             extra = []
             if every:
                 whole[:-1] |= ~new_c[1:]
                 if last is not None and not new_c[0]:
-                    extra.append((*last[2:], False))  # its class goes on here
+                    extra.append((nodes[0], 0, *last[3:], False))  # its class goes on here
             run_of = np.cumsum(new_a)  # 0: the run that began in an earlier batch
             several = np.bincount(run_of[split], minlength=run_of[-1] + 1) > 0
             if held is not None and several[0]:
@@ -217,13 +257,15 @@ def classes(every: bool):
             split |= new_a & several[run_of]
             if run_of[-1] > 0:
                 i = np.flatnonzero(new_a)[-1]
-                held = None if several[-1] else (ids[i], fps[i], pos[i])
-            last = (a[-1], c[-1], ids[-1], fps[-1], pos[-1])
+                held = None if several[-1] else tuple(x[i] for x in one)
+            last = (c[-1], *(x[-1] for x in one))
             at = np.concatenate([np.flatnonzero(whole), np.flatnonzero(split)])
             kind = np.repeat([False, True], [int(whole.sum()), int(split.sum())])
             cols = [np.concatenate([x[at], np.array([e[k] for e in extra], np.int64)]) for k, x in enumerate(one)]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols] + [pa.array(np.concatenate([kind, np.array([e[3] for e in extra], bool)]))],
-                                             ["id", "fp", "pos", "split"])
+            cols[0][:len(at)] = np.where(kind, a[at], nodes[at])
+            kind = np.concatenate([kind, np.array([e[5] for e in extra], bool)])
+            cols[1] = np.where(kind, cols[1], 0)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*cols, kind)], out)
     return run
 
 
@@ -254,7 +296,7 @@ def equal_windows(every: bool):
 def documents(df: DataFrame, key: str, text: str) -> DataFrame:
     """(id, fp, text) with nulls filled in."""
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    return df.select(F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(LAST)).alias("id"), F.xxhash64(body).alias("fp"), body.alias("text"))
+    return df.select(F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(LAST)).alias("id"), fingerprint(body).alias("fp"), body.alias("text"))
 
 
 def marked(n: int, spans) -> np.ndarray:

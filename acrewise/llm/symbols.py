@@ -62,8 +62,19 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
+def stretches(ends: np.ndarray, size: int | None = None):
+    """Ranges of rows (first, last + 1) of about ``size`` bytes."""
+    at, size = 0, size or 2 * SEGMENT
+    while at < len(ends) - 1:
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + size, "right")) - 1)
+        yield at, to
+        at = to
+
+
 def byte_values(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return BYTE[data], offsets
+    """The bytes themselves (their 64-bit values, ``BYTE``, are looked up
+    part by part)."""
+    return data, offsets
 
 
 def word_values(data: np.ndarray, offsets: np.ndarray, fold: bool = False) -> tuple[np.ndarray, np.ndarray]:

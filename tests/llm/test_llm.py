@@ -288,10 +288,14 @@ def test_repeats_in_small_parts_equal_brute_force(seed, monkeypatch):
         parts = [pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), c], ["id", "fp", "text"]) for a, b, c in rows]
         found = pa.Table.from_batches([b for k in range(0, n, 5) for b in r.find_anchors(iter(parts[k:k + 5]))]).to_pandas()
         ranges = defaultdict(list)
-        out = stream(repeats.classes(every), found, ["settled", "a", "c", "id", "fp", "pos"])
+        out = stream(repeats.classes(every), found, ["settled", "a", "c", "h", "id", "fp", "pos"])
+        out["left"], out["right"] = out.h // 65536, out.h % 65536
         for x in out[~out.split].itertuples():
             ranges[x.id] += [x.pos - r.length + r.k, x.pos + r.length]
-        want_at = out[out.split].groupby("id")["pos"].apply(lambda s: sorted(set(s))).to_dict()
+        split, want_at = out[out.split], defaultdict(list)
+        for bit, side in ((1, "left"), (2, "right")):
+            for x in split[split.duplicated(["a", side], keep=False)].itertuples():
+                want_at[x.id].append(4 * x.pos + bit)
         spelled = [pa.RecordBatch.from_arrays([pa.array([i]), pa.array([0]), pa.array([docs[i]]), pa.array([at])], ["id", "fp", "text", "at"]) for i, at in want_at.items()]
         single = [b for k in range(0, len(spelled), 3) for b in r.find_windows(iter(spelled[k:k + 3]))]
         if single:
