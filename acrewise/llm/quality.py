@@ -42,8 +42,8 @@ COMMON = {
 CLASSES = ["a-z", r"\x20\x09-\x0D", "A-Z", "0-9", r".,;:!?'\"()-", r"#*$%&|<>"]
 
 
-def common_histogram(line: Column, n_words: Column, lang: Column) -> Column:
-    """Counts of the language's common words, then of all other words; null
+def common_histogram(line: Column, lang: Column) -> Column:
+    """Counts of the language's common words; null
     for a language without a list. ``line`` holds each common word between
     its own pair of spaces, so counting a word is a replace."""
     def count(w: str) -> Column:
@@ -82,7 +82,7 @@ def features(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
         cells.append(F.char_length(rest) - F.char_length(f"rest{n}"))
         rest = f"rest{n}"
     n_words = F.size("w").cast("long")
-    x = fixed(x, first=common_histogram(F.col("line"), n_words, F.col("lang")))
+    x = fixed(x, first=common_histogram(F.col("line"), F.col("lang")))
     return x.select(
         "k", "lang", n_words.alias("n_words"),
         F.char_length(F.array_join("w", "")).cast("long").alias("word_chars"),

@@ -3,7 +3,6 @@ library, exact round trips and their DuckDB SQL, on edge cases."""
 
 import hashlib
 import itertools
-import os
 import random
 import re
 from collections import Counter, defaultdict
@@ -16,8 +15,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from acrewise.llm import (common, decontaminate, jaccard_join, line_dedup, mixture, quality, queries, repeats, shards,
-                          suffix_dedup, symbols, token_counts, warc)
+from acrewise.llm import (decontaminate, jaccard_join, line_dedup, mixture, quality, queries, repeats, shards,
+                          symbols, token_counts, warc)
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("lang", pa.string()), ("source", pa.string()), ("n_chars", pa.int64())])
