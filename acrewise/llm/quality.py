@@ -2,19 +2,25 @@
 
 Each document gives two histograms: characters by class, and the common words
 of its language (one cell a word, one for all other words). Each language's
-reference is the sum of its documents' histograms, taken over the whole
-table. A document is rejected when the Jensen-Shannon distance (base 2, 0 to
-1) from its language's reference passes a limit. A histogram of fewer than
-the guard's characters or words is too noisy to judge and passes.
+reference is the median of each cell's share over the language's distinct
+texts, taken over the whole table: a text counts once however often it is
+copied and however long it is, so neither copies nor long texts move the
+reference. A document is rejected when the Jensen-Shannon distance (base 2, 0
+to 1) from its language's reference passes a limit. A histogram of fewer than
+the guard's characters or words is too noisy to judge and passes; it takes no
+part in the reference either.
 
 The counts are taken in one pass over the texts and stored as a narrow table;
 references and verdicts read that table only. References are one row a
-language.
+language. Shares are rounded to ``STEPS`` parts, so a median is taken from at
+most that many counted values.
 
 Defined cases: null and empty texts have no words and fail the base rule; a
 null language is a language of its own, and languages without a word list are
 judged by characters alone; equal rows get equal verdicts; very long texts
-stay one row; an empty table gives an empty result.
+stay one row; an empty table gives an empty result. A language of one distinct
+text is its own reference and is not rejected by distance; one whose medians
+are all zero has no centre and is not judged.
 """
 
 from __future__ import annotations
@@ -30,6 +36,7 @@ MIN_CHARS = 200         # guard of the character histogram
 MIN_COMMON_WORDS = 100  # guard of the word histogram
 MAX_CHAR_DISTANCE = 0.22
 MAX_WORD_DISTANCE = 0.25
+STEPS = 10_000          # parts that shares are rounded to for the medians
 
 # Frequent words of each language.
 COMMON = {
@@ -112,10 +119,22 @@ def js_distance(p: Column, q: Column) -> Column:
 
 
 def references(feats: DataFrame) -> DataFrame:
-    """The summed histograms of each language."""
-    sums = lambda c, n: F.array(*[F.sum(F.get(c, F.lit(i))) for i in range(n)])
-    common = sums("common", max(map(len, COMMON.values())) + 1)
-    return feats.groupBy("lang").agg(sums("chars", len(CLASSES) + 1).alias("ref_chars"), common.alias("ref_common"))
+    """The median share of each cell over the distinct texts of each
+    language, in 2 * ``STEPS`` parts (whole numbers). Copies and equal shares
+    are counted map-side."""
+    texts = feats.select("lang", F.col("k.fp").alias("fp"), "chars", "common").distinct()
+    guard = lambda c, least: F.when(_total(F.col(c)) >= least, shares(F.col(c)))
+    x = fixed(texts, p_chars=guard("chars", MIN_CHARS), p_common=guard("common", MIN_COMMON_WORDS))
+    cells = len(CLASSES) + 1
+    none = F.array().cast("array<double>")
+    # the cells of both histograms in one list, the common words from ``cells`` on
+    both = F.concat(F.transform(F.coalesce("p_chars", none), lambda y, i: F.struct(i.alias("cell"), y.alias("y"))),
+                    F.transform(F.coalesce("p_common", none), lambda y, i: F.struct((i + cells).alias("cell"), y.alias("y"))))
+    counted = x.select("lang", F.explode(both).alias("c")).groupBy("lang", "c.cell", F.round(F.col("c.y") * STEPS).cast("int").alias("part")).count()
+    middle = counted.groupBy("lang", "cell").agg((2 * F.percentile("part", F.lit(0.5), F.col("count"))).cast("long").alias("v"))
+    ref = middle.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("cell", "v"))).alias("m"))
+    part = lambda of: F.transform(F.filter("m", of), lambda y: y["v"])
+    return ref.select("lang", part(lambda y: y["cell"] < cells).alias("ref_chars"), part(lambda y: y["cell"] >= cells).alias("ref_common"))
 
 
 def judge(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:

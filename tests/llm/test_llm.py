@@ -228,6 +228,23 @@ def test_classes_in_small_blocks_and_all_hot(spark, monkeypatch):
 # ---- 5 ------------------------------------------------------------------
 
 
+def test_copied_and_long_junk_does_not_move_the_references(spark):
+    """One rejected text as a third of its language's rows, and one of
+    millions of characters, leave the other verdicts as they are."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang = 'en'").select("doc_id", "text", "lang").localCheckpoint()
+    judged = quality.judge(docs).collect()
+    before = {r.k.id: r.kept for r in judged}
+    far = sorted((r.char_distance, r.k.id) for r in judged if not r.base_failed and r.char_distance and r.char_distance > quality.MAX_CHAR_DISTANCE)
+    junk = docs.where(F.col("doc_id") == far[-1][1])
+    copies = junk.crossJoin(spark.range(len(before) // 2)).select((F.col("id") + 10 ** 6).alias("doc_id"), "text", "lang")
+    long = junk.select(F.lit(10 ** 7).cast("long").alias("doc_id"), F.repeat("text", 2000).alias("text"), "lang")
+    after = {r.k.id: r.kept for r in quality.judge(docs.union(copies)).collect()}
+    assert {k: v for k, v in after.items() if k < 10 ** 6} == before
+    assert not any(v for k, v in after.items() if k >= 10 ** 6)
+    after = {r.k.id: r.kept for r in quality.judge(docs.union(long)).collect()}
+    assert sum(after[k] != v for k, v in before.items()) <= 0.01 * len(before) and not after[10 ** 7]
+
+
 def test_quality_rejects_junk_and_keeps_prose(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
