@@ -9,9 +9,16 @@ as a join in the metric space of the Jaccard distance d = 1 - J.
 3. Boundary replication. A point must visit a foreign region if a member of
    it may lie within the join distance r. Such a pair shares an n-gram in the
    first n - ceil((1 - r) n) + 1 ones of both sets, under any common order of
-   all n-grams; the order takes rare ones first, and sizes and positions of
-   the shared n-gram bound the distance further. One of the two visits the
-   other's region, so every close pair meets in some region.
+   all n-grams. Half as many again are taken by hash, and of these the rare
+   ones first. The sets' windows of hashes differ, so this is not one order
+   of all n-grams: a close pair shares a rare n-gram within both windows, and
+   the first such one is in both prefixes with only unshared rare ones before
+   it; or it shares none there, and then its first shared frequent n-gram is
+   in both prefixes (the longer window holds too few others to push it out)
+   with only unshared n-grams of smaller hash. So the sizes, and the rare
+   position of a rare n-gram or the hash position of a frequent one, bound
+   the distance further. One of the two visits the other's region, so every
+   close pair meets in some region.
 4. Regions join exactly and recursively: a region takes a pivot, compares it
    with all points, links those within r, and goes on with the points that
    are not linked to it; by the triangle inequality a point at distance a
@@ -107,17 +114,22 @@ class Join:
 
     def entries(self, hot: np.ndarray):
         """(d, region, n, low) -> the prefix of each point, rare n-grams
-        first: (s, d, region, place) with place = n << 32 | position."""
+        first: (s, d, region, place) with place = n << 32 | position. The
+        position is the number of n-grams that two points cannot share if
+        this is the first that they do: the rare ones before a rare n-gram,
+        and all of smaller hash before a frequent one (the rare ones of
+        larger hash may be shared beyond the other point's ``low``)."""
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 d, region, n = (b.column(k).to_numpy() for k in range(3))
                 keep, size, place = [], [], []
                 for k, low in enumerate(b.column(3).to_pylist()):
                     g = np.array(low, np.int64)
-                    g = g[np.argsort(hot[g & (HOT_BITS - 1)], kind="stable")][:self.prefix(int(n[k]))]
-                    keep.append(g)
-                    size.append(len(g))
-                    place.append((n[k] << 32) + np.arange(len(g)))
+                    often = hot[g & (HOT_BITS - 1)]
+                    order = np.argsort(often, kind="stable")[:self.prefix(int(n[k]))]
+                    keep.append(g[order])
+                    size.append(len(order))
+                    place.append((n[k] << 32) + np.where(often[order], order, np.arange(len(order))))
                 if keep:
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate(keep), np.repeat(d, size), np.repeat(region, size), np.concatenate(place))],
                                                      ["s", "d", "region", "place"])

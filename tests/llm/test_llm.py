@@ -225,6 +225,53 @@ def test_classes_in_small_blocks_and_all_hot(spark, monkeypatch):
         assert got == want
 
 
+def _truncated(rng, n):
+    """(A, B): A of n words, B the part of A that is still a link, or just not."""
+    a = [f"t{rng.randrange(10 ** 9)}" for _ in range(n)]
+    return a, a[:-(-85 * (n - 3) // 100) + 3 + rng.choice([-1, 0, 0, 1, 2])]
+
+
+def test_truncated_copies_of_a_frequent_text_are_candidates():
+    """All n-grams of A's window frequent, those of B beyond it rare; no
+    regions that could help, no Spark needed."""
+    join, rng = jaccard_join.Join(), random.Random(5)
+    hot, rows, links = np.zeros(jaccard_join.HOT_BITS, bool), [], []
+    for k in range(300):
+        pair = [next(join.sets(pa.array([" ".join(x)]))) for x in _truncated(rng, rng.randint(30, 160))]
+        lows = [g[:-(-3 * join.prefix(len(g)) // 2)].view(np.int64) for g in pair]
+        hot[lows[0] & (jaccard_join.HOT_BITS - 1)] = True
+        rows += [{"d": 2 * k + i, "region": 2 * k + i, "n": len(g), "low": low} for i, (g, low) in enumerate(zip(pair, lows))]
+        if 100 * len(pair[1]) >= 85 * len(pair[0]):  # B's n-grams are all A's
+            links.append((2 * k, 2 * k + 1))
+    schema = pa.schema([("d", pa.int64()), ("region", pa.int64()), ("n", pa.int64()), ("low", pa.list_(pa.int64()))])
+    entries = pa.Table.from_batches(join.entries(hot)(iter([pa.RecordBatch.from_pylist(rows, schema)])))
+    entries = entries.sort_by([("s", "ascending"), ("region", "ascending"), ("d", "ascending")]).combine_chunks()
+    met = {tuple(sorted((v["d"], v["region"]))) for b in join.meet(iter(entries.to_batches())) for v in b.to_pylist()}
+    assert len(links) > 150
+    assert [x for x in links if x not in met] == []
+
+
+def test_copies_truncated_copies_and_quotes(spark):
+    """40 copies of each A, truncated copies at the limit, and pages that
+    quote half of those and draw them into other regions."""
+    rng, docs, links = random.Random(11), [], []
+    for k in range(30):
+        a, b = _truncated(rng, 119)
+        at = len(docs)
+        quotes = [[f"q{rng.randrange(10 ** 9)}" for _ in range(70)] + b[j:j + len(b) // 2] for j in (0, len(b) // 4, len(b) // 2)]
+        docs += [" ".join(x) for x in [*quotes, b, *[a] * 40]]
+        links += [(at + 4, at + 4 + i) for i in range(40)]
+        if 100 * (len(b) - 3) >= 85 * (len(a) - 3):
+            links.append((at + 3, at + 4))
+    want = list(range(len(docs)))
+    for x, y in links:
+        want[y] = x
+    want = [want[x] for x in want]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    got = {r.k.id: r.component_id for r in jaccard_join.Join().classes(df).collect()}
+    assert got == dict(enumerate(want))
+
+
 # ---- 5 ------------------------------------------------------------------
 
 
