@@ -3,7 +3,10 @@
 
 Tokens are summed by cell (source, language, topic). Raking multiplies the
 cells in turn so that the sums by source, by language and by topic meet their
-targets, until all three hold. A document's probability is its cell's fitted
+targets, until all three hold: after every ``ROUNDS`` rounds the largest gap
+between a sum and its target is taken, and raking goes on while it is over
+``TOLERANCE``. Targets that cannot be met together are reported as a warning
+once ``ROUNDS`` more rounds hardly narrow the gap. A document's probability is its cell's fitted
 weight over its cell's tokens, scaled so that the largest is 1: the expected
 tokens of the sample have the fitted mixture, and no text is needed twice.
 
@@ -27,6 +30,9 @@ equal rows get equal verdicts; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import warnings
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +42,8 @@ SEED = "mix-1"
 FLATTEN = 0.9
 LANGUAGES = {"en": 0.55, "fr": 0.16, "de": 0.16, "es": 0.13}
 ROUNDS = 12
+TOLERANCE = 1e-9  # share of the tokens
+STALLED = 0.999   # of the gap left by a further ROUNDS rounds
 SHORT = 100
 
 
@@ -82,13 +90,28 @@ def rake(cells: DataFrame, languages: dict[str, float] = LANGUAGES, flatten: flo
     x = cells.withColumn("w", F.col("n").cast("double"))
     goals = {"s": targets(cells, "s", flatten=flatten), "l": targets(cells, "l", languages), "t": targets(cells, "t", flatten=flatten)}
     goals = {by: stored(goal, folder, f"target-{by}") for by, goal in goals.items()}
-    for i in range(rounds):
-        for by, goal in goals.items():
-            factor = x.groupBy(by).agg(F.sum("w").alias("sum")).join(goal, by)
-            x = x.join(factor, by).select("s", "l", "t", "n", F.when(
-                F.col("sum") > 0, F.col("w") * F.col("target") / F.col("sum")).otherwise(0.0).alias("w"))
-        x = stored(x, folder, f"round{i}")
-    return x
+    i, last = 0, None
+    while True:
+        for _ in range(rounds):
+            for by, goal in goals.items():
+                factor = x.groupBy(by).agg(F.sum("w").alias("sum")).join(goal, by)
+                x = x.join(factor, by).select("s", "l", "t", "n", F.when(
+                    F.col("sum") > 0, F.col("w") * F.col("target") / F.col("sum")).otherwise(0.0).alias("w"))
+            x = stored(x, folder, f"round{i}")
+            i += 1
+        off = gap(x, goals)
+        if off <= TOLERANCE:
+            return x
+        if last is not None and off > STALLED * last:
+            warnings.warn(f"the mixture's targets cannot be met together: {off:.3g} of the tokens off after {i} rounds", RuntimeWarning, stacklevel=2)
+            return x
+        last = off
+
+
+def gap(cells: DataFrame, goals: dict[str, DataFrame]) -> float:
+    """The largest distance of a marginal of w from its target."""
+    off = [cells.groupBy(by).agg(F.sum("w").alias("sum")).join(goal, by).select(F.abs(F.col("sum") - F.col("target")).alias("off")) for by, goal in goals.items()]
+    return reduce(DataFrame.unionAll, off).agg(F.max("off")).first()[0] or 0.0
 
 
 def value(c: str) -> Column:

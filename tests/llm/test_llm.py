@@ -418,6 +418,28 @@ def test_raking_meets_its_targets(spark):
         assert sum(r.w for r in x if r.l == "v" + k) / total == pytest.approx(v, rel=1e-3)
 
 
+def test_raking_goes_on_until_the_targets_hold(spark):
+    """Sources that are almost of one language each need more rounds."""
+    langs = ("ven", "vfr", "vde", "ves")
+    cells = [(f"v{i}", l, t, 100_000 * (1 + j) if i == k else 100) for i in range(4) for k, l in enumerate(langs) for j, t in enumerate(("prose", "table"))]
+    df = spark.createDataFrame(cells, "s string, l string, t string, n long")
+    x = mixture.rake(df).collect()
+    flat = defaultdict(float)
+    for s, _, _, n in cells:
+        flat[s] += n
+    flat = {k: v ** mixture.FLATTEN for k, v in flat.items()}
+    for k, v in flat.items():
+        assert sum(r.w for r in x if r.s == k) == pytest.approx(v / sum(flat.values()), abs=1e-8)
+    for k, v in mixture.LANGUAGES.items():
+        assert sum(r.w for r in x if r.l == "v" + k) == pytest.approx(v, abs=1e-8)
+
+
+def test_targets_that_cannot_be_met_are_reported(spark):
+    df = spark.createDataFrame([("va", "ven", "prose", 900), ("vb", "vfr", "prose", 100)], "s string, l string, t string, n long")
+    with pytest.warns(RuntimeWarning, match="cannot be met"):
+        assert mixture.rake(df, {"en": 0.5, "fr": 0.5}).count() == 2
+
+
 def test_sample_follows_probabilities(spark):
     rows = mixture.mix(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()
     assert max(r.probability for r in rows) == 1.0
