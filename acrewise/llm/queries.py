@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from acrewise.llm import debruijn_dedup, decontaminate, jaccard_join, line_dedup, mixture, quality, shards, suffix_dedup, token_counts, warc
+from acrewise.llm import debruijn_dedup, decontaminate, divergence, jaccard_join, line_dedup, mixture, quality, shards, suffix_dedup, token_counts, warc
 
 QUERIES = {
     "op1_spaced_seeds": decontaminate.op1,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_raked_mixture": mixture.op8,
     "op9_debruijn_dedup": debruijn_dedup.op9,
     "op10_line_bitmaps": line_dedup.op10,
+    "op12_pointer_divergence": divergence.op12,
 }
 SQL = {
     "op1_spaced_seeds": decontaminate.SQL,
@@ -26,4 +27,5 @@ SQL = {
     "op8_raked_mixture": mixture.SQL,
     "op9_debruijn_dedup": debruijn_dedup.SQL,
     "op10_line_bitmaps": line_dedup.SQL,
+    "op12_pointer_divergence": divergence.SQL,
 }
