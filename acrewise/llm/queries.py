@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from acrewise.llm import debruijn_dedup, decontaminate, divergence, jaccard_join, line_dedup, mixture, quality, shards, spelling, suffix_dedup, token_counts, warc
+from acrewise.llm import debruijn_dedup, decontaminate, divergence, jaccard_join, line_dedup, mixture, quality, setsketch, shards, spelling, suffix_dedup, token_counts, warc
 
 QUERIES = {
     "op1_spaced_seeds": decontaminate.op1,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_raked_mixture": mixture.op8,
     "op9_debruijn_dedup": debruijn_dedup.op9,
     "op10_line_bitmaps": line_dedup.op10,
+    "op11_setsketch": setsketch.op11,
     "op12_pointer_divergence": divergence.op12,
     "op13_trie_frontier": spelling.op13,
 }
@@ -28,6 +29,7 @@ SQL = {
     "op8_raked_mixture": mixture.SQL,
     "op9_debruijn_dedup": debruijn_dedup.SQL,
     "op10_line_bitmaps": line_dedup.SQL,
+    "op11_setsketch": setsketch.SQL,
     "op12_pointer_divergence": divergence.SQL,
     "op13_trie_frontier": spelling.SQL,
 }
