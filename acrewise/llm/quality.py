@@ -181,7 +181,7 @@ def sql_judge(src: str = "documents") -> str:
     chars = ", ".join([f"length({a}) - length({b})" for a, b in cells] + [f"length({rest})"])
     common = "CASE lang " + " ".join(
         f"WHEN '{k}' THEN [" + ", ".join(f"len(list_filter(lw, lambda x: x = '{w}'))" for w in ws) + "]" for k, ws in COMMON.items()) + " END"
-    n_common = max(map(len, COMMON.values())) + 1
+    part = lambda a: f"CAST(round(CAST({a}[cell] AS DOUBLE) / list_sum({a}) * {STEPS}) AS INTEGER)"
     return f"""
 q_docs AS (SELECT doc_id, lang, text, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w,
     list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{WORD}')) AS lines,
@@ -196,8 +196,11 @@ q_feat AS (SELECT r.rid, doc_id, lang, text, CAST(len(w) AS BIGINT) AS n_words,
     CAST(coalesce(q_rep.n, 0) AS BIGINT) AS n_repeat_words, [{chars}] AS chars, {common} AS com0,
     list_append(com0, len(w) - CAST(list_sum(com0) AS BIGINT)) AS com
   FROM q_rows r LEFT JOIN q_rep ON q_rep.rid = r.rid),
-q_ref AS (SELECT lang AS rl, [{", ".join(f"sum(chars[{i + 1}])" for i in range(len(CLASSES) + 1))}] AS rch,
-    [{", ".join(f"sum(com[{i + 1}])" for i in range(n_common))}] AS rco FROM q_feat GROUP BY lang),
+q_texts AS (SELECT DISTINCT lang, md5(coalesce(text, '')) AS h, chars, com, com0 IS NOT NULL AS listed FROM q_feat),
+q_parts AS (SELECT lang, cell, {part("chars")} AS part FROM (SELECT *, unnest(range(1, len(chars) + 1)) AS cell FROM q_texts WHERE list_sum(chars) >= {MIN_CHARS})
+  UNION ALL SELECT lang, 100 + cell, {part("com")} FROM (SELECT *, unnest(range(1, len(com) + 1)) AS cell FROM q_texts WHERE listed AND list_sum(com) >= {MIN_COMMON_WORDS})),
+q_middle AS (SELECT lang, cell, CAST(2 * quantile_cont(part, 0.5) AS BIGINT) AS v FROM q_parts GROUP BY lang, cell),
+q_ref AS (SELECT lang AS rl, list(v ORDER BY cell) FILTER (WHERE cell < 100) AS rch, list(v ORDER BY cell) FILTER (WHERE cell > 100) AS rco FROM q_middle GROUP BY lang),
 q_dist AS (SELECT f.*, CASE WHEN list_sum(chars) >= {MIN_CHARS} THEN {_sql_js("chars", "rch")} END AS dch,
     CASE WHEN com0 IS NOT NULL AND list_sum(com) >= {MIN_COMMON_WORDS} THEN {_sql_js("com", "rco")} END AS dco
   FROM q_feat f LEFT JOIN q_ref ON f.lang IS NOT DISTINCT FROM rl),
