@@ -19,8 +19,10 @@ The topic of a document is read off its layout (there is no topic column):
 table, listing, short or prose.
 
 Cells, not rows, are raked: rows are summed map-side, so hot sources cost
-nothing. The cells are written to the shared folder after every round, which
-cuts the lineage. The verdict is a seeded hash of the id.
+nothing. The cells are written once, one row a source, and a round is one small
+aggregate over them; sources may be many, languages and topics are few (their
+factors are constants of the next round's plan). The verdict is a seeded hash
+of the id.
 
 Defined cases: a null source or language is a value of its own; null and
 empty texts have no tokens, count nothing and get the probability of their
@@ -31,8 +33,6 @@ equal rows get equal verdicts; an empty table gives an empty result.
 from __future__ import annotations
 
 import warnings
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -82,36 +82,78 @@ def targets(cells: DataFrame, by: str, given: dict[str, float] | None = None, fl
     return sums.select(by, (F.coalesce("g", F.lit(left) * F.col("v") / F.lit(others or None)) / F.lit((listed + left) or None)).alias("target"))
 
 
+def _map(values: dict[str, float]) -> Column:
+    if not values:
+        return F.create_map().cast("map<string,double>")
+    return F.create_map(*[F.lit(x) for k, v in values.items() for x in (k, float(v))])
+
+
+def _sum(cells: Column, term) -> Column:
+    return F.aggregate(cells, F.lit(0.0), lambda s, x: s + term(x))
+
+
 def rake(cells: DataFrame, languages: dict[str, float] = LANGUAGES, flatten: float = FLATTEN, rounds: int = ROUNDS) -> DataFrame:
     """cells (s, l, t, n) with n > 0 -> the same with the fitted weight w.
-    Sums by a marginal are small aggregates that are joined back; a round is
-    written before the next one begins."""
-    folder = scratch(cells.sparkSession)
-    x = cells.withColumn("w", F.col("n").cast("double"))
-    goals = {"s": targets(cells, "s", flatten=flatten), "l": targets(cells, "l", languages), "t": targets(cells, "t", flatten=flatten)}
-    goals = {by: stored(goal, folder, f"target-{by}") for by, goal in goals.items()}
-    i, last = 0, None
-    while True:
+
+    The weight is n times a factor of each of the source, the language and the
+    topic. Each source is one row with its cells (one for each language and
+    topic), so its own factor needs no shuffle; the factors of the languages
+    and topics, which are few, come out of one small sum over all sources a
+    round and go into the next round as constants."""
+    spark = cells.sparkSession
+    few = {}
+    for by, given in (("l", languages), ("t", None)):
+        goal = targets(cells, by, given, flatten)
+        few[by] = goal.agg(F.map_from_entries(F.collect_list(F.struct(by, F.coalesce("target", F.lit(0.0)))))).first()[0]
+    rows = cells.groupBy("s").agg(F.collect_list(F.struct("l", "t", F.col("n").cast("double").alias("n"))).alias("cells"))
+    rows = stored(rows.join(targets(cells, "s", flatten=flatten), "s"), scratch(spark), "sources")
+    goal_l, goal_t = _map(few["l"]), _map(few["t"])
+
+    def source_factor(b: Column, c: Column) -> Column:
+        total = _sum(F.col("cells"), lambda x: x["n"] * b[x["l"]] * c[x["t"]])
+        return F.when(total > 0, F.col("target") / total).otherwise(0.0)
+
+    def round_of(now: tuple, before: tuple | None) -> tuple:
+        """Factors of the languages and topics after one more round, the gap
+        of the languages then, and that of the sources before it."""
+        b, c = (_map(x) for x in now)
+        a = source_factor(b, c)
+        moved = F.lit(0.0)
+        if before is not None:
+            moved = F.abs(source_factor(*(_map(x) for x in before)) * _sum(F.col("cells"), lambda x: x["n"] * b[x["l"]] * c[x["t"]]) - F.col("target"))
+        part = fixed(rows, a=a, moved=moved).select("moved", "a", F.explode("cells").alias("x")).groupBy("x.l", "x.t").agg(
+            F.sum(F.col("x.n") * F.col("a")).alias("g"), F.max("moved").alias("moved"))
+        whole = fixed(part.agg(F.collect_list(F.struct("l", "t", "g")).alias("g"), F.max("moved").alias("moved")), c0=c, goal_l=goal_l, goal_t=goal_t)
+
+        def factors(by: str, goal: str, other):
+            def one(k: Column) -> Column:
+                total = _sum(F.filter("g", lambda x: x[by] == k), lambda x: x["g"] * other(x))
+                return F.struct(k, F.when(total > 0, F.col(goal)[k] / total).otherwise(0.0))
+            return F.map_from_entries(F.transform(F.array_distinct(F.transform("g", lambda x: x[by])), one))
+        whole = fixed(whole, b=factors("l", "goal_l", lambda x: F.col("c0")[x["t"]]))
+        whole = fixed(whole, c=factors("t", "goal_t", lambda x: F.col("b")[x["l"]]))
+        off = F.array_max(F.transform(F.map_keys("b"), lambda k: F.abs(
+            F.col("b")[k] * _sum(F.filter("g", lambda x: x["l"] == k), lambda x: x["g"] * F.col("c")[x["t"]]) - F.col("goal_l")[k])))
+        r = whole.select("b", "c", off, "moved").first()
+        return (r[0], r[1]), r[2] or 0.0, r[3] or 0.0
+
+    now = tuple(dict.fromkeys(few[by], 1.0) for by in "lt")
+    before, i, last, off_l = None, 0, None, 0.0
+    while few["l"]:
         for _ in range(rounds):
-            for by, goal in goals.items():
-                factor = x.groupBy(by).agg(F.sum("w").alias("sum")).join(goal, by)
-                x = x.join(factor, by).select("s", "l", "t", "n", F.when(
-                    F.col("sum") > 0, F.col("w") * F.col("target") / F.col("sum")).otherwise(0.0).alias("w"))
-            x = stored(x, folder, f"round{i}")
+            now, before, off_l = (r := round_of(now, before))[0], now, r[1]
             i += 1
-        off = gap(x, goals)
+        off = max(off_l, round_of(now, before)[2])
         if off <= TOLERANCE:
-            return x
+            break
         if last is not None and off > STALLED * last:
             warnings.warn(f"the mixture's targets cannot be met together: {off:.3g} of the tokens off after {i} rounds", RuntimeWarning, stacklevel=2)
-            return x
+            break
         last = off
-
-
-def gap(cells: DataFrame, goals: dict[str, DataFrame]) -> float:
-    """The largest distance of a marginal of w from its target."""
-    off = [cells.groupBy(by).agg(F.sum("w").alias("sum")).join(goal, by).select(F.abs(F.col("sum") - F.col("target")).alias("off")) for by, goal in goals.items()]
-    return reduce(DataFrame.unionAll, off).agg(F.max("off")).first()[0] or 0.0
+    b, c = (_map(x) for x in now)
+    a = source_factor(*(_map(x) for x in before or now))
+    return fixed(rows, a=a).select("s", "a", F.explode("cells").alias("x")).select(
+        "s", "x.l", "x.t", F.col("x.n").cast("long").alias("n"), (F.col("x.n") * F.col("a") * b[F.col("x.l")] * c[F.col("x.t")]).alias("w"))
 
 
 def value(c: str) -> Column:
@@ -120,9 +162,15 @@ def value(c: str) -> Column:
 
 
 def mix(df: DataFrame, source: str = "source", lang: str = "lang", key: str = "doc_id", text: str = "text", seed: str = SEED,
-        languages: dict[str, float] = LANGUAGES) -> DataFrame:
-    """df with ``topic``, ``tokens``, ``probability`` and ``selected``."""
+        languages: dict[str, float] = LANGUAGES, columns: list[str] | None = None) -> DataFrame:
+    """df with ``topic``, ``tokens``, ``probability`` and ``selected``. With
+    ``columns`` only those of df's columns; if the text is not one of them, the
+    texts are read once and the narrow rows stored."""
     x = described(df, text)
+    if columns is not None:
+        df, x = df.select(*columns), x.select(*columns, "topic", "tokens")
+        if text not in columns:
+            x = stored(x, scratch(df.sparkSession), "described")
     s, l, t = names(x, "s", "l", "t")
     x = x.withColumns({s: value(source), l: value(lang), t: F.col("topic")})
     cells = x.groupBy(F.col(s).alias("s"), F.col(l).alias("l"), F.col(t).alias("t")).agg(F.sum("tokens").alias("n")).where("n > 0")
@@ -139,7 +187,7 @@ def mix(df: DataFrame, source: str = "source", lang: str = "lang", key: str = "d
 
 def op8(spark, sf_dir):
     """Every document with its calibrated probability and verdict."""
-    return mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "lang", "topic", "tokens", "probability", "selected")
+    return mix(table(spark, sf_dir, "documents"), columns=["doc_id", "source", "lang"]).select("doc_id", "source", "lang", "topic", "tokens", "probability", "selected")
 
 
 def sample(df: DataFrame) -> DataFrame:
