@@ -17,16 +17,17 @@ as a join in the metric space of the Jaccard distance d = 1 - J.
    in both prefixes (the longer window holds too few others to push it out)
    with only unshared n-grams of smaller hash. So the sizes, and the rare
    position of a rare n-gram or the hash position of a frequent one, bound
-   the distance further. One of the two visits the other's region, so every
-   close pair meets in some region.
-4. Regions join exactly and recursively: a region takes a pivot, compares it
-   with all points, links those within r, and goes on with the points that
-   are not linked to it; by the triangle inequality a point at distance a
-   from the pivot is compared only with points at a - r to a + r. Points
-   linked to the same pivot are never compared with each other, so a group of
-   near copies costs its size, not its square. A region of more than
-   ``REGION_BYTES`` is cut into blocks, and pairs of blocks join in separate
-   tasks. A task returns a tree for each group it finds, never all pairs.
+   the distance further. One of the two visits the other's region, so
+   every close pair meets in some region. An n-gram that more than ``LIST``
+   points hold spans too many regions for that: sorted by size, neighbours
+   that may be close join their regions instead, a row for each of them.
+4. Regions join exactly: the points linked to a region's pivot are one group
+   and are never compared with each other, so a group of near copies costs its
+   size, not its square; by the triangle inequality a point at distance a from
+   the pivot is compared only with points at a - r to a + r. A region of more
+   than ``REGION_BYTES`` is dealt into blocks that all hold the pivot; then the
+   points outside its largest group, and they alone, visit the other blocks. A
+   task returns a tree for each group it finds, never all pairs.
 5. The trees' connected components are the classes.
 
 The frequency order is a bitmap of fixed size (``HOT_BITS``) of the hashes
@@ -53,6 +54,7 @@ from acrewise.llm import symbols
 from acrewise.llm.common import dropped, fingerprint, freed, matching, on_arrow, partitions, scratch, stored, table
 from acrewise.llm.components import components
 from acrewise.llm.repeats import LAST, documents
+from acrewise.llm.setsketch import Forest, by_block, edge_batch
 
 WORDS = 4
 PERCENT = 85
@@ -60,9 +62,14 @@ BINS = 8               # minimum hashes of a point
 AGREE = 2              # of them, shared with a pivot to enter its region
 HOT_LIST = 32          # points that share an n-gram from which it counts as frequent
 HOT_BITS = 1 << 22
+LIST = 64              # points with a common n-gram that are tested in pairs
 REGION_BYTES = 4 << 20
 
 
+def visit_batch(d: np.ndarray, region: np.ndarray, merge: bool) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(d), pa.array(region), pa.array(np.full(len(d), merge))], ["d", "region", "merge"])
+
+
 @dataclass(frozen=True)
 class Join:
     words: int = WORDS
@@ -143,24 +150,45 @@ class Join:
         return most * (100 + self.percent) >= self.percent * (n1 + n2)
 
     def meet(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Entries sorted by n-gram and region -> (d, region): who must visit
-        which region. Holds one list of points with a common n-gram."""
-        held = None
+        """Entries sorted by n-gram and place -> (d, region, merge): who must
+        visit which region, or (merge) which two regions become one. Holds
+        ``LIST`` entries of one n-gram and a batch."""
+        held, long = None, False  # the n-gram that goes on; whether it had more than LIST entries before
         for b in batches:
             cols = [c.to_numpy() for c in b.columns]
             if held is not None:
                 cols = [np.concatenate(x) for x in zip(held, cols)]
             s = cols[0]
-            cut = int(np.searchsorted(s, s[-1])) if len(s) else 0
-            held = [c[cut:] for c in cols]
-            yield from self.visits([c[:cut] for c in cols])
-        if held is not None:
+            if not len(s):
+                continue
+            new = np.append(True, s[1:] != s[:-1])
+            run = np.cumsum(new) - 1
+            many = np.bincount(run) > LIST
+            many[0] |= long
+            last = run == run[-1]
+            long = bool(many[-1])
+            yield from self.merges([c[many[run]] for c in cols])
+            yield from self.visits([c[~many[run] & ~last] for c in cols])
+            held = [c[last][-1:] if long else c[last] for c in cols]
+        if held is not None and not long:
             yield from self.visits(held)
 
+    def merges(self, cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        """Entries of long lists, by size: neighbours whose sizes allow a link
+        are brought together. Points that may be close are at most a chain of
+        such steps apart, as the sizes between theirs are no further apart."""
+        s, _, region, place = cols
+        n = place >> 32
+        at = np.flatnonzero((s[1:] == s[:-1]) & (region[1:] != region[:-1]) & (100 * n[:-1] >= self.percent * n[1:]))
+        if len(at):
+            two = np.unique(np.sort(np.stack([region[at], region[at + 1]]), axis=0), axis=1)
+            yield visit_batch(two[1], two[0], True)
+
     def visits(self, cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        s, d, region, place = cols
-        if len(s) < 2:
+        if len(cols[0]) < 2:
             return
+        order = np.lexsort((cols[1], cols[2], cols[0]))
+        s, d, region, place = (c[order] for c in cols)
         found = []
         size = 0
         new = np.append(True, s[1:] != s[:-1])
@@ -185,7 +213,7 @@ class Join:
             i, j = i[more], j[more]
             if found and (size > 200_000 or not len(i)):
                 pairs = np.unique(np.concatenate(found, axis=1), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["d", "region"])
+                yield visit_batch(*pairs, False)
                 found, size = [], 0
 
     # ---- regions -------------------------------------------------------
@@ -229,7 +257,8 @@ class Join:
         return root
 
     def join_regions(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows sorted by region -> (u, v) edges of the groups' trees."""
+        """(region, block, later, sid, grams), the pivot first -> (u, v) edges
+        of the groups' trees."""
         key, sids, sets = None, [], []
 
         def flush():
@@ -239,7 +268,7 @@ class Join:
             at = np.flatnonzero(root != np.arange(len(sets)))
             return pa.RecordBatch.from_arrays([pa.array([sids[k] for k in at], pa.binary()), pa.array([sids[root[k]] for k in at], pa.binary())], ["u", "v"])
         for b in batches:
-            for k, sid, g in zip(zip(*(b.column(c).to_pylist() for c in range(3))), b.column(3).to_pylist(), b.column(4)):
+            for k, sid, g in zip(zip(*(b.column(c).to_pylist() for c in range(2))), b.column(3).to_pylist(), b.column(4)):
                 if k != key:
                     out = flush()
                     if out is not None and out.num_rows:
@@ -252,8 +281,36 @@ class Join:
         if out is not None and out.num_rows:
             yield out
 
+    def join_visitors(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(region, block, visits, sid, grp, grams), a block's own points
+        before its visitors -> links of visitors with points of other groups."""
+        edges: list = []
+        for new, (visits, sid, grp, g) in by_block(batches, 2):
+            g = np.frombuffer(g, np.uint64)
+            if new:
+                own, forest, block = [], Forest(), None
+                if len(edges) > 10_000:
+                    yield edge_batch(edges)
+                    edges = []
+            if not visits:
+                own.append((sid, grp, g))
+                continue
+            if not own:
+                continue
+            if block is None:
+                known, codes = np.unique(np.concatenate([x[2] for x in own]), return_inverse=True)
+                sizes = np.array([len(x[2]) for x in own])
+                block = known, codes, sizes, np.concatenate([[0], np.cumsum(sizes)[:-1]])
+            known, codes, sizes, starts = block
+            both = np.add.reduceat(np.isin(known, g)[codes], starts, dtype=np.int64)
+            close = (100 + self.percent) * both >= self.percent * (sizes + len(g))
+            edges += [(sid, own[k][0]) for k in np.flatnonzero(close).tolist() if forest.join(grp, own[k][1])]
+        if edges:
+            yield edge_batch(edges)
+
     def spell(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(sid, text, tasks) -> (sid, grams, tasks)."""
+        """(sid, text, tasks) -> (sid, grams, tasks); the sets go straight to
+        the tasks."""
         for b in batches:
             for k in range(0, b.num_rows, 256):
                 some = b.slice(k, 256)
@@ -286,7 +343,7 @@ class Join:
 
         placed = points.join(homes, "d", "left").select("d", F.coalesce("region", "d").alias("region"), "n", "low")
         entries = on_arrow(placed, self.entries(bits), "s long, d long, region long, place long")
-        visits = on_arrow(entries.repartition(n, "s").sortWithinPartitions("s", "region", "d"), self.meet, "d long, region long")
+        visits = on_arrow(entries.repartition(n, "s").sortWithinPartitions("s", "place", "region", "d"), self.meet, "d long, region long, merge boolean")
         visits = stored(visits.distinct(), folder, "visits")
         # only the narrow columns are read from here on
         base = stored(base.select("id", "fp", "n", "sid", "d"), folder, "points")
@@ -294,28 +351,54 @@ class Join:
         dropped(spark, folder, "sketch")
         freed(spark)
 
-        active = homes.select("region").union(visits.select("region")).distinct()
-        members = homes.union(visits).union(active.select(F.col("region").alias("d"), "region")).distinct()
-        members = stored(members, folder, "members")
-        # regions beyond REGION_BYTES in blocks: each point goes to every pair
-        # of blocks that holds its own
-        sized = members.join(points.select("d", "n").distinct(), "d")
-        blocks = sized.groupBy("region").agg(F.ceil(F.sum(8 * F.col("n")) / REGION_BYTES).cast("int").alias("blocks"))
-        tasks = (members.join(blocks, "region").withColumn("own", F.pmod(F.xxhash64("d"), F.col("blocks")).cast("int"))
-                 .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-                 .groupBy("d").agg(F.collect_list(F.struct("region", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))).alias("tasks")))
-        # one text for each set that takes part; its n-grams go straight to the tasks
-        part = points.join(tasks, "d").groupBy("sid").agg(F.min(F.struct("id", "fp")).alias("r"), F.first("tasks").alias("tasks"))
-        part = stored(part.select("sid", "r.*", "tasks"), folder, "part")
-        freed(spark)
-        sets = on_arrow(part.join(docs, ["id", "fp"]).select("sid", "text", "tasks"), self.spell,
-                        "sid binary, grams binary, tasks array<struct<region: long, i: int, j: int>>")
-        rows = sets.select("sid", "grams", F.explode("tasks").alias("t")).select("t.region", "t.i", "t.j", "sid", "grams")
-        trees = on_arrow(rows.repartition(n, "region", "i", "j").sortWithinPartitions("region", "i", "j", "sid"), self.join_regions, "u binary, v binary")
-        trees = stored(trees, folder, "trees")
+        merges = visits.where("merge").select(F.col("d").alias("u"), F.col("region").alias("v"))
+        visits = visits.where("NOT merge").drop("merge")
+        active = homes.select("region").union(visits.select("region")).union(merges.select("u")).union(merges.select("v")).distinct()
+        members = homes.union(visits).union(active.select(F.col("region").alias("d"), "region"))
+        if not merges.isEmpty():
+            whole = components(merges)
+            members = members.join(whole, F.col("region") == F.col("u"), "left").select("d", F.coalesce("root", "region").alias("region"))
+        members = stored(members.distinct(), folder, "members")
+
+        # regions beyond REGION_BYTES in blocks, each with the region's pivot
+        ids = points.groupBy("d", "sid", "n").agg(F.min(F.struct("id", "fp")).alias("r"))
+        placed = members.join(ids, "d")
+        sized = placed.groupBy("region").agg(F.ceil(F.sum(8 * F.col("n")) / REGION_BYTES).cast("int").alias("blocks"), F.min("sid").alias("pivot"))
+        placed = placed.join(sized, "region").select("region", "sid", "r", "blocks", (F.col("sid") != F.col("pivot")).alias("later"),
+                                                     F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int").alias("own"))
+        placed = stored(placed, folder, "placed")
+        every = F.sequence(F.lit(0), F.col("blocks") - 1)
+
+        def sent(tasks: DataFrame, name: str, kind: str) -> DataFrame:
+            """(sid, r, region, block, ...) -> with the sets in place of r."""
+            cols = [c for c in tasks.columns if c not in ("sid", "r")]
+            part = tasks.groupBy("sid", "r").agg(F.collect_list(F.struct(*cols)).alias("tasks"))
+            part = stored(part.select("sid", "r.*", "tasks"), folder, name)
+            freed(spark)
+            sets = on_arrow(part.join(docs, ["id", "fp"]).select("sid", "text", "tasks"), self.spell, f"sid binary, grams binary, tasks array<struct<{kind}>>")
+            rows = sets.select("sid", "grams", F.explode("tasks").alias("t")).select("t.*", "sid", "grams")
+            return rows.repartition(n, "region", "block")
+        first = placed.select("sid", "r", "region", F.explode(F.when(F.col("later"), F.array("own")).otherwise(every)).alias("block"), "later")
+        rows = sent(first, "part", "region: long, block: int, later: boolean").select("region", "block", "later", "sid", "grams")
+        trees = stored(on_arrow(rows.sortWithinPartitions("region", "block", "later", "sid"), self.join_regions, "u binary, v binary"), folder, "trees")
         freed(spark)
         roots = components(trees)
 
+        split = placed.where("blocks > 1")
+        if not split.isEmpty():
+            # the points outside their region's largest group visit its blocks
+            split = split.join(roots, F.col("sid") == F.col("u"), "left").withColumn("grp", F.coalesce("root", "sid"))
+            main = (split.groupBy("region", "grp").agg(F.count(F.lit(1)).alias("c")).groupBy("region")
+                    .agg(F.max(F.struct("c", "grp"))["grp"].alias("main")))
+            split = stored(split.join(main, "region").drop("u", "root"), folder, "split")
+            own = split.select("sid", "r", "region", F.col("own").alias("block"), F.lit(0).alias("visits"), "grp")
+            guests = split.where("grp <> main").select("sid", "r", "region", F.explode(every).alias("block"), F.lit(1).alias("visits"), "grp")
+            rows = sent(own.union(guests), "visitors", "region: long, block: int, visits: int, grp: binary")
+            rows = rows.select("region", "block", "visits", "sid", "grp", "grams").sortWithinPartitions("region", "block", "visits", "sid")
+            more = stored(on_arrow(rows, self.join_visitors, "u binary, v binary"), folder, "more")
+            freed(spark)
+            roots = components(trees.union(more))
+
         labels = base.select("id", "fp", "n", "sid").join(roots, base["sid"] == roots["u"], "left").select(
             "id", "fp", "n", F.coalesce("root", "sid").alias("class"))
         # written, so that the join below has a shuffle on both sides and Spark
