@@ -12,6 +12,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from acrewise.operators.rows import row_index
 from acrewise.session import ensure_checkpoint_dir
 
 #: A word is a run of anything but these: the space and \t \n \v \f \r.
@@ -101,9 +102,22 @@ def fixed(df: DataFrame, **cols: Column) -> DataFrame:
     return out.select(*[F.col(f"`{c}`") for c in df.columns], *[F.col(f"{s}.{k}") for k in cols])
 
 
-def fingerprint(text: Column) -> Column:
-    """32 bits that tell texts of one id apart."""
-    return F.xxhash64(text).bitwiseAND(0xFFFFFFFF)
+def numbered(df: DataFrame, key: str, text: str) -> tuple[DataFrame, str]:
+    """df with a column that tells documents of one id apart, and its name: 0
+    where no other row has the id, else (null ids too) a number for each
+    distinct pair of id and text, by 128 bits of the text. Texts move only
+    where ids are null or repeated."""
+    number, digest = names(df, "number", "digest")
+    own = F.col(f"`{key}`")
+    shared = df.groupBy(own.alias("i")).count().where("count > 1 OR i IS NULL").select("i")
+    shared = stored(shared, scratch(df.sparkSession), "shared-ids")
+    if shared.isEmpty():
+        return df.withColumn(number, F.lit(0).cast("long")), number
+    x = df.withColumn(digest, F.unhex(F.md5(F.coalesce(F.col(f"`{text}`"), F.lit("")))))
+    pairs = x.select(own.alias("j"), F.col(digest).alias("h")).join(shared, F.col("j").eqNullSafe(F.col("i")), "left_semi").distinct()
+    known = row_index(pairs, ["j", "h"], "n")
+    out = x.join(known, own.eqNullSafe(F.col("j")) & (F.col(digest) == F.col("h")), "left")
+    return out.select(*[F.col(f"`{c}`") for c in df.columns], F.coalesce("n", F.lit(0)).alias(number)), number
 
 
 def row_key(df: DataFrame, key: str, text: str) -> Column:

@@ -51,7 +51,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from acrewise.llm import symbols
-from acrewise.llm.common import dropped, fingerprint, freed, matching, on_arrow, partitions, scratch, stored, table
+from acrewise.llm.common import dropped, freed, matching, numbered, on_arrow, partitions, scratch, stored, table
 from acrewise.llm.components import components
 from acrewise.llm.repeats import LAST, documents
 from acrewise.llm.setsketch import Forest, by_block, edge_batch
@@ -319,11 +319,11 @@ class Join:
 
     # ---- the job -------------------------------------------------------
 
-    def classes(self, df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-        """Per row of df: k (row key), n_shingles, component_id."""
+    def classes(self, df: DataFrame, key: str = "doc_id", text: str = "text", number: str | None = None) -> DataFrame:
+        """Per row of df: k (id and number of the document), n_shingles, component_id."""
         spark = df.sparkSession
         folder, n = scratch(spark), partitions(spark)
-        docs = documents(df, key, text)
+        docs = documents(df, key, text, number)
         base = stored(on_arrow(docs, self.sketch, "id long, fp long, n long, sid binary, d long, mins array<long>, low array<long>"), folder, "sketch")
         points = base.where("n > 0")
 
@@ -417,16 +417,16 @@ def keep_first(df: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """Pipeline form: of each class the rows with the smallest id stay (one
     row of those that are equal); rows without an id stay if no row of their
     class has one."""
-    body = F.coalesce(F.col("text"), F.lit(""))
     spark = df.sparkSession
-    good = Join(words, percent).classes(df).where("component_id <=> k.id").groupBy("k").agg(F.count(F.lit(1)).alias("copies"))
+    x, number = numbered(df, "doc_id", "text")
+    good = Join(words, percent).classes(x, number=number).where("component_id <=> k.id").groupBy("k").agg(F.count(F.lit(1)).alias("copies"))
     good = stored(good, scratch(spark), "kept")
     freed(spark)
-    own = F.struct(F.col("doc_id").alias("id"), fingerprint(body).alias("fp"))
-    rows = matching(df, own, good.where("copies = 1"))
+    own = F.struct(F.col("doc_id").alias("id"), F.col(number).alias("fp"))
+    rows = matching(x, own, good.where("copies = 1")).drop(number)
     if not good.where("copies > 1").head(1):
         return rows
-    return rows.unionByName(matching(df, own, good.where("copies > 1")).dropDuplicates(["doc_id", "text"]))
+    return rows.unionByName(matching(x, own, good.where("copies > 1")).drop(number).dropDuplicates(["doc_id", "text"]))
 
 
 def sql_classes(src: str = "documents", words: int = WORDS, percent: int = PERCENT, p: str = "j") -> str:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from acrewise.llm import symbols
-from acrewise.llm.common import fingerprint, freed, on_arrow, partitions, scratch, stored
+from acrewise.llm.common import freed, numbered, on_arrow, partitions, scratch, stored
 
 LAST = 2**63 - 1  # stands for a null id
 INDEX_BITS = 23
@@ -156,6 +156,7 @@ class Repeats:
         document with marked symbols the ranges [lo, hi) as a flat list;
         ranges may overlap and reach beyond the text."""
         folder, n = scratch(docs.sparkSession), partitions(docs.sparkSession)
+        docs = once(docs)
         rows = on_arrow(docs, self.find_anchors, "a long, c long, h long, id long, fp long, pos long, settled boolean")
         rows = stored_by(rows, folder, "anchors", n, ["a", "c", "id", "fp", "pos"], classes(self.every),
                          "a long, h long, id long, fp long, pos long, split boolean")
@@ -293,10 +294,18 @@ def equal_windows(every: bool):
     return run
 
 
-def documents(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(id, fp, text) with nulls filled in."""
-    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    return df.select(F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(LAST)).alias("id"), fingerprint(body).alias("fp"), body.alias("text"))
+def documents(df: DataFrame, key: str, text: str, number: str | None = None) -> DataFrame:
+    """(id, fp, text) with nulls filled in; fp tells documents of one id apart
+    (``number`` of df if it is there already)."""
+    if number is None:
+        df, number = numbered(df, key, text)
+    return df.select(F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(LAST)).alias("id"), F.col(number).alias("fp"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+
+
+def once(docs: DataFrame) -> DataFrame:
+    """Each document once. Only rows with a number can be repeated; where all
+    numbers are the constant 0, Catalyst drops the second branch."""
+    return docs.where("fp = 0").union(docs.where("fp <> 0").dropDuplicates(["id", "fp"]))
 
 
 def marked(n: int, spans) -> np.ndarray:
