@@ -9,20 +9,22 @@
    compared with the first point of its buckets by the likelihood of their
    registers (which are larger, smaller and equal, given both set sizes): as
    the likelihood of the similarity has one maximum, the estimate is over
-   ``LOWEST`` if the likelihood rises there.
-3. Points that such pairs connect are a cluster. A bucket whose points are in
-   several clusters compares the points outside its main cluster with all of
-   its points, so no pair of a bucket is left out that could be a link.
+   ``LOWEST`` if the likelihood rises there. Points that are far from the first
+   one are compared with all points of the bucket, in blocks, so no pair of a
+   bucket is left out that could be a link.
+3. Points that such pairs connect are a cluster.
 4. Clusters are verified on the full sets: every text goes to the task of its
    cluster once. Points linked to the cluster's pivot are one group and are
    never compared with each other; the others are compared with all. A cluster
    of more than ``BLOCK_BYTES`` is dealt into blocks that all hold the pivot;
-   then only points outside the main group visit the other blocks.
+   then only points outside the pivot's group visit the other blocks.
 5. The links' connected components are the classes.
 
 A pair at the threshold shares no bucket with a probability of 2e-8 and is
 estimated below ``LOWEST`` with 6e-8. Tasks return trees of links, never all
-pairs. Copies of a text leave a map task once.
+pairs. Copies of a text leave a map task once, and a bitmap of fixed size
+(``PICK_BITS``) keeps most texts that are in no cluster from being shuffled; it
+decides how much is read, never the result.
 
 Defined cases: null and empty texts, and texts of blanks, have the empty set
 and are linked with nothing; an id may be null or repeated, rows are told apart
@@ -56,6 +58,7 @@ TOP = (1 << 16) - 1    # largest register value
 LOWEST = 0.66          # estimates below it are no links
 BUCKET_BLOCK = 4096    # points of a bucket in one task
 BLOCK_BYTES = 4 << 20  # of a cluster's sets in one task
+PICK_BITS = 1 << 24
 
 
 # ---- sets and registers ----------------------------------------------------
@@ -173,12 +176,12 @@ def rises(more: np.ndarray, less: np.ndarray, n1: np.ndarray, n2: np.ndarray, le
 
 
 def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (u, n, regs, v, n, regs) -> those that may be links."""
+    """Pairs (d, lead, u, n, regs, v, n, regs) -> those that may be links."""
     for b in batches:
         if b.num_rows:
-            one, other = matrix(b.column(2)), matrix(b.column(5))
-            good = rises((one > other).sum(axis=1), (one < other).sum(axis=1), b.column(1).to_numpy(), b.column(4).to_numpy())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(3)], ["u", "v"]).filter(pa.array(good))
+            one, other = matrix(b.column(4)), matrix(b.column(7))
+            good = rises((one > other).sum(axis=1), (one < other).sum(axis=1), b.column(3).to_numpy(), b.column(6).to_numpy())
+            yield pa.RecordBatch.from_arrays([b.column(k) for k in (0, 1, 2, 5)], ["d", "lead", "u", "v"]).filter(pa.array(good))
 
 
 # ---- tasks that hold one block ----------------------------------------------
@@ -187,15 +190,15 @@ class Forest:
     """Groups of labels that are found to be connected."""
 
     def __init__(self):
-        self.up: dict[bytes, bytes] = {}
+        self.up: dict = {}
 
-    def top(self, x: bytes) -> bytes:
+    def top(self, x):
         while (y := self.up.get(x, x)) != x:
             self.up[x] = self.up.get(y, y)
             x = y
         return x
 
-    def join(self, x: bytes, y: bytes) -> bool:
+    def join(self, x, y) -> bool:
         x, y = self.top(x), self.top(y)
         if x != y:
             self.up[max(x, y)] = min(x, y)
@@ -216,23 +219,24 @@ def edge_batch(edges: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
 
 
 def bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, block, visits, sid, cluster, n, regs), a block's own points
-    before its visitors -> a tree of the pairs that may be links."""
+    """(key, block, visits, sid, label, n, regs), a block's own points before
+    its visitors; points that may be linked with the first point of the bucket
+    have its label -> a tree of the pairs that may be links."""
     edges: list = []
-    for new, (visits, sid, cluster, n, regs) in by_block(batches, 2):
+    for new, (visits, sid, label, n, regs) in by_block(batches, 2):
         if new:
             own, forest, held = [], Forest(), None
             if len(edges) > 10_000:
                 yield edge_batch(edges)
                 edges = []
         if not visits:
-            own.append((sid, cluster, n, regs))
+            own.append((sid, label, n, regs))
             continue
         if held is None:
             held = np.frombuffer(b"".join(r for *_, r in own), np.uint16).reshape(-1, M), np.array([x[2] for x in own])
         mine = np.frombuffer(regs, np.uint16)
         good = rises((held[0] > mine).sum(axis=1), (held[0] < mine).sum(axis=1), held[1], np.full(len(own), n))
-        edges += [(sid, own[k][0]) for k in np.flatnonzero(good).tolist() if forest.join(cluster, own[k][1])]
+        edges += [(sid, own[k][0]) for k in np.flatnonzero(good).tolist() if forest.join(label, own[k][1])]
     if edges:
         yield edge_batch(edges)
 
@@ -257,14 +261,15 @@ class Block:
 
 
 def solved(sids: list[bytes], sets: list[np.ndarray]) -> list[tuple[bytes, bytes]]:
-    """A tree of the links in a block. The first set is the pivot: what is
-    linked to it is one group, and all others are compared with all."""
-    block, forest, edges = Block(sets), Forest(), []
+    """The groups that links make in a block: each point with the least of its
+    group. The first set is the pivot: what is linked to it is one group, and
+    all others are compared with all."""
+    block, forest = Block(sets), Forest()
     near = block.linked(sets[0])
     for q in [0, *np.flatnonzero(~near).tolist()]:
-        found = near if q == 0 else block.linked(sets[q])
-        edges += [(sids[q], sids[k]) for k in np.flatnonzero(found).tolist() if forest.join(sids[q], sids[k])]
-    return edges
+        for k in np.flatnonzero(near if q == 0 else block.linked(sets[q])).tolist():
+            forest.join(sids[q], sids[k])
+    return [(x, forest.top(x)) for x in sids if forest.top(x) != x]
 
 
 def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -316,18 +321,32 @@ def visited(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield edge_batch(edges)
 
 
-def first_copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text) -> (digest, text), of each text in a task the first copy."""
-    seen = set()
-    for b in batches:
-        data, ends = symbols.text_bytes(b.column(0))
-        digest = [hashlib.md5(data[x:y]).digest() for x, y in zip(ends[:-1], ends[1:])]
-        keep = []
-        for k, x in enumerate(digest):
-            if x not in seen:
-                seen.add(x)
-                keep.append(k)
-        yield pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), b.column(0)], ["digest", "text"]).take(pa.array(keep, pa.int64()))
+def picked(bits: np.ndarray):
+    """(text) -> (digest, text) of the texts whose bit is set, of each text in
+    a task the first copy."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
+        for b in batches:
+            data, ends = symbols.text_bytes(b.column(0))
+            digest = [hashlib.md5(data[x:y]).digest() for x, y in zip(ends[:-1], ends[1:])]
+            keep = []
+            for k, x in enumerate(digest):
+                if bits[int.from_bytes(x[:3], "big") % PICK_BITS] and x not in seen:
+                    seen.add(x)
+                    keep.append(k)
+            yield pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), b.column(0)], ["digest", "text"]).take(pa.array(keep, pa.int64()))
+    return run
+
+
+def pick_bits(points: DataFrame) -> np.ndarray:
+    """A bitmap of the digests, PICK_BITS bits whatever their number."""
+    bit = F.conv(F.hex(F.substring("digest", 1, 3)), 16, 10).cast("long") % PICK_BITS + 1  # Spark's buckets begin at 1
+    parts = points.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("b"))
+    bits = np.zeros(PICK_BITS, bool)
+    for k, b in parts.collect():  # PICK_BITS / 32768 rows at most
+        some = np.unpackbits(np.frombuffer(b, np.uint8), bitorder="little")
+        bits[(k - 1) * len(some):k * len(some)] = some
+    return bits
 
 
 # ---- the job ---------------------------------------------------------------
@@ -338,25 +357,26 @@ EDGES = "u binary, v binary"
 def clusters(points: DataFrame, folder: str, n: int) -> DataFrame:
     """points (sid, d, n, regs) -> (u, root): who may be linked with whom."""
     entries = on_arrow(points.select("d", "regs"), bands, "key long, d long")
-    leads = entries.groupBy("key").agg(F.min("d").alias("lead"), F.max("d").alias("last")).where("lead < last").drop("last")
+    leads = entries.groupBy("key").agg(F.min("d").alias("lead"), F.max("d").alias("last"), F.count(F.lit(1)).alias("size")).where("lead < last").drop("last")
     shared = stored(entries.join(leads, "key"), folder, "shared")
     side = lambda d, k: points.select(F.col("d").alias(d), *[F.col(c).alias(f"{c}{k}") for c in ("sid", "n", "regs")])
     pairs = shared.where("d <> lead").select("d", "lead").distinct().join(side("d", 1), "d").join(side("lead", 2), "lead")
-    links = stored(on_arrow(pairs.select("sid1", "n1", "regs1", "sid2", "n2", "regs2"), alike, EDGES), folder, "alike")
-    roots = components(links)
-
-    # buckets whose points are in several clusters
-    member = shared.select("key", "d").join(points.select("d", "sid"), "d").join(roots, F.col("sid") == F.col("u"), "left").select(
-        "key", "sid", F.coalesce("root", "sid").alias("cluster"))
-    parts = member.groupBy("key", "cluster").agg(F.count(F.lit(1)).alias("c"))
-    open_ = parts.groupBy("key").agg(F.count(F.lit(1)).alias("clusters"), F.sum("c").alias("size"), F.max(F.struct("c", "cluster"))["cluster"].alias("main"))
-    open_ = open_.where("clusters > 1").select("key", "main", F.ceil(F.col("size") / BUCKET_BLOCK).cast("int").alias("blocks"))
-    inside = member.join(open_, "key")
-    own = inside.select("key", F.pmod(F.xxhash64("sid"), "blocks").cast("int").alias("block"), F.lit(0).alias("visits"), "sid", "cluster")
-    guests = inside.where("cluster <> main").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("visits"), "sid", "cluster")
-    rows = own.union(guests).join(points.select("sid", "n", "regs"), "sid").select("key", "block", "visits", "sid", "cluster", "n", "regs")
-    more = stored(on_arrow(rows.repartition(n, "key", "block").sortWithinPartitions("key", "block", "visits", "sid"), bucket_links, EDGES), folder, "more")
-    return roots if more.isEmpty() else components(links.union(more))
+    links = stored(on_arrow(pairs.select("d", "lead", "sid1", "n1", "regs1", "sid2", "n2", "regs2"), alike, f"d long, lead long, {EDGES}"), folder, "alike")
+
+    # points that are far from the first of their bucket, against all of it
+    # (a bucket of two is settled)
+    known = links.select("d", "lead", F.lit(True).alias("linked")).distinct()
+    marked = shared.where("size > 2").join(known, ["d", "lead"], "left").select(
+        "key", "d", "size", (F.coalesce("linked", F.lit(False)) | (F.col("d") == F.col("lead"))).alias("near"), "lead")
+    far = marked.where("NOT near")
+    open_ = far.select("key").distinct()
+    blocks = F.ceil(F.col("size") / BUCKET_BLOCK).cast("int")
+    label = F.when(F.col("near"), F.col("lead")).otherwise(F.col("d")).alias("label")
+    own = marked.join(open_, "key", "left_semi").select("key", F.pmod(F.xxhash64("d"), blocks).cast("int").alias("block"), F.lit(0).alias("visits"), "d", label)
+    guests = far.select("key", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.lit(1).alias("visits"), "d", label)
+    rows = own.union(guests).join(points.select("d", "sid", "n", "regs"), "d").select("key", "block", "visits", "sid", "label", "n", "regs")
+    more = on_arrow(rows.repartition(n, "key", "block").sortWithinPartitions("key", "block", "visits", "sid"), bucket_links, EDGES)
+    return components(links.select("u", "v").union(stored(more, folder, "more")))
 
 
 def classes(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -374,26 +394,23 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     sizes = part.groupBy("cluster").agg(F.ceil(F.sum(8 * F.col("n")) / BLOCK_BYTES).cast("int").alias("blocks"))
     part = part.join(sizes, "cluster").select("cluster", "sid", "digest", "blocks", F.pmod(F.xxhash64("sid"), "blocks").cast("int").alias("own"))
     part = stored(part, folder, "part")
-    texts = on_arrow(docs.select("text"), first_copies, "digest binary, text string")
+    texts = on_arrow(docs.select("text"), picked(pick_bits(part)), "digest binary, text string")
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
     tasks = part.select("cluster", F.explode(F.when(F.col("sid") == F.col("cluster"), every).otherwise(F.array("own"))).alias("block"),
                         (F.col("sid") != F.col("cluster")).alias("later"), "sid", "digest")
     rows = tasks.join(texts, "digest").select("cluster", "block", "later", "sid", "text")
     links = stored(on_arrow(rows.repartition(n, "cluster", "block").sortWithinPartitions("cluster", "block", "later", "sid"), verified, EDGES), folder, "links")
-    roots = components(links)
-
-    if not part.where("blocks > 1").isEmpty():
-        # the points outside their cluster's largest group visit its blocks
-        split = part.where("blocks > 1").join(roots, F.col("sid") == F.col("u"), "left").select(
-            "cluster", "sid", "digest", "blocks", "own", F.coalesce("root", "sid").alias("grp"))
-        main = (split.groupBy("cluster", "grp").agg(F.count(F.lit(1)).alias("c")).groupBy("cluster")
-                .agg(F.max(F.struct("c", "grp"))["grp"].alias("main")))
-        split = stored(split.join(main, "cluster"), folder, "split")
+    split = part.where("blocks > 1")
+    if not split.isEmpty():
+        # the points outside the pivot's group visit the other blocks
+        split = split.join(links, F.col("sid") == F.col("u"), "left").withColumn("grp", F.coalesce("v", "sid"))
+        split = stored(split.drop("u", "v"), folder, "split")
         own = split.select("cluster", F.col("own").alias("block"), F.lit(0).alias("visits"), "sid", "grp", "digest")
-        guests = split.where("grp <> main").select("cluster", F.explode(every).alias("block"), F.lit(1).alias("visits"), "sid", "grp", "digest")
+        guests = split.where("grp <> cluster").select("cluster", F.explode(every).alias("block"), F.lit(1).alias("visits"), "sid", "grp", "digest")
         rows = own.union(guests).join(texts, "digest").select("cluster", "block", "visits", "sid", "grp", "text")
         more = on_arrow(rows.repartition(n, "cluster", "block").sortWithinPartitions("cluster", "block", "visits", "sid"), visited, EDGES)
-        roots = components(links.union(stored(more, folder, "visits")))
+        links = links.union(stored(more, folder, "visits"))
+    roots = components(links)
 
     labels = base.select("id", "n", "sid").join(roots, F.col("sid") == F.col("u"), "left").select("id", "n", F.coalesce("root", "sid").alias("class"))
     least = stored(labels.where("class IS NOT NULL").groupBy("class").agg(F.min("id").alias("least")), folder, "least")
