@@ -26,15 +26,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from acrewise.functions import geometry as geo
+from acrewise.operators import tiles
 from acrewise.operators.spatial import polygon_edges
+from acrewise.operators.tiles import SUB_BANDS, sql_interp
 
 
 # ------------------------------------------------------------------ pieces
-def sql_interp(l: str, r: str, yl: str, yr: str, x: str) -> str:
-    """SQL text: height at ``x`` of the segment (l, yl)-(r, yr)."""
-    return f"({yl} + ({yr} - {yl}) * try_divide({x} - {l}, {r} - {l}))"
-
-
 def banded_pieces(edges: DataFrame, band: float, keys: Sequence[str]) -> DataFrame:
     """Non-vertical edges clipped to x-bands.
 
@@ -208,56 +205,6 @@ def triple_area(triples: DataFrame, fa: str, fb: str, fc: str,
     return j.groupBy(fa, fb, fc).agg(F.sum(term).alias("area"))
 
 
-SUB_BANDS = 1 << 20   # band ids become band * SUB_BANDS + sub-band
-
-
-def height_tiles(pieces: DataFrame, keys: Sequence[str], max_pieces: int) -> DataFrame:
-    """Pieces with the height tiles of their (group, band) that they pass
-    (``tile``): as many equal tiles as the band holds times ``max_pieces``.
-    Pieces cross only where they share a tile, so the crossing search of a
-    band full of edges that span it is linear in them, not quadratic. Reuses
-    the partitioning by ``keys``."""
-    w = Window.partitionBy(*keys)
-    lo, hi = F.least("yl", "yr"), F.greatest("yl", "yr")
-    t = pieces.withColumns({"_tiles": F.ceil(F.count(F.lit(1)).over(w) / max_pieces), "_y0": F.min(lo).over(w), "_y1": F.max(hi).over(w)})
-    height = (F.col("_y1") - F.col("_y0")) / F.col("_tiles")
-
-    def at(y):
-        return F.least(F.when(height > 0, F.floor((y - F.col("_y0")) / F.when(height > 0, height))).otherwise(0), F.col("_tiles") - 1).cast("int")
-    return t.withColumn("tile", F.explode(F.sequence(at(lo), at(hi)))).drop("_tiles", "_y0", "_y1")
-
-
-def split_hot_bands(pieces: DataFrame, keys: Sequence[str], band: float | None = None,
-                    max_pieces: int = 4096) -> DataFrame:
-    """Split a hot (group, band) — one holding more than ``max_pieces``
-    pieces, e.g. a huge, detailed water body — into narrower
-    sub-bands, each piece clipped to the sub-bands it crosses. Every
-    quantity of the overlay is a sum over x, so this is exact; it bounds the
-    rows (and the quadratic crossing search) of one task. Bands under the
-    limit keep one sub-band. ``band`` is the band width the pieces were cut
-    with (the width of their x-range when omitted)."""
-    # count over the (group, band) partitioning the caller shuffles to anyway:
-    # no second reference to ``pieces``, so its plan is not run twice
-    j = pieces.repartition(*keys).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
-    k = F.least(F.ceil(F.col("_n") / max_pieces), F.lit(SUB_BANDS)).cast("int")
-    if band is None:
-        raise ValueError("band width is required")
-    lo = F.col("band") * band
-    w = F.lit(band) / k
-    j = j.withColumn("_k", k)
-    j = j.withColumn("_sub", F.explode(F.sequence(
-        F.floor((F.col("l") - lo) / w).cast("int"),
-        F.least(F.floor((F.col("r") - lo) / w).cast("int"), F.col("_k") - 1))))
-    nl = F.greatest(F.col("l"), lo + F.col("_sub") * w)
-    nr = F.least(F.col("r"), lo + (F.col("_sub") + 1) * w)
-    j = j.select("*", nl.alias("_nl"), nr.alias("_nr")).filter(F.col("_nr") > F.col("_nl"))
-    rest = [c for c in pieces.columns if c not in ("band", "l", "r", "yl", "yr")]
-    return j.select(*rest, (F.col("band") * SUB_BANDS + F.col("_sub")).alias("band"),
-                    F.col("_nl").alias("l"), F.col("_nr").alias("r"),
-                    F.expr(sql_interp("l", "r", "yl", "yr", "_nl")).alias("yl"),
-                    F.expr(sql_interp("l", "r", "yl", "yr", "_nr")).alias("yr"))
-
-
 def band_grid(pieces: DataFrame, fid: str, max_pieces: int) -> DataFrame:
     """(fid, band, _k): how many sub-bands each hot (feature, band) is cut
     into — more than ``max_pieces`` edges -> ceil(n / max_pieces). Only hot keys are listed (small: one row per hot band)."""
@@ -309,39 +256,30 @@ def slab_overlay(pieces: DataFrame, n_layers: int,
     them (e.g. the first covering mask). Returns (g, [label], area) or, with
     ``geometry=True``, one 4-point ring per kept trapezoid.
 
-    All work is keyed by (g, band): the pieces are hash-partitioned on it
-    once, and the crossing self-join, the slab boundaries, the slab join and
-    both windows reuse that partitioning (no further exchange until the
-    final per-group sum).
+    All work is keyed by (g, band), and by tile where a (g, band) holds more
+    than ``max_pieces`` edges (``tiles``): the edges are hash-partitioned on
+    it, and the crossing search, the slab boundaries, the slab join and both
+    windows reuse that partitioning (no further exchange until the final
+    per-group sum). Tiles are disjoint, so areas add up; parts end at their
+    sides.
     """
-    k = ["g", "band"]
-    if max_pieces is not None:
-        pieces = split_hot_bands(pieces, k, band, max_pieces)
+    k = ["g", "band", "tile"]
+    if max_pieces is None:
+        pieces = pieces.selectExpr("*", "0 AS tile", "0 AS kind", "CAST(NULL AS DOUBLE) AS _x0", "CAST(NULL AS DOUBLE) AS _x1")
+    else:
+        pieces = tiles.tiled(pieces, band, max_pieces)
     pieces = pieces.repartition(*k)
     # 1. slab boundaries: piece ends and crossings of pieces in the group
-    ends = pieces.selectExpr("g", "band", "l AS x").union(pieces.selectExpr("g", "band", "r AS x"))
-    tiled, kt = (pieces, k) if max_pieces is None else (height_tiles(pieces, k, max_pieces), [*k, "tile"])
-    a = tiled.selectExpr(*kt, "l AS a_l", "r AS a_r", "yl AS a_yl", "yr AS a_yr")
-    b = tiled.selectExpr(*kt, "l AS b_l", "r AS b_r", "yl AS b_yl", "yr AS b_yr")
-    # both orders of every pair are joined (a crossing is found twice and the
-    # distinct below folds it); no row ids, so a recomputed task sees the same rows
-    xs = (a.join(b, kt).selectExpr("g", "band", "greatest(a_l, b_l) AS _L", "least(a_r, b_r) AS _R",
-                                  "a_l", "a_r", "a_yl", "a_yr", "b_l", "b_r", "b_yl", "b_yr")
-          .filter("_R > _L")
-          .selectExpr("g", "band", "_L", "_R",
-                      f"{sql_interp('a_l', 'a_r', 'a_yl', 'a_yr', '_L')} - {sql_interp('b_l', 'b_r', 'b_yl', 'b_yr', '_L')} AS _d0",
-                      f"{sql_interp('a_l', 'a_r', 'a_yl', 'a_yr', '_R')} - {sql_interp('b_l', 'b_r', 'b_yl', 'b_yr', '_R')} AS _d1")
-          .filter("_d0 * _d1 < 0")
-          .selectExpr("g", "band", "_L + (_R - _L) * try_divide(_d0, _d0 - _d1) AS x"))
-    bounds = ends.union(xs).distinct()
+    ends = pieces.selectExpr(*k, "l AS x").union(pieces.selectExpr(*k, "r AS x"))
+    bounds = ends.union(tiles.crossings(pieces, k)).distinct()
     w = Window.partitionBy(*k).orderBy("x")
     slabs = (bounds.withColumn("x1", F.lead("x").over(w)).filter(F.col("x1").isNotNull())
              .withColumnRenamed("x", "x0"))
     # 2. pieces spanning each slab, with heights at both slab sides
     s = slabs.join(pieces, k).filter("l <= x0 AND r >= x1")
-    s = s.selectExpr("g", "band", "x0", "x1", "layer", "-c AS w",
-                     f"{sql_interp('l', 'r', 'yl', 'yr', 'x0')} AS y0",
-                     f"{sql_interp('l', 'r', 'yl', 'yr', 'x1')} AS y1")
+    s = s.selectExpr(*k, "x0", "x1", "layer", "-c AS w",
+                     f"CASE WHEN x0 = l THEN yl ELSE {sql_interp('l', 'r', 'yl', 'yr', 'x0')} END AS y0",
+                     f"CASE WHEN x1 = r THEN yr ELSE {sql_interp('l', 'r', 'yl', 'yr', 'x1')} END AS y1")
     # 3. running winding counts per layer, bottom to top
     order = [F.col("y0") + F.col("y1"), F.col("layer"), F.col("w")]
     ws = Window.partitionBy(*k, "x0").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)

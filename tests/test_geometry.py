@@ -1,10 +1,14 @@
 """Hand-made shapes: areas, overlay and point-in-polygon against known values."""
 
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from acrewise.functions import geometry as geo
 from acrewise.operators import overlay as ov
+from acrewise.operators import tiles
 from acrewise.operators.spatial import point_in_polygon_pairs
 
 L_SHAPE = [[(0, 0), (4, 0), (4, 2), (2, 2), (2, 4), (0, 4)]]
@@ -233,14 +237,77 @@ def test_self_crossing_rings_are_resolved(spark):
     assert kept == {2, 3, 5}
 
 
-def test_crossing_search_of_spanning_edges_is_tiled(spark):
-    """8,192 edges that span a band: pairs compared stay near the edges times
-    the tile size, and all crossings are found."""
-    n = 8192
-    rows = spark.range(n).selectExpr("1L AS g", "0 AS layer", "0L AS band", "0D AS l", "10D AS r", "CAST(id AS DOUBLE) AS yl", "id + 1.5D AS yr", "1 AS c")
-    tiled = ov.height_tiles(rows, ["g", "band"], 64)
-    assert tiled.groupBy("tile").count().agg(F.max("count")).first()[0] <= 3 * 64
-    assert tiled.count() <= 1.2 * n
-    pairs = tiled.alias("a").join(tiled.alias("b"), ["g", "band", "tile"])
-    cross = pairs.where("(a.yl - b.yl) * (a.yr - b.yr) < 0").count()
-    assert cross == 0 and pairs.count() < 4 * 64 * n
+def _star(rng, n, cx, cy, size):
+    """A ring of n points around (cx, cy), with vertical and horizontal edges."""
+    pts = []
+    for k in range(n):
+        t, d = 2 * math.pi * k / n, size * rng.uniform(0.3, 1)
+        pts.append((round(cx + d * math.cos(t), 2), round(cy + d * math.sin(t), 2)))
+        if k % 5 == 0:
+            pts.append((pts[-1][0], round(pts[-1][1] + 0.37, 2)))
+        if k % 7 == 0:
+            pts.append((round(pts[-1][0] + 0.41, 2), pts[-1][1]))
+    return [{"x": x, "y": y} for x, y in pts]
+
+
+def test_tiles_carry_winding(spark):
+    """Detailed rings cut into many tiles, some of them empty inside a ring,
+    give the areas of the uncut overlay."""
+    rng = random.Random(8)
+    square = [{"x": float(x), "y": float(y)} for x, y in ((0, 0), (20, 0), (20, 20), (0, 20))]
+    shapes = [(1, [_star(rng, 120, 10, 10, 9)]), (2, [_star(rng, 90, 14, 8, 7)]), (3, [square]), (4, [_star(rng, 150, 4, 13, 4)])]
+    lay = spark.createDataFrame(shapes, "fid long, rings array<array<struct<x: double, y: double>>>")
+    pieces = ov.layer_pieces(lay, "fid", band=6.0)
+    mem = spark.createDataFrame([(1, 0, 3), (1, 1, 1), (1, 1, 2), (2, 0, 1), (2, 1, 2), (2, 1, 4), (3, 0, 3), (3, 1, 4)], "g long, layer int, fid long")
+    gp = ov.group_pieces(mem, pieces, "fid").cache()
+    for keep in (lambda n: (n[0] != 0) & (n[1] == 0), lambda n: (n[0] != 0) & (n[1] != 0), lambda n: (n[0] != 0) | (n[1] != 0)):
+        whole = {r.g: r.area for r in ov.slab_overlay(gp, 2, keep).collect()}
+        for limit in (60, 9):
+            cut = {r.g: r.area for r in ov.slab_overlay(gp, 2, keep, band=6.0, max_pieces=limit).collect()}
+            assert cut.keys() == whole.keys()
+            for g in whole:
+                assert cut[g] == pytest.approx(whole[g], rel=1e-9)
+    rows = tiles.tiled(gp, 6.0, 9)
+    empty = rows.groupBy("g", "band", "tile").agg(F.max("kind").alias("k"), F.min("kind").alias("least"), F.sum(F.abs("c")).alias("c"))
+    assert empty.where("least = 2 AND c > 0").count() > 0   # no edge of its own, but inside
+
+
+def _spanning(spark, n, rise="id"):
+    """n edges that span a band, in closed pairs (a strip's lower and upper side)."""
+    return spark.range(n).selectExpr("1L AS g", "0 AS layer", "0L AS band", "0D AS l", "10D AS r", "CAST(id AS DOUBLE) AS yl", f"CAST({rise} AS DOUBLE) AS yr",
+                                     "CASE WHEN id % 2 = 0 THEN -1 ELSE 1 END AS c")
+
+
+def test_spanning_edges_stay_in_tiles(spark):
+    """32,768 edges that span their band: no tile holds more than the limit,
+    and half of the strips between them are inside."""
+    n, limit = 32_768, 4096
+    rows = _spanning(spark, n)
+    per = tiles.tiled(rows, 10.0, limit).groupBy("band", "tile").count()
+    assert per.agg(F.max("count")).first()[0] <= limit and per.agg(F.sum("count")).first()[0] <= 1.2 * n
+    area = ov.slab_overlay(rows, 1, lambda k: k[0] != 0, band=10.0, max_pieces=limit).first().area
+    assert area == pytest.approx(10 * n / 2)
+
+
+def test_pairs_grow_with_edges_and_crossings(spark):
+    """Spanning edges are paired only where their orders at the sides differ."""
+    limit, pairs = 256, {}
+    for n in (8192, 16_384, 32_768):
+        # every 64th edge swaps places with its neighbour
+        rows = _spanning(spark, n, "CASE WHEN id % 64 = 10 THEN id + 1.5 WHEN id % 64 = 11 THEN id - 1.5 ELSE id END")
+        t = tiles.tiled(rows, 10.0, limit)
+        pairs[n] = tiles.crossing_pairs(t, ["g", "band", "tile"]).count()
+        assert pairs[n] <= n
+        assert tiles.crossings(t, ["g", "band", "tile"]).count() in (n // 64, 2 * (n // 64))
+    assert pairs[32_768] <= 4.5 * pairs[8192]
+
+
+def test_all_crossings_of_spanning_edges_are_found(spark):
+    rng = random.Random(4)
+    right = [float(k + rng.choice([0, 0, 0, 7.3, -5.6, 40.2])) for k in range(300)]
+    rows = spark.createDataFrame([(1, 0, 0, 0.0, 10.0, float(k), right[k], 1) for k in range(300)], "g long, layer int, band long, l double, r double, yl double, yr double, c int")
+    want = sum(right[i] > right[j] for i in range(300) for j in range(i + 1, 300))
+    one = tiles.tiled(rows, 10.0, 1_000_000).withColumns({"kind": F.lit(1), "_x0": F.lit(0.0), "_x1": F.lit(10.0)})
+    pairs = tiles.crossing_pairs(one, ["g", "band", "tile"])
+    found = {tuple(sorted((r.a_yl, r.b_yl))) for r in pairs.collect() if (r.a_yl - r.b_yl) * (r.a_yr - r.b_yr) < 0}
+    assert len(found) == want and pairs.count() <= 300 + 6 * want
