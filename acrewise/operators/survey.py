@@ -95,14 +95,60 @@ def weighted_counts(df: DataFrame, group_sets: Sequence[Sequence[str]], all_vars
                           f"round({_moe(sh[0], sh[1:], n_rep)}, {DIGITS}) AS share_moe")
 
 
+#: Buckets of a group's values, cut at its quantiles.
+BUCKETS = 256
+
+
+def _by_set(df: DataFrame, group_sets: Sequence[Sequence[str]], all_vars: Sequence[str], level_col: str) -> DataFrame:
+    """Each row once for every grouping set it belongs to (rows with a NULL in
+    a variable of the set do not), the other variables NULL."""
+    types = dict(df.dtypes)
+    sets = [F.when(F.expr(" AND ".join(f"`{v}` IS NOT NULL" for v in gs) or "true"), F.struct(F.lit(i).alias(level_col), *[
+        (F.col(v) if v in gs else F.lit(None).cast(types[v])).alias(v) for v in all_vars])) for i, gs in enumerate(group_sets)]
+    x = df.withColumn("_set", F.explode(F.filter(F.array(*sets), lambda s: s.isNotNull())))
+    return x.select("_set.*", *[c for c in df.columns if c not in all_vars])
+
+
 def weighted_medians(df: DataFrame, target: str, group_sets: Sequence[Sequence[str]],
                      all_vars: Sequence[str], weight: str = "pwgtp", n_rep: int = P.N_REPLICATES,
                      level_col: str = "_level") -> DataFrame:
-    """<target>_median and its MOE per group; exact weighted percentile
-    (the aggregate keeps one count per distinct value, merged map-side)."""
+    """<target>_median and its MOE per group: exact weighted medians (whole
+    weights count how often a value occurs; the two middle ones are averaged).
+
+    A selection in two steps, without a map of all values in one task. The
+    values of a group are cut into ``BUCKETS`` at approximate quantiles, and
+    the weights of a bucket are summed, for the main and all replicate weights
+    at once; the sums tell which bucket holds the middle of each weight. Only
+    the rows of those buckets, a few of 256, are then grouped by value. All
+    sums are combined map-side, so a group holding a third of the rows is no
+    task of its own."""
     ws = _rep_cols(weight, n_rep)
-    meds = [F.expr(f"percentile({target}, 0.5, CAST({w} AS BIGINT))").alias(f"_m{j}") for j, w in enumerate(ws)]
-    out = _grouping_sets_agg(df.filter(F.col(target).isNotNull()), group_sets, all_vars, meds, level_col)
-    m = [f"_m{j}" for j in range(len(ws))]
+    n = len(ws)
+    rows = _by_set(df.filter(F.col(target).isNotNull()).select(*dict.fromkeys([*all_vars, target, *ws])), group_sets, all_vars, level_col)
+    # whole weights, and one key that may hold NULLs
+    key = F.struct(level_col, *all_vars)
+    rows = rows.select(F.to_json(key, {"ignoreNullFields": "false"}).alias("_key"), level_col, *all_vars, F.col(target).cast("double").alias("_v"),
+                       *[F.coalesce(F.col(w).cast("bigint"), F.lit(0)).alias(f"_w{j}") for j, w in enumerate(ws)])
+    cuts = rows.groupBy("_key").agg(F.array_distinct(F.percentile_approx("_v", [i / BUCKETS for i in range(1, BUCKETS)], 10_000)).alias("_cuts"))
+    cut = rows.join(cuts, "_key").withColumn("_bucket", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).drop("_cuts")
+
+    sums = [F.sum(f"_w{j}").alias(f"_w{j}") for j in range(n)]
+    hist = cut.groupBy("_key", "_bucket").agg(*sums)
+    upto, whole = Window.partitionBy("_key").orderBy("_bucket"), Window.partitionBy("_key")  # BUCKETS rows a group
+    hist = hist.select("_key", "_bucket", *[f"_w{j}" for j in range(n)],
+                       F.array(*[F.sum(f"_w{j}").over(upto) - F.col(f"_w{j}") for j in range(n)]).alias("_below"),
+                       F.array(*[F.sum(f"_w{j}").over(whole) for j in range(n)]).alias("_all"))
+    # the middle of the weights is at (0-based) places (all - 1) div 2 and all div 2
+    holds = " OR ".join(f"(_below[{j}] <= _all[{j}] div 2 AND _below[{j}] + _w{j} > (_all[{j}] - 1) div 2 AND _w{j} > 0)" for j in range(n))
+    middle = hist.where(holds).select("_key", "_bucket", "_below", "_all")
+
+    vals = cut.join(middle.select("_key", "_bucket"), ["_key", "_bucket"], "left_semi").groupBy("_key", "_bucket", "_v").agg(*sums)
+    vals = vals.join(middle, ["_key", "_bucket"])
+    inside = Window.partitionBy("_key", "_bucket").orderBy("_v")
+    vals = vals.select("_key", "_v", "_all", *[f"_w{j}" for j in range(n)], *[(F.col("_below")[j] + F.sum(f"_w{j}").over(inside) - F.col(f"_w{j}")).alias(f"_b{j}") for j in range(n)])
+    at = lambda j, place: F.max(F.expr(f"CASE WHEN _b{j} <= {place} AND {place} < _b{j} + _w{j} THEN _v END"))
+    meds = vals.groupBy("_key").agg(*[(0.5 * at(j, f"(_all[{j}] - 1) div 2") + 0.5 * at(j, f"_all[{j}] div 2")).alias(f"_m{j}") for j in range(n)])
+    out = rows.select("_key", level_col, *all_vars).distinct().join(meds, "_key", "left")
+    m = [f"_m{j}" for j in range(n)]
     return out.selectExpr(*[f"`{v}`" for v in all_vars], level_col, f"round({m[0]}, {DIGITS}) AS {target}_median",
                           f"round({_moe(m[0], m[1:], n_rep)}, {DIGITS}) AS {target}_median_moe")
