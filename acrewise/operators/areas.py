@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from acrewise import params as P
 from acrewise.functions import geometry as geo
 from acrewise.operators import overlay as ov
+from acrewise.operators.polygons import polygons
 
 
 def pair_areas(a: DataFrame, fa: str, b: DataFrame, fb: str, prm: P.Params = P.DEFAULT) -> DataFrame:
@@ -116,19 +117,44 @@ def erase_union_area(a: DataFrame, fa: str, masks: DataFrame, fm: str, b: DataFr
     return res.select(fa, fb, F.coalesce("area", F.lit(0.0)).alias("area"))  # pairs wholly erased: 0
 
 
-def erase_union_parts(a: DataFrame, fa: str, masks: DataFrame, fm: str, prm: P.Params = P.DEFAULT) -> DataFrame:
-    """The polygons that ``erase_union_area`` measures: (fa, rings), one row
-    per part. A feature that meets no mask keeps its own rings, one that is
-    wholly covered has no row."""
+def _erased(a: DataFrame, fa: str, masks: DataFrame, fm: str, whole, prm: P.Params) -> tuple[DataFrame, DataFrame]:
+    """The trapezoids (fa, rings) of features with the masks erased, and the
+    features that need no overlay: those that meet no mask and are ``whole``."""
     band = prm.band_width
     mp = ov.bbox_pairs(a, fa, masks, fm, prm.cell_size).select(
         F.col(fa).alias("g"), F.col(fm).alias("_fid"), F.lit(1).alias("layer"), F.col("_ox0").alias("xmin"), F.col("_ox1").alias("xmax"))
-    hit = mp.select(F.col("g").alias(fa)).distinct()
-    own = a.join(hit, fa, "left_semi").select(F.col(fa).alias("g"), F.col(fa).alias("_fid"), F.lit(0).alias("layer"))
+    hit = mp.select(F.col("g").alias(fa)).distinct().withColumn("_hit", F.lit(True))
+    tagged = a.join(hit, fa, "left").withColumn("_own", F.col("_hit").isNull() & whole)
+    own = tagged.filter(~F.col("_own")).select(F.col(fa).alias("g"), F.col(fa).alias("_fid"), F.lit(0).alias("layer"))
     pieces = ov.group_pieces(own, ov.layer_pieces(a, fa, band).withColumnRenamed(fa, "_fid"), "_fid").unionByName(
         ov.group_pieces(mp, ov.layer_pieces(masks, fm, band).withColumnRenamed(fm, "_fid"), "_fid", band))
     parts = ov.slab_overlay(pieces, 2, lambda n: (n[0] != 0) & (n[1] == 0), geometry=True, band=band, max_pieces=prm.max_band_pieces)
-    return parts.select(F.col("g").alias(fa), "rings").unionByName(a.join(hit, fa, "left_anti").select(fa, "rings"))
+    return parts.select(F.col("g").alias(fa), "rings"), tagged.filter("_own").select(fa, "rings")
+
+
+def erase_union_parts(a: DataFrame, fa: str, masks: DataFrame, fm: str, prm: P.Params = P.DEFAULT) -> DataFrame:
+    """What ``erase_union_area`` measures: (fa, rings), one row per trapezoid.
+    A feature that meets no mask keeps its own rings, one that is wholly
+    covered has no row."""
+    parts, own = _erased(a, fa, masks, fm, F.lit(True), prm)
+    return parts.unionByName(own)
+
+
+def erase_union_polygons(a: DataFrame, fa: str, masks: DataFrame, fm: str, prm: P.Params = P.DEFAULT) -> DataFrame:
+    """G12 as polygons: (fa, polygons), one row a feature with outer rings and
+    holes. A feature of one outer ring that meets no mask keeps its rings."""
+    outer = lambda r: geo.ring_signed_area(r) > 0
+    parts, own = _erased(a, fa, masks, fm, F.size(F.filter("rings", outer)) == 1, prm)
+    kept = own.select(fa, F.array(F.struct(F.filter("rings", outer)[0].alias("outer"), F.filter("rings", lambda r: ~outer(r)).alias("holes"))).alias("polygons"))
+    return polygons(parts, [fa], prm=prm).union(kept)
+
+
+def dissolve_polygons(layer: DataFrame, fid: str, by: str, prm: P.Params = P.DEFAULT) -> DataFrame:
+    """(by, polygons), the union of the features of each value."""
+    pieces = ov.group_pieces(layer.select(F.col(by).alias("g"), F.col(fid).alias("_fid"), F.lit(0).alias("layer")),
+                             ov.layer_pieces(layer, fid, prm.band_width).withColumnRenamed(fid, "_fid"), "_fid")
+    parts = ov.slab_overlay(pieces, 1, lambda n: n[0] != 0, geometry=True, band=prm.band_width, max_pieces=prm.max_band_pieces)
+    return polygons(parts.select(F.col("g").alias(by), "rings"), [by], prm=prm)
 
 
 def repair_crossings(layer: DataFrame, fid: str, prm: P.Params = P.DEFAULT) -> DataFrame:

@@ -107,6 +107,7 @@ def polygons(parts: DataFrame, keys: Sequence[str], rings: str = "rings", prm: P
     """Trapezoids (keys, rings) -> one row a feature: (keys, polygons), an
     array of (outer, holes) whose rings do not repeat their first point."""
     folder = f"{ensure_checkpoint_dir(parts.sparkSession).rstrip('/')}/polygons-{uuid.uuid4().hex}"
+    parts = _written(parts.select(*keys, rings), folder, "parts")  # read for each kind of side
     points = linked_rings(boundary_edges(parts, keys, rings), keys)
     ring = points.groupBy(*keys, "ring").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "x", "y"))), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias("r"))
     ring = ring.select(*keys, "ring", F.expr(_without_straight_points("r")).alias("r")).where("size(r) > 2")

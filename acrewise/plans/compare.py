@@ -20,7 +20,8 @@ from acrewise import params as P
 from acrewise.functions import geometry as geo
 from acrewise.functions import labels as L
 from acrewise.operators import overlay as ov
-from acrewise.operators.areas import pair_areas, snap_sqft, waterfall
+from acrewise.operators.areas import dissolve_polygons, pair_areas, snap_sqft, waterfall
+from acrewise.operators.polygons import measured, polygons
 from acrewise.operators.rows import keep_first, row_index
 from acrewise.operators.spatial import point_in_polygon_pairs
 from acrewise.sources import fixtures as fx
@@ -119,6 +120,27 @@ def rs3_steps(t, prm=P.DEFAULT):
                                         _r9(snap_sqft(F.col("r.l")) / ACRE).alias("remaining_acres"))
 
 
+def step_polygons(t: Tables, prm=P.DEFAULT) -> DataFrame:
+    """Both layers of each waterfall step as polygons: (index, step, kept,
+    polygons), what the step cuts (kept false) and what is left after it."""
+    order = F.coalesce("step", F.lit(len(STEPS)))
+    layer = lambda i, kept: F.struct(F.lit(i).alias("step"), F.lit(kept).alias("kept"))
+    rows = F.array(*[F.when(order == i, layer(i, False)) for i in range(len(STEPS))], *[F.when(order > i, layer(i, True)) for i in range(len(STEPS))])
+    parts = step_parts(t, prm).select("index", "rings", F.explode(F.filter(rows, lambda r: r.isNotNull())).alias("s"))
+    return polygons(parts.select("index", "s.step", "s.kept", "rings"), ["index", "step", "kept"], prm=prm)
+
+
+def rs3_polygons(t, prm=P.DEFAULT):
+    """RS3 with the polygons of both layers of each step."""
+    return measured(step_polygons(t, prm), ["index", "step", "kept"])
+
+
+def county_polygons(t, prm=P.DEFAULT):
+    """The kept zoning layer dissolved by county, as polygons."""
+    z = zoned_layer(t, "kept").filter(F.col("county_name").isNotNull())
+    return measured(dissolve_polygons(z, "index", "county_name", prm), ["county_name"])
+
+
 def remaining_parts(t: Tables, prm=P.DEFAULT) -> DataFrame:
     """What is left of the zoning layer after all six erases, as trapezoid parts:
     (part_id, index, county_name, category, rings); materialized."""
@@ -401,6 +423,7 @@ def rs8(t, prm=P.DEFAULT):
     return method_trimmed(t, prm)
 
 
-REPORTS = {"RS1": rs1, "RS2": rs2, "RS2_excluded": rs2_excluded, "RS3": rs3, "RS3_steps": rs3_steps, "RS4": rs4, "RS5": rs5, "RS5_files": rs5_files,
+REPORTS = {"RS1": rs1, "RS2": rs2, "RS2_excluded": rs2_excluded, "RS3": rs3, "RS3_steps": rs3_steps, "RS3_polygons": rs3_polygons, "G14_county_polygons": county_polygons,
+           "RS4": rs4, "RS5": rs5, "RS5_files": rs5_files,
            "RS6": rs6, "RS7": rs7, "RS8": rs8, "RS9": rs9, "RS10": rs10, "RS11": rs11, "RS12": rs12,
            "RS13": rs13, "RS14": rs14, "RS15": rs15}

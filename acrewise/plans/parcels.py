@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from acrewise import params as P
 from acrewise.functions import geometry as geo
 from acrewise.functions import labels as L
-from acrewise.operators.areas import erase_union_parts, erase_union_area, snap_sqft
+from acrewise.operators.areas import erase_union_area, erase_union_parts, erase_union_polygons, snap_sqft
+from acrewise.operators.polygons import measured
 from acrewise.operators.spatial import point_in_polygon_pairs
 from acrewise.sources import fixtures as fx
 from acrewise.sources import layers
@@ -140,6 +141,12 @@ def net_polygons_measured(t: Tables, prm=P.DEFAULT) -> DataFrame:
                                            F.max("b.xmax").alias("xmax"), F.max("b.ymax").alias("ymax"))
 
 
+def net_polygons_assembled(t: Tables, prm=P.DEFAULT) -> DataFrame:
+    """The net parcels as one polygon row each, with holes."""
+    p = layers.parcels_layer(t).select("parcel_row", "rings")
+    return measured(erase_union_polygons(p, "parcel_row", layers.masks_layer(t), "mask_id", prm), ["parcel_row"])
+
+
 def _net(t, prm, where, key):
     x = industrial_parcels(t, prm).filter(where)
     p = net_parcel_areas(t, prm)
@@ -171,4 +178,5 @@ def ns8(t, prm=P.DEFAULT):
 
 REPORTS = {"NS1": repeated_ids, "NS2": improved, "NS3": unimproved, "NS2_3": parcel_values,
            "NS4": industrial_parcels, "NS5": orphans, "S17_net_areas": net_parcel_areas, "S17_net_polygons": net_polygons_measured,
+           "S17_assembled": net_polygons_assembled,
            "NS6": ns6, "NS7": ns7, "NS8": ns8}
