@@ -133,5 +133,23 @@ def matching(df: DataFrame, own: Column, keys: DataFrame, how: str = "left_semi"
     return df.withColumn(mine, own).join(keys.select(F.col("k").alias(theirs)), F.col(mine).eqNullSafe(F.col(theirs)), how).drop(mine)
 
 
+PICK_BITS = 1 << 24
+
+
+def picked(df: DataFrame, own: Column, keys: DataFrame, theirs: Column, folder: str, name: str) -> DataFrame:
+    """The rows of df whose key may be one of ``keys``, and few others: a
+    bitmap of the keys' hashes, 2 MB whatever their number, is broadcast, so
+    that wide rows that a join would drop are not shuffled for it. It decides
+    how much moves, never the result of that join."""
+    at = lambda c: F.pmod(F.xxhash64(c), F.lit(PICK_BITS)) + 1  # noqa: E731  Spark's buckets begin at 1
+    bits = keys.select(at(theirs).alias("at")).groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+    bits = stored(bits, folder, name)
+    x = df.withColumn("_at", at(own))
+    x = x.join(F.broadcast(bits), F.bitmap_bucket_number("_at") == F.col("bucket"))
+    place = F.bitmap_bit_position("_at")
+    byte = F.conv(F.hex(F.substring("bits", F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return x.where(F.getbit(byte, (place % 8).cast("int")) == 1).select(*df.columns)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

@@ -51,7 +51,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from acrewise.llm import symbols
-from acrewise.llm.common import dropped, freed, matching, numbered, on_arrow, partitions, scratch, stored, table
+from acrewise.llm.common import dropped, freed, matching, numbered, on_arrow, partitions, picked, scratch, stored, table
 from acrewise.llm.components import components
 from acrewise.llm.repeats import LAST, documents
 from acrewise.llm.setsketch import Forest, by_block, edge_batch
@@ -375,7 +375,9 @@ class Join:
             part = tasks.groupBy("sid", "r").agg(F.collect_list(F.struct(*cols)).alias("tasks"))
             part = stored(part.select("sid", "r.*", "tasks"), folder, name)
             freed(spark)
-            sets = on_arrow(part.join(docs, ["id", "fp"]).select("sid", "text", "tasks"), self.spell, f"sid binary, grams binary, tasks array<struct<{kind}>>")
+            both = F.struct("id", "fp")
+            texts = picked(docs, both, part, both, folder, f"{name}-bits")
+            sets = on_arrow(part.join(texts, ["id", "fp"]).select("sid", "text", "tasks"), self.spell, f"sid binary, grams binary, tasks array<struct<{kind}>>")
             rows = sets.select("sid", "grams", F.explode("tasks").alias("t")).select("t.*", "sid", "grams")
             return rows.repartition(n, "region", "block")
         first = placed.select("sid", "r", "region", F.explode(F.when(F.col("later"), F.array("own")).otherwise(every)).alias("block"), "later")
