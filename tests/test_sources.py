@@ -138,3 +138,39 @@ def test_intermediates_outlive_a_session(spark, tmp_path):
         assert built == [3, 5, 6]
     finally:
         spark.conf.unset("spark.acrewise.intermediates")
+
+
+def test_changed_inputs_are_recomputed_and_unchanged_ones_reloaded(spark, tmp_path):
+    """A report's own intermediate: reloaded by a second session, built anew
+    when a table, a parameter or the code changes, or on request."""
+    import json
+    import shutil
+
+    from acrewise import params as P
+    from acrewise.plans import parcels
+    from acrewise.sources import sinks
+    from acrewise.sources.tables import Tables
+    folder = str(tmp_path / "tables")
+    shutil.copytree(SF, folder, copy_function=shutil.copyfile)
+    for x in [tmp_path / "tables", *(tmp_path / "tables").rglob("*")]:
+        x.chmod(0o755)
+    spark.conf.set("spark.acrewise.intermediates", str(tmp_path / "kept"))
+
+    def files():
+        sinks._DONE.clear()  # what a new session starts with
+        rows = parcels.net_parcel_areas(Tables(spark, folder), P.DEFAULT)
+        return rows.count(), {f: f.stat().st_mtime_ns for f in (tmp_path / "kept").rglob("part-*.parquet")}
+    try:
+        n, first = files()
+        assert n and files() == (n, first)
+        (note,) = (tmp_path / "kept").glob("netx-*/_manifest.json")
+        assert any(f.endswith(".parquet") for f, _, _ in json.loads(note.read_text())["inputs"][folder])
+        spark.conf.set("spark.acrewise.recalculate", "true")
+        assert files()[1].keys() != first.keys()
+        spark.conf.unset("spark.acrewise.recalculate")
+        spark.read.parquet(f"{SF}/customer.parquet").where("c_custkey % 2 = 0").write.mode("overwrite").parquet(f"{folder}/customer.parquet")
+        m, third = files()
+        assert 0 < m < n and len(third) > len(first)
+    finally:
+        spark.conf.unset("spark.acrewise.recalculate")
+        spark.conf.unset("spark.acrewise.intermediates")
