@@ -20,6 +20,7 @@ G10 ``slab_overlay``: per group and band, all edge end-points and edge
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -29,6 +30,7 @@ from acrewise.functions import geometry as geo
 from acrewise.operators import tiles
 from acrewise.operators.spatial import polygon_edges
 from acrewise.operators.tiles import SUB_BANDS, sql_interp
+from acrewise.session import ensure_checkpoint_dir
 
 
 # ------------------------------------------------------------------ pieces
@@ -264,14 +266,21 @@ def slab_overlay(pieces: DataFrame, n_layers: int,
     sides.
     """
     k = ["g", "band", "tile"]
-    if max_pieces is None:
-        pieces = pieces.selectExpr("*", "0 AS tile", "0 AS kind", "CAST(NULL AS DOUBLE) AS _x0", "CAST(NULL AS DOUBLE) AS _x1")
+    hot = False
+    if max_pieces is not None:
+        # written once: the search for hot bands and the overlay read the edges
+        # from there, and a lost executor does not repeat the joins before
+        folder = f"{ensure_checkpoint_dir(pieces.sparkSession).rstrip('/')}/slabs-{uuid.uuid4().hex}"
+        pieces = tiles.written(pieces, f"{folder}/edges")
+        hot = tiles.any_hot(pieces, max_pieces)
+    if hot:
+        pieces = tiles.written(tiles.tiled(pieces, band, max_pieces), f"{folder}/tiles")
     else:
-        pieces = tiles.tiled(pieces, band, max_pieces)
+        pieces = pieces.withColumn("tile", F.lit(0))
     pieces = pieces.repartition(*k)
     # 1. slab boundaries: piece ends and crossings of pieces in the group
     ends = pieces.selectExpr(*k, "l AS x").union(pieces.selectExpr(*k, "r AS x"))
-    bounds = ends.union(tiles.crossings(pieces, k)).distinct()
+    bounds = ends.union(tiles.crossings(pieces, k, hot)).distinct()
     w = Window.partitionBy(*k).orderBy("x")
     slabs = (bounds.withColumn("x1", F.lead("x").over(w)).filter(F.col("x1").isNotNull())
              .withColumnRenamed("x", "x0"))

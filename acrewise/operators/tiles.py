@@ -21,9 +21,13 @@ inside a tile are paired with the edges of that tile.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import uuid
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from acrewise.session import ensure_checkpoint_dir
+
 SUB_BANDS = 1 << 20   # band ids become band * SUB_BANDS + column
 KNOTS = 64            # quantiles of the heights that the cuts follow
 
@@ -33,6 +37,11 @@ def sql_interp(l: str, r: str, yl: str, yr: str, x: str) -> str:
     return f"({yl} + ({yr} - {yl}) * try_divide({x} - {l}, {r} - {l}))"
 
 
+def written(df: DataFrame, path: str) -> DataFrame:
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def hot_bands(pieces: DataFrame, band: float, max_pieces: int) -> DataFrame:
     """(g, band, _kx, _cuts) of each (g, band) with more than ``max_pieces``
     edges: the number of columns and the heights of the cuts between rows.
@@ -126,12 +135,13 @@ def tiled(pieces: DataFrame, band: float, max_pieces: int) -> DataFrame:
     their tile and ``kind``: 0 for an edge of a band that is not hot, 1 for one
     of a hot band's tile, 2 for the lower and upper sides of its tiles, which
     take part in the overlay but cross nothing."""
-    p = pieces.repartition("g", "band")   # one exchange, read by all that follows
-    hot = hot_bands(p, band, max_pieces)
+    folder = f"{ensure_checkpoint_dir(pieces.sparkSession).rstrip('/')}/tiles-{uuid.uuid4().hex}"
+    p = pieces
+    hot = written(hot_bands(p, band, max_pieces), f"{folder}/hot")
     cols = ["g", "layer", "band", "tile", "l", "r", "yl", "yr", "c", "_x0", "_x1"]
     cold = p.join(hot.select("g", "band"), ["g", "band"], "left_anti").selectExpr(
         "g", "layer", f"band * {SUB_BANDS} AS band", "0 AS tile", "l", "r", "yl", "yr", "c", "CAST(NULL AS DOUBLE) AS _x0", "CAST(NULL AS DOUBLE) AS _x1", "0 AS kind")
-    inner = _clipped(p.join(hot, ["g", "band"]), band).select(*cols)
+    inner = written(_clipped(p.join(hot, ["g", "band"]), band).select(*cols), f"{folder}/inner")
     sides = _sides(hot, band)
     lower = _lower_sides(inner, sides)
     marks = sides.selectExpr("g", "0 AS layer", "band", "tile", "_x0 AS l", "_x1 AS r", "explode(filter(array(_b, _t), y -> y IS NOT NULL)) AS yl", "_x0", "_x1")
@@ -140,27 +150,34 @@ def tiled(pieces: DataFrame, band: float, max_pieces: int) -> DataFrame:
             .unionByName(lower.unionByName(marks).withColumn("kind", F.lit(2))))
 
 
-def crossing_pairs(pieces: DataFrame, keys: list[str]) -> DataFrame:
+def any_hot(pieces: DataFrame, max_pieces: int) -> bool:
+    return not pieces.groupBy("g", "band").count().where(F.col("count") > max_pieces).isEmpty()
+
+
+def crossing_pairs(pieces: DataFrame, keys: list[str], tiled: bool = True) -> DataFrame:
     """Pairs of edges of one tile that may cross: keys and both edges' l, r,
-    yl, yr as a_*, b_*."""
-    edge = F.struct("l", "r", "yl", "yr")
-    spans = F.coalesce((F.col("l") <= F.col("_x0")) & (F.col("r") >= F.col("_x1")), F.lit(False))
+    yl, yr as a_*, b_*. Where no band is hot (``tiled`` false) no edge spans a
+    tile, and the edges of a band are paired."""
+    side = lambda s, df: df.select(*keys, *[F.col(c).alias(f"{s}_{c}") for c in ("l", "r", "yl", "yr")])
+    meet = ("greatest(a_l, b_l) < least(a_r, b_r) AND greatest(a_yl, a_yr) > least(b_yl, b_yr) AND greatest(b_yl, b_yr) > least(a_yl, a_yr)")
+    if not tiled:
+        return side("a", pieces).join(side("b", pieces), keys).where(meet)
     live = pieces.where("kind < 2")
+    spans = F.coalesce((F.col("l") <= F.col("_x0")) & (F.col("r") >= F.col("_x1")), F.lit(False))
+    both = side("a", live.where(~spans)).join(side("b", live), keys).where(meet)
+    edge = F.struct("l", "r", "yl", "yr")
     left, right = (Window.partitionBy(*keys).orderBy(*cols) for cols in (("yl", "yr", "layer", "c"), ("yr", "yl", "layer", "c")))
     ranked = live.where(spans).select(*keys, edge.alias("e"), F.row_number().over(left).alias("i"), F.row_number().over(right).alias("j"))
     ranked = ranked.select(*keys, "e", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"))
     begin = ranked.select(*keys, F.col("e").alias("a"), F.col("lo").alias("rank"))
     cover = ranked.select(*keys, F.col("e").alias("b"), F.explode(F.sequence("lo", "hi")).alias("rank"))
-    same = begin.join(cover, [*keys, "rank"]).where(F.col("a") != F.col("b")).select(*keys, "a", "b")
-    inside = live.where(~spans).select(*keys, edge.alias("a")).join(live.select(*keys, edge.alias("b")), keys)
-    both = same.unionByName(inside.where(
-        "greatest(a.l, b.l) < least(a.r, b.r) AND greatest(a.yl, a.yr) > least(b.yl, b.yr) AND greatest(b.yl, b.yr) > least(a.yl, a.yr)"))
-    return both.select(*keys, *[F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "ab" for c in ("l", "r", "yl", "yr")])
+    same = begin.join(cover, [*keys, "rank"]).where(F.col("a") != F.col("b"))
+    return both.unionByName(same.select(*keys, *[F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "ab" for c in ("l", "r", "yl", "yr")]))
 
 
-def crossings(pieces: DataFrame, keys: list[str]) -> DataFrame:
+def crossings(pieces: DataFrame, keys: list[str], tiled: bool = True) -> DataFrame:
     """keys and x of every proper crossing."""
     at = lambda s, x: sql_interp(f"{s}_l", f"{s}_r", f"{s}_yl", f"{s}_yr", x)
-    p = crossing_pairs(pieces, keys).selectExpr("*", "greatest(a_l, b_l) AS _L", "least(a_r, b_r) AS _R")
+    p = crossing_pairs(pieces, keys, tiled).selectExpr("*", "greatest(a_l, b_l) AS _L", "least(a_r, b_r) AS _R")
     p = p.selectExpr(*keys, "_L", "_R", f"{at('a', '_L')} - {at('b', '_L')} AS _d0", f"{at('a', '_R')} - {at('b', '_R')} AS _d1").where("_d0 * _d1 < 0")
     return p.selectExpr(*keys, "_L + (_R - _L) * try_divide(_d0, _d0 - _d1) AS x")
