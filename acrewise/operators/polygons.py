@@ -73,13 +73,13 @@ def linked_rings(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
     on = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys] + [F.col("u") == F.col("bx"), F.col("v") == F.col("by")]
     turn = F.expr("atan2((u - x) * dy - (v - y) * dx, (u - x) * dx + (v - y) * dy)")
     follow = edges.join(begins, on).groupBy("id").agg(F.max(F.struct(turn.alias("turn"), "to"))["to"].alias("jump"))
-    now = written(follow.select("id", "jump", F.col("id").alias("least"), F.lit(0).cast("long").alias("off")), folder, "round0")
+    now = written(follow.select("id", "jump", F.col("id").alias("least"), F.lit(0).cast("long").alias("off")), f"{folder}/round0")
     step = 1
     while True:
         then = now.select(F.col("id").alias("jump"), F.col("jump").alias("further"), F.col("least").alias("l2"), F.col("off").alias("o2"))
         less = F.col("l2") < F.col("least")
         now = written(now.join(then, "jump").select("id", F.col("further").alias("jump"), F.least("least", "l2").alias("least"),
-                                                     F.when(less, F.col("o2") + step).otherwise(F.col("off")).alias("off"), less.alias("moved")), folder, f"round{step}")
+                                                     F.when(less, F.col("o2") + step).otherwise(F.col("off")).alias("off"), less.alias("moved")), f"{folder}/round{step}")
         step *= 2
         going, now = now.where("moved"), now.drop("moved")
         if going.isEmpty():
@@ -102,11 +102,11 @@ def polygons(parts: DataFrame, keys: Sequence[str], rings: str = "rings", prm: P
     """Trapezoids (keys, rings) -> one row a feature: (keys, polygons), an
     array of (outer, holes) whose rings do not repeat their first point."""
     folder = f"{ensure_checkpoint_dir(parts.sparkSession).rstrip('/')}/polygons-{uuid.uuid4().hex}"
-    parts = written(parts.select(*keys, rings), folder, "parts")  # read for each kind of side
+    parts = written(parts.select(*keys, rings), f"{folder}/parts")  # read for each kind of side
     points = linked_rings(boundary_edges(parts, keys, rings), keys)
     ring = points.groupBy(*keys, "ring").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "x", "y"))), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias("r"))
     ring = ring.select(*keys, "ring", F.expr(_without_straight_points("r")).alias("r")).where("size(r) > 2")
-    ring = written(ring.withColumn("area", geo.area(F.array("r"))), folder, "rings")
+    ring = written(ring.withColumn("area", geo.area(F.array("r"))), f"{folder}/rings")
 
     outer, holes = ring.where("area > 0"), ring.where("area < 0")
     at = holes.selectExpr("ring", "(r[0].x + r[1].x) / 2 AS px", "(r[0].y + r[1].y) / 2 AS py")
