@@ -278,7 +278,7 @@ def test_copies_truncated_copies_and_quotes(spark):
 def test_copied_and_long_junk_does_not_move_the_references(spark):
     """One rejected text as a third of its language's rows, and one of
     millions of characters, leave the other verdicts as they are."""
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang = 'en'").select("doc_id", "text", "lang").localCheckpoint()
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang = 'en'").select("doc_id", "text", "lang").cache()
     judged = quality.judge(docs).collect()
     before = {r.k.id: r.kept for r in judged}
     far = sorted((r.char_distance, r.k.id) for r in judged if not r.base_failed and r.char_distance and r.char_distance > quality.MAX_CHAR_DISTANCE)
