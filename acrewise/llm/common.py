@@ -9,6 +9,7 @@ import tempfile
 import time
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -136,19 +137,48 @@ def matching(df: DataFrame, own: Column, keys: DataFrame, how: str = "left_semi"
 PICK_BITS = 1 << 24
 
 
+def bitmap_rows(keys: DataFrame, at: Column) -> DataFrame:
+    """(bucket, bits): the bitmap of the numbers ``at`` (1 and up, as Spark's
+    buckets begin at 1), 4 KB a row."""
+    return (keys.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("bucket"))
+            .agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")))
+
+
+def low_bits(keys: DataFrame, column: str, size: int) -> np.ndarray:
+    """A bitmap of ``size`` bits, packed, of the low bits of a column of
+    hashes: its rows are put together on the driver, size / 8 bytes whatever
+    the number of keys."""
+    out = np.zeros(size // 8, np.uint8)
+    for bucket, bits in bitmap_rows(keys, F.col(column).bitwiseAND(size - 1) + 1).toLocalIterator():
+        out[(bucket - 1) * 4096:bucket * 4096] = np.frombuffer(bits, np.uint8)
+    return out
+
+
+def has_bit(packed: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    at = hashes & (8 * len(packed) - 1)
+    return (packed[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
+def flagged(df: DataFrame, own: Column, keys: DataFrame, theirs: Column, folder: str, name: str, flag: str) -> DataFrame:
+    """df with a column that is true where the row's key is one of ``keys``,
+    and for few others: a bitmap of the keys' hashes, 2 MB whatever their
+    number, is broadcast, so that wide rows for which a join decides nothing
+    are not shuffled for it. It decides how much moves, never the result of
+    that join."""
+    at = lambda c: F.pmod(F.xxhash64(c), F.lit(PICK_BITS)) + 1
+    place, bucket, bits = names(df, "place", "bucket", "bits")
+    known = stored(bitmap_rows(keys, at(theirs)), folder, name).select(F.col("bucket").alias(bucket), F.col("bits").alias(bits))
+    x = df.withColumn(place, at(own))
+    x = x.join(F.broadcast(known), F.bitmap_bucket_number(place) == F.col(bucket), "left")
+    bit = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substring(F.col(bits), F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return x.select(*[F.col(f"`{c}`") for c in df.columns], F.coalesce(F.getbit(byte, (bit % 8).cast("int")) == 1, F.lit(False)).alias(flag))
+
+
 def picked(df: DataFrame, own: Column, keys: DataFrame, theirs: Column, folder: str, name: str) -> DataFrame:
-    """The rows of df whose key may be one of ``keys``, and few others: a
-    bitmap of the keys' hashes, 2 MB whatever their number, is broadcast, so
-    that wide rows that a join would drop are not shuffled for it. It decides
-    how much moves, never the result of that join."""
-    at = lambda c: F.pmod(F.xxhash64(c), F.lit(PICK_BITS)) + 1  # noqa: E731  Spark's buckets begin at 1
-    bits = keys.select(at(theirs).alias("at")).groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
-    bits = stored(bits, folder, name)
-    x = df.withColumn("_at", at(own))
-    x = x.join(F.broadcast(bits), F.bitmap_bucket_number("_at") == F.col("bucket"))
-    place = F.bitmap_bit_position("_at")
-    byte = F.conv(F.hex(F.substring("bits", F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return x.where(F.getbit(byte, (place % 8).cast("int")) == 1).select(*df.columns)
+    """The rows of df whose key may be one of ``keys``, and few others."""
+    (flag,) = names(df, "flag")
+    return flagged(df, own, keys, theirs, folder, name, flag).where(F.col(flag)).drop(flag)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

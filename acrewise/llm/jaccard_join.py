@@ -31,7 +31,8 @@ as a join in the metric space of the Jaccard distance d = 1 - J.
 5. The trees' connected components are the classes.
 
 The frequency order is a bitmap of fixed size (``HOT_BITS``) of the hashes
-that many points share; it decides how much work there is, never the result.
+that many points share, and another one (``SHARED_BITS``) tells most n-grams
+that a single point has; they decide how much work there is, never the result.
 
 Defined cases: null and empty texts, and texts of blanks, have the empty set
 and are linked with nothing; null ids never become a class id unless all ids
@@ -51,7 +52,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from acrewise.llm import symbols
-from acrewise.llm.common import dropped, freed, matching, numbered, on_arrow, partitions, picked, scratch, stored, table
+from acrewise.llm.common import dropped, flagged, freed, has_bit, low_bits, names, numbered, on_arrow, partitions, picked, scratch, stored, table
 from acrewise.llm.components import components
 from acrewise.llm.repeats import LAST, documents
 from acrewise.llm.setsketch import Forest, by_block, edge_batch
@@ -62,6 +63,7 @@ BINS = 8               # minimum hashes of a point
 AGREE = 2              # of them, shared with a pivot to enter its region
 HOT_LIST = 32          # points that share an n-gram from which it counts as frequent
 HOT_BITS = 1 << 22
+SHARED_BITS = 1 << 26
 LIST = 64              # points with a common n-gram that are tested in pairs
 REGION_BYTES = 4 << 20
 
@@ -119,9 +121,9 @@ class Join:
 
     # ---- candidates ----------------------------------------------------
 
-    def entries(self, hot: np.ndarray):
+    def entries(self, hot: np.ndarray, shared: np.ndarray | None = None):
         """(d, region, n, low) -> the prefix of each point, rare n-grams
-        first: (s, d, region, place) with place = n << 32 | position. The
+        first, without those that no other point has: (s, d, region, place) with place = n << 32 | position. The
         position is the number of n-grams that two points cannot share if
         this is the first that they do: the rare ones before a rare n-gram,
         and all of smaller hash before a frequent one (the rare ones of
@@ -134,9 +136,11 @@ class Join:
                     g = np.array(low, np.int64)
                     often = hot[g & (HOT_BITS - 1)]
                     order = np.argsort(often, kind="stable")[:self.prefix(int(n[k]))]
-                    keep.append(g[order])
-                    size.append(len(order))
-                    place.append((n[k] << 32) + np.where(often[order], order, np.arange(len(order))))
+                    at = (n[k] << 32) + np.where(often[order], order, np.arange(len(order)))
+                    some = has_bit(shared, g[order]) if shared is not None else slice(None)
+                    keep.append(g[order][some])
+                    size.append(len(keep[-1]))
+                    place.append(at[some])
                 if keep:
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate(keep), np.repeat(d, size), np.repeat(region, size), np.concatenate(place))],
                                                      ["s", "d", "region", "place"])
@@ -257,8 +261,9 @@ class Join:
         return root
 
     def join_regions(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(region, block, later, sid, grams), the pivot first -> (u, v) edges
-        of the groups' trees."""
+        """(region, block, later, sid, text), the pivot first -> (u, v) edges
+        of the groups' trees. Texts travel, not their sets: 8 bytes a word of
+        hashes do not compress."""
         key, sids, sets = None, [], []
 
         def flush():
@@ -267,26 +272,26 @@ class Join:
             root = self.solve(sets)
             at = np.flatnonzero(root != np.arange(len(sets)))
             return pa.RecordBatch.from_arrays([pa.array([sids[k] for k in at], pa.binary()), pa.array([sids[root[k]] for k in at], pa.binary())], ["u", "v"])
-        for b in batches:
-            for k, sid, g in zip(zip(*(b.column(c).to_pylist() for c in range(2))), b.column(3).to_pylist(), b.column(4)):
-                if k != key:
-                    out = flush()
-                    if out is not None and out.num_rows:
-                        yield out
-                    key, sids, sets = k, [], []
-                if not sids or sids[-1] != sid:
-                    sids.append(sid)
-                    sets.append(np.frombuffer(g.as_buffer(), np.uint64))
+        for k, sid, g in ((k, sid, g) for b in batches for at in range(0, b.num_rows, 256) for some in [b.slice(at, 256)]
+                          for k, sid, g in zip(zip(*(some.column(c).to_pylist() for c in range(2))), some.column(3).to_pylist(), self.sets(some.column(4)))):
+            if k != key:
+                out = flush()
+                if out is not None and out.num_rows:
+                    yield out
+                key, sids, sets = k, [], []
+            if not sids or sids[-1] != sid:
+                sids.append(sid)
+                sets.append(g)
         out = flush()
         if out is not None and out.num_rows:
             yield out
 
     def join_visitors(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(region, block, visits, sid, grp, grams), a block's own points
+        """(region, block, visits, sid, grp, text), a block's own points
         before its visitors -> links of visitors with points of other groups."""
         edges: list = []
-        for new, (visits, sid, grp, g) in by_block(batches, 2):
-            g = np.frombuffer(g, np.uint64)
+        for new, (visits, sid, grp, text) in by_block(batches, 2):
+            g = next(self.sets(pa.array([text], pa.string())))
             if new:
                 own, forest, block = [], Forest(), None
                 if len(edges) > 10_000:
@@ -308,15 +313,6 @@ class Join:
         if edges:
             yield edge_batch(edges)
 
-    def spell(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(sid, text, tasks) -> (sid, grams, tasks); the sets go straight to
-        the tasks."""
-        for b in batches:
-            for k in range(0, b.num_rows, 256):
-                some = b.slice(k, 256)
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array([g.tobytes() for g in self.sets(some.column(1))], pa.binary()), some.column(2)],
-                                                 ["sid", "grams", "tasks"])
-
     # ---- the job -------------------------------------------------------
 
     def classes(self, df: DataFrame, key: str = "doc_id", text: str = "text", number: str | None = None) -> DataFrame:
@@ -327,6 +323,10 @@ class Join:
         base = stored(on_arrow(docs, self.sketch, "id long, fp long, n long, sid binary, d long, mins array<long>, low array<long>"), folder, "sketch")
         points = base.where("n > 0")
 
+        # one document a point, and a few more where the bitmap errs
+        both = F.struct("id", "fp")
+        points = picked(points, both, points.groupBy("d").agg(F.min(both).alias("r")), F.col("r"), folder, "points-bits")
+
         # pivots: of the points that share a minimum hash, the smallest
         shared = points.select("d", F.explode("mins").alias("m")).distinct()
         pivots = shared.groupBy("m").agg(F.min("d").alias("pivot"), F.max("d").alias("last")).where("pivot < last").drop("last")
@@ -334,15 +334,13 @@ class Join:
         homes = votes.groupBy("d").agg(F.max(F.struct("c", "pivot"))["pivot"].alias("region"))
         homes = stored(homes.where("d <> region"), folder, "homes")
 
-        # the frequent n-grams among those that prefixes are taken from
-        hot = (points.select(F.explode("low").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= HOT_LIST)
-               .select(F.col("s").bitwiseAND(HOT_BITS - 1).cast("int").alias("bit")).distinct())
-        bits = np.zeros(HOT_BITS, bool)
-        for row in hot.toLocalIterator():  # HOT_BITS small numbers at most
-            bits[row[0]] = True
+        # the n-grams of several points among those that prefixes are taken from
+        counts = stored(points.select(F.explode("low").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), folder, "shared")
+        hot = np.unpackbits(low_bits(counts.where(F.col("c") >= HOT_LIST), "s", HOT_BITS), bitorder="little").view(bool)
+        several = low_bits(counts, "s", SHARED_BITS)
 
         placed = points.join(homes, "d", "left").select("d", F.coalesce("region", "d").alias("region"), "n", "low")
-        entries = on_arrow(placed, self.entries(bits), "s long, d long, region long, place long")
+        entries = on_arrow(placed, self.entries(hot, several), "s long, d long, region long, place long")
         visits = on_arrow(entries.repartition(n, "s").sortWithinPartitions("s", "place", "region", "d"), self.meet, "d long, region long, merge boolean")
         visits = stored(visits.distinct(), folder, "visits")
         # only the narrow columns are read from here on
@@ -369,19 +367,17 @@ class Join:
         placed = stored(placed, folder, "placed")
         every = F.sequence(F.lit(0), F.col("blocks") - 1)
 
-        def sent(tasks: DataFrame, name: str, kind: str) -> DataFrame:
-            """(sid, r, region, block, ...) -> with the sets in place of r."""
+        def sent(tasks: DataFrame, name: str) -> DataFrame:
+            """(sid, r, region, block, ...) -> with the texts in place of r."""
             cols = [c for c in tasks.columns if c not in ("sid", "r")]
             part = tasks.groupBy("sid", "r").agg(F.collect_list(F.struct(*cols)).alias("tasks"))
             part = stored(part.select("sid", "r.*", "tasks"), folder, name)
             freed(spark)
-            both = F.struct("id", "fp")
             texts = picked(docs, both, part, both, folder, f"{name}-bits")
-            sets = on_arrow(part.join(texts, ["id", "fp"]).select("sid", "text", "tasks"), self.spell, f"sid binary, grams binary, tasks array<struct<{kind}>>")
-            rows = sets.select("sid", "grams", F.explode("tasks").alias("t")).select("t.*", "sid", "grams")
+            rows = part.join(texts, ["id", "fp"]).select("sid", "text", F.explode("tasks").alias("t")).select("t.*", "sid", "text")
             return rows.repartition(n, "region", "block")
         first = placed.select("sid", "r", "region", F.explode(F.when(F.col("later"), F.array("own")).otherwise(every)).alias("block"), "later")
-        rows = sent(first, "part", "region: long, block: int, later: boolean").select("region", "block", "later", "sid", "grams")
+        rows = sent(first, "part").select("region", "block", "later", "sid", "text")
         trees = stored(on_arrow(rows.sortWithinPartitions("region", "block", "later", "sid"), self.join_regions, "u binary, v binary"), folder, "trees")
         freed(spark)
         roots = components(trees)
@@ -395,8 +391,8 @@ class Join:
             split = stored(split.join(main, "region").drop("u", "root"), folder, "split")
             own = split.select("sid", "r", "region", F.col("own").alias("block"), F.lit(0).alias("visits"), "grp")
             guests = split.where("grp <> main").select("sid", "r", "region", F.explode(every).alias("block"), F.lit(1).alias("visits"), "grp")
-            rows = sent(own.union(guests), "visitors", "region: long, block: int, visits: int, grp: binary")
-            rows = rows.select("region", "block", "visits", "sid", "grp", "grams").sortWithinPartitions("region", "block", "visits", "sid")
+            rows = sent(own.union(guests), "visitors")
+            rows = rows.select("region", "block", "visits", "sid", "grp", "text").sortWithinPartitions("region", "block", "visits", "sid")
             more = stored(on_arrow(rows, self.join_visitors, "u binary, v binary"), folder, "more")
             freed(spark)
             roots = components(trees.union(more))
@@ -421,14 +417,20 @@ def keep_first(df: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     class has one."""
     spark = df.sparkSession
     x, number = numbered(df, "doc_id", "text")
-    good = Join(words, percent).classes(x, number=number).where("component_id <=> k.id").groupBy("k").agg(F.count(F.lit(1)).alias("copies"))
-    good = stored(good, scratch(spark), "kept")
+    folder = scratch(spark)
+    seen = Join(words, percent).classes(x, number=number).groupBy("k").agg(F.count(F.lit(1)).alias("copies"), F.first(F.expr("component_id <=> k.id")).alias("good"))
+    # rows of all other keys stay where they are
+    special = stored(seen.where("NOT good OR copies > 1"), folder, "special")
     freed(spark)
-    own = F.struct(F.col("doc_id").alias("id"), F.col(number).alias("fp"))
-    rows = matching(x, own, good.where("copies = 1")).drop(number)
-    if not good.where("copies > 1").head(1):
-        return rows
-    return rows.unionByName(matching(x, own, good.where("copies > 1")).drop(number).dropDuplicates(["doc_id", "text"]))
+    own = F.struct(F.col("doc_id").cast("long").alias("id"), F.col(number).alias("fp"))
+    mine, flag = names(x, "mine", "flag")
+    rows = flagged(x.withColumn(mine, own), F.col(mine), special, F.col("k"), folder, "special-bits", flag)
+    theirs, copies, good = names(rows, "theirs", "copies", "good")
+    special = special.select(F.col("k").alias(theirs), F.col("copies").alias(copies), F.col("good").alias(good))
+    doubtful = rows.where(F.col(flag)).join(special, F.col(mine).eqNullSafe(F.col(theirs)), "left").where(F.coalesce(good, F.lit(True)))
+    once = lambda d: d.select(*[F.col(f"`{c}`") for c in df.columns])
+    out = once(rows.where(~F.col(flag))).union(once(doubtful.where(F.col(copies).isNull())))
+    return out.union(once(doubtful.where(F.col(copies) > 1)).dropDuplicates(["doc_id", "text"]))
 
 
 def sql_classes(src: str = "documents", words: int = WORDS, percent: int = PERCENT, p: str = "j") -> str:
