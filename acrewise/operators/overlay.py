@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from acrewise.functions import geometry as geo
 from acrewise.operators import tiles
-from acrewise.operators.spatial import polygon_edges
+from acrewise.operators.spatial import at_levels, box_cells, cell_width, level_of, polygon_edges
 from acrewise.operators.tiles import SUB_BANDS, sql_interp
 from acrewise.session import ensure_checkpoint_dir
 
@@ -58,29 +58,36 @@ def layer_pieces(layer: DataFrame, fid: str, band: float, rings: str = "rings")
 
 
 # --------------------------------------------------------- candidate pairs
-def _cells(layer: DataFrame, fid: str, rings: str, cell: float, tag: str) -> DataFrame:
-    b = geo.bbox(rings)
-    return (layer.select(F.col(fid).alias(tag), b.alias(f"{tag}_bb"))
-            .withColumn("cx", F.explode(F.sequence(F.floor(F.col(f"{tag}_bb.xmin") / cell),
-                                                   F.floor(F.col(f"{tag}_bb.xmax") / cell))))
-            .withColumn("cy", F.explode(F.sequence(F.floor(F.col(f"{tag}_bb.ymin") / cell),
-                                                   F.floor(F.col(f"{tag}_bb.ymax") / cell)))))
+def _filed(layer: DataFrame, fid: str, rings: str, cell: float, tag: str) -> DataFrame:
+    x = layer.select(F.col(fid).alias(tag), geo.bbox(rings).alias(f"{tag}_bb"))
+    return x.withColumn(f"{tag}_level", level_of(F.col(f"{tag}_bb"), cell))
 
 
 def bbox_pairs(a: DataFrame, fa: str, b: DataFrame, fb: str, cell: float,
                rings_a: str = "rings", rings_b: str = "rings") -> DataFrame:
     """(fa, fb, base, _ox0, _oy0, _ox1, _oy1) for every pair of features
     whose boxes overlap with positive area (the _o* columns are the overlap
-    box). Each pair is kept in one grid cell only (the cell of the
-    lower-left corner of the box overlap), so no distinct is needed.
-    ``base`` is a per-pair height the integrals are measured from."""
-    ca = _cells(a, fa, rings_a, cell, "_a")
-    cb = _cells(b, fb, rings_b, cell, "_b")
+    box). ``base`` is a per-pair height the integrals are measured from.
+
+    A pair meets at the level of its larger feature: each feature is filed in
+    the cells of its own level, and the smaller one looks into its cells of the
+    other layer's levels above (``seek`` tells which of the two looks). Each
+    pair is kept in one cell only (the cell of the lower-left corner of the box
+    overlap), so no distinct is needed."""
+    xa, xb = _filed(a, fa, rings_a, cell, "_a"), _filed(b, fb, rings_b, cell, "_b")
+
+    def cells(x: DataFrame, tag: str, other: DataFrame, theirs: str, first: int, seek: str) -> DataFrame:
+        home = x.withColumn("level", F.col(f"{tag}_level")).withColumn("seek", F.lit(theirs))
+        above = at_levels(x, F.col(f"{tag}_level") + first, other, f"{theirs}_level").withColumn("seek", F.lit(seek))
+        return box_cells(home.unionByName(above).drop(f"{tag}_level"), f"{tag}_bb", cell)
+    ca = cells(xa, "_a", xb, "_b", 0, "_a")  # features of one level: a looks
+    cb = cells(xb, "_b", xa, "_a", 1, "_b")
     ox0 = F.greatest("_a_bb.xmin", "_b_bb.xmin")
     oy0 = F.greatest("_a_bb.ymin", "_b_bb.ymin")
-    j = ca.join(cb, ["cx", "cy"]).filter(
+    w = cell_width(F.col("level"), cell)
+    j = ca.join(cb, ["seek", "level", "cx", "cy"]).filter(
         (ox0 < F.least("_a_bb.xmax", "_b_bb.xmax")) & (oy0 < F.least("_a_bb.ymax", "_b_bb.ymax"))
-        & (F.col("cx") == F.floor(ox0 / cell)) & (F.col("cy") == F.floor(oy0 / cell)))
+        & (F.col("cx") == F.floor(ox0 / w)) & (F.col("cy") == F.floor(oy0 / w)))
     return j.select(F.col("_a").alias(fa), F.col("_b").alias(fb), oy0.alias("base"),
                     ox0.alias("_ox0"), oy0.alias("_oy0"),
                     F.least("_a_bb.xmax", "_b_bb.xmax").alias("_ox1"), F.least("_a_bb.ymax", "_b_bb.ymax").alias("_oy1"))

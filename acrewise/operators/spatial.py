@@ -1,9 +1,10 @@
 """Spatial joins on a grid, written as equi-joins plus exact residual tests.
 
-* Polygons are spread over the grid cells their bounding box covers
-  (``explode(sequence(...))``); points fall in one cell. The cell pair is an
-  ordinary hash-join key, so the spatial index of a database becomes a
-  shuffle (or broadcast) join that Spark plans by itself (G17).
+* The grid has levels (G17), whose cells are 4 times as wide from one to the
+  next. A feature is filed at the level of its own size, where its bounding box
+  covers nine cells at most; a point looks into its cell of each level that holds
+  features. (level, cell) is an ordinary hash-join key, so the spatial index of
+  a database becomes a shuffle (or broadcast) join that Spark plans by itself.
 * The exact point-in-polygon test (G7) shoots a vertical ray up from the
   point. Every polygon edge is split over fixed-width x-bands, so the only
   edges the ray can cross are in the point's band: a second equi-join on
@@ -16,11 +17,15 @@ the whole polygon, so large, detailed polygons stay cheap per point.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from acrewise.functions import geometry as geo
 
+STEP = 4.0             # width of a cell in cells of the level below
+LOWEST, HIGHEST = -3, 9  # levels; level 0 has the cells of Params.cell_size
 
 
 def polygon_edges(layer: DataFrame, fid: str, rings: str = "rings") -> DataFrame:
@@ -44,14 +49,38 @@ def band_pieces(edges: DataFrame, band: float) -> DataFrame:
         "band", F.explode(F.sequence(F.floor(lx / band), F.floor(rx / band))))
 
 
+def level_of(box: Column, cell: float) -> Column:
+    """The lowest level at which a box is at most two cells wide and high, so
+    that it covers nine cells at most (more only beyond ``HIGHEST``)."""
+    side = F.greatest(box["xmax"] - box["xmin"], box["ymax"] - box["ymin"])
+    level = F.ceil(F.log(side / (2 * cell)) / math.log(STEP)).cast("int")
+    return F.when(box.isNotNull(), F.least(F.greatest(F.coalesce(level, F.lit(LOWEST)), F.lit(LOWEST)), F.lit(HIGHEST)))
+
+
+def cell_width(level: Column, cell: float) -> Column:
+    return F.pow(F.lit(STEP), level) * cell
+
+
+def box_cells(boxes: DataFrame, box: str, cell: float, level: str = "level") -> DataFrame:
+    """A row with ``cx``, ``cy`` for each cell of its level that a box covers."""
+    w, b = cell_width(F.col(level), cell), F.col(box)
+    return (boxes.withColumn("cx", F.explode(F.sequence(F.floor(b["xmin"] / w), F.floor(b["xmax"] / w))))
+            .withColumn("cy", F.explode(F.sequence(F.floor(b["ymin"] / w), F.floor(b["ymax"] / w)))))
+
+
+def at_levels(rows: DataFrame, first: Column, layer: DataFrame, level: str = "level") -> DataFrame:
+    """A row for each level from ``first`` upwards at which ``layer`` has
+    features. The levels of a layer are ``HIGHEST - LOWEST + 1`` rows at most."""
+    held = F.broadcast(layer.select(F.col(level).alias("_held")).distinct())
+    every = F.when(first <= HIGHEST, F.sequence(first, F.lit(HIGHEST)))
+    return rows.withColumn("level", F.explode(every)).join(held, F.col("level") == F.col("_held"), "left_semi")
+
+
 def polygon_cells(layer: DataFrame, fid: str, rings: str, cell: float) -> DataFrame:
-    """(fid, cx, cy, bbox) for every grid cell the polygon's box covers."""
-    b = geo.bbox(rings)
-    return (layer.select(F.col(fid), b.alias("_bb"))
-            .withColumn("cx", F.explode(F.sequence(F.floor(F.col("_bb.xmin") / cell),
-                                                   F.floor(F.col("_bb.xmax") / cell))))
-            .withColumn("cy", F.explode(F.sequence(F.floor(F.col("_bb.ymin") / cell),
-                                                   F.floor(F.col("_bb.ymax") / cell)))))
+    """(fid, _bb, level, cx, cy) for every cell of its level that the polygon's
+    box covers."""
+    boxes = layer.select(F.col(fid), geo.bbox(rings).alias("_bb"))
+    return box_cells(boxes.withColumn("level", level_of(F.col("_bb"), cell)), "_bb", cell)
 
 
 def point_in_polygon_pairs(points: DataFrame, pid: str, x: str, y: str,
@@ -67,9 +96,11 @@ def point_in_polygon_pairs(points: DataFrame, pid: str, x: str, y: str,
     pts = points.select(F.col(pid), F.col(x).alias("_px"), F.col(y).alias("_py")) \
         .filter(F.col("_px").isNotNull() & F.col("_py").isNotNull())
     cells = polygon_cells(polys, fid, rings, cell)
-    cand = (pts.withColumn("cx", F.floor(F.col("_px") / cell))
-            .withColumn("cy", F.floor(F.col("_py") / cell))
-            .join(cells, ["cx", "cy"])
+    w = cell_width(F.col("level"), cell)
+    cand = (at_levels(pts, F.lit(LOWEST), cells)
+            .withColumn("cx", F.floor(F.col("_px") / w))
+            .withColumn("cy", F.floor(F.col("_py") / w))
+            .join(cells, ["level", "cx", "cy"])
             .filter((F.col("_px") >= F.col("_bb.xmin")) & (F.col("_px") <= F.col("_bb.xmax"))
                     & (F.col("_py") >= F.col("_bb.ymin")) & (F.col("_py") <= F.col("_bb.ymax")))
             .select(pid, fid, "_px", "_py", F.floor(F.col("_px") / band).alias("band")))
