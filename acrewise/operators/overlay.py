@@ -267,9 +267,9 @@ def slab_overlay(pieces: DataFrame, n_layers: int,
 
     All work is keyed by (g, band), and by tile where a (g, band) holds more
     than ``max_pieces`` edges (``tiles``): the edges are hash-partitioned on
-    it, and the crossing search, the slab boundaries, the slab join and both
-    windows reuse that partitioning (no further exchange until the final
-    per-group sum). Tiles are disjoint, so areas add up; parts end at their
+    it, and the crossing search, the slab join and both windows reuse that
+    partitioning; besides them only the slab boundaries (one number a row) are
+    dealt once, before the final per-group sum. Tiles are disjoint, so areas add up; parts end at their
     sides.
     """
     k = ["g", "band", "tile"]
@@ -286,8 +286,9 @@ def slab_overlay(pieces: DataFrame, n_layers: int,
         pieces = pieces.withColumn("tile", F.lit(0))
     pieces = pieces.repartition(*k)
     # 1. slab boundaries: piece ends and crossings of pieces in the group
-    ends = pieces.selectExpr(*k, "l AS x").union(pieces.selectExpr(*k, "r AS x"))
-    bounds = ends.union(tiles.crossings(pieces, k, hot)).distinct()
+    # (dealt anew after the union, whose partitioning is not to be relied on: session.plain_unions)
+    ends = pieces.selectExpr(*k, "explode(array(l, r)) AS x")
+    bounds = ends.union(tiles.crossings(pieces, k, hot)).repartition(*k).distinct()
     w = Window.partitionBy(*k).orderBy("x")
     slabs = (bounds.withColumn("x1", F.lead("x").over(w)).filter(F.col("x1").isNotNull())
              .withColumnRenamed("x", "x0"))

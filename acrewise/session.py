@@ -43,6 +43,18 @@ def get_session(master: str | None = None, app: str = "acrewise",
     return spark
 
 
+def plain_unions(spark: SparkSession) -> None:
+    """Let no plan count on the partitioning of a union.
+
+    Spark 4.1 takes a union of equally partitioned sides as partitioned
+    likewise and saves the exchange after it, but adaptive execution coalesces
+    the partitions of each side on its own: rows of one key then lie in several
+    partitions and an aggregate or window above gives wrong rows (RS14's total
+    was 119 for 604). Called wherever a session enters the library.
+    """
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
@@ -50,6 +62,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     master (tests) do we pick a scratch folder of our own. Elsewhere the
     executors would not see such a folder, so an unset setting is an error.
     """
+    plain_unions(spark)
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):

@@ -8,6 +8,8 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
+from acrewise.session import plain_unions
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels",
           "conversations")
@@ -28,6 +30,7 @@ class Tables:
     """Lazy accessor: ``Tables(spark, dir).lineitem`` is a DataFrame."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
+        plain_unions(spark)
         self.spark = spark
         self.sf_dir = sf_dir
         self._dfs: dict[str, DataFrame] = {}

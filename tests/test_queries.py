@@ -82,3 +82,16 @@ def test_fact_scan_prunes_columns(spark):
         build_employment_cells(Tables(spark, SF)))
     p = _plan(entry.queries()["E1"](spark, SF))
     assert p.count("FileScan") == 1 and "_s_cov" in p and "lineitem" not in p
+
+
+@pytest.mark.parametrize("relied_on", ["false", "true"])
+def test_total_row_is_the_sum_of_its_rows(spark, relied_on):
+    """A slab overlay that one plan reads twice gives the same areas twice,
+    whether or not Spark counts on the partitioning of a union."""
+    df = entry.queries()["RS14"](spark, SF)
+    spark.conf.set("spark.sql.unionOutputPartitioning", relied_on)
+    try:
+        acres = {r.County: r.Acres for r in df.collect()}
+    finally:
+        spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+    assert len(acres) == 5 and acres.pop("Region") == sum(acres.values())
