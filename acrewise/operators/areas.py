@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from acrewise import params as P
 from acrewise.functions import geometry as geo
+from acrewise.operators import dissolve as ds
 from acrewise.operators import overlay as ov
 from acrewise.operators.polygons import polygons
 
@@ -60,31 +61,32 @@ def erase_each(a: DataFrame, fa: str, b: DataFrame, fb: str, masks: DataFrame, f
 def erase_union_area(a: DataFrame, fa: str, masks: DataFrame, fm: str, b: DataFrame | None = None,
                      fb: str | None = None, prm: P.Params = P.DEFAULT) -> DataFrame:
     """area(A ∖ ∪M) per feature of A (or area((A ∩ B) ∖ ∪M) per pair when
-    ``b`` is given), each acre counted once however many masks cover it."""
+    ``b`` is given), each acre counted once however many masks cover it: the
+    masks are dissolved by cells first, so a feature meets cells, not masks."""
     band = prm.band_width
+    cells, outline = ds.dissolved(masks, fm, prm)
     if b is None:
         # only features that meet a mask go through the slab overlay; the
         # rest keep their own area (one shoelace per row, no shuffle)
-        mp = ov.bbox_pairs(a, fa, masks, fm, prm.cell_size).select(
-            F.col(fa).alias("g"), F.col(fm).alias("_fid"), F.col("_ox0").alias("xmin"), F.col("_ox1").alias("xmax"))
+        mp = ov.bbox_pairs(a, fa, cells, "_cell", prm.cell_size).select(
+            F.col(fa).alias("g"), F.col("_cell").alias("_fid"), F.col("_ox0").alias("xmin"), F.col("_ox1").alias("xmax"))
         hit = mp.select(F.col("g").alias(fa)).distinct()
         subj = a.join(hit, fa, "left_semi").select(F.col(fa).alias("g"), F.col(fa).alias("_fid"),
                                                    F.lit(0).alias("layer"))
         pieces = [ov.group_pieces(subj, ov.layer_pieces(a, fa, band).withColumnRenamed(fa, "_fid"), "_fid")]
-        pieces.append(ov.group_pieces(mp.withColumn("layer", F.lit(1)),
-                                      ov.layer_pieces(masks, fm, band).withColumnRenamed(fm, "_fid"), "_fid", band))
+        pieces.append(ov.group_pieces(mp.withColumn("layer", F.lit(1)), outline.withColumnRenamed("_cell", "_fid"), "_fid", band))
         keep = lambda n: (n[0] != 0) & (n[1] == 0)
         n_layers = 2
         untouched = a.join(hit, fa, "left_anti").select(fa, geo.area("rings").alias("area"))
     else:
         # members of each (a, b) group in one pass over the candidate pairs:
-        # the a feature (layer 0), the b feature (layer 1) and every mask
-        # meeting the b feature (layer 2); all pieces come from one tagged
+        # the a feature (layer 0), the b feature (layer 1) and every cell of
+        # masks meeting the b feature (layer 2); all pieces come from one tagged
         # union of the three layers, joined once on (kind, fid)
         ab = ov.bbox_pairs(a, fa, b, fb, prm.cell_size).select(
             F.struct(F.col(fa).alias(fa), F.col(fb).alias(fb)).alias("g"), fa, fb,
             F.col("_ox0").alias("xmin"), F.col("_ox1").alias("xmax"))
-        bm = ov.bbox_pairs(b, fb, masks, fm, prm.cell_size).select(fb, F.col(fm).cast("string").alias("_mf"), "_ox0", "_ox1")
+        bm = ov.bbox_pairs(b, fb, cells, "_cell", prm.cell_size).select(fb, F.col("_cell").alias("_mf"), "_ox0", "_ox1")
         own = ab.select("g", F.explode(F.array(
             F.struct(F.lit(0).alias("layer"), F.lit("a").alias("_kind"), F.col(fa).cast("string").alias("_fid")),
             F.struct(F.lit(1).alias("layer"), F.lit("b").alias("_kind"), F.col(fb).cast("string").alias("_fid"))
@@ -98,9 +100,7 @@ def erase_union_area(a: DataFrame, fa: str, masks: DataFrame, fm: str, b: DataFr
               .unionByName(ov.layer_pieces(b, fb, band).select(F.lit("b").alias("_kind"),
                                                                F.col(fb).cast("string").alias("_fid"),
                                                                "band", "l", "r", "yl", "yr", "c"))
-              .unionByName(ov.layer_pieces(masks, fm, band).select(F.lit("m").alias("_kind"),
-                                                                   F.col(fm).cast("string").alias("_fid"),
-                                                                   "band", "l", "r", "yl", "yr", "c")))
+              .unionByName(outline.select(F.lit("m").alias("_kind"), F.col("_cell").alias("_fid"), "band", "l", "r", "yl", "yr", "c")))
         pieces = [ov.group_pieces(members, lp, ["_kind", "_fid"], band)]
         keep = lambda n: (n[0] != 0) & (n[1] != 0) & (n[2] == 0)
         n_layers = 3
@@ -121,13 +121,14 @@ def _erased(a: DataFrame, fa: str, masks: DataFrame, fm: str, whole, prm: P.Para
     """The trapezoids (fa, rings) of features with the masks erased, and the
     features that need no overlay: those that meet no mask and are ``whole``."""
     band = prm.band_width
-    mp = ov.bbox_pairs(a, fa, masks, fm, prm.cell_size).select(
-        F.col(fa).alias("g"), F.col(fm).alias("_fid"), F.lit(1).alias("layer"), F.col("_ox0").alias("xmin"), F.col("_ox1").alias("xmax"))
+    cells, outline = ds.dissolved(masks, fm, prm)
+    mp = ov.bbox_pairs(a, fa, cells, "_cell", prm.cell_size).select(
+        F.col(fa).alias("g"), F.col("_cell").alias("_fid"), F.lit(1).alias("layer"), F.col("_ox0").alias("xmin"), F.col("_ox1").alias("xmax"))
     hit = mp.select(F.col("g").alias(fa)).distinct().withColumn("_hit", F.lit(True))
     tagged = a.join(hit, fa, "left").withColumn("_own", F.col("_hit").isNull() & whole)
     own = tagged.filter(~F.col("_own")).select(F.col(fa).alias("g"), F.col(fa).alias("_fid"), F.lit(0).alias("layer"))
     pieces = ov.group_pieces(own, ov.layer_pieces(a, fa, band).withColumnRenamed(fa, "_fid"), "_fid").unionByName(
-        ov.group_pieces(mp, ov.layer_pieces(masks, fm, band).withColumnRenamed(fm, "_fid"), "_fid", band))
+        ov.group_pieces(mp, outline.withColumnRenamed("_cell", "_fid"), "_fid", band))
     parts = ov.slab_overlay(pieces, 2, lambda n: (n[0] != 0) & (n[1] == 0), geometry=True, band=band, max_pieces=prm.max_band_pieces)
     return parts.select(F.col("g").alias(fa), "rings"), tagged.filter("_own").select(fa, "rings")
 

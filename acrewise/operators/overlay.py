@@ -256,14 +256,16 @@ def slab_overlay(pieces: DataFrame, n_layers: int,
                  keep: Callable[[list[Column]], Column],
                  label: Callable[[list[Column]], Column] | None = None,
                  geometry: bool = False, band: float | None = None,
-                 max_pieces: int | None = None) -> DataFrame:
+                 max_pieces: int | None = None, outline: bool = False) -> DataFrame:
     """Boolean overlay of ``n_layers`` layers within each group ``g``.
 
     ``pieces``: g, layer (0..n_layers-1), band, l, r, yl, yr, c — banded
     edges of every feature taking part in group g. ``keep(counts)`` picks
     trapezoids from the per-layer winding counts; ``label(counts)`` tags
     them (e.g. the first covering mask). Returns (g, [label], area) or, with
-    ``geometry=True``, one 4-point ring per kept trapezoid.
+    ``geometry=True``, one 4-point ring per kept trapezoid, or, with
+    ``outline=True``, the edges between what is kept and what is not, as banded
+    pieces (g, band, l, r, yl, yr, c).
 
     All work is keyed by (g, band), and by tile where a (g, band) holds more
     than ``max_pieces`` edges (``tiles``): the edges are hash-partitioned on
@@ -294,7 +296,8 @@ def slab_overlay(pieces: DataFrame, n_layers: int,
              .withColumnRenamed("x", "x0"))
     # 2. pieces spanning each slab, with heights at both slab sides
     s = slabs.join(pieces, k).filter("l <= x0 AND r >= x1")
-    s = s.selectExpr(*k, "x0", "x1", "layer", "-c AS w",
+    source = ["l", "r", "yl", "yr"] if outline else []
+    s = s.selectExpr(*k, "x0", "x1", "layer", "-c AS w", *source,
                      f"CASE WHEN x0 = l THEN yl ELSE {sql_interp('l', 'r', 'yl', 'yr', 'x0')} END AS y0",
                      f"CASE WHEN x1 = r THEN yr ELSE {sql_interp('l', 'r', 'yl', 'yr', 'x1')} END AS y1")
     # 3. running winding counts per layer, bottom to top
@@ -306,6 +309,12 @@ def slab_overlay(pieces: DataFrame, n_layers: int,
     s = s.select("*", *cnt_cols,
                  F.lead("y0").over(wn).alias("ny0"), F.lead("y1").over(wn).alias("ny1"))
     counts = [F.col(f"n{i}") for i in range(n_layers)]
+    if outline:
+        below = [F.col(f"n{i}") - F.when(F.col("layer") == i, F.col("w")).otherwise(0) for i in range(n_layers)]
+        inside, under = F.col("ny0").isNotNull() & keep(counts), keep(below)
+        s = s.select("g", F.shiftright("band", 20).alias("band") if hot else F.col("band"), "x0", "x1", *source,
+                     F.when(under & ~inside, 1).when(inside & ~under, -1).alias("c"))
+        return _joined_up(s.filter(F.col("c").isNotNull()))
     s = s.filter(F.col("ny0").isNotNull() & keep(counts))
     s = s.withColumn("area", F.expr("(x1 - x0) * ((ny0 - y0) + (ny1 - y1)) / 2"))
     if label is not None:
@@ -319,6 +328,20 @@ def slab_overlay(pieces: DataFrame, n_layers: int,
     return s.groupBy(*gcols).agg(F.sum("area").alias("area"))
 
 
+def _joined_up(s: DataFrame) -> DataFrame:
+    """Stretches [x0, x1] of source edges (l, r, yl, yr) -> pieces: what follows
+    on one line becomes one piece, what runs over it the other way cancels."""
+    level = F.col("yl") == F.col("yr")
+    line = [F.when(~level, F.col(c)).alias(f"_{c}") for c in ("l", "r")] + [F.col(c).alias(f"_{c}") for c in ("yl", "yr")]
+    s = s.select("g", "band", *line, F.explode(F.array(F.struct(F.col("x0").alias("p"), F.col("c")), F.struct(F.col("x1").alias("p"), (-F.col("c")).alias("c")))).alias("e"))
+    k = ["g", "band", "_l", "_r", "_yl", "_yr"]
+    ends = s.groupBy(*k, F.col("e.p").alias("l")).agg(F.sum("e.c").alias("c")).where("c <> 0")
+    along = Window.partitionBy(*k).orderBy("l")
+    runs = ends.select(*k, "l", F.lead("l").over(along).alias("r"), F.sum("c").over(along).alias("c")).where("c <> 0 AND r IS NOT NULL")
+    at = lambda x: f"CASE WHEN _yl = _yr THEN _yl ELSE {sql_interp('_l', '_r', '_yl', '_yr', x)} END"
+    return runs.selectExpr("g", "band", "l", "r", f"{at('l')} AS yl", f"{at('r')} AS yr", "CAST(c AS INT) AS c")
+
+
 def group_pieces(members: DataFrame, layer_pieces_by_fid: DataFrame, fid_col: str | Sequence[str], band: float | None = None) -> DataFrame:
     """Attach the banded pieces of each member feature to its group.
 
