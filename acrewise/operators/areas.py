@@ -218,21 +218,21 @@ def waterfall(layer: DataFrame, fid: str, masks: DataFrame, fm: str, order_col:
     what remains), so the cut layer of a step and the layer that is left
     after it are filters of one result.
 
-    Every feature of the (inventory-sized) layer goes through the pass, so
-    the candidate (feature, mask) pairs are formed and read once."""
+    Every feature of the (inventory-sized) layer goes through the pass, with
+    the masks of each order dissolved by cells: a mask layer's own overlaps
+    decide nothing."""
     band = prm.band_width
     box = geo.bbox("rings")
     subj = layer.select(F.col(fid).alias("g"), F.lit("f").alias("_kind"), F.col(fid).cast("string").alias("_fid"), F.lit(0).alias("layer"),
                         box["xmin"].alias("xmin"), box["xmax"].alias("xmax"))
-    mp = (ov.bbox_pairs(layer, fid, masks, fm, prm.cell_size)
-          .join(masks.select(fm, (F.col(order_col) + 1).alias("layer")), fm)
-          .select(F.col(fid).alias("g"), F.lit("m").alias("_kind"), F.col(fm).cast("string").alias("_fid"), "layer",
+    cells, outline = ds.dissolved(masks, fm, prm, F.col(order_col) + 1)
+    mp = (ov.bbox_pairs(layer, fid, cells, "_cell", prm.cell_size)
+          .join(cells.select("_cell", "layer"), "_cell")
+          .select(F.col(fid).alias("g"), F.lit("m").alias("_kind"), F.col("_cell").alias("_fid"), "layer",
                   F.col("_ox0").alias("xmin"), F.col("_ox1").alias("xmax")))
     lp = (ov.layer_pieces(layer, fid, band).select(F.lit("f").alias("_kind"), F.col(fid).cast("string").alias("_fid"),
                                                    "band", "l", "r", "yl", "yr", "c")
-          .unionByName(ov.layer_pieces(masks, fm, band).select(F.lit("m").alias("_kind"),
-                                                               F.col(fm).cast("string").alias("_fid"),
-                                                               "band", "l", "r", "yl", "yr", "c")))
+          .unionByName(outline.select(F.lit("m").alias("_kind"), F.col("_cell").alias("_fid"), "band", "l", "r", "yl", "yr", "c")))
     pieces = ov.group_pieces(subj.unionByName(mp), lp, ["_kind", "_fid"], band)
     n_layers = n_orders + 1
 

@@ -86,7 +86,8 @@ def test_a_group_does_not_grow_with_the_masks_over_it(spark, monkeypatch):
     a = layer(spark, [(1, 0, [box(-50, -50, 350, 350)])], "f")
     many = layer(spark, heap(400), "m")
     for run in (lambda m: ar.erase_union_area(a, "f", m, "m"), lambda m: ar.erase_union_parts(a, "f", m, "m"),
-                lambda m: ar.erase_union_area(a, "f", m, "m", a.withColumnRenamed("f", "b"), "b")):
+                lambda m: ar.erase_union_area(a, "f", m, "m", a.withColumnRenamed("f", "b"), "b"),
+                lambda m: ar.waterfall(a, "f", m, "m", "ord", 2)):
         assert most_edges(monkeypatch, lambda: run(many)) < 100
 
 
