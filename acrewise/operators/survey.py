@@ -109,6 +109,14 @@ def _by_set(df: DataFrame, group_sets: Sequence[Sequence[str]], all_vars: Sequen
     return x.select("_set.*", *[c for c in df.columns if c not in all_vars])
 
 
+def _cuts_below(cuts: str, v: str) -> str:
+    """SQL text: how many of the sorted ``cuts`` are less than ``v``, found by
+    halving (``BUCKETS`` - 1 cuts at most)."""
+    return (f"aggregate(sequence(1, {BUCKETS.bit_length()}), named_struct('a', 0, 'b', size({cuts})), (s, i) -> CASE WHEN s.a >= s.b THEN s "
+            f"WHEN {cuts}[(s.a + s.b) div 2] < {v} THEN named_struct('a', CAST((s.a + s.b) div 2 + 1 AS INT), 'b', s.b) "
+            f"ELSE named_struct('a', s.a, 'b', CAST((s.a + s.b) div 2 AS INT)) END).a")
+
+
 def weighted_medians(df: DataFrame, target: str, group_sets: Sequence[Sequence[str]],
                      all_vars: Sequence[str], weight: str = "pwgtp", n_rep: int = P.N_REPLICATES,
                      level_col: str = "_level") -> DataFrame:
@@ -130,7 +138,7 @@ def weighted_medians(df: DataFrame, target: str, group_sets: Sequence[Sequence[s
     rows = rows.select(F.to_json(key, {"ignoreNullFields": "false"}).alias("_key"), level_col, *all_vars, F.col(target).cast("double").alias("_v"),
                        *[F.coalesce(F.col(w).cast("bigint"), F.lit(0)).alias(f"_w{j}") for j, w in enumerate(ws)])
     cuts = rows.groupBy("_key").agg(F.array_distinct(F.percentile_approx("_v", [i / BUCKETS for i in range(1, BUCKETS)], 10_000)).alias("_cuts"))
-    cut = rows.join(cuts, "_key").withColumn("_bucket", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).drop("_cuts")
+    cut = rows.join(cuts, "_key").withColumn("_bucket", F.expr(_cuts_below("_cuts", "_v"))).drop("_cuts")
 
     sums = [F.sum(f"_w{j}").alias(f"_w{j}") for j in range(n)]
     hist = cut.groupBy("_key", "_bucket").agg(*sums)

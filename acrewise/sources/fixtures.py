@@ -175,8 +175,13 @@ def buildings(t: Tables) -> DataFrame:
 # ------------------------------------------------------------------ persons
 @view
 def persons(t: Tables, n_replicates: int = 80) -> DataFrame:
-    """Person microdata with a weight and ``n_replicates`` replicate weights."""
-    c = t.customer
+    """Person microdata with a weight and ``n_replicates`` replicate weights.
+
+    The few columns of the table are a small file of one or two splits, which
+    become ``n_replicates`` columns here: the rows are dealt over all cores
+    first, or a task or two would do all the sums."""
+    tasks = 3 * t.spark.sparkContext.defaultParallelism
+    c = t.customer.select("c_custkey", "c_nationkey", "c_mktsegment").repartition(tasks)
     k = F.col("c_custkey")
     n4 = F.col("c_nationkey") % 4
     reps = [F.expr(f"1 + (c_custkey * {2 * r + 1} + {r}) % 9").alias(f"pwgtp{r}") for r in range(1, n_replicates + 1)]
