@@ -124,7 +124,10 @@ def _erased(a: DataFrame, fa: str, masks: DataFrame, fm: str, whole, prm: P.Para
     cells, outline = ds.dissolved(masks, fm, prm)
     mp = ov.bbox_pairs(a, fa, cells, "_cell", prm.cell_size).select(
         F.col(fa).alias("g"), F.col("_cell").alias("_fid"), F.lit(1).alias("layer"), F.col("_ox0").alias("xmin"), F.col("_ox1").alias("xmax"))
-    hit = mp.select(F.col("g").alias(fa)).distinct().withColumn("_hit", F.lit(True))
+    # rows of a repeated key stay apart where no mask's box meets them; a cell's extent is wider than those
+    many = a.groupBy(fa).count().where("count > 1").select(fa)
+    met = ov.bbox_pairs(a.select(fa, "rings").join(many, fa, "left_semi"), fa, masks, fm, prm.cell_size).select(fa)
+    hit = mp.select(F.col("g").alias(fa)).join(many, fa, "left_anti").union(met).distinct().withColumn("_hit", F.lit(True))
     tagged = a.join(hit, fa, "left").withColumn("_own", F.col("_hit").isNull() & whole)
     own = tagged.filter(~F.col("_own")).select(F.col(fa).alias("g"), F.col(fa).alias("_fid"), F.lit(0).alias("layer"))
     pieces = ov.group_pieces(own, ov.layer_pieces(a, fa, band).withColumnRenamed(fa, "_fid"), "_fid").unionByName(

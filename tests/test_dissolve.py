@@ -96,3 +96,13 @@ def test_no_masks(spark):
     none = layer(spark, [], "m")
     assert ar.erase_union_area(a, "f", none, "m").first().area == 100
     assert [(r.step, r.area) for r in ar.waterfall(a, "f", none, "m", "ord", 2).collect()] == [(None, 100)]
+
+
+def test_copies_that_meet_no_mask_stay_apart(spark):
+    """A repeated key between two masks of one cell, and one that meets a mask."""
+    a = layer(spark, [(1, 0, [box(40, 40, 60, 60)])] * 2 + [(2, 0, [box(0, 0, 20, 20)])] * 2, "f")
+    masks = layer(spark, [(1, 0, [box(0, 0, 10, 10)]), (2, 0, [box(90, 90, 99, 99)])], "m")
+    parts = ar.erase_union_parts(a, "f", masks, "m").select("f", F.expr("rings[0][2].x - rings[0][0].x").alias("w"))
+    assert sorted(r.w for r in parts.where("f = 1").collect()) == [20, 20]
+    rows = ar.erase_union_polygons(a, "f", masks, "m").groupBy("f").count().collect()
+    assert {r.f: r["count"] for r in rows} == {1: 2, 2: 1}
