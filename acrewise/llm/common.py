@@ -63,6 +63,17 @@ def stored(df: DataFrame, folder: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+FILE_ROWS = 100_000
+
+
+def in_files(df: DataFrame, rows: int) -> DataFrame:
+    """df, whose size goes with ``rows``, in as many partitions as are worth a
+    file, at least one a core: a few rows would else be written to as many
+    files as a shuffle has partitions. For narrow rows, as it holds for all
+    that the last stage does."""
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // FILE_ROWS)))
+
+
 def freed(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of finished steps now. It does so
     when their objects are collected, which an idle driver may put off; the
@@ -167,7 +178,8 @@ def flagged(df: DataFrame, own: Column, keys: DataFrame, theirs: Column, folder:
     that join."""
     at = lambda c: F.pmod(F.xxhash64(c), F.lit(PICK_BITS)) + 1
     place, bucket, bits = names(df, "place", "bucket", "bits")
-    known = stored(bitmap_rows(keys, at(theirs)), folder, name).select(F.col("bucket").alias(bucket), F.col("bits").alias(bits))
+    known = bitmap_rows(keys, at(theirs))
+    known = stored(in_files(known, PICK_BITS >> 15), folder, name).select(F.col("bucket").alias(bucket), F.col("bits").alias(bits))
     x = df.withColumn(place, at(own))
     x = x.join(F.broadcast(known), F.bitmap_bucket_number(place) == F.col(bucket), "left")
     bit = F.bitmap_bit_position(place)

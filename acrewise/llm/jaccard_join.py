@@ -52,7 +52,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from acrewise.llm import symbols
-from acrewise.llm.common import dropped, flagged, freed, has_bit, low_bits, names, numbered, on_arrow, partitions, picked, scratch, stored, table
+from acrewise.llm.common import dropped, flagged, freed, has_bit, in_files, low_bits, names, numbered, on_arrow, partitions, picked, scratch, stored, table
 from acrewise.llm.components import components
 from acrewise.llm.repeats import LAST, documents
 from acrewise.llm.setsketch import Forest, by_block, edge_batch
@@ -321,7 +321,7 @@ class Join:
         folder, n = scratch(spark), partitions(spark)
         docs = documents(df, key, text, number)
         base = stored(on_arrow(docs, self.sketch, "id long, fp long, n long, sid binary, d long, mins array<long>, low array<long>"), folder, "sketch")
-        points = base.where("n > 0")
+        points, size = base.where("n > 0"), base.count()
 
         # one document a point, and a few more where the bitmap errs
         both = F.struct("id", "fp")
@@ -332,7 +332,7 @@ class Join:
         pivots = shared.groupBy("m").agg(F.min("d").alias("pivot"), F.max("d").alias("last")).where("pivot < last").drop("last")
         votes = shared.join(pivots, "m").groupBy("d", "pivot").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= AGREE)
         homes = votes.groupBy("d").agg(F.max(F.struct("c", "pivot"))["pivot"].alias("region"))
-        homes = stored(homes.where("d <> region"), folder, "homes")
+        homes = stored(in_files(homes.where("d <> region"), size), folder, "homes")
 
         # the n-grams of several points among those that prefixes are taken from
         counts = stored(points.select(F.explode("low").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), folder, "shared")
@@ -343,6 +343,7 @@ class Join:
         entries = on_arrow(placed, self.entries(hot, several), "s long, d long, region long, place long")
         visits = on_arrow(entries.repartition(n, "s").sortWithinPartitions("s", "place", "region", "d"), self.meet, "d long, region long, merge boolean")
         visits = stored(visits.distinct(), folder, "visits")
+        placings = size + visits.count()
         # only the narrow columns are read from here on
         base = stored(base.select("id", "fp", "n", "sid", "d"), folder, "points")
         points = base.where("n > 0")
@@ -356,7 +357,7 @@ class Join:
         if not merges.isEmpty():
             whole = components(merges)
             members = members.join(whole, F.col("region") == F.col("u"), "left").select("d", F.coalesce("root", "region").alias("region"))
-        members = stored(members.distinct(), folder, "members")
+        members = stored(in_files(members.distinct(), placings), folder, "members")
 
         # regions beyond REGION_BYTES in blocks, each with the region's pivot
         ids = points.groupBy("d", "sid", "n").agg(F.min(F.struct("id", "fp")).alias("r"))
@@ -364,20 +365,20 @@ class Join:
         sized = placed.groupBy("region").agg(F.ceil(F.sum(8 * F.col("n")) / REGION_BYTES).cast("int").alias("blocks"), F.min("sid").alias("pivot"))
         placed = placed.join(sized, "region").select("region", "sid", "r", "blocks", (F.col("sid") != F.col("pivot")).alias("later"),
                                                      F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int").alias("own"))
-        placed = stored(placed, folder, "placed")
+        placed = stored(in_files(placed, placings), folder, "placed")
         every = F.sequence(F.lit(0), F.col("blocks") - 1)
 
-        def sent(tasks: DataFrame, name: str) -> DataFrame:
-            """(sid, r, region, block, ...) -> with the texts in place of r."""
+        def sent(tasks: DataFrame, name: str, many: int) -> DataFrame:
+            """(sid, r, region, block, ...), about ``many`` -> with the texts in place of r."""
             cols = [c for c in tasks.columns if c not in ("sid", "r")]
             part = tasks.groupBy("sid", "r").agg(F.collect_list(F.struct(*cols)).alias("tasks"))
-            part = stored(part.select("sid", "r.*", "tasks"), folder, name)
+            part = stored(in_files(part.select("sid", "r.*", "tasks"), many), folder, name)
             freed(spark)
             texts = picked(docs, both, part, both, folder, f"{name}-bits")
             rows = part.join(texts, ["id", "fp"]).select("sid", "text", F.explode("tasks").alias("t")).select("t.*", "sid", "text")
             return rows.repartition(n, "region", "block")
         first = placed.select("sid", "r", "region", F.explode(F.when(F.col("later"), F.array("own")).otherwise(every)).alias("block"), "later")
-        rows = sent(first, "part").select("region", "block", "later", "sid", "text")
+        rows = sent(first, "part", placings).select("region", "block", "later", "sid", "text")
         trees = stored(on_arrow(rows.sortWithinPartitions("region", "block", "later", "sid"), self.join_regions, "u binary, v binary"), folder, "trees")
         freed(spark)
         roots = components(trees)
@@ -391,7 +392,7 @@ class Join:
             split = stored(split.join(main, "region").drop("u", "root"), folder, "split")
             own = split.select("sid", "r", "region", F.col("own").alias("block"), F.lit(0).alias("visits"), "grp")
             guests = split.where("grp <> main").select("sid", "r", "region", F.explode(every).alias("block"), F.lit(1).alias("visits"), "grp")
-            rows = sent(own.union(guests), "visitors")
+            rows = sent(own.union(guests), "visitors", own.count() + guests.count())
             rows = rows.select("region", "block", "visits", "sid", "grp", "text").sortWithinPartitions("region", "block", "visits", "sid")
             more = stored(on_arrow(rows, self.join_visitors, "u binary, v binary"), folder, "more")
             freed(spark)
@@ -401,7 +402,8 @@ class Join:
             "id", "fp", "n", F.coalesce("root", "sid").alias("class"))
         # written, so that the join below has a shuffle on both sides and Spark
         # can split a class that holds many of the rows
-        leaders = stored(labels.where("class IS NOT NULL").groupBy("class").agg(F.min("id").alias("leader")), folder, "leaders")
+        leaders = labels.where("class IS NOT NULL").groupBy("class").agg(F.min("id").alias("leader"))
+        leaders = stored(in_files(leaders, size), folder, "leaders")
         return labels.join(leaders, "class", "left").select(
             F.struct(F.nullif("id", F.lit(LAST)).alias("id"), "fp").alias("k"), F.col("n").alias("n_shingles"),
             F.nullif(F.coalesce("leader", "id"), F.lit(LAST)).alias("component_id"))
