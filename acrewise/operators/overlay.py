@@ -126,9 +126,11 @@ def near_overlap(pairs: DataFrame, pieces: DataFrame, fid: str, band: float) ->
     return spelled.join(pieces, [fid, "band"]).filter("r > _ox0 AND l < _ox1")
 
 
-def pair_area(pairs: DataFrame, fa: str, fb: str, pieces_a: DataFrame, pieces_b: DataFrame,
-              band: float | None = None, max_pieces: int | None = None) -> DataFrame:
-    """Exact overlap area for each candidate pair -> (fa, fb, area).
+def met_pieces(pairs: DataFrame, fa: str, fb: str, pieces_a: DataFrame, pieces_b: DataFrame,
+               band: float | None = None, max_pieces: int | None = None) -> DataFrame:
+    """Every two pieces of a candidate pair's features over a common x-range:
+    (fa, fb, base, _s, _L, _R, _pa_*, _pb_*) with the product of their signs and
+    the range.
 
     With ``band`` and ``max_pieces``, a (b-feature, band) with more edges is
     cut into sub-bands and the a-side edges are mapped onto that feature's
@@ -151,9 +153,16 @@ def pair_area(pairs: DataFrame, fa: str, fb: str, pieces_a: DataFrame, pieces_b:
         pb = _side(pieces_b, kb, "_pb")
         j = (pairs.join(pa, F.col(fa) == F.col("_pa"))
              .join(pb, (F.col(fb) == F.col("_pb")) & (F.col("_pa_band") == F.col("_pb_band"))))
-    j = j.selectExpr(f"`{fa}`", f"`{fb}`", "base", "_pa_c * _pb_c AS _s",
+    return j.selectExpr(f"`{fa}`", f"`{fb}`", "base", "_pa_c * _pb_c AS _s",
                      "greatest(_pa_l, _pb_l) AS _L", "least(_pa_r, _pb_r) AS _R",
                      "_pa_l", "_pa_r", "_pa_yl", "_pa_yr", "_pb_l", "_pb_r", "_pb_yl", "_pb_yr").filter("_R > _L")
+
+
+def pair_area(pairs: DataFrame, fa: str, fb: str, pieces_a: DataFrame, pieces_b: DataFrame,
+              band: float | None = None, max_pieces: int | None = None) -> DataFrame:
+    """Exact overlap area for each candidate pair -> (fa, fb, area), from
+    the pieces that ``met_pieces`` joins."""
+    j = met_pieces(pairs, fa, fb, pieces_a, pieces_b, band, max_pieces)
     j = j.selectExpr(f"`{fa}`", f"`{fb}`", "_s", "_L", "_R",
                      f"{_at_sql('_pa', '_L')} - base AS f0", f"{_at_sql('_pa', '_R')} - base AS f1",
                      f"{_at_sql('_pb', '_L')} - base AS g0", f"{_at_sql('_pb', '_R')} - base AS g1")
