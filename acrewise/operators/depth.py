@@ -86,14 +86,14 @@ def pair_corners(a: DataFrame, fa: str, b: DataFrame, fb: str, prm: P.Params) ->
             .groupBy(fa, fb, "x", "y").agg(F.sum("w").alias("w")).where("w <> 0"))
 
 
-def _strip(x: str, cuts: Sequence[float]) -> Column:
-    """The number of cuts up to x, found by halving."""
-    def within(first: int, last: int) -> Column:
-        if first == last:
-            return F.lit(first)
-        mid = (first + last) // 2
-        return F.when(F.col(x) < cuts[mid], within(first, mid)).otherwise(within(mid + 1, last))
-    return within(0, len(cuts))
+def _strip(rows: DataFrame, x: str, cuts: str, out: str) -> DataFrame:
+    """Rows with ``out``, the number of the column ``cuts`` up to x, found by
+    halving; cuts are STRIPS - 1 values, filled up with infinity."""
+    rows, step = rows.withColumn(out, F.lit(0)), STRIPS // 2
+    while step:
+        rows = rows.withColumn(out, F.expr(f"{out} + IF({x} >= {cuts}[{out} + {step - 1}], {step}, 0)"))
+        step //= 2
+    return rows
 
 
 def _part(top: int) -> str:
@@ -106,12 +106,13 @@ def integrals(places: DataFrame, keys: Sequence[str], corners: DataFrame) -> Dat
     folder = f"{ensure_checkpoint_dir(corners.sparkSession).rstrip('/')}/depth-{uuid.uuid4().hex}"
     corners = written(corners, f"{folder}/corners")
     at = [i / STRIPS for i in range(1, STRIPS)]
-    q = corners.agg(F.percentile_approx("x", at, 10_000).alias("x"), F.percentile_approx("y", at, 10_000).alias("y")).first()
-    cut = {k: sorted(set(q[k] or [])) for k in ("x", "y")}
-    # distances are taken from the middle, which keeps the sums small
-    mid = {k: v[len(v) // 2] if v else 0.0 for k, v in cut.items()}
+    q = corners.agg(*[F.array_distinct(F.percentile_approx(k, at or [0.5], 10_000)).alias(k) for k in ("x", "y")])
+    # the middle, from which distances are taken (that keeps the sums small), and the cuts
+    middle = [F.expr(f"coalesce(get({k}, size({k}) div 2), 0D)").alias(f"_m{k}") for k in ("x", "y")]
+    full = [F.expr(f"slice(concat(coalesce({k}, CAST(array() AS ARRAY<DOUBLE>)), array_repeat(CAST('Infinity' AS DOUBLE), {STRIPS})), 1, {STRIPS})").alias(f"_c{k}") for k in ("x", "y")]
+    cuts = F.broadcast(written(q.select(*middle, *full), f"{folder}/cuts"))  # one row
     along = Window.partitionBy("_strip").orderBy("x")
-    c = written(corners.withColumn("_strip", _strip("x", cut["x"])).withColumn("_rank", F.dense_rank().over(along) - 1), f"{folder}/ranked")
+    c = written(_strip(corners.crossJoin(cuts.select("_cx")), "x", "_cx", "_strip").drop("_cx").withColumn("_rank", F.dense_rank().over(along) - 1), f"{folder}/ranked")
     last = c.agg(F.max("_rank")).first()[0]
     if last is None:
         return places.select(*keys, F.lit(0.0).alias("_t")).limit(0)
@@ -120,15 +121,15 @@ def integrals(places: DataFrame, keys: Sequence[str], corners: DataFrame) -> Dat
         inner += 1
     top = inner + 1
     # places: the corners' x of their strip that lie to the left of theirs
-    own = places.select(F.struct(*keys).alias("_key"), "x", "y", "w", _strip("x", cut["x"]).alias("_strip"), F.lit(0).alias("_rank"))
+    own = _strip(places.select(F.struct(*keys).alias("_key"), "x", "y", "w").crossJoin(cuts.select("_cx")), "x", "_cx", "_strip").drop("_cx").withColumn("_rank", F.lit(0))
     xs = c.select("x", "_strip").distinct().select(F.lit(None).cast(own.schema["_key"].dataType).alias("_key"), "x", F.lit(None).cast("double").alias("y"),
                                                    F.lit(None).cast("long").alias("w"), "_strip", F.lit(1).alias("_rank"))
     before = Window.partitionBy("_strip").orderBy("x", "_rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     own = own.unionByName(xs).withColumn("_rank", F.sum("_rank").over(before)).where("w IS NOT NULL")
 
     def placed(rows: DataFrame) -> DataFrame:
-        rows = rows.withColumn("_row", _strip("y", cut["y"])).withColumn("_pos", F.expr(f"CAST(_strip AS BIGINT) * {16 ** inner} + _rank"))
-        rows = rows.withColumn("x", F.col("x") - mid["x"]).withColumn("y", F.col("y") - mid["y"])
+        rows = _strip(rows.crossJoin(cuts.select("_cy", "_mx", "_my")), "y", "_cy", "_row").drop("_cy").withColumn("_pos", F.expr(f"CAST(_strip AS BIGINT) * {16 ** inner} + _rank"))
+        rows = rows.withColumn("x", F.col("x") - F.col("_mx")).withColumn("y", F.col("y") - F.col("_my"))
         rows = rows.withColumn("digit", F.explode(F.sequence(F.lit(0), F.lit(top))))
         return rows.withColumn("_up", F.expr("shiftright(_pos, 4 * digit)")).withColumn("part", F.expr(_part(top)))
 
@@ -146,4 +147,5 @@ def integrals(places: DataFrame, keys: Sequence[str], corners: DataFrame) -> Dat
                                             F.lit(None).cast("long").alias("w"))
     run = Window.partitionBy(*CELL).orderBy("y").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     s = held.unionByName(asked).select("_key", "x", "y", "w", *[F.sum(k).over(run).alias(k) for k in SUMS]).where("w IS NOT NULL")
-    return s.groupBy("_key").agg(F.sum(F.expr("w * (x * (y * _n - _ny) - (y * _nx - _nxy))")).alias("_t")).select("_key.*", "_t")
+    t = s.groupBy("_key").agg(F.sum(F.expr("w * (x * (y * _n - _ny) - (y * _nx - _nxy))")).alias("_t")).select("_key.*", "_t")
+    return written(t, f"{folder}/sums")  # so the plans after it, and a lost executor, do not repeat it
