@@ -19,8 +19,15 @@ as a join in the metric space of the Jaccard distance d = 1 - J.
    position of a rare n-gram or the hash position of a frequent one, bound
    the distance further. One of the two visits the other's region, so
    every close pair meets in some region. An n-gram that more than ``LIST``
-   points hold spans too many regions for that: sorted by size, neighbours
-   that may be close join their regions instead, a row for each of them.
+   points hold spans too many regions for that. These points, the crowd, are
+   few, as a frequent n-gram is in a prefix only where the smallest hashes hold
+   little else; close pairs that are bound to meet by such an n-gram have both
+   points among them. So their whole sets are read: by one common order of all
+   n-grams, those that few points of the crowd hold first, they get prefixes
+   anew, and most meet nobody any more. Where even such a prefix has an n-gram
+   of more than ``LIST`` points, the sets hold little that is not frequent:
+   sorted by size, neighbours that may be close join their regions, a row for
+   each of them.
 4. Regions join exactly: the points linked to a region's pivot are one group
    and are never compared with each other, so a group of near copies costs its
    size, not its square; by the triangle inequality a point at distance a from
@@ -65,6 +72,8 @@ HOT_LIST = 32          # points that share an n-gram from which it counts as fre
 HOT_BITS = 1 << 22
 SHARED_BITS = 1 << 26
 LIST = 64              # points with a common n-gram that are tested in pairs
+LEVELS = (2, 8, 64, 512)  # points of the crowd that share an n-gram, by which its n-grams are ordered
+LEVEL_BITS = 1 << 24
 REGION_BYTES = 4 << 20
 
 
@@ -72,6 +81,27 @@ def visit_batch(d: np.ndarray, region: np.ndarray, merge: bool) -> pa.RecordBatc
     return pa.RecordBatch.from_arrays([pa.array(d), pa.array(region), pa.array(np.full(len(d), merge))], ["d", "region", "merge"])
 
 
+class Holders:
+    """Which of some sets hold which n-gram."""
+
+    def __init__(self, sets: list[np.ndarray]) -> None:
+        self.sizes = np.array([len(g) for g in sets])
+        grams = np.concatenate(sets)
+        order = np.argsort(grams, kind="stable")
+        self.owner, grams = np.repeat(np.arange(len(sets)), self.sizes)[order], grams[order]
+        starts = np.flatnonzero(np.append(True, grams[1:] != grams[:-1]))
+        self.known, self.starts = grams[starts], np.append(starts, len(grams))
+
+    def shared(self, g: np.ndarray) -> np.ndarray:
+        """n-grams that each of the sets has in common with g: only the rows
+        of its n-grams are looked at, not all of the sets."""
+        at = np.minimum(np.searchsorted(self.known, g), len(self.known) - 1)
+        at = at[self.known[at] == g]
+        start, many = self.starts[at], self.starts[at + 1] - self.starts[at]
+        rows = np.arange(many.sum()) + np.repeat(start - np.cumsum(many) + many, many)
+        return np.bincount(self.owner[rows], minlength=len(self.sizes))
+
+
 @dataclass(frozen=True)
 class Join:
     words: int = WORDS
@@ -153,10 +183,38 @@ class Join:
         most = np.minimum(n1 - (p & 0xFFFFFFFF), n2 - (q & 0xFFFFFFFF))
         return most * (100 + self.percent) >= self.percent * (n1 + n2)
 
-    def meet(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def whole_entries(self, levels: list[np.ndarray]):
+        """(d, region, text) -> as ``entries``, the prefix of the whole set
+        under one order of all n-grams: by the bitmaps that hold them, then by
+        hash. Those that no other point has are in none."""
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
+                d, region = (b.column(k).to_numpy() for k in range(2))
+                keep, place = [], []
+                for g in self.sets(b.column(2)):
+                    g = g.view(np.int64)
+                    level = np.sum([has_bit(x, g) for x in levels], axis=0)
+                    order = np.lexsort((g, level))[:self.prefix(len(g))]
+                    some = np.flatnonzero(level[order])
+                    keep.append(g[order][some])
+                    place.append((len(g) << 32) + some)
+                size = [len(x) for x in keep]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate(keep), np.repeat(d, size), np.repeat(region, size), np.concatenate(place))],
+                                                 ["s", "d", "region", "place"])
+        return run
+
+    def holders(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(text) -> the n-grams of some texts and how many hold each: (s, c)."""
+        for b in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
+            s, c = np.unique(np.concatenate(list(self.sets(b.column(0)))), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(c, pa.int64())], ["s", "c"])
+
+    def meet(self, batches: Iterator[pa.RecordBatch], long_lists=None) -> Iterator[pa.RecordBatch]:
         """Entries sorted by n-gram and place -> (d, region, merge): who must
-        visit which region, or (merge) which two regions become one. Holds
-        ``LIST`` entries of one n-gram and a batch."""
+        visit which region, and (merge) what ``long_lists`` (``merges``) makes
+        of n-grams of more than ``LIST`` entries. Holds ``LIST`` entries of
+        one n-gram and a batch."""
+        long_lists = long_lists or self.merges
         held, long = None, False  # the n-gram that goes on; whether it had more than LIST entries before
         for b in batches:
             cols = [c.to_numpy() for c in b.columns]
@@ -171,16 +229,23 @@ class Join:
             many[0] |= long
             last = run == run[-1]
             long = bool(many[-1])
-            yield from self.merges([c[many[run]] for c in cols])
+            yield from long_lists([c[many[run]] for c in cols])
             yield from self.visits([c[~many[run] & ~last] for c in cols])
             held = [c[last][-1:] if long else c[last] for c in cols]
         if held is not None and not long:
             yield from self.visits(held)
 
+    def crowd(self, cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        """The points of long lists."""
+        if len(cols[0]):
+            d = np.unique(cols[1])
+            yield visit_batch(d, d, True)
+
     def merges(self, cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         """Entries of long lists, by size: neighbours whose sizes allow a link
-        are brought together. Points that may be close are at most a chain of
-        such steps apart, as the sizes between theirs are no further apart."""
+        are brought together (their regions are d and region). Points that may
+        be close are at most a chain of such steps apart, as the sizes between
+        theirs are no further apart."""
         s, _, region, place = cols
         n = place >> 32
         at = np.flatnonzero((s[1:] == s[:-1]) & (region[1:] != region[:-1]) & (100 * n[:-1] >= self.percent * n[1:]))
@@ -224,39 +289,23 @@ class Join:
 
     def solve(self, sets: list[np.ndarray]) -> np.ndarray:
         """Links within a region: for each point the least point of its group."""
-        root = np.arange(len(sets))
-        sizes = np.array([len(g) for g in sets])
-        codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
-        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        mark = np.zeros(codes.max() + 1, bool)
-        todo = np.ones(len(sets), bool)   # points whose distances are not all known
-        near = np.zeros(len(sets), bool)  # points linked to the region's pivot
-        window = None
-        while todo.any():
-            q = 0 if window is None else int(np.flatnonzero(todo)[0])
-            mark[:] = False
-            mark[codes[starts[q]:starts[q] + sizes[q]]] = True
-            both = np.add.reduceat(mark[codes], starts)
-            close = (100 + self.percent) * both >= self.percent * (sizes + sizes[q])
-            todo[q] = False
-            if window is None:
-                window, near = 1 - both / (sizes + sizes[q] - both), close
-                # points near the pivot are one group; those too far from it
-                # to be close to any of them need not be compared with them
-                todo &= ~near
-                joined = near
-            else:
-                joined = close
-            group = np.unique(root[joined])
-            root[np.isin(root, group)] = group[0]
-            if todo.any():
-                r = 1 - self.percent / 100 + 1e-9
-                live = np.flatnonzero(todo)
-                # a point with nobody in its window, or in one group with all of them, is done
-                order = np.sort(window)
-                lone = (np.searchsorted(order, window[live] + r, "right") - np.searchsorted(order, window[live] - r, "left")) <= 1
-                todo[live[lone]] = False
-                if (root == root[0]).all():
+        root, held = np.arange(len(sets)), Holders(sets)
+        sizes = held.sizes
+        both = held.shared(sets[0])
+        near = (100 + self.percent) * both >= self.percent * (sizes + sizes[0])
+        root[near] = 0
+        # points near the pivot are one group; those too far from it to be
+        # close to any of them need not be compared with them
+        window, r = 1 - both / (sizes + sizes[0] - both), 1 - self.percent / 100 + 1e-9
+        # a point with nobody in its window is done
+        order = np.sort(window)
+        lone = (np.searchsorted(order, window + r, "right") - np.searchsorted(order, window - r, "left")) <= 1
+        for q in np.flatnonzero(~near & ~lone).tolist():
+            close = (100 + self.percent) * held.shared(sets[q]) >= self.percent * (sizes + sizes[q])
+            group = np.unique(root[close])
+            if len(group) > 1:
+                root[np.isin(root, group)] = group[0]
+                if not root.any():
                     break
         return root
 
@@ -303,12 +352,8 @@ class Join:
             if not own:
                 continue
             if block is None:
-                known, codes = np.unique(np.concatenate([x[2] for x in own]), return_inverse=True)
-                sizes = np.array([len(x[2]) for x in own])
-                block = known, codes, sizes, np.concatenate([[0], np.cumsum(sizes)[:-1]])
-            known, codes, sizes, starts = block
-            both = np.add.reduceat(np.isin(known, g)[codes], starts, dtype=np.int64)
-            close = (100 + self.percent) * both >= self.percent * (sizes + len(g))
+                block = Holders([x[2] for x in own])
+            close = (100 + self.percent) * block.shared(g) >= self.percent * (block.sizes + len(g))
             edges += [(sid, own[k][0]) for k in np.flatnonzero(close).tolist() if forest.join(grp, own[k][1])]
         if edges:
             yield edge_batch(edges)
@@ -341,14 +386,30 @@ class Join:
 
         placed = points.join(homes, "d", "left").select("d", F.coalesce("region", "d").alias("region"), "n", "low")
         entries = on_arrow(placed, self.entries(hot, several), "s long, d long, region long, place long")
-        visits = on_arrow(entries.repartition(n, "s").sortWithinPartitions("s", "place", "region", "d"), self.meet, "d long, region long, merge boolean")
+        visits = on_arrow(entries.repartition(n, "s").sortWithinPartitions("s", "place", "region", "d"), lambda x: self.meet(x, self.crowd), "d long, region long, merge boolean")
         visits = stored(visits.distinct(), folder, "visits")
-        placings = size + visits.count()
         # only the narrow columns are read from here on
         base = stored(base.select("id", "fp", "n", "sid", "d"), folder, "points")
         points = base.where("n > 0")
         dropped(spark, folder, "sketch")
         freed(spark)
+        ids = points.groupBy("d", "sid", "n").agg(F.min(both).alias("r"))
+
+        crowd = visits.where("merge").select("d").distinct()
+        visits = visits.where("NOT merge")
+        if not crowd.isEmpty():
+            # the crowd's whole sets, ordered by how many of its points hold an n-gram
+            part = crowd.join(ids, "d").join(homes, "d", "left").select("d", F.coalesce("region", "d").alias("region"), "r.*")
+            part = stored(in_files(part, size), folder, "crowd")
+            texts = picked(docs, both, part, both, folder, "crowd-bits").join(part, ["id", "fp"])
+            texts = stored(texts.dropDuplicates(["id", "fp"]).select("d", "region", "text"), folder, "crowd-texts")
+            grams = on_arrow(texts.select("text"), self.holders, "s long, c long").groupBy("s").agg(F.sum("c").alias("c")).where("c > 1")
+            grams = stored(grams, folder, "crowd-grams")
+            levels = [low_bits(grams.where(F.col("c") >= c), "s", LEVEL_BITS) for c in LEVELS]
+            entries = on_arrow(texts, self.whole_entries(levels), "s long, d long, region long, place long")
+            more = on_arrow(entries.repartition(n, "s").sortWithinPartitions("s", "place", "region", "d"), self.meet, "d long, region long, merge boolean")
+            visits = visits.union(stored(in_files(more.distinct(), size), folder, "crowd-visits"))
+        placings = size + visits.count()
 
         merges = visits.where("merge").select(F.col("d").alias("u"), F.col("region").alias("v"))
         visits = visits.where("NOT merge").drop("merge")
@@ -360,7 +421,6 @@ class Join:
         members = stored(in_files(members.distinct(), placings), folder, "members")
 
         # regions beyond REGION_BYTES in blocks, each with the region's pivot
-        ids = points.groupBy("d", "sid", "n").agg(F.min(F.struct("id", "fp")).alias("r"))
         placed = members.join(ids, "d")
         sized = placed.groupBy("region").agg(F.ceil(F.sum(8 * F.col("n")) / REGION_BYTES).cast("int").alias("blocks"), F.min("sid").alias("pivot"))
         placed = placed.join(sized, "region").select("region", "sid", "r", "blocks", (F.col("sid") != F.col("pivot")).alias("later"),
